@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, common, pii, secrets
+from barlake.llm import bpe, common, pii, quality, secrets, sharding, toxicity, warc
 
 
 def count_kind(spans: str, kind: str) -> Column:
@@ -29,11 +29,35 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(common.documents(spark, sf_dir))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(common.documents(spark, sf_dir))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read(spark, path).drop("html")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    lexicon = toxicity.learn_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
+    "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE_SQL, "op5_quality": quality.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL}
