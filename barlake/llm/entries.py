@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, common, pii, quality, secrets, sharding, toxicity, warc
+from barlake.llm import bpe, common, decontaminate, pii, quality, secrets, sharding, simhash, toxicity, warc
 
 
 def count_kind(spans: str, kind: str) -> Column:
@@ -49,12 +49,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
+    "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }

@@ -6,6 +6,7 @@ import base64
 import re
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barlake.llm.common import id_text, map_rows, span_list
@@ -108,3 +109,22 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
     return "".join(out) + text[at:]
 
 
+
+
+def redacted(df: DataFrame, text_col: str = "text", max_ratio: float = 2.4, vocab: str | None = None) -> DataFrame:
+    """df with the secrets of one column replaced by a mark: all columns and rows stay, null texts too."""
+    vocab = vocab or vocabulary()
+
+    def run(batches):
+        enc = encoding(vocab)
+        for batch in batches:
+            k = batch.schema.get_field_index(text_col)
+            new = []
+            for text in batch.column(k).to_pylist():
+                if text:
+                    found = base_spans(text)
+                    text = redact(text, found + (token_spans(text, enc, max_ratio, found) if re.search("[0-9]", text) else []))
+                new.append(text)
+            yield batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
+
+    return df.mapInArrow(run, df.schema)
