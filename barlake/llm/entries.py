@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, common, decontaminate, pii, quality, secrets, sharding, simhash, toxicity, warc
+from barlake.llm import bpe, common, decontaminate, pii, quality, secrets, sharding, simhash, substrings, toxicity, warc
 
 
 def count_kind(spans: str, kind: str) -> Column:
@@ -58,7 +58,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(common.documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
