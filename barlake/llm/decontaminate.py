@@ -21,7 +21,7 @@ from barlake.llm.common import id_text
 Q, WINDOW, EDITS = 10, 64, 4
 #: Text of the items that one pass over the documents takes, at most: so much is broadcast.
 ITEM_BYTES = 8 << 20
-_HASH = np.uint64(0x9E3779B97F4A7C15)
+_HASH, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BITS = 22
 
 
@@ -30,10 +30,9 @@ def fold(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-    return low.translate(_SPACES)
-
-
-_SPACES = {i: 32 for i in (9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029)}
+    for blank in "\t\n\x0b\x0c\r\x85\xa0\u2028\u2029":
+        low = low.replace(blank, " ")
+    return low
 
 
 def codes(text: str) -> np.ndarray:
@@ -41,17 +40,34 @@ def codes(text: str) -> np.ndarray:
 
 
 def grams(points: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of each q-gram."""
+    """A 64-bit hash of each q-gram, put together from those of powers of two."""
     n = len(points) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    wide = points.astype(np.uint64)
+    out, at, size = None, 0, 1
     with np.errstate(over="ignore"):
-        for i in range(q):
-            h = (h ^ wide[i : i + n]) * _HASH
-            h ^= h >> np.uint64(29)
-    return h
+        part = points.astype(np.uint64) * _MIX
+        part ^= part >> np.uint64(31)
+        while size <= q:
+            if q & size:
+                out = part[at : at + n].copy() if out is None else out * _power(size) + part[at : at + n]
+                at += size
+            if size * 2 <= q:
+                part = part[:-size] * _power(size) + part[size:]
+            size *= 2
+        out *= _MIX
+        return out ^ out >> np.uint64(32)
+
+
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(int(_HASH), k, 1 << 64))
+
+
+def needed(length: int, q: int, window: int, edits: int) -> tuple[int, int, int]:
+    """Window, edits and shared q-grams of an item: one shorter than a window is a window, with its share of the edits."""
+    m = min(window, length)
+    k = edits * m // window
+    return m, k, max(1, m - q + 1 - k * q)
 
 
 class Items:
@@ -68,6 +84,13 @@ class Items:
         self.h, self.item, self.place = h[order], item[order], place[order]
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self._need: dict[tuple, np.ndarray] = {}
+
+    def need(self, *sizes: int) -> np.ndarray:
+        """The shared q-grams that each item needs."""
+        if sizes not in self._need:
+            self._need[sizes] = np.array([needed(len(p), *sizes)[2] for p in self.points])
+        return self._need[sizes]
 
 
 @lru_cache(maxsize=4)
@@ -75,6 +98,14 @@ def prepared(items: tuple[tuple[int, str], ...], q: int) -> Items:
     return Items(list(items), q)
 
 
+def find_exact(pattern: np.ndarray, text: np.ndarray) -> int:
+    """Where pattern occurs in text without edits, or -1."""
+    raw, word, at = text.tobytes(), pattern.tobytes(), -1
+    while (at := raw.find(word, at + 1)) >= 0 and at % 4:
+        pass
+    return at // 4 if at >= 0 else -1
+
+
 def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, limit: int) -> tuple[int, int] | None:
     """Fewest edits and end of an occurrence of pattern in text along diagonals low to high, or None beyond limit.
 
@@ -117,7 +148,8 @@ def matches(text: str, items: Items, q: int = Q, window: int = WINDOW, edits: in
     entry = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
     item, place, pos = items.item[entry], items.place[entry], at[which]
     found: dict[int, list[tuple[int, int, int]]] = {}
-    for k in np.flatnonzero(np.bincount(item, minlength=len(items.ids))):
+    need = items.need(q, window, edits)
+    for k in np.flatnonzero(np.bincount(item, minlength=len(items.ids)) >= need):
         own = item == k
         hits = region(items.points[k], points, place[own], pos[own], q, window, edits)
         if hits:
@@ -126,13 +158,8 @@ def matches(text: str, items: Items, q: int = Q, window: int = WINDOW, edits: in
 
 
 def region(item: np.ndarray, points: np.ndarray, place: np.ndarray, pos: np.ndarray, q: int, window: int, edits: int) -> list[tuple[int, int, int]]:
-    """Stretches (start, end, fewest edits) of one document that align with a window of one item.
-
-    An item shorter than a window is a window itself, with its share of the edits.
-    """
-    m = min(window, len(item))
-    k = edits * m // window
-    need = max(1, m - q + 1 - k * q)
+    """Stretches (start, end, fewest edits) of one document that align with a window of one item."""
+    m, k, need = needed(len(item), q, window, edits)
     diagonal, step = pos - place, k + 1
     out: list[tuple[int, int, int]] = []
     bands = np.concatenate([diagonal // step, diagonal // step - 1])
@@ -153,7 +180,8 @@ def region(item: np.ndarray, points: np.ndarray, place: np.ndarray, pos: np.ndar
             # Along one band, occurrences of a window in the document lie at least one step of the band apart.
             start = max(0, int(w) + low - k)
             piece = points[start : int(w) + m + high + k]
-            got = align(item[w : w + m], piece, 0, len(piece) - m + k if len(piece) >= m else k, k)
+            same = find_exact(item[w : w + m], piece)
+            got = (0, same + m) if same >= 0 else align(item[w : w + m], piece, 0, len(piece) - m + k if len(piece) >= m else k, k)
             if got:
                 out.append((max(0, start + got[1] - m - got[0]), start + got[1], got[0]))
     out.sort()
