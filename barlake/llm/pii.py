@@ -80,9 +80,19 @@ _SPELLED = re.compile(r"\b(?:%s)(?:[\s,.-]+(?:%s|[0-9]+)){2,}\b" % (("|".join(so
 _PLUS = re.compile(r"\bplus\b[\s-]+(?=[0-9])", re.I)
 _AT_BRACKET = re.compile(rf"\s*[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]\s*", re.I)
 _DOT_BRACKET = re.compile(rf"\s*[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s*", re.I)
-#: A bare "at" counts only between a name and a domain that is itself spelled or written with dots.
-_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{AT_WORDS})\s+(?=[A-Za-z0-9-]+(?:\s*\.\s*|\s+(?:{DOT_WORDS})\s+)[A-Za-z0-9-]+)", re.I)
-_BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{DOT_WORDS})\s+(?=[A-Za-z0-9])", re.I)
+# Last labels that make a run of bare words with "dot" a domain.
+LAST_LABELS = "com|org|net|edu|gov|info|biz|io|co|dev|app|eu|de|fr|es|uk|us|ca|at|ch|it|nl|mx|ar"
+_LABEL, _DOT = "[A-Za-z0-9-]+", rf"\s+(?:{DOT_WORDS})\s+"
+#: Bare words count only as a whole address: prose has "at" and "dot" too.
+_BARE_ADDRESS = re.compile(rf"(?:[A-Za-z0-9_%+-]+{_DOT})?[A-Za-z0-9._%+-]+(?:\s+(?:{AT_WORDS})\s+|@)(?:{_LABEL}(?:{_DOT}|\.))+(?:{LAST_LABELS})\b", re.I)
+_BARE_IP = re.compile(rf"\b[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}\b", re.I)
+_BARE_DOT, _BARE_AT = re.compile(_DOT, re.I), re.compile(rf"\s+(?:{AT_WORDS})\s+", re.I)
+
+
+def _joined(m: re.Match) -> str:
+    """The address of bare words; one with a plain domain after a bare "at" is left as it is."""
+    dots = _BARE_DOT.search(m[0])
+    return _BARE_AT.sub("@", _BARE_DOT.sub(".", m[0])) if dots else m[0]
 
 
 class Aligned:
@@ -150,9 +160,8 @@ def disguised(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
         part.rewrite(_PLUS, lambda m: "+")
         part.rewrite(_AT_BRACKET, lambda m: "@")
         part.rewrite(_DOT_BRACKET, lambda m: ".")
-        part.rewrite(_BARE_AT, lambda m: "@")
-        if "@" in part.text or re.search(r"[0-9]", part.text):
-            part.rewrite(_BARE_DOT, lambda m: ".")
+        part.rewrite(_BARE_ADDRESS, _joined)
+        part.rewrite(_BARE_IP, _joined)
         for s, e, kind in find(part.text):
             s, e = a + part.start[s], a + part.end[e - 1]
             if not any(k == kind and x < e and s < y for x, y, k in base):

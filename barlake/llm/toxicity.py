@@ -15,9 +15,9 @@ MAX_LABELLED = 20_000
 #: Entries of the lexicon, at most.
 MAX_LEXICON = 20_000
 #: Evidence that an entry needs, as a lower bound of its log odds.
-MIN_WEIGHT = 1.0
+MIN_WEIGHT = 1.5
 #: Log odds of a document in which nothing matches.
-BIAS = -3.0
+BIAS = -4.5
 
 # Closed-class words of the grammar in the languages served.
 NEGATION = frozenset("not never no nobody isn aren wasn don nicht kein keine nie nunca jamás jamais pas aucun".split())
@@ -28,7 +28,8 @@ THREAT = frozenset("kill hurt destroy beat burn shoot stab töten verletzen tuer
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 _WORD = re.compile(r"[^\W\d_]+")
-PREFIX = 5
+#: Lengths of the beginnings of longer words that are weighed beside whole words.
+PREFIXES = (4, 5)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,7 +46,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     sample = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = sample.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-    stems = F.array_distinct(F.transform(F.filter("words", lambda w: F.length(w) > PREFIX), lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("*"))))
+    stem = lambda n: F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+    stems = F.array_distinct(F.flatten(F.array(*map(stem, PREFIXES))))
     seen = id_text(docs).join(F.broadcast(sample), "doc_id").select("y", words.alias("words")).select("y", F.explode(F.concat(F.array(F.lit("")), "words", stems)).alias("w"))
     counts = seen.groupBy("w").agg(F.sum("y").cast("double").alias("t"), F.sum(1 - F.col("y")).cast("double").alias("c"))
     total = counts.where("w = ''").first()
@@ -71,7 +73,7 @@ class Grammar:
         if w is None:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            w = self.memo[word] = max(self.words.get(word, 0.0), self.stems.get(word[:PREFIX], 0.0) if len(word) > PREFIX else 0.0)
+            w = self.memo[word] = max(self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in PREFIXES if len(word) > n), 0.0)
         return w
 
     def clause(self, tokens: list[str]) -> float:
