@@ -33,11 +33,11 @@ SHARE, STEP = 24 << 20, 3 << 20
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the gram bytes from each place on; gram is 8 at least."""
+def gram_hashes(buf: np.ndarray, gram: int, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the gram bytes from each place on; gram is 8 at least. Salts give independent hashes."""
     n = len(buf) - gram + 1
     words = np.ndarray((len(buf) - 7,), np.uint64, buffer=np.ascontiguousarray(buf), strides=(1,))
-    h = np.zeros(n, np.uint64)
+    h = np.full(n, salt, np.uint64)
     with np.errstate(over="ignore"):
         for k, at in enumerate([*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]):
             h += words[at : at + n]
@@ -276,25 +276,52 @@ def _runs_of(threshold: int, gram: int) -> Callable:
     return positions
 
 
+def _shares(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive documents of STEP bytes together."""
+    i = size = 0
+    for j, n in enumerate(sizes):
+        size += n
+        if size > STEP or j == len(sizes) - 1:
+            yield i, j + 1
+            i, size = j + 1, 0
+
+
+def _told(blobs: list[bytes | None], which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document numbers and ordinals of the entries with one flag."""
+    parts = [(k, *unsqueeze(b)) for k, b in enumerate(blobs) if b]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    doc = np.repeat(np.array([k for k, _, _ in parts]), [len(o) for _, o, _ in parts])
+    ordinal, flag = np.concatenate([o for _, o, _ in parts]).astype(np.int64), np.concatenate([f for _, _, f in parts])
+    return doc[flag == which], ordinal[flag == which]
+
+
+def _spans(texts: list[bytes], doc: np.ndarray, ordinal: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window, as offsets into the joined texts, of the runs with these documents and ordinals."""
+    of, first, last, _, _ = runs(texts, threshold, gram)
+    row = np.searchsorted(of, np.arange(len(texts)))[doc] + ordinal
+    return first[row], last[row]
+
+
 def _windows_of(threshold: int, gram: int) -> Callable:
-    """Single windows of the runs that differ, as positions: names from 128 bits, offsets as ordinals."""
+    """Single windows of the runs that differ, as positions: names from two hashes, offsets as ordinals."""
     import zstandard
-    from xxhash import xxh3_128_intdigest
 
     def positions(batch: pa.RecordBatch) -> Iterator[tuple]:
         unpack = zstandard.ZstdDecompressor()
         ids, tags = np.array(batch.column(0).to_numpy()), np.array(batch.column(1).to_numpy()).astype(np.uint64)
-        for k, (packed, told) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            text = unpack.decompress(packed.as_py())
-            ordinal, flag = unsqueeze(told.as_py())
-            _, first, last, _, _ = runs([text], threshold, gram)
-            o = ordinal[flag == DIFFERS].astype(np.int64)
-            starts = np.concatenate([np.arange(first[i], last[i] + 1) for i in o] + [np.empty(0, np.int64)])
-            view = memoryview(text)
-            names = [xxh3_128_intdigest(view[a : a + threshold]) for a in starts.tolist()]
-            high = np.fromiter((x >> 64 for x in names), np.uint64, len(names))
-            low = np.fromiter((x & 0xFFFFFFFFFFFF for x in names), np.uint64, len(names))
-            yield ids[k : k + 1], tags[k : k + 1], np.zeros(len(names), np.int64), high, low, starts.astype(np.uint64), len(names) * 16
+        texts, told = [unpack.decompress(x.as_py()) for x in batch.column(2)], batch.column(3).to_pylist()
+        for i, j in _shares([len(t) for t in texts]):
+            doc, ordinal = _told(told[i:j], DIFFERS)
+            first, last = _spans(texts[i:j], doc, ordinal, threshold, gram)
+            n = last - first + 1
+            starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            doc = np.repeat(doc, n)
+            base = np.cumsum([0, *(len(t) for t in texts[i:j])])
+            buf = np.frombuffer(b"".join(texts[i:j]), np.uint8)
+            if len(starts):
+                names, low = gram_hashes(buf, threshold)[starts], gram_hashes(buf, threshold, 0x5851F42D4C957F2D)[starts] >> np.uint64(16)
+                yield ids[i:j], tags[i:j], doc.astype(np.int64), names, low, (starts - base[doc]).astype(np.uint64), len(starts) * 16
 
     return positions
 
@@ -370,39 +397,41 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _cut(threshold: int, gram: int) -> Callable:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("kept", pa.binary())])
 
+    def cut(doc_ids: list, texts: list[bytes], told: list, windows: list) -> pa.RecordBatch:
+        base = np.cumsum([0, *(len(t) for t in texts)])
+        edge = np.zeros(base[-1] + 1, np.int32)
+        hit = [k for k, t in enumerate(told) if t]
+        doc, ordinal = _told([told[k] for k in hit], COVERED)
+        if len(doc):
+            moved = (base[hit] - np.cumsum([0, *(len(texts[k]) for k in hit)])[:-1])[doc]
+            first, last = _spans([texts[k] for k in hit], doc, ordinal, threshold, gram)
+            np.add.at(edge, first + moved, 1)
+            np.add.at(edge, last + moved + threshold, -1)
+        for k, w in enumerate(windows):
+            if w:
+                at = unsqueeze(w)[0].astype(np.int64) + base[k]
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + threshold, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        out = []
+        for k, text in enumerate(texts):
+            own = gone[base[k] : base[k + 1]]
+            if own.any():
+                step = np.diff(own.astype(np.int8), prepend=0, append=0)
+                out.append((doc_ids[k], len(text), np.flatnonzero(step == 1), np.flatnonzero(step == -1), np.frombuffer(text, np.uint8)[~own].tobytes()))
+            else:
+                out.append((doc_ids[k], len(text), [], [], text))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for doc_id, packed, told, windows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                text = unpack.decompress(packed)
-                starts = ends = np.empty(0, np.int64)
-                if told or windows:
-                    edge = np.zeros(len(text) + 1, np.int32)
-                    if told:
-                        _, first, last, _, _ = runs([text], threshold, gram)
-                        ordinal, flag = unsqueeze(told)
-                        o = ordinal[flag == COVERED].astype(np.int64)
-                        np.add.at(edge, first[o], 1)
-                        np.add.at(edge, last[o] + threshold, -1)
-                    if windows:
-                        at = unsqueeze(windows)[0].astype(np.int64)
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + threshold, -1)
-                    gone = np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8)
-                    step = np.diff(gone)
-                    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-                    kept = np.frombuffer(text, np.uint8)[gone[1:-1] == 0].tobytes()
-                else:
-                    kept = text
-                out.append((doc_id, len(text), starts, ends, kept))
-                if len(out) == 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            doc_ids, packed, told, windows = (batch.column(i).to_pylist() for i in range(4))
+            texts = [unpack.decompress(x) for x in packed]
+            for i, j in _shares([len(t) for t in texts]):
+                yield cut(doc_ids[i:j], texts[i:j], told[i:j], windows[i:j])
 
     return run
 
