@@ -43,7 +43,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Word-end BPE of one tokenizer file: lower case, NFC, white space dropped, byte letters."""
 
-    def __init__(self, path: str, cache_size: int = 600_000):
+    def __init__(self, path: str, cache_size: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -61,7 +61,7 @@ class WordBpe:
         self.letters = byte_letters()
         self.left: dict[int, list[tuple[int, int]]] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(END) and self._whole(i)}
         self.final = {t[: -len(END)]: i for t, i in self.vocab.items() if t.endswith(END) and self._whole(i)}
         self.longest = max(map(len, self.vocab))
@@ -102,10 +102,10 @@ class WordBpe:
         return self._whole(x) and self._whole(y) and not self._clash(x, y, r)
 
     def stays_apart(self, a: int, b: int) -> bool:
-        key = (a, b)
+        key = a << 20 | b
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > 500_000:
                 self.apart.clear()
             known = self.apart[key] = not self._clash(a, b, _NEVER)
         return known
@@ -128,7 +128,7 @@ class WordBpe:
                     t = inner.get(word[j:d])
                     if t is not None:
                         if j:
-                            ok = apart.get((last[j], t))
+                            ok = apart.get(last[j] << 20 | t)
                             if not (seam(last[j], t) if ok is None else ok):
                                 continue
                         last.append(t)
