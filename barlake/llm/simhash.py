@@ -70,22 +70,18 @@ def fingerprint(text: str) -> int:
     """Bits that over half of the shingles' hashes have set."""
     from xxhash import xxh64_intdigest
 
-    words = text.translate(_LOWER).split(" ")
-    words = [w for w in words if w]
+    # On bytes, lower() changes A-Z alone and split() divides at the six blanks alone.
+    words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    shingles = [" ".join(x) for x in zip(*(words[i:] for i in range(SHINGLE)), strict=False)] or [" ".join(words)]
-    hashes = np.fromiter((xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42) for s in shingles), np.uint64, len(shingles))
+    shingles = [b" ".join(x) for x in zip(*(words[i:] for i in range(SHINGLE)), strict=False)] or [b" ".join(words)]
+    hashes = np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-#: A-Z to lower case and every blank to a space.
-_LOWER = {i: i + 32 for i in range(65, 91)} | {i: 32 for i in range(9, 14)}
-
-
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each row."""
 
