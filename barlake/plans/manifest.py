@@ -135,7 +135,7 @@ class Manifest:
             raise FeatureError("columns differ from the manifest in name or order")
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), indent=1)
+        return json.dumps(asdict(self))
 
     @classmethod
     def from_json(cls, text: str) -> Manifest:

@@ -78,12 +78,12 @@ def write_features(matrix: DataFrame, made: Manifest, root: str) -> str:
     path = f"{root}/fs_version={made.version}"
     out = matrix.withColumns({"year": F.date_format("close_time", "yyyy"), "month": F.date_format("close_time", "MM")})
     out.repartition("symbol", "year", "month").sortWithinPartitions("close_time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol", "year", "month").parquet(path)
-    matrix.sparkSession.createDataFrame([(made.to_json(),)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\x00").text(f"{root}/_manifests/{made.version}")
+    matrix.sparkSession.createDataFrame([(made.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_manifests/{made.version}")
     return path
 
 
 def read_manifest(spark: SparkSession, root: str, version: str) -> Manifest:
-    return Manifest.from_json(spark.read.option("wholetext", True).text(f"{root}/_manifests/{version}").first().value.rstrip("\x00"))
+    return Manifest.from_json(spark.read.text(f"{root}/_manifests/{version}").first().value)
 
 
 def read_features(spark: SparkSession, root: str, version: str, symbol: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -97,5 +97,6 @@ def read_features(spark: SparkSession, root: str, version: str, symbol: str, sta
 
 
 def list_feature_sets(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(f"{root}/_manifests").select(F.get_json_object("value", "$.version").alias("fs_version"), F.get_json_object("value", "$.symbol").alias("symbol"), F.size(F.from_json(F.get_json_object("value", "$.columns"), "array<string>")).alias("n_features"))
-    return files
+    """fs_version, symbol and number of features of each manifest."""
+    part = lambda k: F.get_json_object("value", f"$.{k}")
+    return spark.read.option("recursiveFileLookup", True).text(f"{root}/_manifests").select(part("version").alias("fs_version"), part("symbol").alias("symbol"), F.json_array_length(part("columns")).alias("n_features"))

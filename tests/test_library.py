@@ -128,7 +128,7 @@ def test_zone_tracker_mirrors(spark):
         o, p = p, p + rng.gauss(0, 1.5)
         h, lo = max(o, p) + rng.random(), min(o, p) - rng.random()
         a, b = dict(zip(COLUMNS, up.step((o, h, lo, p), 1.0), strict=True)), dict(zip(COLUMNS, down.step((-o, -lo, -h, -p), 1.0), strict=True))
-        assert all(a[k] == pytest.approx(b[k.replace("bull", "x").replace("bear", "bull").replace("x", "bear")]) for k in a)
+        assert all(a[k] == pytest.approx(b[k.replace("bull", "#").replace("bear", "bull").replace("#", "bear")]) for k in a)
 
 
 def test_cleaning_and_gate(spark):
@@ -184,6 +184,7 @@ def test_engine_writes_and_reads_back(spark, tmp_path):
     root = f"file://{tmp_path}/features"
     stores.write_features(matrix, made, root)
     assert stores.read_features(spark, root, made.version, "ALL").count() == matrix.count()
+    assert stores.list_feature_sets(spark, root).first().n_features == len(made.names)
     assert json.loads(stores.read_manifest(spark, root, made.version).to_json())["version"] == made.version
 
 
