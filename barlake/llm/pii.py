@@ -6,12 +6,13 @@ import re
 
 from pyspark.sql import DataFrame
 
-from barlake.llm.common import id_text, map_rows, span_list
+from barlake.llm.common import Covered, id_text, map_rows, span_list
 
 KINDS = {"email": 0, "ip": 1, "card": 2, "phone": 3}
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The lookbehind changes no match, as a match takes digits to the end of their run; it spares long runs a try at each digit.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -46,7 +47,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if not re.search("[0-9]", text):
         return out
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -78,13 +79,14 @@ _ODD = re.compile("[" + "".join(map(re.escape, map(chr, HOMOGLYPHS))) + INVISIBL
 _DOTTED = re.compile(rf"\b(?:{DOT_WORDS})\b|[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]|[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]", re.I)
 _SPELLED = re.compile(r"\b(?:%s)(?:[\s,.-]+(?:%s|[0-9]+)){2,}\b" % (("|".join(sorted(DIGIT_WORDS, key=len, reverse=True)),) * 2), re.I)
 _PLUS = re.compile(r"\bplus\b[\s-]+(?=[0-9])", re.I)
-_AT_BRACKET = re.compile(rf"\s*[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]\s*", re.I)
-_DOT_BRACKET = re.compile(rf"\s*[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s*", re.I)
+# The lookbehinds here and below let a long run be tried once, from its beginning, not from each of its characters.
+_AT_BRACKET = re.compile(rf"(?<!\s)\s*[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]\s*", re.I)
+_DOT_BRACKET = re.compile(rf"(?<!\s)\s*[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s*", re.I)
 # Last labels that make a run of bare words with "dot" a domain.
 LAST_LABELS = "com|org|net|edu|gov|info|biz|io|co|dev|app|eu|de|fr|es|uk|us|ca|at|ch|it|nl|mx|ar"
 _LABEL, _DOT = "[A-Za-z0-9-]+", rf"\s+(?:{DOT_WORDS})\s+"
 #: Bare words count only as a whole address: prose has "at" and "dot" too.
-_BARE_ADDRESS = re.compile(rf"(?:[A-Za-z0-9_%+-]+{_DOT})?[A-Za-z0-9._%+-]+(?:\s+(?:{AT_WORDS})\s+|@)(?:{_LABEL}(?:{_DOT}|\.))+(?:{LAST_LABELS})\b", re.I)
+_BARE_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]+{_DOT})?[A-Za-z0-9._%+-]+(?:\s+(?:{AT_WORDS})\s+|@)(?:{_LABEL}(?:{_DOT}|\.))+(?:{LAST_LABELS})\b", re.I)
 _BARE_IP = re.compile(rf"\b[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}\b", re.I)
 _BARE_DOT, _BARE_AT = re.compile(_DOT, re.I), re.compile(rf"\s+(?:{AT_WORDS})\s+", re.I)
 
@@ -152,7 +154,7 @@ def disguised(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
             windows[-1][1] = max(windows[-1][1], b)
         else:
             windows.append([a, b])
-    out = []
+    out, known = [], {k: Covered((s, e) for s, e, kind in base if kind == k) for k in KINDS}
     for a, b in windows:
         part = Aligned(text[a:b])
         part.rewrite(_ODD, _plain)
@@ -164,7 +166,7 @@ def disguised(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
         part.rewrite(_BARE_IP, _joined)
         for s, e, kind in find(part.text):
             s, e = a + part.start[s], a + part.end[e - 1]
-            if not any(k == kind and x < e and s < y for x, y, k in base):
+            if not known[kind].meets(s, e):
                 out.append((s, e, kind))
     return out
 

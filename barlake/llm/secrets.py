@@ -9,7 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barlake.llm.common import id_text, map_rows, span_list
+from barlake.llm.common import Covered, id_text, map_rows, span_list
 
 KINDS = {"assign": 0, "access": 1, "hex": 2, "token": 3}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -25,6 +25,8 @@ KNOWN = re.compile(
     r"""|[A-Za-z]+(?:[_/-][A-Za-z]+)*[_/-]?[0-9]{1,4}""",  # snake_case_2, path/part3
     re.A,
 )
+#: The name of a digest with a colon, right before a candidate.
+LABELLED = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5)\s?:\s?$", re.I)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -62,12 +64,12 @@ def _hex_runs(text: str):
 
 def token_spans(text: str, enc, max_ratio: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates of at most max_ratio characters a token which no base span overlaps."""
-    out = []
+    out, base = [], Covered((s, e) for s, e, _ in taken)
     for m in CANDIDATE.finditer(text):
         s = m[0]
         if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or KNOWN.fullmatch(s):
             continue
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
+        if base.meets(*m.span()) or LABELLED.search(text, max(0, m.start() - 10), m.start()):
             continue
         if len(s) <= max_ratio * len(enc.encode_ordinary(s)):
             out.append((m.start(), m.end(), "token"))

@@ -159,6 +159,27 @@ def test_personal_data(small):
         assert pii.find(clean) + pii.disguised(clean, []) == []
 
 
+def test_personal_data_in_long_runs():
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for t in ("1.2.3.4.5.6.7.8", "12.3.4.5.6 x1.2.3.4", "1" * 50 + ".2.3.4", "1..2.3.4.5"):
+        assert [m.span() for m in plain.finditer(t)] == [m.span() for m in pii.IP.finditer(t)]
+    assert pii.find("0" * 6000 + "1.0.0.1") == [(0, 6007, "ip")]
+    for t in ("ｏ" * 100_000, "\xa0" * 100_000, "one two " * 20_000, "7" * 200_000, " (at) a (dot) b" * 5_000):
+        pii.disguised(t, pii.find(t))
+
+
+def test_secrets_leave_labelled_digests():
+    enc = secrets.encoding(secrets.vocabulary())
+    assert secrets.token_spans("SHA256: ABCDEF0123456789ABCDEF99887766AA", enc, 2.4, []) == []
+    assert secrets.token_spans("key: ABCDEF0123456789ABCDEF99887766AA", enc, 2.4, [(0, 3, "assign")]) != []
+    secrets.token_spans("a" * 200_000 + "1", enc, 2.4, [])
+
+
+def test_covered():
+    c = common.Covered([(5, 8), (1, 3), (2, 4)])
+    assert [c.meets(*x) for x in ((0, 1), (0, 2), (3, 5), (4, 5), (7, 9), (8, 9))] == [False, True, True, False, True, False]
+
+
 def test_quality_keeps_one_of_a_group_and_clean_documents(spark):
     body = [" ".join(f"w{k}x{j}" for j in range(8)) for k in range(6)]
     rows = [(i, "\n".join([*body, f"tail {i}"]), "s") for i in range(30)] + [(100 + i, f"words of document {i} that are not anywhere else at all, number {i}\nAll rights reserved.", "s") for i in range(30)]
