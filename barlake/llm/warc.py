@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm.common import map_rows, shared_dir
+from barlake.llm.common import map_rows, materialise, shared_dir
 
 #: Skippable frames: of the dictionary, as the Zstandard WARC format has it, and the empty one between rows.
 DICTIONARY_MAGIC = 0x184D2A5D
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
 #: Equal payloads from so many bytes on are stored once.
 MIN_PAYLOAD = 1000
+#: Payload bytes of one archive, about.
+ARCHIVE_BYTES = 256 << 20
 #: Bounds of what a task holds back to train its dictionary on, and of the dictionary.
 SAMPLE_BYTES, SAMPLE_RECORDS, DICTIONARY_BYTES = 4 << 20, 2000, 64 << 10
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -151,21 +153,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return map_rows(files, rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
-def archive(pages: DataFrame, path: str | None = None, min_payload: int = MIN_PAYLOAD) -> str:
+def archive(pages: DataFrame, path: str | None = None, min_payload: int = MIN_PAYLOAD, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write pages (page_id, url, html) as archives and return their folder.
 
     Of pages with equal payloads of min_payload bytes or more, that with the largest page_id is the response and the
     others are revisits of it; rows that repeat this page are responses too. Null html is an empty payload, a null url
     an empty target. An empty table gives archives without records. Other columns are not looked at.
+
+    A reader takes an archive whole, so where the session's shuffle partitions are too few to keep archives at about
+    archive_bytes of payloads, more are made.
     """
     path = path or shared_dir(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
-    keys = rows.where(F.octet_length("html") >= min_payload).select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"))
-    first = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = keys.join(first, "digest").where(F.col("page_id") < F.col("refers_to")).select("page_id", "digest", "refers_to").dropDuplicates(["page_id", "digest"])
-    out = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).join(revisits, ["page_id", "digest"], "left")
-    write(out, path)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
+    keys = materialise(rows.select("page_id", F.octet_length("html").cast("long").alias("size"), "digest"), "warc-keys")
+    large = keys.where(F.col("size") >= min_payload)
+    first = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = large.join(first, "digest").where(F.col("page_id") < F.col("refers_to")).select("page_id", "digest", "refers_to").dropDuplicates(["page_id", "digest"])
+    files = -(-(keys.agg(F.sum("size")).first()[0] or 0) // archive_bytes)
+    if files > int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows, revisits = (x.repartition(files, "page_id", "digest") for x in (rows, revisits))
+    write(rows.join(revisits, ["page_id", "digest"], "left"), path)
     return path
 
 

@@ -200,6 +200,9 @@ def test_warc_round_trip(spark):
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 59) if revisit else ("response", None))
         assert revisit or got[i].html == (h or "")
     assert warc.read(spark, warc.archive(pages.limit(0))).count() == 0
+    more = warc.archive(pages, archive_bytes=2000)
+    assert spark.read.format("binaryFile").load(more).count() > 10
+    assert {r.page_id: r for r in warc.read(spark, more).collect()} == got
 
 
 def test_anchors_cover_all_near_pairs():
