@@ -26,6 +26,9 @@ _CHUNKS = regex.compile(r"[^\s]+")
 #: Characters at which str.split divides and the tokenizer's white space does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _NEVER = 1 << 60
+#: Longer texts are cut at spaces or line feeds after so many characters: no token reaches across white space.
+BLOCK = 1 << 20
+_CUT = re.compile("[ \n]")
 
 
 def byte_letters() -> list[str]:
@@ -40,6 +43,15 @@ def byte_letters() -> list[str]:
     return out
 
 
+def blocks(text: str) -> list[str]:
+    """The text in pieces of some BLOCK characters, each but the first beginning with a space or line feed."""
+    out, at = [], 0
+    while found := _CUT.search(text, at + BLOCK):
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
 class WordBpe:
     """Word-end BPE of one tokenizer file: lower case, NFC, white space dropped, byte letters."""
 
@@ -172,7 +184,9 @@ class WordBpe:
         """For each text its ids as little-endian unsigned 32-bit integers, and the tokens joined by spaces."""
         parts = []
         for text in texts:
-            if self.split_special and "<|" in text:
+            if len(text) > BLOCK and len(pieces := blocks(text)) > 1:
+                parts.append([b"".join([self.encode_batch([p])[0][0] for p in pieces])])
+            elif self.split_special and "<|" in text:
                 parts.append([p if k % 2 else self.chunks(p) for k, p in enumerate(self.split_special.split(text))])
             else:
                 parts.append([self.chunks(text)])
@@ -181,7 +195,7 @@ class WordBpe:
         self.learn({c for ps in parts for p in ps if isinstance(p, list) for c in p}.difference(self.cache))
         cache, out = self.cache, []
         for ps in parts:
-            ids = b"".join([array("I", [self.special[p]]).tobytes() if isinstance(p, str) else b"".join([cache[c] for c in p]) for p in ps])
+            ids = ps[0] if isinstance(ps[0], bytes) else b"".join([array("I", [self.special[p]]).tobytes() if isinstance(p, str) else b"".join([cache[c] for c in p]) for p in ps])
             out.append((ids, self.decode(ids)))
         return out
 

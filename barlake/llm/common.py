@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = " \t\n\x0b\x0c\r"
+#: Bytes of the rows that a Python function gets at once.
+SLICE = 4 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -45,8 +47,22 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def halves(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch's rows, in order, in slices of limit bytes at most; a longer row is a slice of its own."""
+    if batch.num_rows < 2 or batch.nbytes <= limit:
+        yield batch
+        return
+    middle = batch.num_rows // 2
+    yield from halves(batch.slice(0, middle), limit)
+    yield from halves(batch.slice(middle), limit)
+
+
 def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow with a function that turns one batch into a dict of columns. The schema is a DDL string."""
+    """mapInArrow with a function that turns a batch of some SLICE bytes into a dict of columns.
+
+    The schema is a DDL string. Spark's batches hold up to 10,000 rows, whatever their length; slices keep the Python
+    objects of one call small.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -54,8 +70,8 @@ def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cols = rows(batch)
+            for part in halves(batch, SLICE) if batch.num_rows else ():
+                cols = rows(part)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)

@@ -257,6 +257,24 @@ def test_bpe_equals_the_library(spark, small):
         assert np.frombuffer(ids, "<u4").tolist() == want and decoded == lib.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_long_texts_in_blocks(small, monkeypatch):
+    texts = [" ".join(t for _, t in small), "x" * 30_000, "a <|endoftext|>\n" * 3_000, "\u0308 " * 9_000]
+    coder = bpe.WordBpe(bpe.vocabulary())
+    whole = coder.encode_batch(texts)
+    monkeypatch.setattr(bpe, "BLOCK", 1_000)
+    assert all("".join(bpe.blocks(t)) == t for t in texts) and len(bpe.blocks(texts[2])) > 40
+    assert coder.encode_batch(texts) == whole
+
+
+def test_slices_keep_rows_in_order():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(50)), "t": ["x" * (n % 7) * 100 for n in range(50)]})
+    parts = list(common.halves(batch, 1_000))
+    assert len(parts) > 5 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert len(list(common.halves(batch.slice(0, 0), 1))) == 1
+
+
 def test_toxicity_on_held_out_documents(spark):
     rows = {r.doc_id: r for r in entries.op10_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
