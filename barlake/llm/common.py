@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BLANK = " \t\n\x0b\x0c\r"
 #: Bytes of the rows that a Python function gets at once.
 SLICE = 4 << 20
+#: Column of the row numbers that keyed() gives.
+ROW = "__row"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -42,6 +44,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def keyed(df: DataFrame, name: str, key: str = ROW) -> DataFrame:
+    """df, written once, with a number for each row in column key: rows without an id and equal rows can be told apart.
+
+    The numbers are unique and stay as written; no rows are brought together to number them.
+    """
+    return materialise(df.withColumn(key, F.monotonically_increasing_id()), name)
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id, as long, and the text, null as empty: extra columns of any name stay behind."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlake.llm.common import ROW, keyed
+
 BLANKS = r"[ \t\n\x0B\f\r]+"
 SYMBOLS = "#*$%&|<>"
 #: A line of more than so many different texts of one host is boilerplate.
@@ -83,6 +85,31 @@ def assess(df: DataFrame, host_col: str = "source", max_texts: int = MAX_TEXTS,
     return joined.withColumn("base_failed", failed).withColumn("kept", kept)
 
 
+def cleaned(df: DataFrame, host_col: str = "source", max_texts: int = MAX_TEXTS, min_kept: float = MIN_KEPT, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows of df that the rules keep, all columns, their text without the common lines; chars_col as the text now is.
+
+    Rules and common lines are those of assess(), but rows count, not ids: the first document of a line is the row with
+    the smallest id, null ids last, of equal ids any one. Lines keep their order; a row without common lines stays as it
+    is. An empty table gives no rows.
+    """
+    rows = keyed(df, "quality-rows")
+    docs = rows.select(ROW, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(ROW).alias("row")).alias("rank"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("\x00")).alias("host"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+    of_lines = docs.select("host", "rank", F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("k"))
+    common = of_lines.groupBy("host", "k").agg(F.countDistinct("t").alias("texts"), F.min("rank").alias("first")).where(F.col("texts") > max_texts)
+    each = docs.select("host", ROW, F.explode(F.transform(lines, lambda x: F.struct(line_key(x).alias("k"), F.size(words_of(x)).alias("n")))).alias("x")).select("host", ROW, "x.k", "x.n")
+    gone = each.join(common.select("host", "k", F.col("first.row").alias("first_row")), ["host", "k"]).where(F.col(ROW) != F.col("first_row"))
+    gone = gone.groupBy(ROW).agg(F.sum("n").alias("__gone"), F.collect_set("k").alias("__keys"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    passes = lambda w: (F.size(w) >= 10) & (100 * repeated_words(w) <= 20 * F.size(w)) & (F.size(w) - F.coalesce("__gone", F.lit(0)) >= F.lit(min_kept) * F.size(w))
+    kept = rows.join(gone, ROW, "left").where(let(words_of(text), passes))
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__keys", line_key(x))), "\n")
+    out = kept.withColumn(text_col, F.when(F.col("__keys").isNull(), F.col(text_col)).otherwise(rest))
+    if chars_col:
+        out = out.withColumn(chars_col, F.when(F.col("__keys").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(df.schema[chars_col].dataType)))
+    return out.select(df.columns)
+
+
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS host,

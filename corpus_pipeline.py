@@ -17,8 +17,8 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return only(docs, quality.assess(docs).where("kept"))
+    """Rows that the quality rules keep, without the lines that are common in their source; n_chars as the text now is."""
+    return quality.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

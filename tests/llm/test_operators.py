@@ -313,3 +313,16 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
     assert [stage(spark, docs.limit(0), SMALL).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_quality_stage_removes_common_lines(spark):
+    tail = "All rights  reserved."
+    rows = [(i, f"words of document {i} that are not anywhere else at all, number {i}\n\n{tail}\nend {i}", "en", "s", 7) for i in range(30)]
+    rows += [(None, rows[3][1] + " null", "en", "s", 7), (40, f"{rows[4][1]} elsewhere", "en", None, 7), (5, *rows[5][1:]), (41, "short", "en", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(corpus_pipeline.quality_rules(spark, docs, "").collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    assert len(got) == 33
+    assert [r.doc_id for r in got if tail in r.text] == [0, 40]
+    for r in got:
+        assert r.text.startswith("words of document") and "at all" in r.text and f"\n\n{tail}\n" in r.text if tail in r.text else "\n\nend" in r.text
+        assert r.n_chars == (7 if tail in r.text else len(r.text))
