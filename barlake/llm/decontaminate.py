@@ -2,7 +2,8 @@
 
 A window of m characters of an item that occurs in a document with at most k edits shares m - q + 1 - k q of its q-grams
 with it, on diagonals at most k apart. Shared q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half,
-so that the diagonals of any such occurrence lie in one band. Stretches of a band that reach the count are aligned.
+so that the diagonals of any such occurrence lie in one band. Windows begin at every character of the item; those that
+reach the count in a band are aligned, all at once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from barlake.llm.common import id_text
 
 #: Production parameters: q-gram length, window of an item, edits allowed in a window.
 Q, WINDOW, EDITS = 10, 64, 4
+#: Windows of an item that are aligned at once.
+WINDOWS = 4096
 #: Text of the items that one pass over the documents takes, at most: so much is broadcast.
 ITEM_BYTES = 8 << 20
 _HASH, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -98,14 +101,6 @@ def prepared(items: tuple[tuple[int, str], ...], q: int) -> Items:
     return Items(list(items), q)
 
 
-def find_exact(pattern: np.ndarray, text: np.ndarray) -> int:
-    """Where pattern occurs in text without edits, or -1."""
-    raw, word, at = text.tobytes(), pattern.tobytes(), -1
-    while (at := raw.find(word, at + 1)) >= 0 and at % 4:
-        pass
-    return at // 4 if at >= 0 else -1
-
-
 def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, limit: int) -> tuple[int, int] | None:
     """Fewest edits and end of an occurrence of pattern in text along diagonals low to high, or None beyond limit.
 
@@ -132,6 +127,27 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, limit: int
     return (int(cost[d]), len(pattern) + low + d) if cost[d] <= limit else None
 
 
+def align_windows(item: np.ndarray, windows: np.ndarray, m: int, text: np.ndarray, low: int, high: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """align() of all windows (their starts) of m characters at once: fewest edits, above limit if there are more, and ends.
+
+    The diagonals low to high are text place less item place.
+    """
+    width, n, big = high - low + 1, len(text), limit + 1
+    steps = np.arange(width)
+    at = windows[:, None] + low + steps
+    cost = np.where((at >= 0) & (at <= n), 0, big)
+    for row in range(m):
+        inside = (at >= 0) & (at < n)
+        same = inside & (text[np.clip(at, 0, n - 1)] == item[windows + row][:, None])
+        best = np.where(inside, cost + ~same, big)
+        best[:, :-1] = np.minimum(best[:, :-1], cost[:, 1:] + 1)
+        at = at + 1
+        best = np.where((at >= 0) & (at <= n), best, big)
+        cost = np.minimum(np.minimum.accumulate(best - steps, axis=1) + steps, big)
+    d = cost.argmin(axis=1)
+    return cost[np.arange(len(windows)), d], windows + m + low + d
+
+
 def matches(text: str, items: Items, q: int = Q, window: int = WINDOW, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
     """(item number, start, end, edits of the first window) for each item that occurs in text."""
     points = codes(fold(text))
@@ -158,7 +174,7 @@ def matches(text: str, items: Items, q: int = Q, window: int = WINDOW, edits: in
 
 
 def region(item: np.ndarray, points: np.ndarray, place: np.ndarray, pos: np.ndarray, q: int, window: int, edits: int) -> list[tuple[int, int, int]]:
-    """Stretches (start, end, fewest edits) of one document that align with a window of one item."""
+    """Stretches (start, end, edits of the first window) of one document that align with windows of one item."""
     m, k, need = needed(len(item), q, window, edits)
     diagonal, step = pos - place, k + 1
     out: list[tuple[int, int, int]] = []
@@ -171,24 +187,23 @@ def region(item: np.ndarray, points: np.ndarray, place: np.ndarray, pos: np.ndar
         if b - a < need:
             continue
         low, high = int(bands[a]) * step, int(bands[a]) * step + 2 * step - 1
-        windows = np.unique(np.concatenate([np.arange(0, max(1, len(item) - m + 1), max(1, m // 2)), [len(item) - m]]))
-        p, t = place[a:b], pos[a:b]
-        for w in windows:
-            inside = (p >= w) & (p <= w + m - q)
-            if inside.sum() < need or len(np.unique(p[inside])) < need:
-                continue
-            # Along one band, occurrences of a window in the document lie at least one step of the band apart.
-            start = max(0, int(w) + low - k)
-            piece = points[start : int(w) + m + high + k]
-            same = find_exact(item[w : w + m], piece)
-            got = (0, same + m) if same >= 0 else align(item[w : w + m], piece, 0, len(piece) - m + k if len(piece) >= m else k, k)
-            if got:
-                out.append((max(0, start + got[1] - m - got[0]), start + got[1], got[0]))
+        # Distinct shared places before each place of the item, so that each window's count is one difference.
+        shared = np.zeros(max(len(item) - q + 1, 0) + 1, np.int64)
+        shared[place[a:b] + 1] = 1
+        shared = np.cumsum(shared)
+        count = shared[m - q + 1 :] - shared[: len(shared) - (m - q + 1)]
+        windows = np.flatnonzero(count >= need)
+        # Along one band, occurrences of a window in the document lie at least one step of the band apart.
+        for i in range(0, len(windows), WINDOWS):
+            w = windows[i : i + WINDOWS]
+            cost, end = align_windows(item, w, m, points, low - k, high + k, k)
+            hit = cost <= k
+            out += zip(np.maximum(0, end - m - cost)[hit].tolist(), end[hit].tolist(), cost[hit].tolist(), strict=True)
     out.sort()
     merged: list[tuple[int, int, int]] = []
     for s, e, d in out:
         if merged and s <= merged[-1][1]:
-            merged[-1] = merged[-1][0], max(e, merged[-1][1]), min(d, merged[-1][2])
+            merged[-1] = merged[-1][0], max(e, merged[-1][1]), merged[-1][2]
         else:
             merged.append((s, e, d))
     return merged
@@ -209,8 +224,9 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, window: int = WINDOW, edits: int = EDITS, block_bytes: int = ITEM_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, start, end, edits: the stretches of documents that hold a window of a benchmark item.
+    """doc_id, item_id, start, end, edits: the stretches of documents that hold windows of a benchmark item.
 
+    Windows begin at every character of an item; edits are those of the stretch's first window.
     Case and the kind of white space do not count. Items shorter than a window must occur whole, with their share of the
     edits; items or texts shorter than a q-gram never match. Null and empty texts match nothing. Repeated rows give
     repeated results, an empty table on either side none; other columns are not looked at. The items travel with the

@@ -326,3 +326,32 @@ def test_quality_stage_removes_common_lines(spark):
     for r in got:
         assert r.text.startswith("words of document") and "at all" in r.text and f"\n\n{tail}\n" in r.text if tail in r.text else "\n\nend" in r.text
         assert r.n_chars == (7 if tail in r.text else len(r.text))
+
+
+def test_decontamination_finds_windows_off_any_grid():
+    rng = np.random.default_rng(7)
+    letters = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    item = letters(300)
+    items = decontaminate.Items([(1, item)], decontaminate.Q)
+    for a, n in ((1, 80), (1, 64), (17, 70), (230, 66), (235, 64)):
+        (_, s, e, d), = decontaminate.matches(letters(90) + item[a : a + n] + letters(50), items)
+        assert d <= 4 and s <= 90 and e >= 90 + n
+    piece = list(item[1:95])
+    for p in (5, 20, 33, 80, 88, 91):
+        piece[p] = "_"
+    assert decontaminate.matches(letters(40) + "".join(piece) + letters(40), items)
+    assert not decontaminate.matches(letters(40) + item[1:55] + letters(40), items)
+    for p in range(0, 94, 9):
+        piece[p] = "_"
+    assert not decontaminate.matches(letters(40) + "".join(piece) + letters(40), items)
+
+
+def test_windows_align_as_one_by_one():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        item, text = rng.integers(0, 4, 60), rng.integers(0, 4, 50)
+        windows, low = np.arange(0, 31, 3), int(rng.integers(-20, 10))
+        cost, end = decontaminate.align_windows(item, windows, 30, text, low, low + 12, 15)
+        for w, c, e in zip(windows.tolist(), cost.tolist(), end.tolist(), strict=True):
+            want = decontaminate.align(item[w : w + 30], text, w + low, w + low + 12, 15)
+            assert (c, e) == want if want else c > 15
