@@ -15,16 +15,23 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "token": 3}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: Runs of key characters. Only those with a digit and a letter are weighed: random keys have both, prose has not.
+#: Runs of key characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Known digests and identifiers that are random by nature but no secrets.
 KNOWN = re.compile(
     r"""[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"""  # UUID
     r"""|(?:sha(?:1|224|256|384|512)|md5)[-:=_][A-Za-z0-9+/=]+"""  # labelled digest
-    r"""|[0-9TZ:+/_-]+"""  # dates, phone and order numbers
-    r"""|[A-Za-z]+(?:[_/-][A-Za-z]+)*[_/-]?[0-9]{1,4}""",  # snake_case_2, path/part3
+    r"""|[0-9TZ:+/_-]+""",  # dates, phone and order numbers
     re.A,
 )
+#: snake_case_2, path/part3: a name if its letters encode well.
+NUMBERED = re.compile(r"([A-Za-z]+(?:[_/-][A-Za-z]+)*)[_/-]?[0-9]{1,4}")
+#: Random by nature, inside a longer run.
+INSIDE = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?:sha(?:1|224|256|384|512)|md5)[-:=_][A-Za-z0-9+/=]+")
+PART = re.compile("[A-Za-z0-9]+")
+#: Letters of one case, a capital first or not, look like a word: German ones reach 2.3 characters a token, so that only
+#: fewer than this count as random, and only from so many letters on.
+WORD, WORD_RATIO, WORD_LETTERS = re.compile("[A-Z]?[a-z]+|[A-Z]+"), 2.0, 8
 #: The name of a digest with a colon, right before a candidate.
 LABELLED = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5)\s?:\s?$", re.I)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,26 +69,65 @@ def _hex_runs(text: str):
     return _LONG_HEX.finditer(text)
 
 
-def token_spans(text: str, enc, max_ratio: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates of at most max_ratio characters a token which no base span overlaps."""
-    out, base = [], Covered((s, e) for s, e, _ in taken)
+def dense(s: str, enc, max_ratio: float, least: int = 16) -> list[tuple[int, int]]:
+    """Stretches of at least so many characters of a run whose parts, between / _ - + =, encode badly taken together.
+
+    Numbers, vocabulary words, short words, UUIDs and labelled digests speak against a stretch by their length.
+    """
+    known = Covered(m.span() for m in INSIDE.finditer(s))
+    parts = []
+    for m in PART.finditer(s):
+        p, word = m[0], WORD.fullmatch(m[0])
+        n = 0 if p.isdecimal() or word and len(p) < WORD_LETTERS or known.meets(*m.span()) else len(enc.encode_ordinary(p))
+        parts.append((m.start(), m.end(), (min(WORD_RATIO, max_ratio) if word else max_ratio) * n * (n > 1) - len(p)))
+    out, i = [], 0
+    while i < len(parts):
+        total = best = -1.0
+        last, k = i, i
+        while k < len(parts) and (k == i or total > 0):
+            total = parts[k][2] + (total if k > i else 0)
+            if total >= best:
+                best, last = total, k
+            k += 1
+        if best >= 0 and parts[last][1] - parts[i][0] >= least:
+            end = parts[last][1]
+            while end < len(s) and s[end] == "=":
+                end += 1
+            out.append((parts[i][0], end))
+        i = last + 1
+    return out
+
+
+def weigh(s: str, enc, max_ratio: float) -> list[tuple[int, int]]:
+    """The secret parts of a run of key characters: all of it, or stretches of a longer path."""
+    if KNOWN.fullmatch(s):
+        return []
+    named = NUMBERED.fullmatch(s)
+    if named and not dense(named[1], enc, max_ratio, 12):
+        return []
+    if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and len(s) <= max_ratio * len(enc.encode_ordinary(s)):
+        return [(0, len(s))]
+    return dense(s, enc, max_ratio)
+
+
+def token_spans(text: str, enc, max_ratio: float, taken: list[tuple[int, int, str]], seen: dict | None = None) -> list[tuple[int, int, str]]:
+    """Candidates of at most max_ratio characters a token which no base span overlaps. seen keeps what runs were found to be."""
+    out, base, seen = [], Covered((s, e) for s, e, _ in taken), {} if seen is None else seen
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or KNOWN.fullmatch(s):
-            continue
         if base.meets(*m.span()) or LABELLED.search(text, max(0, m.start() - 10), m.start()):
             continue
-        if len(s) <= max_ratio * len(enc.encode_ordinary(s)):
-            out.append((m.start(), m.end(), "token"))
+        if m[0] not in seen:
+            seen[m[0]] = weigh(m[0], enc, max_ratio)
+        out += [(m.start() + s, m.start() + e, "token") for s, e in seen[m[0]]]
     return out
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 2.4, vocab: str | None = None) -> DataFrame:
     """One row per row of df: doc_id, base (list of spans of the three patterns), spans (all spans), redacted text.
 
-    A candidate is a run of 16 or more key characters with a digit and a letter. It is a secret if the vocabulary
-    needs a token for every max_ratio characters or fewer; UUIDs, labelled digests, dates and numbered names are
-    excluded first. Prose reaches 4 characters a token, random keys 1.3 to 2.2.
+    A candidate is a run of 16 or more key characters. It is a secret, or a part of it between / _ - + = is, if the
+    vocabulary needs a token for every max_ratio characters or fewer (letters of one case: WORD_RATIO); UUIDs, labelled
+    digests, dates and names with a number are excluded first. Prose reaches 4 characters a token, random keys 1.3 to 2.2.
 
     Null and empty texts have no spans. Whole texts are scanned, whatever their length. Repeated rows give repeated
     results, an empty table none; columns other than the two named are not looked at.
@@ -90,10 +136,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rati
 
     def rows(batch):
         enc = encoding(vocab)
-        ids, base, spans, redacted = batch.column(0), [], [], []
+        ids, base, spans, redacted, seen = batch.column(0), [], [], [], {}
         for text in batch.column(1).to_pylist():
             found = base_spans(text)
-            extra = token_spans(text, enc, max_ratio, found) if re.search("[0-9]", text) else []
+            extra = token_spans(text, enc, max_ratio, found, seen)
             base.append(span_list(found, KINDS))
             spans.append(span_list(found + extra, KINDS))
             redacted.append(redact(text, found + extra) if found or extra else text)
@@ -121,11 +167,11 @@ def redacted(df: DataFrame, text_col: str = "text", max_ratio: float = 2.4, voca
         enc = encoding(vocab)
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
-            new = []
+            new, seen = [], {}
             for text in batch.column(k).to_pylist():
                 if text:
                     found = base_spans(text)
-                    text = redact(text, found + (token_spans(text, enc, max_ratio, found) if re.search("[0-9]", text) else []))
+                    text = redact(text, found + token_spans(text, enc, max_ratio, found, seen))
                 new.append(text)
             yield batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
 

@@ -355,3 +355,21 @@ def test_windows_align_as_one_by_one():
         for w, c, e in zip(windows.tolist(), cost.tolist(), end.tolist(), strict=True):
             want = decontaminate.align(item[w : w + 30], text, w + low, w + low + 12, 15)
             assert (c, e) == want if want else c > 15
+
+
+def test_secrets_without_digits_in_names_and_in_paths():
+    enc = secrets.encoding(secrets.vocabulary())
+    found = lambda t: [t[s:e] for s, e, _ in secrets.token_spans(t, enc, 2.4, secrets.base_spans(t))]
+    for key in ("xKqZvWjTbLrNpYgH", "qzxkvjwpgbtfmhrd", "QZXKVJWPGBTFMHRDLX", "xKqZvWjTbLrNpY47", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzQQvKEY"):
+        assert found(f"the {key} is") == [key]
+        path = f"/usr/local/share/documentation/projects/international/configuration/{key}"
+        assert any(x.endswith(key) or key.startswith(x) for x in found(path)), found(path)
+    for clean in ("Geschwindigkeitsbegrenzung", "Bundesverfassungsgericht", "state-of-the-art", "is_it_ok_to_do_so", "src_idx_cfg_tmp_ptr_cnt", "getElementsByClassName", "some_long_identifier_name_42", "2024-01-02/12345678901234567890"):
+        assert found(clean) == [], clean
+    for t in ("aQ/" * 70_000, "a_" * 100_000, "words/" * 30_000 + "xKqZvWjTbLrNpYgH"):
+        found(t)
+
+
+def test_secrets_of_texts_without_a_digit(spark):
+    docs = spark.createDataFrame([(1, "the xKqZvWjTbLrNpYgH is")], "doc_id long, text string")
+    assert secrets.redacted(docs).first().text == "the [SECRET] is" == secrets.scan(docs).first().redacted
