@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -103,6 +103,11 @@ class Covered:
         k = bisect_left(self.starts, end)
         return k > 0 and self.ends[k - 1] > start
 
+    def holds(self, start: int, end: int) -> bool:
+        """Whether the span lies inside the union."""
+        k = bisect_right(self.starts, start)
+        return k > 0 and end <= self.ends[k - 1]
+
 
 def span_list(spans: list[tuple[int, int, str]], order: dict[str, int]) -> str:
     """kind:start:end, comma-joined, by start and then by the kind's place in order."""

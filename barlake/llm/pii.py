@@ -74,6 +74,7 @@ DIGIT_WORDS = {
 AT_WORDS = "at|arroba|arobase|chez|klammeraffe"
 DOT_WORDS = "dot|punto|point|punkt"
 
+_NUMBER = frozenset("0123456789+().-")
 INVISIBLE = "​‌‍⁠﻿­"
 _ODD = re.compile("[" + "".join(map(re.escape, map(chr, HOMOGLYPHS))) + INVISIBLE + "０-９Ａ-Ｚａ-ｚ٠-٩]")
 _DOTTED = re.compile(rf"\b(?:{DOT_WORDS})\b|[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]|[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]", re.I)
@@ -89,14 +90,65 @@ _LABEL, _DOT = "[A-Za-z0-9-]+", rf"\s+(?:{DOT_WORDS})\s+"
 _BARE_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]+{_DOT})?[A-Za-z0-9._%+-]+(?:\s+(?:{AT_WORDS})\s+|@)(?:{_LABEL}(?:{_DOT}|\.))+(?:{LAST_LABELS})\b", re.I)
 _BARE_IP = re.compile(rf"\b[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}\b", re.I)
 _BARE_DOT, _BARE_AT = re.compile(_DOT, re.I), re.compile(rf"\s+(?:{AT_WORDS})\s+", re.I)
+#: The same with any last label and with plain dots, to be weighed; and, as a sign, what follows the first part of one.
+_WEIGHED = re.compile(rf"(?<![A-Za-z0-9._%+-])((?:[A-Za-z0-9._%+-]+{_DOT})?[A-Za-z0-9._%+-]+)(\s+(?:{AT_WORDS})\s+|@)((?:{_LABEL}(?:{_DOT}|\.))+[A-Za-z]{{2,}})\b", re.I)
+_AT_DOMAIN = re.compile(rf"\s(?:{AT_WORDS})\s+(?:{_LABEL}(?:{_DOT}|\.))+[A-Za-z]{{2,}}\b", re.I)
+_INNER_DOT = re.compile(r"\.[A-Za-z0-9-]")
+_SURE_AT = re.compile(r"\s*(?:arroba|arobase|klammeraffe|@)\s*", re.I)
+#: Evidence for and against an address in bare words. Country labels that are words of prose speak for nothing.
+_LAST = frozenset((LAST_LABELS + "|ac|ad|ae|al|ar|au|ba|bd|bg|bo|br|by|cl|cn|cr|cu|cy|cz|dk|ec|ee|eg|fi|ge|gr|gt|hk|hr|hu|id|ie|il|ir|jp|ke|kr|kz|lb|li|lk|lt|lu|lv|ma|md|mt|ng|np|nz|pa|pe|ph|pk|pl|pt|py|qa|ro|rs|ru|sa|sg|si|sk|sv|th|tn|tr|tw|ua|uy|ve|vn|za|name|online|shop|site|store|tech|xyz|cloud|email|mail").split("|"))
+_PROVIDERS = re.compile(r"(?:gmail|googlemail|gmx|yahoo|ymail|hotmail|outlook|live|aol|icloud|proton|protonmail|posteo|mail|email|web|freenet|t-online|orange|wanadoo|laposte|free|libero)\.[a-z.]+", re.I)
+_CUE = re.compile(r"mail|contact|write to|reach|address|kontakt|schreib|adress|correo|courriel|escrib|écri", re.I)
+_PROSE = frozenset(
+    "a about again all also am an and any app are as at available away be been best blog both but by call came can check click code come could data day days did do docs does down each else end events even everyone file find for found free from get go goes going good had has have he hello help her here hers him his home host how i if in info information into is it items its job jobs join just keep last later learn less link live located look made make many may me meet met more most much my near new news no not now of off on once one online only open or order other our out over own page part people place play please post price prices read register sale same saw say see seen sell she shop sign site sites so sold some speak staff start started stay still stop store stuff such talk team than that the their them then there these they this those time to today together too try up us used user users very via video visit was watch we well were what when where which who why will with work works would yet you your"
+    " aber als am auf auch aus bei bis da dann das dem den der des die doch dort ein eine einen einer er es für hat haben hier ich ihr im ist jetzt kann man mehr mit nach nicht noch nur oder sein sich sie sind so und uns vom von vor war wie wir wird zu zum zur"
+    " au aux avec ce ces cette chez comme dans de du elle elles en est et eux il ils je la le les leur lui mais moi ne nous on ou par pas passe pour que qui reste sa se ses son sont sur toi tout tu un une va vous y final"
+    " al como con cual del desde donde el ella en era es esta este hay la las lo los mas mi muy no nos para pero por porque que se ser si sin sobre su sus te un una y ya".split()
+)
+
+
+def _prose(word: str) -> bool:
+    """A word that prose has before "at", or a number."""
+    return word.lower() in _PROSE or word.isdecimal() or re.fullmatch("[A-Za-z]{2,}(?:ed|ing)", word) is not None
+
+
+def _address(local: str, at: str, domain: str, before: str) -> bool:
+    """Whether bare words are an address, by the weight of what speaks for it.
+
+    An unmistakable sign, a form that no word of prose has, or two of: no word of prose as name, a known last label,
+    "dot" in words, a provider of mail, a mention of mail before it.
+    """
+    plain, labels = _BARE_DOT.sub(".", domain), re.split(r"\.", _BARE_DOT.sub(".", domain))
+    if any(_prose(x) and not x.isdecimal() for x in labels[:-1]) or (labels[-1].lower() in _PROSE and labels[-1].lower() not in _LAST):
+        return False
+    weight = 2 if re.search(r"[a-z0-9][._%+-][a-z0-9]|[a-z][0-9]", _BARE_DOT.sub(".", local), re.I) else -3 if _prose(local) else 1
+    weight += 2 * (_SURE_AT.fullmatch(at) is not None)
+    weight += labels[-1].lower() in _LAST and labels[-1].lower() not in _PROSE
+    weight += re.search(r"\sdot\s", domain, re.I) is not None
+    return weight + (_PROVIDERS.fullmatch(plain) is not None) + (_CUE.search(before) is not None) >= 2
 
 
 def _joined(m: re.Match) -> str:
-    """The address of bare words; one with a plain domain after a bare "at" is left as it is."""
+    """The address of bare words; one with a plain domain after a bare "at" is left to be weighed."""
     dots = _BARE_DOT.search(m[0])
     return _BARE_AT.sub("@", _BARE_DOT.sub(".", m[0])) if dots else m[0]
 
 
+def _weighed(m: re.Match) -> str:
+    """The longest part of bare words, from their beginning, that is an address; the rest stays as it is."""
+    local, at, domain = m[1], m[2], m[3]
+    before = m.string[max(0, m.start() - 60) : m.start()]
+    ends = [x.start() for x in re.finditer(rf"{_DOT}|\.", domain, re.I)][1:] + [len(domain)]
+    # An address that is whole without words for dots is found as it is, and prose goes on after it.
+    whole = re.match(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", domain) if at == "@" else None
+    if whole and not _BARE_DOT.search(local):
+        return m[0]
+    for end in reversed(ends[-8:]):
+        if re.search("[A-Za-z]{2,}$", domain[:end]) and _address(local, at, domain[:end], before):
+            return _BARE_DOT.sub(".", local) + "@" + _BARE_DOT.sub(".", domain[:end]) + domain[end:]
+    return m[0]
+
+
 class Aligned:
     """A rewritten text with, for each of its characters, the span of source characters it stands for."""
 
@@ -134,28 +186,53 @@ def _digits(m: re.Match) -> str:
     return "".join(DIGIT_WORDS.get(w.lower(), w) for w in re.split(r"[\s,.-]+", m[0]) if w)
 
 
-def _window(text: str, a: int, b: int, reach: int = 160) -> tuple[int, int]:
-    return max(0, a - reach), min(len(text), b + reach)
+def _windows(text: str, signs: list[tuple[int, int]], reach: int = 160) -> list[tuple[int, int]]:
+    """Disjoint stretches of the text around signs, each widened to the ends of the runs, without blanks or of digits
+    and blanks, that it would cut."""
+    near: list[list[int]] = []
+    for a, b in sorted((max(0, a - reach), min(len(text), b + reach)) for a, b in signs):
+        if near and a <= near[-1][1]:
+            near[-1][1] = max(near[-1][1], b)
+        else:
+            near.append([a, b])
+
+    def cuts(i: int) -> bool:
+        """Whether a run goes on over place i."""
+        x, y = text[i - 1], text[i]
+        if not x.isspace() and not y.isspace():
+            return True
+        if x.isspace():
+            return y in _NUMBER and i > 1 and text[i - 2] in _NUMBER
+        return x in _NUMBER and i + 1 < len(text) and text[i + 1] in _NUMBER
+
+    out: list[list[int]] = []
+    for k, (a, b) in enumerate(near):
+        floor = out[-1][1] if out else 0
+        top = near[k + 1][0] if k + 1 < len(near) else len(text)
+        while a > floor and cuts(a):
+            a -= 1
+        while b < top and cuts(b):
+            b += 1
+        if out and a <= floor:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def disguised(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Identifiers that appear only once the text is normalised, in source offsets; base spans are left out.
+    """Identifiers that appear only once the text is normalised, in source offsets; spans inside base ones are left out.
 
-    The transducers run around each sign of a disguise, not over prose without any: an identifier with its
-    disguise spans less than the reach of such a window.
+    The transducers run around each sign of a disguise, not over prose without any; what is around a sign ends where
+    no identifier is cut.
     """
-    odd, dotted, spelled = _ODD.search(text), _DOTTED.search(text), _SPELLED.search(text)
-    if not (odd or dotted or spelled):
+    signs = [m.span() for p in (_ODD, _DOTTED, _SPELLED) for m in p.finditer(text)]
+    if signs or _INNER_DOT.search(text):
+        signs += [m.span() for m in _AT_DOMAIN.finditer(text)]
+    if not signs:
         return []
-    windows: list[list[int]] = []
-    signs = [m.span() for p, on in ((_ODD, odd), (_DOTTED, dotted), (_SPELLED, spelled)) if on for m in p.finditer(text)]
-    for a, b in sorted(_window(text, *s) for s in signs):
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], b)
-        else:
-            windows.append([a, b])
     out, known = [], {k: Covered((s, e) for s, e, kind in base if kind == k) for k in KINDS}
-    for a, b in windows:
+    for a, b in _windows(text, signs):
         part = Aligned(text[a:b])
         part.rewrite(_ODD, _plain)
         part.rewrite(_SPELLED, _digits)
@@ -163,10 +240,11 @@ def disguised(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
         part.rewrite(_AT_BRACKET, lambda m: "@")
         part.rewrite(_DOT_BRACKET, lambda m: ".")
         part.rewrite(_BARE_ADDRESS, _joined)
+        part.rewrite(_WEIGHED, _weighed)
         part.rewrite(_BARE_IP, _joined)
         for s, e, kind in find(part.text):
             s, e = a + part.start[s], a + part.end[e - 1]
-            if not known[kind].meets(s, e):
+            if not known[kind].holds(s, e):
                 out.append((s, e, kind))
     return out
 
@@ -176,7 +254,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Offsets are code points of the source text. Null and empty texts have no spans; texts of any length are read
     whole; repeated rows give repeated results, an empty table none; other columns are not looked at. A disguised
-    span that overlaps a plain one of its kind is that one and is not listed twice.
+    span inside a plain one of its kind is not listed; one that goes beyond it is, beside the plain one.
     """
 
     def rows(batch):

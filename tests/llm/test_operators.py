@@ -373,3 +373,32 @@ def test_secrets_without_digits_in_names_and_in_paths():
 def test_secrets_of_texts_without_a_digit(spark):
     docs = spark.createDataFrame([(1, "the xKqZvWjTbLrNpYgH is")], "doc_id long, text string")
     assert secrets.redacted(docs).first().text == "the [SECRET] is" == secrets.scan(docs).first().redacted
+
+
+def test_personal_data_disguised_in_part():
+    long = "x" * 300
+    for text, piece in (
+        ("to jаne@mail.com now", "jаne@mail.com"),
+        ("to jane (dot) doe@mail.com now", "jane (dot) doe@mail.com"),
+        ("to jane@mail.exаmple.com now", "jane@mail.exаmple.com"),
+        ("jane at mail.com", "jane at mail.com"),
+        ("Write to jane.doe at firma.pl please", "jane.doe at firma.pl"),
+        ("jane at firma dot pl", "jane at firma dot pl"),
+        ("jane at firma dot berlin and so on", "jane at firma dot berlin"),
+        ("jane arroba casa punto barcelona", "jane arroba casa punto barcelona"),
+        (f"to {long} (at) mail.com now", f"{long} (at) mail.com"),
+        (f"to jane (at) {long}.example.com now", f"jane (at) {long}.example.com"),
+        (f"to {long} at {long} dot pl now", f"{long} at {long} dot pl"),
+        (f"to {long}jаne@{long}.com now", f"{long}jаne@{long}.com"),
+    ):
+        base = pii.find(text)
+        extra = pii.disguised(text, base)
+        assert piece in [text[s:e] for s, e, k in extra if k == "email"], (text, extra)
+        assert piece[:4] not in pii.redact(text, base + extra) or piece[:4] in text.replace(piece, "")
+    for clean in ("jane@mail.com and ｏther words", "look at example.com or at the end", "it is hosted at example.com now", "saved at file.txt", "we arrived at noon.Then we left", "eggs at boiling point water", "he looked at the dot on the map", "il reste chez lui point final", "visit us at www.example.org"):
+        assert pii.disguised(clean, pii.find(clean)) == [], clean
+    # A window does not cut a number: the digits beyond it decide.
+    card = "ｏ" + " " * 3 + "w " * 74 + "4111 1111 1111 1111 1111 1111"
+    assert pii.disguised(card, []) == []
+    for t in ("ｏ " + "a" * 300_000, "x at " + "a." * 100_000, ("ｏ" + "a" * 400) * 1_000, "a at b dot " * 20_000, "1 " * 100_000 + "ｏ"):
+        pii.disguised(t, pii.find(t))
