@@ -30,7 +30,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(common.documents(spark, sf_dir))
+    docs, path = common.documents(spark, sf_dir), common.shared_dir(spark, "shards")
+    sharding.write_shards(docs, path)
+    return sharding.read_assignments(spark, path, docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType, StructField, StructType
 
 from barlake.llm.common import materialise
 
@@ -38,12 +39,22 @@ def assign(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
     limit is a shard or page by itself. Null texts have 0 bytes. An empty table gives no rows; other columns are not
     looked at.
     """
+    return place(df, limit, id_col, text_col).select("doc_id", "n_bytes", "depth", "shard", "page", "shard_bytes")
+
+
+def place(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """The columns of assign(), and with whole each row of df beside them as the struct row.
+
+    The rounds look at hashes and sizes only. The cells they pick are few, so that rows find their shard by their own hash.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialise(df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), row_hash(F.col(id_col), text).alias("h")), "shard-rows")
+    wide = df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), row_hash(F.col(id_col), text).alias("h"), *([F.struct(*df.columns).alias("row")] if whole else []))
+    rows = materialise(wide.drop("row"), "shard-rows")
+    wide = wide if whole else rows
     done, open_rows, base = [], rows, 0
     while True:
         deep = base + ROUND
-        open_rows = open_rows.withColumn("cell", prefix(F.col("h"), deep))
+        open_rows, wide = (x.withColumn("cell", prefix(F.col("h"), deep)) for x in (open_rows, wide))
         cells = open_rows.groupBy("cell").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         spread = cells.select("*", F.explode(F.sequence(F.lit(base + (base > 0)), F.lit(deep))).alias("depth"))
         spread = spread.withColumn("p", F.call_function("shiftright", F.col("cell"), (F.lit(deep) - F.col("depth")).cast("int")))
@@ -51,28 +62,43 @@ def assign(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
         fit = sums.where((F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("depth", "p", "shard_bytes", (F.col("lo") == F.col("hi")).alias("one"))
         pick = spread.join(fit, ["depth", "p"]).groupBy("cell").agg(F.min_by(F.struct("depth", "p", "shard_bytes", "one"), "depth").alias("s"))
         pick = materialise(pick.select("cell", "s.*"), "shard-cells")
-        done.append(open_rows.join(pick, "cell").select("doc_id", "n_bytes", "h", "depth", "p", "shard_bytes", "one"))
+        done.append(wide.join(pick, "cell").drop("cell"))
         base = deep
         if deep >= BITS or cells.join(pick, "cell", "left_anti").isEmpty():
             break
-        open_rows = open_rows.join(pick, "cell", "left_anti")
+        open_rows, wide = (x.join(pick, "cell", "left_anti") for x in (open_rows, wide))
     out = reduce(DataFrame.unionByName, done)
+    row = ["row"] if whole else []
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("p"), F.col("depth").cast("int"), F.lit("0")))
-    out = out.select("doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), bits.alias("shard"), "shard_bytes", "h", (F.col("one") & (F.col("shard_bytes") > limit)).alias("over"))
+    out = out.select(*row, "doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), bits.alias("shard"), "shard_bytes", "h", (F.col("one") & (F.col("shard_bytes") > limit)).alias("over"))
     paged = out.where("over").withColumn("part", F.spark_partition_id())
     per_page = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))
     turn = F.row_number().over(W.partitionBy("h", "part").orderBy("n_bytes")) - 1
     paged = paged.withColumn("page", F.col("part").cast("long") * (1 << 32) + F.floor(turn / per_page) + 1)
     paged = paged.withColumn("shard_bytes", F.sum("n_bytes").over(W.partitionBy("h", "page")))
-    cols = ["doc_id", "n_bytes", "depth", "shard", "page", "shard_bytes"]
-    whole = out.where(~F.col("over")).withColumn("page", F.lit(0).cast("long"))
-    return whole.select(*cols).unionByName(paged.select(*cols))
+    cols = [*row, "doc_id", "n_bytes", "depth", "shard", "page", "shard_bytes"]
+    fitting = out.where(~F.col("over")).withColumn("page", F.lit(0).cast("long"))
+    return fitting.select(*cols).unionByName(paged.select(*cols))
+
 
+def write_shards(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """The rows of df as Parquet, in one folder with one file for each shard and page: column shard, s<bits>-<page>.
 
-def write_shards(df: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """The rows of df as Parquet, one folder for each shard."""
-    where = assign(df, limit).select("doc_id", F.concat_ws("-", F.concat(F.lit("s"), "shard"), F.col("page").cast("string")).alias("shard")).dropDuplicates(["doc_id"])
-    df.join(where, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    Each row goes with its own assignment, not by its id: rows without an id, with one that repeats and equal rows all
+    arrive, and a file has more than limit bytes of text only if it is a single row.
+    """
+    placed = place(df, limit, id_col, text_col, whole=True)
+    placed = placed.select("row.*", F.concat_ws("-", F.concat(F.lit("s"), "shard"), F.col("page").cast("string")).alias("shard"))
+    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+
+
+def read_assignments(spark: SparkSession, path: str, schema: StructType, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of assign(), as the written shards show them; schema is that of the rows."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("shard", StringType())])).parquet(path)
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), F.col("shard").alias("folder"))
+    sums = rows.groupBy("folder").agg(F.sum("n_bytes").alias("shard_bytes"))
+    bits = F.regexp_extract("folder", "^s([01]*)-", 1)
+    return rows.join(sums, "folder").select("doc_id", "n_bytes", F.length(bits).cast("int").alias("depth"), bits.alias("shard"), F.regexp_extract("folder", "-([0-9]+)$", 1).cast("long").alias("page"), "shard_bytes")
 
 
 ORACLE_SQL = f"""

@@ -402,3 +402,24 @@ def test_personal_data_disguised_in_part():
     assert pii.disguised(card, []) == []
     for t in ("ｏ " + "a" * 300_000, "x at " + "a." * 100_000, ("ｏ" + "a" * 400) * 1_000, "a at b dot " * 20_000, "1 " * 100_000 + "ｏ"):
         pii.disguised(t, pii.find(t))
+
+
+def test_written_shards_hold_all_rows_within_the_limit(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(120)] + [(7, "hot row " * 5)] * 80 + [(None, f"no id {i}") for i in range(9)] + [(None, None)] * 3 + [(3, f"again {i}") for i in range(9)] + [(500, "y" * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for limit in (400, 100_000):
+        path = common.shared_dir(spark, "test-shards")
+        sharding.write_shards(docs, path, limit)
+        got = spark.read.parquet(path).withColumn("file", F.input_file_name())
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(rows)
+        files = got.groupBy("file").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count("*").alias("n"), F.first("shard").alias("shard")).collect()
+        assert all(r.b <= limit or r.n == 1 for r in files) and len({r.shard for r in files}) == len(files)
+        seen = sharding.read_assignments(spark, path, docs.schema).collect()
+        assert len(seen) == len(rows) and all(r.shard_bytes <= limit or r.n_bytes == r.shard_bytes for r in seen)
+    path = common.shared_dir(spark, "test-shards")
+    sharding.write_shards(docs.limit(0), path)
+    assert sharding.read_assignments(spark, path, docs.schema).count() == 0
