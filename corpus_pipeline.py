@@ -1,6 +1,7 @@
 """Corpus preparation: quality rules, near-duplicates, decontamination, secrets, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents.
+Stages act by row: rows without a doc_id, or with one that repeats, are judged each by itself.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from barlake.llm import bpe, common, decontaminate, quality, secrets, simhash
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows, numbered by common.keyed(), whose numbers are in keys."""
+    return rows.join(keys.select(common.ROW), common.ROW, "left_semi").drop(common.ROW)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +23,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    return only(docs, simhash.near_duplicates(docs).where("doc_id = component_id"))
+    """Of each group of near-duplicates one row: that with the smallest doc_id, null ids last, of equal ids any one."""
+    rows = common.keyed(docs, "near-rows")
+    found = simhash.near_duplicates(rows, id_col=common.ROW).select(F.col("doc_id").alias(common.ROW), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(common.ROW).alias("row"))
+    first = found.join(rows.select(common.ROW, "doc_id"), common.ROW).groupBy("component_id").agg(F.min(rank).alias("first"))
+    return only(rows, first.select(F.col("first.row").alias(common.ROW)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows without a passage of the benchmark."""
+    rows = common.keyed(docs, "clean-rows")
+    found = decontaminate.find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=common.ROW)
+    return rows.join(found.select(F.col("doc_id").alias(common.ROW)).distinct(), common.ROW, "left_anti").drop(common.ROW)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -423,3 +423,18 @@ def test_written_shards_hold_all_rows_within_the_limit(spark):
     path = common.shared_dir(spark, "test-shards")
     sharding.write_shards(docs.limit(0), path)
     assert sharding.read_assignments(spark, path, docs.schema).count() == 0
+
+
+def test_stages_act_by_row(spark):
+    text = lambda k: " ".join(f"w{k}n{j}" for j in range(40))
+    leak = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 100").first().text
+    key = "xKqZvWjTbLrNpY47"
+    rows = [(None, text(1)), (None, text(2)), (None, "short"), (1, text(3)), (1, text(3)), (1, text(4)), (1, "short"), (None, text(5)), (None, text(5)), (2, text(5)), (3, text(6)), (None, text(6)), (None, f"{text(7)} {leak}"), (4, f"{text(8)} {leak}"), (4, text(9)), (None, f"{text(10)} {key}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    assert of(corpus_pipeline.quality_rules(spark, docs, SMALL)) == sorted((x for x in rows if x[1] != "short"), key=repr)
+    once = sorted(set(rows) - {(None, text(5)), (None, text(6)), (None, "short")}, key=repr)
+    assert of(corpus_pipeline.near_duplicates(spark, docs, SMALL)) == once
+    assert of(corpus_pipeline.decontamination(spark, docs, SMALL)) == sorted((x for x in rows if leak not in x[1]), key=repr)
+    assert of(corpus_pipeline.secret_scan(spark, docs, SMALL)) == sorted(((i, t.replace(key, "[SECRET]")) for i, t in rows), key=repr)
+    assert corpus_pipeline.encoding(spark, docs, SMALL).count() == len(rows)
