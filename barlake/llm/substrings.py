@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by prefix doubling over sampled suffixes.
+"""Removal of repeated byte strings by names of sampled suffixes, in place of prefix doubling.
 
 Prefix doubling ranks suffixes by a short prefix, then by pairs of ranks at growing offsets, until a suffix is unique or
 the threshold is passed. Ranking every byte position moves some thirty times the text through each shuffle, so only
