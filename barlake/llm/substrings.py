@@ -1,36 +1,42 @@
-"""Removal of repeated byte strings by names of sampled suffixes, in place of prefix doubling.
-
-Prefix doubling ranks suffixes by a short prefix, then by pairs of ranks at growing offsets, until a suffix is unique or
-the threshold is passed. Ranking every byte position moves some thirty times the text through each shuffle, so only
-sampled positions are ranked: the minimiser, the leftmost smallest of the hashed GRAM-byte strings, of each window of
-THRESHOLD bytes. Equal windows have equal minimisers at equal places. A rank is named by a hash, which needs no global
-numbering:
-
-1. a position's first name is that of its GRAM bytes; a position whose name no other document has is done;
-2. its second name, of the whole run of bytes that its windows span, settles copies: the smallest document of a name
-   covers the runs of all others;
-3. where runs of one first name differ, as at the ends of a copied passage, their single windows are named and compared.
-
-Rows are packed: a task sends one blob for each bucket of names. Within a task's share of the documents equal runs are
-folded first, so a passage that a third of all documents hold is sent once by a task.
+"""Removal of repeated byte strings by prefix doubling over sampled suffixes.
+
+Prefix doubling ranks suffixes by a short prefix and then, round by round, by pairs of ranks at growing offsets, until a
+suffix is unique or the threshold is passed. Here Spark groups and joins the rows (rank, document, place) of each round,
+and only undecided rows go on. Two things differ from the textbook:
+
+* Positions are sampled. Ranking every byte would send some 15 bytes for each byte of text through each shuffle. Of each
+  window of THRESHOLD bytes only the minimiser, the leftmost smallest of its hashed GRAM-byte strings, takes part. Equal
+  windows have equal minimisers at equal places, so the windows of a document that share one, a run, are ranked together
+  by what they have in common: the bytes from the minimiser on.
+* Ranks are hashes of the pair instead of numbers in sorted order: equality is all that counts, and no global numbering
+  is needed.
+
+Round 0 ranks a run by its GRAM bytes. A rank that no second document has is unique and done. Runs of equal rank whose
+whole stretch of bytes is equal are copies: those of larger documents go. What is left, as at the ends of a copied
+passage, is doubled: the windows of a run are halved by where the minimiser lies in them, and each half is ranked by the
+pair of its parent's rank and the rank of as many bytes at an offset, so that the ranked string grows until it is the
+window itself. The rows of these rounds carry their 80 bytes at most and need Spark's own functions only.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import materialise
+from barlake.llm.common import SLICE, halves, materialise
 
 THRESHOLD, GRAM = 50, 20
-#: Text bytes whose positions a task folds and packs together, and those it hashes at a time.
-SHARE, STEP = 24 << 20, 3 << 20
+#: Text bytes that a task samples or cuts at a time.
+STEP = 3 << 20
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: A place in a document and a length, in one number.
+RANGE = 1 << 32
+SAMPLE = "rank long, span long, id long, tag long, first int, shape int"
 
 
 def gram_hashes(buf: np.ndarray, gram: int, salt: int = 0) -> np.ndarray:
@@ -61,379 +67,173 @@ def leftmost_smallest(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def runs(texts: list[bytes], threshold: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document number, first window, last window, place of the minimiser, name of its gram), a row for each run.
-
-    A run is the windows of one document that share a minimiser; windows begin at offsets into the joined texts.
+def pieces(texts: list[bytes], threshold: int, step: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Texts in groups of some step bytes: numbers, offsets and bytes. A longer text comes in pieces that overlap so far
+    that each window lies whole in one of them and begins in just one."""
+    held: tuple[list, list, list] = ([], [], [])
+    size = 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - threshold + 1), step):
+            part = text[at : at + step + threshold - 1] if len(text) > step else text
+            if size + len(part) > step and held[0]:
+                yield held
+                held, size = ([], [], []), 0
+            for x, y in zip(held, (k, at, part), strict=True):
+                x.append(y)
+            size += len(part)
+    if held[0]:
+        yield held
+
+
+def runs(parts: list[bytes], threshold: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(part, first window, number of windows, offset of the minimiser, name of its gram), a row for each run.
+
+    A run is the windows of one part that share a minimiser; windows begin at offsets into the part.
     """
-    out = []
-    sizes = np.array([len(t) for t in texts], np.int64)
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    if len(buf) < threshold:
+        return tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, np.uint64),)
+    sizes = np.array([len(t) for t in parts], np.int64)
     ends = np.cumsum(sizes)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i] - sizes[i]) + STEP, "right")))
-        base = int(ends[i] - sizes[i])
-        buf = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-        if len(buf) >= threshold:
-            h = gram_hashes(buf, gram)
-            at = leftmost_smallest(h, threshold - gram + 1)
-            doc = np.repeat(np.arange(i, j, dtype=np.int32), sizes[i:j])
-            start = np.arange(len(at))
-            start = start[start + threshold <= (ends - base)[doc[: len(at)]]]
-            if len(start):
-                key, d = at[start], doc[start]
-                head = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(d) != 0)))
-                tail = np.append(head[1:], len(start)) - 1
-                out.append((d[head], start[head] + base, start[tail] + base, key[head].astype(np.int64) + base, h[key[head]]))
-        i = j
-    if not out:
-        return tuple(np.empty(0, t) for t in (np.int32, np.int64, np.int64, np.int64, np.uint64))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def ordinals(doc: np.ndarray) -> np.ndarray:
-    """Number of each run within its document; doc is sorted."""
-    head = np.flatnonzero(np.append(True, np.diff(doc) != 0)) if len(doc) else np.empty(0, np.int64)
-    return np.arange(len(doc)) - np.repeat(head, np.diff(np.append(head, len(doc))))
-
-
-# Blobs: columns of integers, deltas where sorted, bytes of equal weight together, compressed.
-
-
-def squeeze(*cols: np.ndarray) -> bytes:
-    import zstandard
-
-    parts = []
-    for c in cols:
-        u = c.astype(np.uint64)
-        width = max(1, (int(u.max()).bit_length() + 7) // 8) if len(u) else 1
-        parts.append(struct.pack("<IB", len(u), width) + np.ascontiguousarray(u.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unsqueeze(blob: bytes) -> list[np.ndarray]:
-    import zstandard
+    h = gram_hashes(buf, gram)
+    at = leftmost_smallest(h, threshold - gram + 1)
+    part = np.repeat(np.arange(len(parts)), sizes)
+    start = np.arange(len(at))
+    start = start[start + threshold <= ends[part[: len(at)]]]
+    if not len(start):
+        return runs([], threshold, gram)
+    key, of = at[start], part[start]
+    head = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(of) != 0)))
+    count = np.diff(np.append(head, len(start)))
+    return of[head], start[head] - (ends - sizes)[of[head]], count, key[head] - start[head], h[key[head]]
+
+
+def sampler(threshold: int, gram: int) -> Callable:
+    """A row for each run of the texts: rank of its gram, hash of its bytes, document, first window, and its shape."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    from xxhash import xxh3_64_intdigest
 
-    data, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
-    while at < len(data):
-        n, width = struct.unpack_from("<IB", data, at)
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 5).reshape(width, n).T
-        out.append(wide.view(np.uint64).ravel())
-        at += 5 + n * width
-    return out
-
-
-def deltas(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=x[:1] * 0)
-
-
-#: Flags of what a document is told of a run.
-COVERED, DIFFERS = 0, 1
-
-
-def pack_positions(bucket: np.ndarray, name: np.ndarray, second: np.ndarray, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, ordinal: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, 0, blob) for each bucket: names sorted, and a table of the blob's documents."""
-    if not len(name):
-        return
-    order = np.lexsort((name, bucket))
-    cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
-    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-        o = order[a:b]
-        used, local = np.unique(doc[o], return_inverse=True)
-        by_id = np.argsort(ids[used], kind="stable")
-        place = np.empty(len(used), np.int64)
-        place[by_id] = np.arange(len(used))
-        used = used[by_id]
-        yield int(bucket[o[0]]), 0, squeeze(deltas(name[o]), second[o], place[local], ordinal[o], deltas(ids[used].view(np.uint64)), tags[used])
-
-
-def unpack_positions(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    cols = []
-    for blob in blobs:
-        name, second, local, ordinal, ids, tags = unsqueeze(blob)
-        local = local.astype(np.int64)
-        cols.append((np.cumsum(name, dtype=np.uint64), second, np.cumsum(ids, dtype=np.uint64).view(np.int64)[local], tags[local], ordinal))
-    return tuple(np.concatenate(x) for x in zip(*cols, strict=True))
-
-
-def pack_replies(n_groups: int, ids: np.ndarray, tags: np.ndarray, ordinal: np.ndarray, flag: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(group of documents, 1, blob): what documents are told, sorted by document and run."""
-    if not len(ids):
-        return
-    group = ids.view(np.uint64) * _C[0] >> np.uint64(40)
-    group = (group % np.uint64(n_groups)).astype(np.int64)
-    order = np.lexsort((ordinal, tags, ids, group))
-    cuts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
-    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-        o = order[a:b]
-        head = np.append(True, (np.diff(ids[o]) != 0) | (np.diff(tags[o]) != 0))
-        steps = np.where(head, ordinal[o], np.append(0, np.diff(ordinal[o].astype(np.int64))))
-        h = np.flatnonzero(head)
-        yield int(group[o[0]]), 1, squeeze(deltas(ids[o][h].view(np.uint64)), tags[o][h], np.diff(np.append(h, len(o))), steps.astype(np.uint64) * np.uint64(2) + flag[o].astype(np.uint64))
-
-
-def unpack_replies(blob: bytes) -> tuple[np.ndarray, ...]:
-    ids, tags, count, steps = unsqueeze(blob)
-    count = count.astype(np.int64)
-    flag, step = steps & np.uint64(1), (steps >> np.uint64(1)).astype(np.int64)
-    total = np.cumsum(step)
-    head = np.cumsum(count) - count
-    ordinal = total - np.repeat(total[head] - step[head], count)
-    return np.repeat(np.cumsum(ids, dtype=np.uint64).view(np.int64), count), np.repeat(tags, count), ordinal.astype(np.uint64), flag
-
-
-def judge(name: np.ndarray, second: np.ndarray, ids: np.ndarray, tags: np.ndarray, ordinal: np.ndarray, whole: bool) -> tuple[np.ndarray, ...]:
-    """Rows (id, tag, ordinal, flag) for the positions of one bucket.
-
-    Positions are sorted by their pair of names and by document. Those of a pair that a smaller document has are
-    covered. Unless whole, the others of a first name that has several second names, and several documents, differ.
-    """
-    order = np.lexsort((ids, second, name))
-    name, second, ids, tags, ordinal = (x[order] for x in (name, second, ids, tags, ordinal))
-    new_name = np.append(True, np.diff(name) != 0)
-    new_pair = new_name | np.append(True, np.diff(second) != 0)
-    pair = np.cumsum(new_pair) - 1
-    covered = ids > ids[np.flatnonzero(new_pair)][pair]
-    differs = np.zeros(len(ids), bool)
-    if not whole:
-        group = np.cumsum(new_name) - 1
-        heads = np.flatnonzero(new_name)
-        pairs = np.bincount(group[new_pair], minlength=len(heads))
-        low, high = np.minimum.reduceat(ids, heads), np.maximum.reduceat(ids, heads)
-        differs = ~covered & ((pairs > 1) & (low < high))[group]
-    told = covered | differs
-    return ids[told], tags[told], ordinal[told], differs[told]
-
-
-def fold(name: np.ndarray, second: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks of the positions to send and of those that a smaller document of this share covers."""
-    order = np.lexsort((ids, second, name))
-    n, s, i = name[order], second[order], ids[order]
-    head = np.append(True, (np.diff(n) != 0) | (np.diff(s) != 0))
-    covered = np.zeros(len(ids), bool)
-    covered[order] = i > i[np.flatnonzero(head)][np.cumsum(head) - 1]
-    return ~covered, covered
-
-
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    a, b, c = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["bucket", "kind", "blob"])
-
-
-def _sender(n_buckets: int, positions: Callable) -> Callable:
-    """A task's rows: its positions by bucket of the first name, and what its documents already know."""
-
-    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, tags, doc, name, second, ordinal = (np.concatenate(x) for x in zip(*held, strict=True))
-        keep, covered = fold(name, second, ids[doc])
-        bucket = (name >> np.uint64(20)) % np.uint64(n_buckets)
-        rows = list(pack_positions(bucket[keep].astype(np.int64), name[keep], second[keep], ids, tags, doc[keep], ordinal[keep]))
-        d = doc[covered]
-        rows += [(-1 - g, k, b) for g, k, b in pack_replies(n_buckets, ids[d], tags[d], ordinal[covered], np.zeros(len(d), bool))]
-        for i in range(0, len(rows), 64):
-            yield _rows(rows[i : i + 64])
+    schema = to_arrow_schema(StructType.fromDDL(SAMPLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n_docs = [], 0, 0
-        for batch in batches:
-            for ids, tags, doc, name, second, ordinal, n_bytes in positions(batch):
-                if len(name):
-                    held.append((ids, tags, doc + n_docs, name, second, ordinal))
-                    n_docs += len(ids)
-                    size += n_bytes
-                if size > SHARE:
-                    yield from send(held)
-                    held, size, n_docs = [], 0, 0
-        if held:
-            yield from send(held)
+        for whole in batches:
+            for batch in halves(whole, SLICE) if whole.num_rows else ():
+                ids, tags = (batch.column(k).to_numpy() for k in (0, 1))
+                for numbers, offsets, parts in pieces(batch.column(2).to_pylist(), threshold, STEP):
+                    of, first, count, back, name = runs(parts, threshold, gram)
+                    if not len(of):
+                        continue
+                    views = [memoryview(p) for p in parts]
+                    spans = zip(of.tolist(), first.tolist(), (first + count - 1 + threshold).tolist(), back.tolist(), strict=True)
+                    span = np.fromiter((xxh3_64_intdigest(views[k][a:b], s) for k, a, b, s in spans), np.uint64, len(of))
+                    doc = np.array(numbers)[of]
+                    cols = (name.view(np.int64), span.view(np.int64), ids[doc], tags[doc], (first + np.array(offsets)[of]).astype(np.int32), (count << 8 | back).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], slice]]:
-    """Documents of a batch in steps of bounded size: ids, tags, texts."""
-    ids, tags, texts = np.array(batch.column(0).to_numpy(zero_copy_only=False)), np.array(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.uint64), batch.column(2)
-    i = size = 0
-    for j in range(batch.num_rows):
-        size += len(texts[j].as_buffer())
-        if size > STEP or j == batch.num_rows - 1:
-            yield ids[i : j + 1], tags[i : j + 1], [x.as_py() for x in texts.slice(i, j + 1 - i)], slice(i, j + 1)
-            i, size = j + 1, 0
+def judged(rows: DataFrame, name: str) -> DataFrame:
+    """rows (rank, span, id, ...) that are not decided to stay, with covered: a smaller id has the same rank and span.
 
-
-def _runs_of(threshold: int, gram: int) -> Callable:
-    from xxhash import xxh3_64_intdigest
-
-    def positions(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for ids, tags, texts, _ in _texts(batch):
-            doc, first, last, at, name = runs(texts, threshold, gram)
-            joined = memoryview(b"".join(texts))
-            spans = zip(first.tolist(), (last + threshold).tolist(), (at - first).tolist(), strict=True)
-            second = np.fromiter((xxh3_64_intdigest(joined[a:b], s) >> 16 for a, b, s in spans), np.uint64, len(first))
-            yield ids, tags, doc.astype(np.int64), name, second, ordinals(doc).astype(np.uint64), len(joined)
-
-    return positions
+    The others share their rank with another document whose span differs, and go on. Counts are added up before they
+    are shuffled, so a rank that a third of all rows have is one row of each task.
+    """
+    spans = materialise(rows.groupBy("rank", "span").agg(F.min("id").alias("_first"), F.max("id").alias("_last")), f"{name}-spans")
+    ranks = spans.groupBy("rank").agg(F.min("_first").alias("_low"), F.max("_last").alias("_high"), (F.count("*") > 1).alias("_several")).where("_low < _high")
+    both = spans.join(ranks.select("rank", "_several"), "rank").where("_several OR _first < _last").select("rank", "span", "_first", "_several")
+    told = rows.join(both, ["rank", "span"]).withColumn("covered", F.col("id") > F.col("_first")).where("covered OR _several")
+    return materialise(told.drop("_first", "_several"), name)
 
 
-def _shares(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive documents of STEP bytes together."""
-    i = size = 0
-    for j, n in enumerate(sizes):
-        size += n
-        if size > STEP or j == len(sizes) - 1:
-            yield i, j + 1
-            i, size = j + 1, 0
+def piece(start: Column, length: Column | int) -> Column:
+    """Bytes of a row's stretch, from a place counted from 0."""
+    return F.substring(F.col("bytes"), (start + 1).cast("int"), F.lit(length).cast("int") if isinstance(length, int) else length.cast("int"))
 
 
-def _told(blobs: list[bytes | None], which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document numbers and ordinals of the entries with one flag."""
-    parts = [(k, *unsqueeze(b)) for k, b in enumerate(blobs) if b]
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    doc = np.repeat(np.array([k for k, _, _ in parts]), [len(o) for _, o, _ in parts])
-    ordinal, flag = np.concatenate([o for _, o, _ in parts]).astype(np.int64), np.concatenate([f for _, _, f in parts])
-    return doc[flag == which], ordinal[flag == which]
+def halved(rows: DataFrame, size: int, threshold: int, reach: int) -> DataFrame:
+    """Each row's windows, those whose minimiser lies p to p + size - 1 bytes in, in two halves with their pairs of ranks.
 
+    bytes begin back bytes before the minimiser; low and high bound the row's windows. The windows of a half share the
+    bytes from p before the minimiser on: those of the parent and as many again, shifted to one side.
+    """
+    half = size // 2
+    out = rows.select("id", "tag", "first", "back", "low", "high", "rank", "bytes", "p", F.explode(F.array(F.col("p"), F.col("p") + half)).alias("c"))
+    out = out.where((F.col("c") <= F.col("high")) & (F.col("c") + half > F.col("low")) & (F.col("c") <= reach))
+    q, end = F.least(F.col("p") + size - 1, F.lit(reach)), F.least(F.col("c") + half - 1, F.lit(reach))
+    length = threshold - (q - F.col("p"))
+    other = F.when(F.col("c") == F.col("p"), F.col("back") + threshold - end - length).otherwise(F.col("back") - F.col("c"))
+    low, high = F.greatest("c", "low"), F.least(end, F.col("high"))
+    span = F.xxhash64(low, high, piece(F.col("back") - high, threshold + high - low))
+    return out.select("id", "tag", "first", "back", low.alias("low"), high.alias("high"), F.xxhash64("c", "rank", F.xxhash64(piece(other, length))).alias("rank"), span.alias("span"), "bytes", F.col("c").alias("p"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column compressed: texts take less room in the shuffles."""
+    import zstandard
 
-def _spans(texts: list[bytes], doc: np.ndarray, ordinal: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window, as offsets into the joined texts, of the runs with these documents and ordinals."""
-    of, first, last, _, _ = runs(texts, threshold, gram)
-    row = np.searchsorted(of, np.arange(len(texts)))[doc] + ordinal
-    return first[row], last[row]
+    packer = zstandard.ZstdCompressor(level=3)
+    for whole in batches:
+        for batch in halves(whole, SLICE) if whole.num_rows else ():
+            k = batch.num_columns - 1
+            yield batch.set_column(k, batch.schema.field(k), pa.array([packer.compress(x.as_py()) for x in batch.column(k)], pa.binary()))
 
 
-def _windows_of(threshold: int, gram: int) -> Callable:
-    """Single windows of the runs that differ, as positions: names from two hashes, offsets as ordinals."""
-    import zstandard
+def _stretches(threshold: int) -> Callable:
+    """The bytes of the undecided runs of each document, from its packed text."""
+    schema = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("first", pa.int32()), ("back", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("rank", pa.int64()), ("bytes", pa.binary()), ("p", pa.int32())])
 
-    def positions(batch: pa.RecordBatch) -> Iterator[tuple]:
-        unpack = zstandard.ZstdDecompressor()
-        ids, tags = np.array(batch.column(0).to_numpy()), np.array(batch.column(1).to_numpy()).astype(np.uint64)
-        texts, told = [unpack.decompress(x.as_py()) for x in batch.column(2)], batch.column(3).to_pylist()
-        for i, j in _shares([len(t) for t in texts]):
-            doc, ordinal = _told(told[i:j], DIFFERS)
-            first, last = _spans(texts[i:j], doc, ordinal, threshold, gram)
-            n = last - first + 1
-            starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            doc = np.repeat(doc, n)
-            base = np.cumsum([0, *(len(t) for t in texts[i:j])])
-            buf = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-            if len(starts):
-                names, low = gram_hashes(buf, threshold)[starts], gram_hashes(buf, threshold, 0x5851F42D4C957F2D)[starts] >> np.uint64(16)
-                yield ids[i:j], tags[i:j], doc.astype(np.int64), names, low, (starts - base[doc]).astype(np.uint64), len(starts) * 16
-
-    return positions
-
-
-def _judges(n_buckets: int, whole: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            rows = list(pack_replies(n_buckets, *judge(*unpack_positions(blobs), whole)))
-            if rows:
-                yield _rows(rows)
+        import zstandard
 
-        bucket, held = None, []
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for b, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind:
-                    yield _rows([(-1 - b, kind, blob)])
-                    continue
-                if held and b != bucket:
-                    yield from settle(held)
-                    held = []
-                bucket = b
-                held.append(blob)
-        if held:
-            yield from settle(held)
+            for k in range(batch.num_rows):
+                i, tag, text, first, shape, rank = (c[k] for c in batch.columns)
+                text, first, shape = unpack.decompress(text.as_py()), first.values.to_numpy(), shape.values.to_numpy()
+                rank = rank.values.to_numpy()
+                for at in range(0, len(first), 10_000):
+                    f, s, r = (x[at : at + 10_000] for x in (first, shape, rank))
+                    count, back = s >> 8, s & 255
+                    whole = [text[a : a + n] for a, n in zip(f.tolist(), (count - 1 + threshold).tolist(), strict=True)]
+                    cols = (np.full(len(f), i.as_py()), np.full(len(f), tag.as_py()), f, back, back - count + 1, back, r, whole, np.zeros(len(f), np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document that is told something; only one group of documents is held at a time."""
-
-    def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, tags, ordinal, flag = (np.concatenate(x) for x in zip(*map(unpack_replies, blobs), strict=True))
-        order = np.lexsort((ordinal, tags, ids))
-        ids, tags, ordinal, flag = (x[order] for x in (ids, tags, ordinal, flag))
-        cuts = np.flatnonzero(np.append(True, (np.diff(ids) != 0) | (np.diff(tags) != 0)))
-        bounds = list(zip(cuts, np.append(cuts[1:], len(ids)), strict=True))
-        for i in range(0, len(bounds), 1000):
-            part = bounds[i : i + 1000]
-            cols = [pa.array([ids[a] for a, _ in part], pa.int64()), pa.array([int(tags[a]) for a, _ in part], pa.int32())]
-            cols += [pa.array([squeeze(ordinal[a:b], flag[a:b]) for a, b in part], pa.binary()), pa.array([bool(flag[a:b].any()) for a, b in part], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "tag", "told", "differs"])
-
-    group, held = None, []
-    for batch in batches:
-        for g, _, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and g != group:
-                yield from settle(held)
-                held = []
-            group = g
-            held.append(blob)
-    if held:
-        yield from settle(held)
-
-
-def _round(rows: DataFrame, positions: Callable, n_buckets: int, whole: bool, name: str) -> DataFrame:
-    """One round: name positions, sort them by bucket, and bring what follows to each document."""
-    packed = "bucket long, kind int, blob binary"
-    sent = rows.mapInArrow(_sender(n_buckets, positions), packed).repartition("bucket").sortWithinPartitions("bucket")
-    told = sent.mapInArrow(_judges(n_buckets, whole), packed).repartition("bucket").sortWithinPartitions("bucket")
-    return materialise(told.mapInArrow(_gather, "id long, tag int, told binary, differs boolean"), name)
-
-
-def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document without its ranges."""
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        k = batch.num_columns - 1
-        yield batch.set_column(k, batch.schema.field(k), pa.array([packer.compress(x.as_py()) for x in batch.column(k)], pa.binary()))
-
-
-def _cut(threshold: int, gram: int) -> Callable:
+    unpack = zstandard.ZstdDecompressor()
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("kept", pa.binary())])
 
-    def cut(doc_ids: list, texts: list[bytes], told: list, windows: list) -> pa.RecordBatch:
-        base = np.cumsum([0, *(len(t) for t in texts)])
-        edge = np.zeros(base[-1] + 1, np.int32)
-        hit = [k for k, t in enumerate(told) if t]
-        doc, ordinal = _told([told[k] for k in hit], COVERED)
-        if len(doc):
-            moved = (base[hit] - np.cumsum([0, *(len(texts[k]) for k in hit)])[:-1])[doc]
-            first, last = _spans([texts[k] for k in hit], doc, ordinal, threshold, gram)
-            np.add.at(edge, first + moved, 1)
-            np.add.at(edge, last + moved + threshold, -1)
-        for k, w in enumerate(windows):
-            if w:
-                at = unsqueeze(w)[0].astype(np.int64) + base[k]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + threshold, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        out = []
-        for k, text in enumerate(texts):
-            own = gone[base[k] : base[k + 1]]
-            if own.any():
-                step = np.diff(own.astype(np.int8), prepend=0, append=0)
-                out.append((doc_ids[k], len(text), np.flatnonzero(step == 1), np.flatnonzero(step == -1), np.frombuffer(text, np.uint8)[~own].tobytes()))
-            else:
-                out.append((doc_ids[k], len(text), [], [], text))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    def send(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            doc_ids, packed, told, windows = (batch.column(i).to_pylist() for i in range(4))
-            texts = [unpack.decompress(x) for x in packed]
-            for i, j in _shares([len(t) for t in texts]):
-                yield cut(doc_ids[i:j], texts[i:j], told[i:j], windows[i:j])
-
-    return run
+    out, size = [], 0
+    for batch in batches:
+        for k in range(batch.num_rows):
+            i, text, ranges = (c[k] for c in batch.columns)
+            text = unpack.decompress(text.as_py())
+            if ranges.is_valid:
+                at = ranges.values.to_numpy()
+                start, end = at // RANGE, at // RANGE + at % RANGE
+                edge = np.bincount(start, minlength=len(text) + 1) - np.bincount(end, minlength=len(text) + 1)
+                gone = np.cumsum(edge[:-1]) > 0
+                step = np.diff(gone.astype(np.int8), prepend=0, append=0)
+                row = i.as_py(), len(text), np.flatnonzero(step == 1), np.flatnonzero(step == -1), np.frombuffer(text, np.uint8)[~gone].tobytes()
+            else:
+                row = i.as_py(), len(text), [], [], text
+            out.append(row)
+            size += len(text)
+            if size > STEP:
+                yield send(out)
+                out, size = [], 0
+    if out:
+        yield send(out)
 
 
 def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,17 +241,31 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
 
     A byte goes if a string of threshold bytes that covers it also starts in a document with a smaller doc_id; the
     strings are those of the input. Texts are UTF-8; null texts are empty; texts shorter than threshold stay whole.
-    A null doc_id counts as larger than all others. Rows that repeat an id do not cover each other. An empty table
-    gives no rows; other columns are not looked at.
+    A null doc_id counts as larger than all others. Rows that repeat an id do not cover each other, and neither do rows
+    without one; each is judged by itself. An empty table gives no rows; other columns are not looked at. A text may
+    have 2 GB. gram is 8 bytes at least and less than 256 shorter than threshold.
     """
-    largest = (1 << 63) - 1
+    if not 8 <= gram <= threshold < gram + 256:
+        raise ValueError("gram is 8 bytes at least and less than 256 shorter than threshold")
+    largest, reach = (1 << 63) - 1, threshold - gram
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(largest)).alias("id"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("tag"), text.alias("text"))
-    n_buckets = 1 << max(6, (2 * rows.rdd.getNumPartitions() - 1).bit_length())
-    first = _round(rows, _runs_of(threshold, gram), n_buckets, False, "runs")
-    packed = rows.mapInArrow(_packed_texts, "id long, tag int, text binary")
-    differing = packed.join(first.where("differs").select("id", "tag", "told"), ["id", "tag"]).dropDuplicates(["id", "tag"])
-    second = _round(differing.select("id", "tag", "text", "told"), _windows_of(threshold, gram), n_buckets, True, "windows")
-    joined = packed.join(first.select("id", "tag", "told"), ["id", "tag"], "left").join(second.select("id", "tag", F.col("told").alias("windows")), ["id", "tag"], "left")
-    out = joined.select("id", "text", "told", "windows").mapInArrow(_cut(threshold, gram), "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary")
+    # Rows of equal id and text share their ranges; so an id and a hash of the text name a row.
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(largest)).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    runs_of = lambda: rows.mapInArrow(sampler(threshold, gram), SAMPLE)
+    shared = materialise(runs_of().groupBy("rank").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b").select("rank"), "shared-ranks")
+    common = materialise(runs_of().join(shared, "rank", "left_semi"), "shared-runs")
+    told = judged(common, "told-runs")
+    covered = [told.where("covered").select("id", "tag", (F.col("first") * F.lit(RANGE) + F.shiftright("shape", 8) - 1 + threshold).alias("range"))]
+    packed = rows.mapInArrow(_packed, "id long, tag long, text binary")
+    left = told.where("NOT covered").groupBy("id", "tag").agg(F.collect_set(F.struct("first", "shape", "rank")).alias("x"))
+    left = packed.join(left, ["id", "tag"]).select("id", "tag", "text", "x.first", "x.shape", "x.rank")
+    open_rows = materialise(left.mapInArrow(_stretches(threshold), "id long, tag long, first int, back int, low int, high int, rank long, bytes binary, p int"), "stretches")
+    size = 1 << reach.bit_length()
+    while size > 1 and not open_rows.isEmpty():
+        told = judged(halved(open_rows, size, threshold, reach), f"told-{size}")
+        start = F.col("first") + F.col("back") - F.col("high")
+        covered.append(told.where("covered").select("id", "tag", (start * F.lit(RANGE) + F.col("high") - F.col("low") + threshold).alias("range")))
+        open_rows, size = told.where("NOT covered"), size // 2
+    ranges = reduce(DataFrame.unionByName, covered).groupBy("id", "tag").agg(F.collect_set("range").alias("ranges"))
+    out = packed.join(ranges, ["id", "tag"], "left").select("id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != largest, F.col("doc_id")))
