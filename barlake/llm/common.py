@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from bisect import bisect_left, bisect_right
@@ -22,27 +23,45 @@ ROW = "__row"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share.
 
-    The cluster names its shared folder in spark.checkpoint.dir. Only where that is unset, as in local tests,
-    is a temporary folder of this machine taken.
+    The cluster names its shared folder in spark.checkpoint.dir. Only where that is unset and all runs on this machine,
+    as in local tests, is a temporary folder taken.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="barlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Folders of one operator's steps, each dropped once no later step reads it. Those of its result stay."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+        conf, clean = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        path, before = shared_dir(self.spark, name), conf.get(clean, "false")
+        conf.set(clean, "true")  # the shuffles have done their work once the rows are written
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(clean, before)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path, clean = shared_dir(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")  # the shuffles have done their work once the rows are written
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written to a folder that stays, and read back."""
+    return Scratch(df.sparkSession).write(df, name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

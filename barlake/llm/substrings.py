@@ -12,7 +12,8 @@ and only undecided rows go on. Two things differ from the textbook:
   is needed.
 
 Round 0 ranks a run by its GRAM bytes. A rank that no second document has is unique and done. Runs of equal rank whose
-whole stretch of bytes is equal are copies: those of larger documents go. What is left, as at the ends of a copied
+whole stretch of bytes, named by pairs of the GRAM-byte ranks that lie in it, is equal are copies: those of larger
+documents go. What is left, as at the ends of a copied
 passage, is doubled: the windows of a run are halved by where the minimiser lies in them, and each half is ranked by the
 pair of its parent's rank and the rank of as many bytes at an offset, so that the ranked string grows until it is the
 window itself. The rows of these rounds carry their 80 bytes at most and need Spark's own functions only.
@@ -27,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from barlake.llm.common import SLICE, halves, materialise
+from barlake.llm.common import SLICE, Scratch, halves
 
 THRESHOLD, GRAM = 50, 20
 #: Text bytes that a task samples or cuts at a time.
@@ -36,7 +38,10 @@ STEP = 3 << 20
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: A place in a document and a length, in one number.
 RANGE = 1 << 32
-SAMPLE = "rank long, span long, id long, tag long, first int, shape int"
+SAMPLE = "rank long, span long, id long, tag long, place long"
+#: Ranks that over one in so many of a sample's rows have are hot, and so at most that many ranks are; the sample is that
+#: of every so-many-th document.
+HOT, HOT_SAMPLE = 5_000, 50
 
 
 def gram_hashes(buf: np.ndarray, gram: int, salt: int = 0) -> np.ndarray:
@@ -86,13 +91,13 @@ def pieces(texts: list[bytes], threshold: int, step: int) -> Iterator[tuple[list
 
 
 def runs(parts: list[bytes], threshold: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(part, first window, number of windows, offset of the minimiser, name of its gram), a row for each run.
+    """(part, first window, number of windows, offset of the minimiser, rank of its gram, name of all its bytes), a row for each run.
 
     A run is the windows of one part that share a minimiser; windows begin at offsets into the part.
     """
     buf = np.frombuffer(b"".join(parts), np.uint8)
     if len(buf) < threshold:
-        return tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, np.uint64),)
+        return tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, np.uint64),) * 2
     sizes = np.array([len(t) for t in parts], np.int64)
     ends = np.cumsum(sizes)
     h = gram_hashes(buf, gram)
@@ -105,14 +110,30 @@ def runs(parts: list[bytes], threshold: int, gram: int) -> tuple[np.ndarray, ...
     key, of = at[start], part[start]
     head = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(of) != 0)))
     count = np.diff(np.append(head, len(start)))
-    return of[head], start[head] - (ends - sizes)[of[head]], count, key[head] - start[head], h[key[head]]
+    back = key[head] - start[head]
+    span = names(h, start[head], count - 1 + threshold, gram, 2 * threshold - gram)
+    with np.errstate(over="ignore"):
+        span ^= back.astype(np.uint64) * _C[1]
+    return of[head], start[head] - (ends - sizes)[of[head]], count, back, h[key[head]], span
+
+
+def names(h: np.ndarray, start: np.ndarray, length: np.ndarray, gram: int, longest: int) -> np.ndarray:
+    """Names of stretches of bytes: gram ranks at growing offsets, each paired with the name so far."""
+    name = length.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for offset in range(0, longest, gram):
+            name = (name ^ h[start + np.minimum(offset, length - gram)]) * _C[offset // gram % 3]
+            name ^= name >> np.uint64(31)
+    return name
 
 
 def sampler(threshold: int, gram: int) -> Callable:
-    """A row for each run of the texts: rank of its gram, hash of its bytes, document, first window, and its shape."""
+    """A row for each run of the texts: rank of its gram, name of its bytes, document, and its place.
+
+    A place is the first window, the number of windows and the minimiser's offset in one number.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
-    from xxhash import xxh3_64_intdigest
 
     schema = to_arrow_schema(StructType.fromDDL(SAMPLE))
 
@@ -121,30 +142,37 @@ def sampler(threshold: int, gram: int) -> Callable:
             for batch in halves(whole, SLICE) if whole.num_rows else ():
                 ids, tags = (batch.column(k).to_numpy() for k in (0, 1))
                 for numbers, offsets, parts in pieces(batch.column(2).to_pylist(), threshold, STEP):
-                    of, first, count, back, name = runs(parts, threshold, gram)
-                    if not len(of):
-                        continue
-                    views = [memoryview(p) for p in parts]
-                    spans = zip(of.tolist(), first.tolist(), (first + count - 1 + threshold).tolist(), back.tolist(), strict=True)
-                    span = np.fromiter((xxh3_64_intdigest(views[k][a:b], s) for k, a, b, s in spans), np.uint64, len(of))
-                    doc = np.array(numbers)[of]
-                    cols = (name.view(np.int64), span.view(np.int64), ids[doc], tags[doc], (first + np.array(offsets)[of]).astype(np.int32), (count << 8 | back).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                    of, first, count, back, rank, span = runs(parts, threshold, gram)
+                    if len(of):
+                        doc = np.array(numbers)[of]
+                        place = (first + np.array(offsets)[of]) << 16 | count << 8 | back
+                        cols = (rank.view(np.int64), span.view(np.int64), ids[doc], tags[doc], place)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
 
-def judged(rows: DataFrame, name: str) -> DataFrame:
+def shared(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows whose rank another document has too; of hot ranks all, dealt over many tasks, as some document will have it."""
+    dealt = rows.join(F.broadcast(hot), "rank", "left").withColumn("salt", F.when(F.col("hot"), F.xxhash64("id", "place")).otherwise(0))
+    same = W.partitionBy("rank", "salt")
+    dealt = dealt.withColumns({"_low": F.min("id").over(same), "_high": F.max("id").over(same)})
+    return dealt.where("hot OR _low < _high").select(rows.columns)
+
+
+def judged(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
     """rows (rank, span, id, ...) that are not decided to stay, with covered: a smaller id has the same rank and span.
 
     The others share their rank with another document whose span differs, and go on. Counts are added up before they
     are shuffled, so a rank that a third of all rows have is one row of each task.
     """
-    spans = materialise(rows.groupBy("rank", "span").agg(F.min("id").alias("_first"), F.max("id").alias("_last")), f"{name}-spans")
+    spans = scratch.write(rows.groupBy("rank", "span").agg(F.min("id").alias("_first"), F.max("id").alias("_last")), f"{name}-spans")
     ranks = spans.groupBy("rank").agg(F.min("_first").alias("_low"), F.max("_last").alias("_high"), (F.count("*") > 1).alias("_several")).where("_low < _high")
     both = spans.join(ranks.select("rank", "_several"), "rank").where("_several OR _first < _last").select("rank", "span", "_first", "_several")
-    told = rows.join(both, ["rank", "span"]).withColumn("covered", F.col("id") > F.col("_first")).where("covered OR _several")
-    return materialise(told.drop("_first", "_several"), name)
+    told = rows.join(both.hint("shuffle_hash"), ["rank", "span"]).withColumn("covered", F.col("id") > F.col("_first")).where("covered OR _several")
+    told = scratch.write(told.drop("_first", "_several"), name)
+    scratch.drop(f"{name}-spans")
+    return told
 
 
 def piece(start: Column, length: Column | int) -> Column:
@@ -190,12 +218,11 @@ def _stretches(threshold: int) -> Callable:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
-                i, tag, text, first, shape, rank = (c[k] for c in batch.columns)
-                text, first, shape = unpack.decompress(text.as_py()), first.values.to_numpy(), shape.values.to_numpy()
-                rank = rank.values.to_numpy()
-                for at in range(0, len(first), 10_000):
-                    f, s, r = (x[at : at + 10_000] for x in (first, shape, rank))
-                    count, back = s >> 8, s & 255
+                i, tag, text, place, rank = (c[k] for c in batch.columns)
+                text, place, rank = unpack.decompress(text.as_py()), place.values.to_numpy(), rank.values.to_numpy()
+                for at in range(0, len(place), 10_000):
+                    p, r = (x[at : at + 10_000] for x in (place, rank))
+                    f, count, back = p >> 16, p >> 8 & 255, p & 255
                     whole = [text[a : a + n] for a, n in zip(f.tolist(), (count - 1 + threshold).tolist(), strict=True)]
                     cols = (np.full(len(f), i.as_py()), np.full(len(f), tag.as_py()), f, back, back - count + 1, back, r, whole, np.zeros(len(f), np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
@@ -250,22 +277,33 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
     largest, reach = (1 << 63) - 1, threshold - gram
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     # Rows of equal id and text share their ranges; so an id and a hash of the text name a row.
+    scratch = Scratch(df.sparkSession)
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(largest)).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    runs_of = lambda: rows.mapInArrow(sampler(threshold, gram), SAMPLE)
-    shared = materialise(runs_of().groupBy("rank").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b").select("rank"), "shared-ranks")
-    common = materialise(runs_of().join(shared, "rank", "left_semi"), "shared-runs")
-    told = judged(common, "told-runs")
-    covered = [told.where("covered").select("id", "tag", (F.col("first") * F.lit(RANGE) + F.shiftright("shape", 8) - 1 + threshold).alias("range"))]
+    sampled = lambda x: x.mapInArrow(sampler(threshold, gram), SAMPLE)
+    some = sampled(rows.where(F.pmod("tag", F.lit(HOT_SAMPLE)) == 0)).groupBy("rank").agg(F.count("*").alias("n"))
+    some = scratch.write(some.where("n > 1"), "sampled-ranks")
+    total = (some.agg(F.sum("n")).first()[0] or 0) + 1
+    hot = some.where(F.col("n") * HOT > total).select("rank", F.lit(True).alias("hot"))
+    common = scratch.write(shared(sampled(rows), hot), "shared-runs")
+    told = judged(scratch, common, "told-runs")
+    scratch.drop("sampled-ranks", "shared-runs")
+    place = lambda bits, mask: F.shiftright("place", bits).bitwiseAND(mask)
+    found = told.where("covered").select("id", "tag", (F.shiftright("place", 16) * F.lit(RANGE) + place(8, 255) - 1 + threshold).alias("range"))
+    covered = [scratch.write(found, "covered-runs")]
     packed = rows.mapInArrow(_packed, "id long, tag long, text binary")
-    left = told.where("NOT covered").groupBy("id", "tag").agg(F.collect_set(F.struct("first", "shape", "rank")).alias("x"))
-    left = packed.join(left, ["id", "tag"]).select("id", "tag", "text", "x.first", "x.shape", "x.rank")
-    open_rows = materialise(left.mapInArrow(_stretches(threshold), "id long, tag long, first int, back int, low int, high int, rank long, bytes binary, p int"), "stretches")
-    size = 1 << reach.bit_length()
+    left = told.where("NOT covered").groupBy("id", "tag").agg(F.collect_set(F.struct("place", "rank")).alias("x"))
+    left = packed.join(left, ["id", "tag"]).select("id", "tag", "text", "x.place", "x.rank")
+    open_rows = scratch.write(left.mapInArrow(_stretches(threshold), "id long, tag long, first int, back int, low int, high int, rank long, bytes binary, p int"), "stretches")
+    scratch.drop("told-runs")
+    size, before = 1 << reach.bit_length(), "stretches"
     while size > 1 and not open_rows.isEmpty():
-        told = judged(halved(open_rows, size, threshold, reach), f"told-{size}")
+        told = judged(scratch, halved(open_rows, size, threshold, reach), f"told-{size}")
+        scratch.drop(before)
         start = F.col("first") + F.col("back") - F.col("high")
-        covered.append(told.where("covered").select("id", "tag", (start * F.lit(RANGE) + F.col("high") - F.col("low") + threshold).alias("range")))
-        open_rows, size = told.where("NOT covered"), size // 2
+        found = told.where("covered").select("id", "tag", (start * F.lit(RANGE) + F.col("high") - F.col("low") + threshold).alias("range"))
+        covered.append(scratch.write(found, f"covered-{size}"))
+        open_rows, before, size = told.where("NOT covered"), f"told-{size}", size // 2
+    scratch.drop(before)
     ranges = reduce(DataFrame.unionByName, covered).groupBy("id", "tag").agg(F.collect_set("range").alias("ranges"))
     out = packed.join(ranges, ["id", "tag"], "left").select("id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != largest, F.col("doc_id")))
