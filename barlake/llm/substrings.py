@@ -201,7 +201,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column compressed: texts take less room in the shuffles."""
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=1)
     for whole in batches:
         for batch in halves(whole, SLICE) if whole.num_rows else ():
             k = batch.num_columns - 1
@@ -215,17 +215,29 @@ def _stretches(threshold: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+        def send(rows: list[tuple]) -> pa.RecordBatch:
+            ids, tags, places, ranks, whole = ([r[k] for r in rows] for k in range(5))
+            n = [len(x) for x in places]
+            place = np.concatenate(places)
+            first, count, back = place >> 16, place >> 8 & 255, place & 255
+            cols = (np.repeat(ids, n), np.repeat(tags, n), first, back, back - count + 1, back, np.concatenate(ranks), [x for w in whole for x in w], np.zeros(len(place), np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+
+        unpack, held, size = zstandard.ZstdDecompressor(), [], 0
         for batch in batches:
+            ids, tags = (batch.column(k).to_numpy() for k in (0, 1))
             for k in range(batch.num_rows):
-                i, tag, text, place, rank = (c[k] for c in batch.columns)
-                text, place, rank = unpack.decompress(text.as_py()), place.values.to_numpy(), rank.values.to_numpy()
+                text, place, rank = unpack.decompress(batch.column(2)[k].as_py()), batch.column(3)[k].values.to_numpy(), batch.column(4)[k].values.to_numpy()
                 for at in range(0, len(place), 10_000):
-                    p, r = (x[at : at + 10_000] for x in (place, rank))
-                    f, count, back = p >> 16, p >> 8 & 255, p & 255
-                    whole = [text[a : a + n] for a, n in zip(f.tolist(), (count - 1 + threshold).tolist(), strict=True)]
-                    cols = (np.full(len(f), i.as_py()), np.full(len(f), tag.as_py()), f, back, back - count + 1, back, r, whole, np.zeros(len(f), np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+                    p = place[at : at + 10_000]
+                    whole = [text[x >> 16 : (x >> 16) + (x >> 8 & 255) - 1 + threshold] for x in p.tolist()]
+                    held.append((ids[k], tags[k], p, rank[at : at + 10_000], whole))
+                    size += len(p)
+                    if size >= 10_000:
+                        yield send(held)
+                        held, size = [], 0
+        if held:
+            yield send(held)
 
     return run
 
