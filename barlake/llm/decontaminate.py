@@ -3,7 +3,9 @@
 A window of m characters of an item that occurs in a document with at most k edits shares m - q + 1 - k q of its q-grams
 with it, on diagonals at most k apart. Shared q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half,
 so that the diagonals of any such occurrence lie in one band. Windows begin at every character of the item; those that
-reach the count in a band are aligned, all at once.
+reach the count in a band are aligned, all at once. Windows that occur as they are come first, by their hashes: what lies
+inside a stretch found so far needs no pairs of places and no alignment, so that repetitive texts cost little. Pairs of
+places are made for a part of the text at a time.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import id_text
+from barlake.llm.common import SLICE, halves, id_text
 
 #: Production parameters: q-gram length, window of an item, edits allowed in a window.
 Q, WINDOW, EDITS = 10, 64, 4
 #: Windows of an item that are aligned at once.
 WINDOWS = 4096
+#: Pairs of an item's and a text's places that are held at once, about.
+PAIRS = 1 << 20
 #: Text of the items that one pass over the documents takes, at most: so much is broadcast.
 ITEM_BYTES = 8 << 20
 _HASH, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -74,20 +78,21 @@ def needed(length: int, q: int, window: int, edits: int) -> tuple[int, int, int]
 
 
 class Items:
-    """The items' q-grams, sorted by hash, each with its item and place, and a bit table that rules most grams out."""
+    """The q-grams of all items, sorted by hash, each once for an item, and a bit table that rules most grams out."""
 
     def __init__(self, items: list[tuple[int, str]], q: int):
-        self.ids = [i for i, _ in items]
+        self.ids, self.q = [i for i, _ in items], q
         self.points = [codes(fold(t)) for _, t in items]
-        per_item = [grams(p, q) for p in self.points]
+        per_item = [np.unique(grams(p, q)) for p in self.points]
         h = np.concatenate([*per_item, np.empty(0, np.uint64)])
         item = np.repeat(np.arange(len(items)), [len(x) for x in per_item])
-        place = np.concatenate([*(np.arange(len(x)) for x in per_item), np.empty(0, np.int64)]).astype(np.int64)
         order = np.argsort(h, kind="stable")
-        self.h, self.item, self.place = h[order], item[order], place[order]
+        self.h, self.item = h[order], item[order]
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self._need: dict[tuple, np.ndarray] = {}
+        self._places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._windows: dict[tuple[int, int], np.ndarray] = {}
 
     def need(self, *sizes: int) -> np.ndarray:
         """The shared q-grams that each item needs."""
@@ -95,6 +100,20 @@ class Items:
             self._need[sizes] = np.array([needed(len(p), *sizes)[2] for p in self.points])
         return self._need[sizes]
 
+    def places(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of one item's q-grams, sorted, and their places."""
+        if k not in self._places:
+            h = grams(self.points[k], self.q)
+            order = np.argsort(h, kind="stable")
+            self._places[k] = h[order], order
+        return self._places[k]
+
+    def windows(self, k: int, m: int) -> np.ndarray:
+        """Hashes of one item's windows of m characters."""
+        if (k, m) not in self._windows:
+            self._windows[k, m] = np.unique(grams(self.points[k], m))
+        return self._windows[k, m]
+
 
 @lru_cache(maxsize=4)
 def prepared(items: tuple[tuple[int, str], ...], q: int) -> Items:
@@ -148,40 +167,89 @@ def align_windows(item: np.ndarray, windows: np.ndarray, m: int, text: np.ndarra
     return cost[np.arange(len(windows)), d], windows + m + low + d
 
 
+class Stretches:
+    """Disjoint stretches of a text in order, each with the edits of its first window."""
+
+    def __init__(self):
+        self.all: list[tuple[int, int, int]] = []
+
+    def add(self, found: list[tuple[int, int, int]]) -> None:
+        merged: list[tuple[int, int, int]] = []
+        for s, e, d in sorted(self.all + found):
+            if merged and s <= merged[-1][1]:
+                merged[-1] = merged[-1][0], max(e, merged[-1][1]), merged[-1][2]
+            else:
+                merged.append((s, e, d))
+        self.all = merged
+
+    def inside(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not self.all:
+            return np.zeros(len(start), bool)
+        s, e = (np.array([x[k] for x in self.all]) for k in (0, 1))
+        at = np.searchsorted(s, start, "right") - 1
+        return (at >= 0) & (e[at] >= end)
+
+
 def matches(text: str, items: Items, q: int = Q, window: int = WINDOW, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
-    """(item number, start, end, edits of the first window) for each item that occurs in text."""
+    """(item number, start, end, edits of the first window) for each stretch of text that items' windows occur in."""
     points = codes(fold(text))
     h = grams(points, q)
     at = np.flatnonzero(items.table[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
     if not len(at):
         return []
-    h = h[at]
-    first, last = np.searchsorted(items.h, h, "left"), np.searchsorted(items.h, h, "right")
+    first, last = (np.searchsorted(items.h, h[at], side) for side in ("left", "right"))
     n = last - first
-    which = np.repeat(np.arange(len(at)), n)
-    if not len(which):
-        return []
-    entry = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    item, place, pos = items.item[entry], items.place[entry], at[which]
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    need = items.need(q, window, edits)
-    for k in np.flatnonzero(np.bincount(item, minlength=len(items.ids)) >= need):
-        own = item == k
-        hits = region(items.points[k], points, place[own], pos[own], q, window, edits)
-        if hits:
-            found[int(k)] = hits
-    return [(k, s, e, d) for k, hits in found.items() for s, e, d in hits]
-
-
-def region(item: np.ndarray, points: np.ndarray, place: np.ndarray, pos: np.ndarray, q: int, window: int, edits: int) -> list[tuple[int, int, int]]:
-    """Stretches (start, end, edits of the first window) of one document that align with windows of one item."""
+    entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    known: dict[int, Stretches] = {}
+    whole: dict[int, np.ndarray] = {}
+    for k in np.flatnonzero(np.bincount(items.item[entry], minlength=len(items.ids)) >= items.need(q, window, edits)):
+        m = needed(len(items.points[k]), q, window, edits)[0]
+        if m not in whole:
+            whole[m] = grams(points, m)
+        known[int(k)] = found = Stretches()
+        exact = np.flatnonzero(np.isin(whole[m], items.windows(int(k), m)))
+        if len(exact):
+            cuts = np.flatnonzero(np.diff(exact) > m) + 1
+            found.add([(int(x[0]), int(x[-1]) + m, 0) for x in np.split(exact, cuts)])
+        occurrences(int(k), items, points, h, found, q, window, edits)
+    return [(k, s, e, d) for k, x in known.items() for s, e, d in x.all]
+
+
+def occurrences(k: int, items: Items, points: np.ndarray, h: np.ndarray, known: Stretches, q: int, window: int, edits: int) -> None:
+    """Adds to known all occurrences of one item's windows with edits.
+
+    Places of the text from which an occurrence can only lie inside a known stretch are left out. The rest is taken in
+    parts with so many pairs of places; parts overlap by the longest occurrence.
+    """
+    m, limit, need = needed(len(items.points[k]), q, window, edits)
+    own, place = items.places(k)
+    first, last = np.searchsorted(own, h, "left"), np.searchsorted(own, h, "right")
+    reach = m + 2 * limit + q
+    at = np.flatnonzero(last > first)
+    at = at[~known.inside(at - reach, at + reach)]
+    n = (last - first)[at]
+    i = 0
+    while i < len(at) and len(at) - i >= need:
+        j = max(i + 1, int(np.searchsorted(np.cumsum(n[i:]), PAIRS, "right")) + i)
+        end = int(np.searchsorted(at, at[j - 1] + reach, "right"))
+        part = slice(i, end)
+        pos = np.repeat(at[part], n[part])
+        entry = np.arange(len(pos)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + np.repeat(first[at[part]], n[part])
+        region(items.points[k], points, place[entry], pos, known, q, window, edits)
+        i = j
+        if i < len(at):
+            left = ~known.inside(at[i:] - reach, at[i:] + reach)
+            at, n, i = at[i:][left], n[i:][left], 0
+
+
+def region(item: np.ndarray, points: np.ndarray, place: np.ndarray, pos: np.ndarray, known: Stretches, q: int, window: int, edits: int) -> None:
+    """Adds to known where windows of one item align with a part of one document, given their pairs of equal q-grams."""
     m, k, need = needed(len(item), q, window, edits)
     diagonal, step = pos - place, k + 1
-    out: list[tuple[int, int, int]] = []
     bands = np.concatenate([diagonal // step, diagonal // step - 1])
-    place, pos = np.concatenate([place, place]), np.concatenate([pos, pos])
-    order = np.lexsort((place, pos, bands))
-    bands, place, pos = bands[order], place[order], pos[order]
+    place = np.concatenate([place, place])
+    order = np.argsort(bands, kind="stable")
+    bands, place = bands[order], place[order]
     heads = np.flatnonzero(np.append(True, np.diff(bands) != 0))
     for a, b in zip(heads, np.append(heads[1:], len(bands)), strict=True):
         if b - a < need:
@@ -193,20 +261,13 @@ def region(item: np.ndarray, points: np.ndarray, place: np.ndarray, pos: np.ndar
         shared = np.cumsum(shared)
         count = shared[m - q + 1 :] - shared[: len(shared) - (m - q + 1)]
         windows = np.flatnonzero(count >= need)
-        # Along one band, occurrences of a window in the document lie at least one step of the band apart.
+        windows = windows[~known.inside(windows + low - 2 * k, windows + m + high + 2 * k)]
         for i in range(0, len(windows), WINDOWS):
             w = windows[i : i + WINDOWS]
             cost, end = align_windows(item, w, m, points, low - k, high + k, k)
             hit = cost <= k
-            out += zip(np.maximum(0, end - m - cost)[hit].tolist(), end[hit].tolist(), cost[hit].tolist(), strict=True)
-    out.sort()
-    merged: list[tuple[int, int, int]] = []
-    for s, e, d in out:
-        if merged and s <= merged[-1][1]:
-            merged[-1] = merged[-1][0], max(e, merged[-1][1]), merged[-1][2]
-        else:
-            merged.append((s, e, d))
-    return merged
+            if hit.any():
+                known.add(list(zip(np.maximum(0, end - m - cost)[hit].tolist(), end[hit].tolist(), cost[hit].tolist(), strict=True)))
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[tuple[int, str], ...]]:
@@ -245,7 +306,7 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, window: int = WINDOW
 def _search(sent, q: int, window: int, edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = prepared(sent.value, q)
-        for batch in batches:
+        for batch in (part for whole in batches if whole.num_rows for part in halves(whole, SLICE)):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows += [(doc_id, items.ids[k], s, e, d) for k, s, e, d in matches(text, items, q, window, edits)]
