@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import ROW, keyed
+from barlake.llm.common import ROW, keyed, materialise
 
 BLANKS = r"[ \t\n\x0B\f\r]+"
 SYMBOLS = "#*$%&|<>"
-#: A line of more than so many different texts of one host is boilerplate.
-MAX_TEXTS = 20
+#: A line in more than so many documents of one host is boilerplate.
+MAX_DOCUMENTS = 20
 #: A document that keeps less than this share of its words is depleted.
 MIN_KEPT = 0.3
 
@@ -52,58 +52,74 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, BLANKS, " "))))
 
 
-def assess(df: DataFrame, host_col: str = "source", max_texts: int = MAX_TEXTS, min_kept: float = MIN_KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words,
-    base_failed, kept.
+def host_key(host: Column) -> Column:
+    """A text for each host; none equals that of a null host."""
+    return F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit("-"))
 
-    A line is common if more than max_texts different texts of its host have it; exact copies of a text count once.
-    It is removed from all but the first document of the host that has it, by doc_id, so that of a group of copies one
-    stays whole. kept is false for documents that fail the base rules or keep less than min_kept of their words.
 
-    Null texts are empty and fail for want of words; a null host is a host of its own. Rows that repeat an id share its
-    removed lines. An empty table gives no rows; other columns are not looked at.
-    """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("\x00")).alias("host"))
+def counted(rows: DataFrame, row: Column, host_col: str, id_col: str, text_col: str, name: str) -> DataFrame:
+    """What the rules need of each row, in one pass over the texts: counts, and the key and number of words of each line."""
+    docs = rows.select(row.alias(ROW), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), host_key(F.col(host_col)).alias("host"))
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
-    per_doc = docs.select(
-        "doc_id",
-        let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
+    of_words = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    of_lines = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup"), F.transform(x, lambda y: F.struct(line_key(y).alias("k"), F.size(words_of(y)).alias("n"))).alias("all")))
+    found = docs.select(
+        ROW, "doc_id", "host", of_words.alias("w"), of_lines.alias("l"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    )
-    of_lines = docs.select("host", "doc_id", F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("k"))
-    common = of_lines.groupBy("host", "k").agg(F.countDistinct("t").alias("texts"), F.min("doc_id").alias("first_id")).where(F.col("texts") > max_texts)
-    each = docs.select("host", "doc_id", F.explode(F.transform(lines, lambda x: F.struct(line_key(x).alias("k"), F.size(words_of(x)).alias("n")))).alias("x"))
-    each = each.select("host", "doc_id", F.col("x.k").alias("k"), F.col("x.n").alias("n"))
-    gone = each.join(common.select("host", "k", "first_id"), ["host", "k"]).where(F.col("doc_id") != F.col("first_id")).groupBy("doc_id").agg(F.sum("n").alias("n_common_words"))
-    flat = per_doc.select("doc_id", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
-    joined = flat.join(gone, "doc_id", "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)).cast("long"))
+    )
+    return materialise(found, name)
+
+
+def common_lines(found: DataFrame, max_documents: int) -> DataFrame:
+    """(row, key, words) of the lines that go: those in more than max_documents rows of a host, but for the first row.
+
+    The first is that with the smallest doc_id, null ids last, of equal ids that with the smallest number. Lines are
+    counted before they are shuffled, so that one which a third of all documents have is one row of each task.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    once = found.select("host", rank.alias("rank"), F.explode(F.array_distinct(F.transform("l.all", lambda x: x["k"]))).alias("k"))
+    common = once.groupBy("host", "k").agg(F.count("*").alias("documents"), F.min("rank").alias("first")).where(F.col("documents") > max_documents)
+    each = found.select("host", ROW, F.inline("l.all"))
+    return each.join(common.select("host", "k", F.col("first.row").alias("first_row")), ["host", "k"]).where(F.col(ROW) != F.col("first_row")).select(ROW, "k", "n")
+
+
+def judged(found: DataFrame, gone: DataFrame, min_kept: float) -> DataFrame:
+    flat = found.select(ROW, "doc_id", "w.n_words", "word_chars", "n_symbols", F.col("l.n_dup").alias("n_dup_lines"), "w.n_repeat_words")
+    out = flat.join(gone, ROW, "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     kept = ~failed & (F.col("n_words") - F.col("n_common_words") >= F.lit(min_kept) * F.col("n_words"))
-    return joined.withColumn("base_failed", failed).withColumn("kept", kept)
+    return out.withColumn("base_failed", failed).withColumn("kept", kept)
+
+
+def assess(df: DataFrame, host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words,
+    base_failed, kept.
+
+    A line is common if more than max_documents documents of its host have it. It is removed from all but the first of
+    them, by doc_id, so that of a group of copies one stays whole. kept is false for documents that fail the base rules
+    or keep less than min_kept of their words.
+
+    A row is a document: rows that repeat an id, or have none, are counted and judged each by itself. Null texts are empty
+    and fail for want of words; a null host is a host of its own. An empty table gives no rows; other columns are not
+    looked at.
+    """
+    found = counted(df, F.monotonically_increasing_id(), host_col, id_col, text_col, "quality-counts")
+    gone = common_lines(found, max_documents).groupBy(ROW).agg(F.sum("n").alias("n_common_words"))
+    return judged(found, gone, min_kept).drop(ROW)
 
 
-def cleaned(df: DataFrame, host_col: str = "source", max_texts: int = MAX_TEXTS, min_kept: float = MIN_KEPT, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The rows of df that the rules keep, all columns, their text without the common lines; chars_col as the text now is.
+def cleaned(df: DataFrame, host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows of df that assess() keeps, all columns, their text without the common lines; chars_col as the text now is.
 
-    Rules and common lines are those of assess(), but rows count, not ids: the first document of a line is the row with
-    the smallest id, null ids last, of equal ids any one. Lines keep their order; a row without common lines stays as it
-    is. An empty table gives no rows.
+    Lines keep their order; a row without common lines stays as it is. An empty table gives no rows.
     """
     rows = keyed(df, "quality-rows")
-    docs = rows.select(ROW, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(ROW).alias("row")).alias("rank"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("\x00")).alias("host"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
-    of_lines = docs.select("host", "rank", F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("k"))
-    common = of_lines.groupBy("host", "k").agg(F.countDistinct("t").alias("texts"), F.min("rank").alias("first")).where(F.col("texts") > max_texts)
-    each = docs.select("host", ROW, F.explode(F.transform(lines, lambda x: F.struct(line_key(x).alias("k"), F.size(words_of(x)).alias("n")))).alias("x")).select("host", ROW, "x.k", "x.n")
-    gone = each.join(common.select("host", "k", F.col("first.row").alias("first_row")), ["host", "k"]).where(F.col(ROW) != F.col("first_row"))
-    gone = gone.groupBy(ROW).agg(F.sum("n").alias("__gone"), F.collect_set("k").alias("__keys"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    passes = lambda w: (F.size(w) >= 10) & (100 * repeated_words(w) <= 20 * F.size(w)) & (F.size(w) - F.coalesce("__gone", F.lit(0)) >= F.lit(min_kept) * F.size(w))
-    kept = rows.join(gone, ROW, "left").where(let(words_of(text), passes))
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__keys", line_key(x))), "\n")
+    found = counted(rows, F.col(ROW), host_col, id_col, text_col, "quality-counts")
+    gone = common_lines(found, max_documents).groupBy(ROW).agg(F.sum("n").alias("n_common_words"), F.collect_set("k").alias("__keys"))
+    kept = rows.join(judged(found, gone, min_kept).where("kept").select(ROW, "__keys"), ROW)
+    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("__keys", line_key(x))), "\n")
     out = kept.withColumn(text_col, F.when(F.col("__keys").isNull(), F.col(text_col)).otherwise(rest))
     if chars_col:
         out = out.withColumn(chars_col, F.when(F.col("__keys").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(df.schema[chars_col].dataType)))
@@ -112,7 +128,7 @@ def cleaned(df: DataFrame, host_col: str = "source", max_texts: int = MAX_TEXTS,
 
 ORACLE_SQL = """
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS host,
+  SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || source, '-') AS host,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS l
   FROM documents),
@@ -123,7 +139,7 @@ rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM dup, range(0, 5) r(o) GRO
 ln AS (SELECT doc_id, host, t, unnest(l) AS x FROM d),
 nl AS (SELECT doc_id, host, t, lower(trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS k,
               len(list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0B\\f\\r]+'), lambda y: y <> '')) AS n FROM ln),
-com AS (SELECT host, k, min(doc_id) AS first_id FROM nl GROUP BY host, k HAVING count(DISTINCT t) > {max_texts}),
+com AS (SELECT host, k, min(doc_id) AS first_id FROM nl GROUP BY host, k HAVING count(DISTINCT doc_id) > {max_documents}),
 gone AS (SELECT nl.doc_id, sum(n) AS n FROM nl JOIN com USING (host, k) WHERE nl.doc_id <> first_id GROUP BY nl.doc_id),
 m AS (
   SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS word_chars,
@@ -133,4 +149,4 @@ m AS (
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND n_words - n_common_words >= {min_kept} * n_words AS kept FROM f
-""".format(max_texts=MAX_TEXTS, min_kept=MIN_KEPT)
+""".format(max_documents=MAX_DOCUMENTS, min_kept=MIN_KEPT)
