@@ -3,69 +3,135 @@
 The 64 bits are split into three blocks of at most 23 bits. Of two fingerprints at most 4 bits apart some block differs
 in one bit at most. The anchors of a block are the words of the perfect Golay code of length 23, whose covering radius
 is 3: a fingerprint goes to every anchor within 3 + 1 bits of its block, so any such pair meets at an anchor. There all
-64 bits are compared.
+64 bits are compared. A crowded anchor is refined by further anchors: the bits outside its block are split into three
+parts again, of which one differs in one bit at most, and the words of the perfect Hamming code of length 15, whose
+covering radius is 1, are the anchors of a part. So no cell grows with the input beyond what is near its anchors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
+from functools import lru_cache, reduce
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import id_text, map_rows, materialise
+from barlake.llm.common import Scratch, id_text, map_rows
 
 THRESHOLD = 4
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-LENGTH, DATA, RADIUS = 23, 12, 3
-GENERATOR = 0b101011100011
-#: Anchors hold so many fingerprints before they are refined by the pieces below.
-REFINE = 3_000
-#: Five pieces of the 64 bits: of a pair at most 4 bits apart one piece is equal.
-PIECES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SHINGLE = 4
+#: Fingerprints of a cell beyond which it is refined, at each depth. Large groups of near copies crowd every cell they
+#: are in, and cost little there, so deeper cells may hold more.
+CROWDED = (3_000, 30_000)
+
+
+class Code:
+    """A perfect cyclic code, by length, generator polynomial and covering radius."""
+
+    def __init__(self, length: int, generator: int, radius: int):
+        self.length, self.generator, self.radius = length, generator, radius
+        self.check = generator.bit_length() - 1
+
+    def syndromes(self, words: np.ndarray) -> np.ndarray:
+        """Remainders of the polynomials in words after division by the generator."""
+        rest = words.astype(np.int64)
+        for bit in range(self.length - 1, self.check - 1, -1):
+            rest = np.where(rest >> bit & 1, rest ^ (self.generator << (bit - self.check)), rest)
+        return rest
+
+    @lru_cache(maxsize=4)  # noqa: B019
+    def offsets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Patterns of up to radius + 1 bits by syndrome: word ^ pattern is an anchor if both have one syndrome.
+
+        Returned are the patterns, sorted by syndrome, and for each syndrome where its patterns begin and how many they are.
+        """
+        found = np.array([sum(1 << b for b in bits) for k in range(self.radius + 2) for bits in combinations(range(self.length), k)], dtype=np.int64)
+        s = self.syndromes(found)
+        order = np.argsort(s, kind="stable")
+        count = np.bincount(s, minlength=1 << self.check)
+        return found[order], np.cumsum(count) - count, count
+
+    def anchors(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the word and the anchor, for every anchor within radius + 1 bits."""
+        patterns, first, count = self.offsets()
+        s = self.syndromes(words)
+        n = count[s]
+        which = np.repeat(np.arange(len(words)), n)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[s], n)
+        return which, words[which] ^ patterns[place]
+
+
+#: The codes of each depth.
+CODES = (Code(23, 0b101011100011, 3), Code(15, 0b10011, 1), Code(15, 0b10011, 1))
 
 
-def syndromes(words: np.ndarray) -> np.ndarray:
-    """Remainders of the polynomials in words after division by the generator."""
-    rest = words.astype(np.int64)
-    for bit in range(LENGTH - 1, LENGTH - DATA - 1, -1):
-        rest = np.where(rest >> bit & 1, rest ^ (GENERATOR << (bit - (LENGTH - DATA))), rest)
-    return rest
+def parts(bits: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """Bits in three runs of nearly equal length."""
+    n = len(bits)
+    cuts = [0, -(-n // 3), -(-n // 3) + (n - -(-n // 3) + 1) // 2, n]
+    return [bits[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-@lru_cache(maxsize=1)
-def offsets() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Patterns of up to RADIUS + 1 bits by syndrome: word ^ pattern is an anchor if both have one syndrome.
+def gather(fps: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
+    out = np.zeros(len(fps), np.int64)
+    for k, bit in enumerate(bits):
+        out |= (fps >> np.uint64(bit) & np.uint64(1)).astype(np.int64) << k
+    return out
 
-    Returned are the patterns, sorted by syndrome, and for each syndrome where its patterns begin and how many they are.
+
+def anchors(fps: np.ndarray, depth: int = 0, taken: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the fingerprint and the cell, part and anchor in one number, of every replica.
+
+    taken are the numbers of the parts that the cells so far were of.
     """
-    found = np.array([sum(1 << b for b in bits) for k in range(RADIUS + 2) for bits in combinations(range(LENGTH), k)], dtype=np.int64)
-    s = syndromes(found)
-    order = np.argsort(s, kind="stable")
-    count = np.bincount(s, minlength=1 << (LENGTH - DATA))
-    return found[order], np.cumsum(count) - count, count
-
-
-def anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the fingerprint and the anchor, block number above the code word, of every replica."""
-    patterns, first, count = offsets()
-    at, keys = [], []
-    for k, (low, width) in enumerate(BLOCKS):
-        block = (fingerprints >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
-        s = syndromes(block)
-        n = count[s]
-        which = np.repeat(np.arange(len(block)), n)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[s], n)
+    bits, at, keys, code = tuple(range(64)), [], [], CODES[depth]
+    for k in taken:
+        gone = set(parts(bits)[k])
+        bits = tuple(b for b in bits if b not in gone)
+    for k, part in enumerate(parts(bits)):
+        which, word = code.anchors(gather(fps, part))
         at.append(which)
-        keys.append(k << LENGTH | (block[which] ^ patterns[place]))
+        keys.append(k << code.length | word)
     return np.concatenate(at), np.concatenate(keys)
 
 
+def replicas(fps: DataFrame) -> DataFrame:
+    """(cell, fp) of the first depth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 20_000):
+                fp = np.array(batch.column(0).slice(i, 20_000).to_numpy()).view(np.uint64)
+                at, key = anchors(fp)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at].view(np.int64))], names=["cell", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "cell long, fp long")
+
+
+def refined(cells: DataFrame, depth: int) -> DataFrame:
+    """(cell, fp) one depth further: the number of a cell goes on from that of the cell it lies in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 10_000):
+                cell, fp = (np.array(batch.column(k).slice(i, 10_000).to_numpy()) for k in (0, 1))
+                # The parts taken so far, from the first on, stand above each depth's anchor.
+                rest, taken = cell.copy(), np.zeros(len(cell), np.int64)
+                for d in range(depth - 1, -1, -1):
+                    taken = taken * 3 + (rest >> CODES[d].length & 3)
+                    rest >>= CODES[d].length + 2
+                for t in np.unique(taken):
+                    own = taken == t
+                    way = tuple(int(t) // 3**d % 3 for d in range(depth))
+                    at, key = anchors(fp[own].view(np.uint64), depth, way)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[own][at] << (CODES[depth].length + 2) | key), pa.array(fp[own][at])], names=["cell", "fp"])
+
+    return cells.select("cell", "fp").mapInArrow(run, "cell long, fp long")
+
+
 def fingerprint(text: str) -> int:
     """Bits that over half of the shingles' hashes have set."""
     from xxhash import xxh64_intdigest
@@ -141,56 +207,51 @@ def stars(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def compare(replicas: DataFrame, key: str, threshold: int) -> DataFrame:
-    """Edges (a, b) between the fingerprints that share a key, as stars."""
+def compare(cells: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) between the fingerprints that share a cell, as stars."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, v in groups(key, "fp", batches):
+        for _, v in groups("cell", "fp", batches):
             a, b = stars(v.view(np.uint64), threshold)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
 
-    return replicas.repartition(key).sortWithinPartitions(key).mapInArrow(run, "a long, b long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Edges that connect all fingerprints (column fp) within threshold bits: per anchor, stars instead of pairs."""
+def links(scratch: Scratch, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Edges that connect all fingerprints (column fp) within threshold bits: per cell, stars instead of pairs."""
     if threshold > THRESHOLD:
-        raise ValueError(f"three blocks find pairs at most {THRESHOLD} bits apart")
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 20_000):
-                fp = np.array(batch.column(0).slice(i, 20_000).to_numpy()).view(np.uint64)
-                at, key = anchors(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[at].view(np.int64))], names=["anchor", "fp"])
-
-    replicas = distinct.select("fp").mapInArrow(replicate, "anchor int, fp long")
-    # The anchors are 3 * 2^12 at most, so this list is short at every size of the input.
-    crowded = F.broadcast(materialise(replicas.groupBy("anchor").count().where(F.col("count") > REFINE).select("anchor"), "crowded"))
-    fine = replicas.join(crowded, "anchor").select("anchor", "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1).alias("v")) for k, (low, width) in enumerate(PIECES)))).alias("p"))
-    fine = fine.select((F.col("anchor").cast("long") * 8 + F.col("p.k")).alias("ak"), "p.v", "fp").select((F.col("ak") * (1 << 13) + F.col("v")).alias("anchor"), "fp")
-    coarse = replicas.join(crowded, "anchor", "left_anti").select((-1 - F.col("anchor").cast("long")).alias("anchor"), "fp")
-    return compare(coarse.unionByName(fine), "anchor", threshold).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
+        raise ValueError(f"three parts find pairs at most {THRESHOLD} bits apart")
+    cells, found = replicas(distinct), []
+    for depth, limit in enumerate(CROWDED, 1):
+        crowded = scratch.write(cells.groupBy("cell").count().where(F.col("count") > limit).select("cell"), f"crowded-{depth}")
+        if crowded.isEmpty():
+            break
+        found.append(compare(cells.join(crowded, "cell", "left_anti"), threshold))
+        cells = refined(cells.join(crowded, "cell", "left_semi"), depth)
+    return reduce(DataFrame.unionByName, [*found, compare(cells, threshold)]).distinct()
+
+
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """node and the smallest node of its component, for every node of edges (a, b).
 
     Each round a node takes the smallest label among its own and its neighbours', and then the label of that label.
-    Only labels are shuffled and joined; each round's are written to the shared folder.
+    Only labels are shuffled and joined; each round's are written to the shared folder and those before it dropped.
     """
-    edges = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    while True:
+    edges = scratch.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = scratch.write(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels-0")
+    for k in count(1):
         near = edges.join(labels.withColumnsRenamed({"node": "b", "label": "seen"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = labels.join(near, "node").join(hop, "label", "left")
-        new = materialise(new.select("node", F.least("label", "seen", F.coalesce("further", "label")).alias("label"), F.col("label").alias("old")), "labels")
-        if new.where("label != old").isEmpty():
-            return new.select("node", "label")
+        new = scratch.write(new.select("node", F.least("label", "seen", F.coalesce("further", "label")).alias("label"), F.col("label").alias("old")), f"labels-{k}")
+        scratch.drop(f"labels-{k - 1}")
         labels = new.select("node", "label")
+        if new.where("label != old").isEmpty():
+            scratch.drop("edges")
+            return labels
 
 
 def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,10 +262,10 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "do
     exact copies, are one node in the search. Rows that repeat an id count once as a node; an empty table gives no
     rows; other columns are not looked at.
     """
-    docs = materialise(fingerprints(df, id_col, text_col), "fingerprints")
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    nodes = materialise(nodes, "nodes")
-    label = components(links(nodes, threshold)).select(F.col("node").alias("fp"), "label")
+    scratch = Scratch(df.sparkSession)
+    docs = scratch.write(fingerprints(df, id_col, text_col), "fingerprints")
+    nodes = scratch.write(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    label = components(scratch, links(scratch, nodes, threshold)).select(F.col("node").alias("fp"), "label")
     named = nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     low = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return docs.join(named.join(low, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
