@@ -35,8 +35,9 @@ def assign(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
 
     A shard is the shortest prefix whose rows fit in limit bytes. Rows that are equal in id and text share all bits: a
     bucket of one hash value that is still too large is cut into pages of whole rows, each within the limit, numbered
-    by input partition so that no task sees the whole group; every other shard has page 0. A single row above the
-    limit is a shard or page by itself. Null texts have 0 bytes. An empty table gives no rows; other columns are not
+    by the partition they were written in so that no task sees the whole group; every other shard has page 0. A single row above the
+    limit is a shard or page by itself. Pages are numbered once and written, so that a task that runs again numbers no row
+    anew. Null texts have 0 bytes. An empty table gives no rows; other columns are not
     looked at.
     """
     return place(df, limit, id_col, text_col).select("doc_id", "n_bytes", "depth", "shard", "page", "shard_bytes")
@@ -51,7 +52,7 @@ def place(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "te
     wide = df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), row_hash(F.col(id_col), text).alias("h"), *([F.struct(*df.columns).alias("row")] if whole else []))
     rows = materialise(wide.drop("row"), "shard-rows")
     wide = wide if whole else rows
-    done, open_rows, base = [], rows, 0
+    done, open_rows, base, any_over = [], rows, 0, False
     while True:
         deep = base + ROUND
         open_rows, wide = (x.withColumn("cell", prefix(F.col("h"), deep)) for x in (open_rows, wide))
@@ -62,6 +63,7 @@ def place(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "te
         fit = sums.where((F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("depth", "p", "shard_bytes", (F.col("lo") == F.col("hi")).alias("one"))
         pick = spread.join(fit, ["depth", "p"]).groupBy("cell").agg(F.min_by(F.struct("depth", "p", "shard_bytes", "one"), "depth").alias("s"))
         pick = materialise(pick.select("cell", "s.*"), "shard-cells")
+        any_over = any_over or not pick.where(F.col("one") & (F.col("shard_bytes") > limit)).isEmpty()
         done.append(wide.join(pick, "cell").drop("cell"))
         base = deep
         if deep >= BITS or cells.join(pick, "cell", "left_anti").isEmpty():
@@ -71,14 +73,17 @@ def place(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "te
     row = ["row"] if whole else []
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("p"), F.col("depth").cast("int"), F.lit("0")))
     out = out.select(*row, "doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), bits.alias("shard"), "shard_bytes", "h", (F.col("one") & (F.col("shard_bytes") > limit)).alias("over"))
-    paged = out.where("over").withColumn("part", F.spark_partition_id())
+    cols = [*row, "doc_id", "n_bytes", "depth", "shard", "page", "shard_bytes"]
+    fitting = out.where(~F.col("over")).withColumn("page", F.lit(0).cast("long")).select(*cols)
+    if not any_over:
+        return fitting
+    paged = materialise(out.where("over").withColumn("number", F.monotonically_increasing_id()), "shard-pages")
+    paged = paged.withColumn("part", F.shiftright("number", 33))
     per_page = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))
-    turn = F.row_number().over(W.partitionBy("h", "part").orderBy("n_bytes")) - 1
-    paged = paged.withColumn("page", F.col("part").cast("long") * (1 << 32) + F.floor(turn / per_page) + 1)
+    turn = F.row_number().over(W.partitionBy("h", "part").orderBy("number")) - 1
+    paged = paged.withColumn("page", F.col("part") * (1 << 32) + F.floor(turn / per_page) + 1)
     paged = paged.withColumn("shard_bytes", F.sum("n_bytes").over(W.partitionBy("h", "page")))
-    cols = [*row, "doc_id", "n_bytes", "depth", "shard", "page", "shard_bytes"]
-    fitting = out.where(~F.col("over")).withColumn("page", F.lit(0).cast("long"))
-    return fitting.select(*cols).unionByName(paged.select(*cols))
+    return fitting.unionByName(paged.select(*cols))
 
 
 def write_shards(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
