@@ -156,27 +156,29 @@ def clock(df: DataFrame, minutes: int, vol_days: int = 20, gap_flag: int = 12, c
     gap = F.coalesce(t.cast("long") - lag("close_time").cast("long") > minutes * 60, F.lit(True))
     df = df.withColumns(out | {"_gap": gap.cast("int")}).withColumn("_island", F.sum("_gap").over(series().rowsBetween(W.unboundedPreceding, 0)))
     df = df.withColumn("bars_since_gap", (F.row_number().over(W.partitionBy("symbol", "_island").orderBy("close_time")) - 1).cast("double"))
-    every = W.partitionBy("symbol")
     if causal:
         df = df.withColumn("_size", col("bars_since_session_open") + 1)
-        df = df.withColumn("_usual", F.expr("percentile(CASE WHEN _size > 1 THEN _size END, 0.5)").over(rows(5 * vol_days)))
-        labels = F.lit(5)
+        df = df.withColumns({"_usual": F.expr("percentile(CASE WHEN _size > 1 THEN _size END, 0.5)").over(rows(5 * vol_days)), "_labels": F.lit(5)})
     else:
-        df = df.withColumn("_size", F.count("*").over(W.partitionBy("symbol", "session_id")))
-        df = df.withColumn("_usual", F.expr("percentile(CASE WHEN _size > 1 THEN _size END, 0.5)").over(every))
-        labels = F.size(F.collect_set("session").over(every))
-    df = df.withColumn("_w", F.greatest(F.lit(2), F.floor(F.lit(vol_days * 1440 // minutes) / labels))).withColumn("_sn", F.row_number().over(W.partitionBy("symbol", "session").orderBy("close_time")))
+        # A few rows for each symbol, from the sizes of its sessions: the median over bars weighs each session by its size.
+        sizes = df.groupBy("symbol", "session_id", "session").agg(F.count("*").alias("_part"))
+        whole = sizes.groupBy("symbol", "session_id").agg(F.sum("_part").alias("_size"))
+        usual = whole.where("_size > 1").groupBy("symbol").agg(F.expr("percentile(_size, 0.5, _size)").alias("_usual"))
+        labels = sizes.groupBy("symbol").agg(F.countDistinct("session").alias("_labels"))
+        df = df.join(labels.join(usual, "symbol", "left"), "symbol")
     label = W.partitionBy("symbol", "session").orderBy("close_time")
-    sums = df.withColumns({"_as": F.sum(F.coalesce("atr", F.lit(0.0))).over(label.rowsBetween(W.unboundedPreceding, -1)), "_an": F.count("atr").over(label.rowsBetween(W.unboundedPreceding, -1))})
-    old = sums.select("symbol", "session", (col("_sn") + col("_w")).alias("_sn"), col("_as").alias("_as0"), col("_an").alias("_an0"))
-    df = sums.join(old, ["symbol", "session", "_sn"], "left")
-    n, s = col("_an") - F.coalesce("_an0", F.lit(0)), col("_as") - F.coalesce("_as0", F.lit(0.0))
-    usual = F.when(n >= F.greatest(F.lit(10), F.floor(col("_w") / 10)), s / n)
+    # The window of a label's bars depends on how many labels there are, five at most.
+    usual, total_bars = F.lit(None).cast("double"), vol_days * 1440 // minutes
+    for n in range(1, 6):
+        size = max(2, total_bars // n)
+        old = label.rowsBetween(-size, -1)
+        usual = F.when((col("_labels") == n) & (F.count("atr").over(old) >= max(10, size // 10)), F.avg("atr").over(old)).otherwise(usual)
+    df = df.withColumn("_typical", usual)
     a, pos = col("atr"), col("bars_since_session_open")
     df = df.withColumn("session_progress", clip(pos / (col("_usual") + EPS), 0, 1))
     return df.withColumns({
         "is_session_first_hour": flag(pos < max(1, 60 // minutes)), "is_session_last_hour": flag(col("session_progress") > 0.85), "session_range_atr": (col("_rh") - col("_rl")) / (a + EPS),
-        "session_atr_ratio": a / (usual + EPS), "session_trend": F.tanh((col("close") - col("_so")) / (a + EPS) / 3), "is_post_gap": flag(col("bars_since_gap") < gap_flag),
+        "session_atr_ratio": a / (col("_typical") + EPS), "session_trend": F.tanh((col("close") - col("_so")) / (a + EPS) / 3), "is_post_gap": flag(col("bars_since_gap") < gap_flag),
     })
 
 
@@ -192,13 +194,15 @@ def structure(df: DataFrame, k: int = 2, memory: int = 6, span: int = 50) -> Dat
         "_eh": F.when(both_h, F.when(col("_H") > col("_pH"), 1).otherwise(-1)), "_el": F.when(both_l, F.when(col("_L") > col("_pL"), 1).otherwise(-1)),
         "_hrn": F.last(F.when(col("_H").isNotNull(), col("rn") - k), True).over(so_far), "_lrn": F.last(F.when(col("_L").isNotNull(), col("rn") - k), True).over(so_far),
     })
-    # The last events at each bar: gathered from the arrays of its last bars with an event, high before low in a bar.
-    df = df.withColumn("_ev", F.array_compact(F.array("_eh", "_el"))).withColumn("_evn", F.when(F.size("_ev") > 0, col("_ev")))
-    events = df.where("_evn IS NOT NULL").select("symbol", "close_time", "_evn").withColumn("_all", F.flatten(F.collect_list("_evn").over(series().rowsBetween(-(memory - 1), 0))))
-    events = events.select("symbol", "close_time", F.when(F.size("_all") > memory, F.slice(col("_all"), F.size("_all") - memory + 1, memory)).otherwise(col("_all")).alias("_recent"))
-    df = df.join(events, ["symbol", "close_time"], "left").withColumn("_recent", F.last("_recent", True).over(so_far))
+    # Events are numbered, high before low in a bar; the last ones are those of the bars in a range of numbers, less the
+    # high of the first bar in it where both its events count and one is too many.
+    df = df.withColumn("_n", F.sum(both_h.cast("int") + both_l.cast("int")).over(so_far))
+    last = W.partitionBy("symbol").orderBy("_n")
+    value = F.coalesce("_eh", F.lit(0)) + F.coalesce("_el", F.lit(0))
+    spare = F.sum(F.when(both_h & both_l, F.col("_eh"))).over(last.rangeBetween(-(memory - 1), -(memory - 1)))
+    df = df.withColumns({"_sum": F.sum(value).over(last.rangeBetween(-(memory - 1), 0)) - F.coalesce(spare, F.lit(0)), "_cnt": F.least("_n", F.lit(memory))})
     held = {n: F.coalesce(F.last(s, True).over(so_far), F.lit(0.0)) for n, s in (("hh", "_hh"), ("hl", "_hl"), ("lh", "_lhf"), ("ll", "_llf"))}
-    df = df.withColumns(held | {"_sum": F.aggregate("_recent", F.lit(0), lambda a, x: a + x), "_cnt": F.size("_recent")})
+    df = df.withColumns(held)
     up, dn = flag(col("close") > col("_lh")), flag(col("close") < col("_ll"))
     df = df.withColumns({
         "structure_direction": F.when((col("hh") == 1) & (col("hl") == 1), 1.0).when((col("lh") == 1) & (col("ll") == 1), -1.0).when(col("_cnt") >= 2, F.signum(col("_sum").cast("double"))).otherwise(0.0),
@@ -234,11 +238,8 @@ def liquidity(df: DataFrame, trading_day, sweep_bars: int = 12, tolerance: float
     df = df.withColumns({"_day": day, "_week": F.date_trunc("week", day).cast("date")})
     run = W.partitionBy("symbol", "session_id").orderBy("close_time").rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumns({"session_high": F.max("high").over(run), "session_low": F.min("low").over(run)})
-    core = df.select("symbol", "close_time", "high", "low", "session_id", "in_asia", "in_london", "in_ny", "_day", "_week")
-    for key, prefix in (("_day", "prev_day"), ("_week", "prev_week")):
-        df = completed_levels(core, key, df, prefix)
-    for n in ("asia", "london", "ny"):
-        df = completed_levels(core.where(col(f"in_{n}")), "session_id", df, n)
+    keys = {"prev_day": col("_day"), "prev_week": col("_week")} | {n: F.when(col(f"in_{n}"), col("session_id")) for n in ("asia", "london", "ny")}
+    df = completed_levels(df, keys)
     a, cl = col("atr"), col("close")
     df = df.withColumns({f"dist_{x}_atr": (cl - col(x)) / (a + EPS) for x in LEVELS} | {"_off": F.array_compact(F.array(*((col(x) - cl) / (a + EPS) for x in LEVELS)))} | {f"_lag_{x}": lag(x) for x in LEVELS[:10]})
     lags = F.array(*(col(f"_lag_{x}") for x in LEVELS[:10]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -11,16 +11,24 @@ class LeakageError(ValueError):
     """A row sees data from after its decision time."""
 
 
-def asof(base: DataFrame, other: DataFrame, cols: list[str], strict: bool = False, suffix: str = "", ts: str = "close_time", matched: str | None = None) -> DataFrame:
-    """base with the cols of the latest row of other, of the same symbol, at ts or before; strict: before ts."""
-    values = F.struct(*(F.col(x).alias(x) for x in cols), F.col(ts).alias("_at"))
-    right = other.select("symbol", F.col(ts).alias("_t"), F.lit(1 if strict else 0).alias("_side"), values.alias("_v"))
+def asof_many(base: DataFrame, others: dict[str, tuple[DataFrame, list[str]]], strict: bool = False, ts: str = "close_time") -> DataFrame:
+    """base with a struct column for each of others: the named columns, and _at, of its latest row at ts or before (strict:
+    before ts). All tables go through one union and one sort by symbol and time."""
     left = base.select("symbol", F.col(ts).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct("*").alias("_base"))
-    both = left.unionByName(right, allowMissingColumns=True)
+    for name, (other, cols) in others.items():
+        values = F.struct(*(F.col(x).alias(x) for x in cols), F.col(ts).alias("_at"))
+        right = other.select("symbol", F.col(ts).alias("_t"), F.lit(1 if strict else 0).alias("_side"), values.alias(name))
+        left = left.unionByName(right, allowMissingColumns=True)
     w = W.partitionBy("symbol").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where(F.col("_base").isNotNull())
-    out = [F.col(f"_v.{x}").alias(f"{x}{suffix}") for x in cols]
-    return both.select("_base.*", *out, *([F.col("_v._at").alias(matched)] if matched else []))
+    both = left.select("_base", *(F.last(name, ignorenulls=True).over(w).alias(name) for name in others))
+    return both.where(F.col("_base").isNotNull()).select("_base.*", *others)
+
+
+def asof(base: DataFrame, other: DataFrame, cols: list[str], strict: bool = False, suffix: str = "", ts: str = "close_time", matched: str | None = None) -> DataFrame:
+    """base with the cols of the latest row of other, of the same symbol, at ts or before; strict: before ts."""
+    out = asof_many(base, {"_v": (other, cols)}, strict, ts)
+    named = [F.col(f"_v.{x}").alias(f"{x}{suffix}") for x in cols]
+    return out.select(*base.columns, *named, *([F.col("_v._at").alias(matched)] if matched else []))
 
 
 def verify(df: DataFrame, matched: str, ts: str = "close_time") -> DataFrame:
@@ -30,8 +38,15 @@ def verify(df: DataFrame, matched: str, ts: str = "close_time") -> DataFrame:
     return df
 
 
-def completed_levels(bars: DataFrame, key: str, base: DataFrame | None = None, prefix: str = "") -> DataFrame:
-    """base, or bars, with the high and low of the last group of key that ended before each row."""
-    level = bars.where(F.col(key).isNotNull()).groupBy("symbol", key).agg(F.max("high").alias("level_high"), F.min("low").alias("level_low"), F.max("close_time").alias("close_time"))
-    out = asof(base if base is not None else bars, level, ["level_high", "level_low"], strict=True)
-    return out.withColumnsRenamed({"level_high": f"{prefix}_high", "level_low": f"{prefix}_low"}) if prefix else out
+def completed_levels(bars: DataFrame, keys: dict[str, Column], base: DataFrame | None = None) -> DataFrame:
+    """base, or bars, with <name>_high and <name>_low of each key: those of its last group that ended before each row.
+
+    keys are columns of bars by name; rows whose key is null belong to no group. All keys are added up in one shuffle.
+    """
+    base = bars if base is None else base
+    groups = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.to_json(F.struct(k.alias("k"))).alias("key"), k.isNotNull().alias("has")) for n, k in keys.items())))
+    each = bars.select("symbol", "close_time", "high", "low", groups.alias("g")).where("g.has")
+    ends = each.groupBy("symbol", "g.level", "g.key").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max("close_time").alias("close_time"))
+    tables = {f"_level_{n}": (ends.where(F.col("level") == n), ["high", "low"]) for n in keys}
+    out = asof_many(base, tables, strict=True)
+    return out.select(*base.columns, *(F.col(f"_level_{n}.{x}").alias(f"{n}_{x}") for n in keys for x in ("high", "low")))

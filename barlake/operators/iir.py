@@ -1,4 +1,4 @@
-"""First-order recursions (EMA, Wilder) as a blocked scan, so that one long series runs in parallel."""
+"""First-order recursions (EMA, Wilder) as a blocked scan: windows only, no join and no loop over bars."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 
 from barlake.functions.rolling import up_to_here
 
-BLOCK = 256
+#: Rows of a block, at most, and the largest exponent of the weights in one.
+BLOCK, EXPONENT = 2048, 600
 
 
 @dataclass(frozen=True)
@@ -36,27 +37,23 @@ def smooth(df: DataFrame, *specs: Smooth) -> DataFrame:
     """df with a column for each spec. df has symbol, close_time and rn; sources have nulls at their head only.
 
     Within blocks of rows the recursion is a running sum of scaled values; a block begins with what the blocks before
-    it leave over, of which those beyond 1e-17 are left out. Blocks are windows of their own.
+    it leave over, of which those beyond 1e-17 are left out. All specs share the windows.
     """
-    blk = df.withColumns({"_blk": F.floor(F.col("rn") / BLOCK), "_pos_in": (F.col("rn") % BLOCK).cast("double")})
-    blk = blk.withColumns({f"_seen{k}": F.count(s.source).over(up_to_here()) for k, s in enumerate(specs)})
-    inside = W.partitionBy("symbol", "_blk").orderBy("rn").rowsBetween(W.unboundedPreceding, 0)
+    size = min(BLOCK, *(int(EXPONENT / -math.log1p(-s.alpha)) for s in specs))
+    blk = df.withColumns({"_blk": F.floor(F.col("rn") / size), "_pos_in": (F.col("rn") % size).cast("double")} | {f"_seen{k}": F.count(s.source).over(up_to_here()) for k, s in enumerate(specs)})
+    inside = W.partitionBy("symbol", "_blk").orderBy("close_time").rowsBetween(W.unboundedPreceding, 0)
     local = {}
     for k, s in enumerate(specs):
-        x, keep = F.col(s.source), math.log1p(-s.alpha)
+        keep = math.log1p(-s.alpha)
         weight = F.when(F.col(f"_seen{k}") == 1, 1.0).otherwise(s.alpha)
-        local[f"_local{k}"] = F.exp(F.col("_pos_in") * keep) * F.sum(F.coalesce(x * weight * F.exp(-F.col("_pos_in") * keep), F.lit(0.0))).over(inside)
+        local[f"_local{k}"] = F.exp(F.col("_pos_in") * keep) * F.sum(F.coalesce(F.col(s.source) * weight * F.exp(-F.col("_pos_in") * keep), F.lit(0.0))).over(inside)
     blk = blk.withColumns(local)
-    ends = blk.groupBy("symbol", "_blk").agg(*(F.max_by(f"_local{k}", "rn").alias(f"_end{k}") for k in range(len(specs))))
-    order = W.partitionBy("symbol").orderBy("_blk")
-    carry = {}
+    whole, carry = W.partitionBy("symbol").orderBy("_blk"), {}
     for k, s in enumerate(specs):
-        q = (1 - s.alpha) ** BLOCK
-        reach = max(1, math.ceil(40 / -math.log(q))) if q > 0 else 1
-        carry[f"_carry{k}"] = sum((F.coalesce(F.lag(f"_end{k}", m).over(order), F.lit(0.0)) * q ** (m - 1) for m in range(1, reach + 1)), F.lit(0.0))
-    ends = ends.withColumns(carry).select("symbol", "_blk", *carry)
-    out = blk.join(ends, ["symbol", "_blk"])
+        left = (1 - s.alpha) ** size
+        reach = max(1, math.ceil(40 / -math.log(left))) if left > 0 else 1
+        end = lambda m, k=k: F.coalesce(F.max_by(f"_local{k}", "rn").over(whole.rangeBetween(-m, -m)), F.lit(0.0))
+        carry[f"_carry{k}"] = sum((end(m) * left ** (m - 1) for m in range(1, reach + 1)), F.lit(0.0))
+    out = blk.withColumns(carry)
     done = {s.name: F.when(F.col(s.source).isNotNull() & (F.col(f"_seen{k}") >= s.least), F.col(f"_local{k}") + F.exp((F.col("_pos_in") + 1) * math.log1p(-s.alpha)) * F.col(f"_carry{k}")) for k, s in enumerate(specs)}
-    return out.withColumns(done).select(*df.columns, *done)
-
-
+    return out.select(*df.columns, *(v.alias(n) for n, v in done.items()))

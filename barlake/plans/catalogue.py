@@ -284,7 +284,7 @@ TRADING_DAY = "CAST(" + LOCAL.format("close_time") + " AS DATE) + CAST(CASE WHEN
 def levels(spark, d, key):
     b = classify(bars(spark, d)).withColumn("_day", Calendar().trading_day(F.col("close_time")))
     b = b.withColumns({"_week": F.date_trunc("week", "_day"), "_ny": F.when(F.col("in_ny"), F.col("session_id"))})
-    return told(completed_levels(b, key, prefix="x"), "x_high", "x_low")
+    return told(completed_levels(b, {"x": F.col(key)}), "x_high", "x_low")
 
 
 @query(level_sql(TRADING_DAY))

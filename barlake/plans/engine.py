@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from barlake.calendars import Calendar, classify
 from barlake.config import Config
 from barlake.functions import groups as G
-from barlake.operators.asof import LeakageError, asof, verify
+from barlake.operators.asof import LeakageError, asof_many, verify
 from barlake.operators.resample import resample
 from barlake.operators.zones import zones
 from barlake.plans import manifest as M
@@ -21,79 +23,99 @@ BARS = ["symbol", "open_time", "close_time", "open", "high", "low", "close", "vo
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, which is set only where it is unset."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir; only where that is unset and all runs on
+    this machine, as in tests, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="barlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, keep: list[str]) -> DataFrame:
+def cut(df: DataFrame, keep: list) -> DataFrame:
     """df's columns written to the shared folder and read again: wide plans stay small and survive lost executors."""
     path, df = folder(df.sparkSession, "stage"), df.select(*keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_all(frames: list[DataFrame]) -> list[DataFrame]:
+    """cut() of several frames whose jobs run beside each other: planning one, and its few tasks, leave most cores idle."""
+    with ThreadPoolExecutor(max(1, len(frames))) as pool:
+        return list(pool.map(lambda d: cut(d, d.columns), frames))
+
+
+def grouped(ready: DataFrame, steps: dict, names: dict[str, list[str]]) -> DataFrame:
+    """ready with the columns of each step: one plan over one partitioning by symbol, without joins between the groups."""
+    core, made = ready.columns, []
+    for g, step in steps.items():
+        made += names[g]
+        ready = step(ready).select(*core, *made)
+    return ready
+
+
 def base_groups(bars: DataFrame, cfg: Config, calendar: Calendar = Calendar()) -> DataFrame:
     """bars with atr, rn and every enabled base group."""
     f, tf = cfg.features, Timeframe(cfg.base_timeframe)
     p = M.parameters(f, False, tf.bars_per_day)
     causal = f.semantics == "causal"
     ready = classify(G.shared(bars.select(*BARS)), causal=causal)
-    core = [*ready.columns]
-    ready = cut(ready, core)
+    ready = cut(ready, ready.columns)
+    zone = {"min_gap": f.fvg.min_size_atr, "gap_age": f.fvg.max_age_bars, "gaps": f.fvg.max_tracked, "displacement": f.order_blocks.displacement_atr, "block_age": f.order_blocks.max_age_bars, "blocks": f.order_blocks.max_tracked}
     steps = {
         "price": lambda d: G.price(d, p["returns"], p["zscores"]),
         "volatility": lambda d: G.volatility(d, p["atrs"], p["percentiles"], bb_rank=p["bb_rank"], bars_per_day=tf.bars_per_day),
         "volume": lambda d: G.volume(d, days=f.volume.time_of_day_days),
         "trend": lambda d: G.trend(d, p["emas"], p["regressions"], p["hurst"]),
         "structure": lambda d: G.structure(d, p["k"], p["memory"], p["span"]),
-        "liquidity": lambda d: G.liquidity(d, calendar.trading_day, f.liquidity.sweep_lookback, f.liquidity.sweep_tolerance_atr, f.liquidity.level_cluster_atr),
         "patterns": G.patterns,
         "time": lambda d: G.clock(d, tf.minutes, f.time.session_vol_days, f.gap_flag_bars, causal),
+        "liquidity": lambda d: G.liquidity(d, calendar.trading_day, f.liquidity.sweep_lookback, f.liquidity.sweep_tolerance_atr, f.liquidity.level_cluster_atr),
     }
-    zone = {"min_gap": f.fvg.min_size_atr, "gap_age": f.fvg.max_age_bars, "gaps": f.fvg.max_tracked, "displacement": f.order_blocks.displacement_atr, "block_age": f.order_blocks.max_age_bars, "blocks": f.order_blocks.max_tracked}
+    names = {g: [n for n, _ in M.BASE[g](**p)] for g in M.BASE}
+    # Groups that need the bars alone are split so that no plan grows too wide to compile; each part reads ready again.
+    parts = [[g for g in part if getattr(f, g).enabled] for part in (("price", "volatility", "volume"), ("trend", "structure", "patterns"), ("time",), ("liquidity",))]
+    made = [(grouped(ready, {g: steps[g] for g in part}, names), [n for g in part for n in names[g]]) for part in parts if part]
+    if f.fvg.enabled or f.order_blocks.enabled:
+        new = [n for g in ("fvg", "order_blocks") if getattr(f, g).enabled for n in names[g]]
+        made.append((zones(ready, **zone), new))
+    written = cut_all([d.select("symbol", "close_time", *new) for d, new in made])
     out = ready
-    for name, names in M.BASE.items():
-        if not getattr(f, name).enabled or (name == "order_blocks" and f.fvg.enabled):
-            continue
-        made = zones(ready, **zone) if name in ("fvg", "order_blocks") else steps[name](ready)
-        new = [n for n, _ in names(**p)] + ([n for n, _ in M.order_blocks()] if name == "fvg" and f.order_blocks.enabled else [])
-        out = cut(out.join(made.select("symbol", "close_time", *new), ["symbol", "close_time"]), [*out.columns, *new])
+    for d in written:
+        out = out.join(d, ["symbol", "close_time"])
     return out
 
 
 def coarse_groups(bars: DataFrame, cfg: Config, tf: str) -> tuple[DataFrame, list[str]]:
     f = cfg.features
     p = M.parameters(f, True, Timeframe(tf).bars_per_day)
-    ready = cut(G.shared(bars.select(*BARS)), [*BARS, "rn", "_c1", "_tr", "_range", "_body", "_d", "atr"])
     steps = {
         "price": lambda d: G.price(d, p["returns"], p["zscores"]), "volatility": lambda d: G.volatility(d, p["atrs"], p["percentiles"], bb_rank=p["bb_rank"], bars_per_day=Timeframe(tf).bars_per_day),
         "trend": lambda d: G.trend(d, p["emas"], p["regressions"], p["hurst"]), "structure": lambda d: G.structure(d, p["k"], p["memory"], p["span"]),
     }
-    out, names = ready.select("symbol", "close_time"), []
-    for g in M.COARSE:
-        if g in f.mtf.groups:
-            new = [n for n, _ in M.BASE[g](**p)]
-            out = out.join(steps[g](ready).select("symbol", "close_time", *new), ["symbol", "close_time"])
-            names += new
-    return cut(out, ["symbol", "close_time", *names]), names
+    wanted = [g for g in M.COARSE if g in f.mtf.groups]
+    names = {g: [n for n, _ in M.BASE[g](**p)] for g in wanted}
+    out = grouped(G.shared(bars.select(*BARS)), {g: steps[g] for g in wanted}, names)
+    new = [n for g in wanted for n in names[g]]
+    return out.select("symbol", "close_time", *new), new
 
 
 def transform(bars: DataFrame, cfg: Config, context: dict[str, DataFrame] | None = None, drop_warmup: bool = True, calendar: Calendar = Calendar()) -> tuple[DataFrame, M.Manifest]:
     """(matrix, manifest). context has closed coarse bars by timeframe; without it they are resampled from bars."""
     f, base = cfg.features, Timeframe(cfg.base_timeframe)
+    bars = cut(bars, BARS)
     if context is None:
         context = {tf: resample(bars, base.minutes, Timeframe(tf).minutes) for tf in f.mtf.timeframes} if f.mtf.enabled else {}
     context = {tf: context[tf] for tf in f.mtf.timeframes if tf in context}
+    coarse = {tf: coarse_groups(frame, cfg, tf) for tf, frame in context.items()}
+    written = dict(zip(coarse, cut_all([d for d, _ in coarse.values()]), strict=True))
     out = base_groups(bars, cfg, calendar)
-    for tf, frame in context.items():
-        coarse, names = coarse_groups(frame, cfg, tf)
-        out = asof(out, coarse, names, suffix=f"_{tf}", matched=f"_matched_{tf}")
-        out = verify(cut(out, out.columns), f"_matched_{tf}")
     if context:
+        own = out.columns
+        out = asof_many(out, {f"_{tf}": (written[tf], coarse[tf][1]) for tf in context})
+        out = out.select(*own, *(F.col(f"_{tf}.{n}").alias(f"{n}_{tf}") for tf in context for n in coarse[tf][1]), F.greatest(*(F.col(f"_{tf}._at") for tf in context), F.lit(None).cast("timestamp")).alias("_matched"))
         if f.mtf.include_running_position:
             out = G.running(out, base.minutes, [Timeframe(tf).minutes for tf in context if tf != "1d"])
         out = G.cross(out, {tf: Timeframe(tf).minutes for tf in context})
@@ -101,7 +123,10 @@ def transform(bars: DataFrame, cfg: Config, context: dict[str, DataFrame] | None
     if drop_warmup:
         size = bars.groupBy("symbol").agg(F.count("*").alias("_size"))
         out = out.join(size, "symbol").where((F.col("rn") >= made.warmup) | (F.col("_size") <= made.warmup))
-    return out.select("symbol", "close_time", *(F.col(n).cast("double").alias(n) for n in made.names)), made
+    kept = [F.col(n).cast("double").alias(n) for n in made.names]
+    if context:
+        return verify(cut(out, ["symbol", "close_time", *kept, "_matched"]), "_matched").drop("_matched"), made
+    return out.select("symbol", "close_time", *kept), made
 
 
 def null_report(matrix: DataFrame) -> DataFrame:
@@ -139,6 +164,3 @@ def replay_audit(bars: DataFrame, cfg: Config, n_cutoffs: int = 3, seed: int = 1
         raise LeakageError(", ".join(r.feature for r in bad))
     return out
 
-
-def session() -> SparkSession:
-    return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
