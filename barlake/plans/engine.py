@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +42,10 @@ def cut(df: DataFrame, keep: list) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_all(frames: list[DataFrame]) -> list[DataFrame]:
-    """cut() of several frames whose jobs run beside each other: planning one, and its few tasks, leave most cores idle."""
-    with ThreadPoolExecutor(max(1, len(frames))) as pool:
-        return list(pool.map(lambda d: cut(d, d.columns), frames))
+def cut_all(makers: list[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """cut() of several frames that are planned and written beside each other: planning, and few tasks, leave cores idle."""
+    with ThreadPoolExecutor(max(1, len(makers))) as pool:
+        return list(pool.map(lambda make: cut(d := make(), d.columns), makers))
 
 
 def grouped(ready: DataFrame, steps: dict, names: dict[str, list[str]]) -> DataFrame:
@@ -56,8 +57,8 @@ def grouped(ready: DataFrame, steps: dict, names: dict[str, list[str]]) -> DataF
     return ready
 
 
-def base_groups(bars: DataFrame, cfg: Config, calendar: Calendar = Calendar()) -> DataFrame:
-    """bars with atr, rn and every enabled base group."""
+def base_groups(bars: DataFrame, cfg: Config, calendar: Calendar = Calendar(), frames: tuple[str, ...] = ()) -> tuple[DataFrame, list[Callable[[], DataFrame]]]:
+    """bars with atr and rn, and what makes each enabled base group and the bars in progress of the coarse frames."""
     f, tf = cfg.features, Timeframe(cfg.base_timeframe)
     p = M.parameters(f, False, tf.bars_per_day)
     causal = f.semantics == "causal"
@@ -77,29 +78,33 @@ def base_groups(bars: DataFrame, cfg: Config, calendar: Calendar = Calendar()) -
     names = {g: [n for n, _ in M.BASE[g](**p)] for g in M.BASE}
     # Groups that need the bars alone are split so that no plan grows too wide to compile; each part reads ready again.
     parts = [[g for g in part if getattr(f, g).enabled] for part in (("price", "volatility", "volume"), ("trend", "structure", "patterns"), ("time",), ("liquidity",))]
-    made = [(grouped(ready, {g: steps[g] for g in part}, names), [n for g in part for n in names[g]]) for part in parts if part]
+    def maker(make: Callable[[], DataFrame], new: list[str]) -> Callable[[], DataFrame]:
+        return lambda: make().select("symbol", "close_time", *new)
+
+    makers = [maker(lambda part=part: grouped(ready, {g: steps[g] for g in part}, names), [n for g in part for n in names[g]]) for part in parts if part]
     if f.fvg.enabled or f.order_blocks.enabled:
-        new = [n for g in ("fvg", "order_blocks") if getattr(f, g).enabled for n in names[g]]
-        made.append((zones(ready, **zone), new))
-    written = cut_all([d.select("symbol", "close_time", *new) for d, new in made])
-    out = ready
-    for d in written:
-        out = out.join(d, ["symbol", "close_time"])
-    return out
+        makers.append(maker(lambda: zones(ready, **zone), [n for g in ("fvg", "order_blocks") if getattr(f, g).enabled for n in names[g]]))
+    if f.mtf.enabled and f.mtf.include_running_position and frames:
+        finer = [tf for tf in frames if tf != "1d"]
+        makers.append(maker(lambda: G.running(ready, tf.minutes, [Timeframe(x).minutes for x in finer]), [f"running_{n}_{x}" for x in finer for n in M.RUNNING]))
+    return ready, makers
 
 
-def coarse_groups(bars: DataFrame, cfg: Config, tf: str) -> tuple[DataFrame, list[str]]:
-    f = cfg.features
-    p = M.parameters(f, True, Timeframe(tf).bars_per_day)
+def coarse_names(cfg: Config, tf: str) -> dict[str, list[str]]:
+    """The columns of each coarse group of a frame."""
+    p = M.parameters(cfg.features, True, Timeframe(tf).bars_per_day)
+    return {g: [n for n, _ in M.BASE[g](**p)] for g in M.COARSE if g in cfg.features.mtf.groups}
+
+
+def coarse_groups(bars: DataFrame, cfg: Config, tf: str) -> DataFrame:
+    per_day = Timeframe(tf).bars_per_day
+    p, names = M.parameters(cfg.features, True, per_day), coarse_names(cfg, tf)
     steps = {
-        "price": lambda d: G.price(d, p["returns"], p["zscores"]), "volatility": lambda d: G.volatility(d, p["atrs"], p["percentiles"], bb_rank=p["bb_rank"], bars_per_day=Timeframe(tf).bars_per_day),
+        "price": lambda d: G.price(d, p["returns"], p["zscores"]), "volatility": lambda d: G.volatility(d, p["atrs"], p["percentiles"], bb_rank=p["bb_rank"], bars_per_day=per_day),
         "trend": lambda d: G.trend(d, p["emas"], p["regressions"], p["hurst"]), "structure": lambda d: G.structure(d, p["k"], p["memory"], p["span"]),
     }
-    wanted = [g for g in M.COARSE if g in f.mtf.groups]
-    names = {g: [n for n, _ in M.BASE[g](**p)] for g in wanted}
-    out = grouped(G.shared(bars.select(*BARS)), {g: steps[g] for g in wanted}, names)
-    new = [n for g in wanted for n in names[g]]
-    return out.select("symbol", "close_time", *new), new
+    out = grouped(G.shared(bars.select(*BARS)), {g: steps[g] for g in names}, names)
+    return out.select("symbol", "close_time", *(n for g in names for n in names[g]))
 
 
 def transform(bars: DataFrame, cfg: Config, context: dict[str, DataFrame] | None = None, drop_warmup: bool = True, calendar: Calendar = Calendar()) -> tuple[DataFrame, M.Manifest]:
@@ -109,15 +114,15 @@ def transform(bars: DataFrame, cfg: Config, context: dict[str, DataFrame] | None
     if context is None:
         context = {tf: resample(bars, base.minutes, Timeframe(tf).minutes) for tf in f.mtf.timeframes} if f.mtf.enabled else {}
     context = {tf: context[tf] for tf in f.mtf.timeframes if tf in context}
-    coarse = {tf: coarse_groups(frame, cfg, tf) for tf, frame in context.items()}
-    written = dict(zip(coarse, cut_all([d for d, _ in coarse.values()]), strict=True))
-    out = base_groups(bars, cfg, calendar)
+    out, makers = base_groups(bars, cfg, calendar, tuple(context))
+    written = cut_all([*makers, *(lambda tf=tf, frame=frame: coarse_groups(frame, cfg, tf) for tf, frame in context.items())])
+    for d in written[: len(makers)]:
+        out = out.join(d, ["symbol", "close_time"])
+    coarse = {tf: (d, d.columns[2:]) for tf, d in zip(context, written[len(makers) :], strict=True)}
     if context:
         own = out.columns
-        out = asof_many(out, {f"_{tf}": (written[tf], coarse[tf][1]) for tf in context})
+        out = asof_many(out, {f"_{tf}": pair for tf, pair in coarse.items()})
         out = out.select(*own, *(F.col(f"_{tf}.{n}").alias(f"{n}_{tf}") for tf in context for n in coarse[tf][1]), F.greatest(*(F.col(f"_{tf}._at") for tf in context), F.lit(None).cast("timestamp")).alias("_matched"))
-        if f.mtf.include_running_position:
-            out = G.running(out, base.minutes, [Timeframe(tf).minutes for tf in context if tf != "1d"])
         out = G.cross(out, {tf: Timeframe(tf).minutes for tf in context})
     made = M.build(cfg, list(context))
     if drop_warmup:

@@ -82,6 +82,7 @@ def time(per_day, **_) -> list[tuple[str, int]]:
 
 
 BASE = {f.__name__: f for f in (price, volatility, volume, trend, structure, liquidity, fvg, order_blocks, patterns, time)}
+RUNNING = ("progress", "range_atr", "position", "return_atr")
 COARSE = ("price", "volatility", "trend", "structure")
 
 
@@ -107,7 +108,7 @@ def specs(cfg: Config, context: list[str] | None = None) -> list[Spec]:
             ratio = Timeframe(tf).minutes // base.minutes
             out += [Spec(f"{n}_{tf}", g, k * ratio) for g in COARSE if g in f.mtf.groups for n, k in BASE[g](**coarse)]
         if f.mtf.include_running_position:
-            out += [Spec(f"running_{n}_{tf}", "running", Timeframe(tf).minutes // base.minutes) for tf in context if tf != "1d" for n in ("progress", "range_atr", "position", "return_atr")]
+            out += [Spec(f"running_{n}_{tf}", "running", Timeframe(tf).minutes // base.minutes) for tf in context if tf != "1d" for n in RUNNING]
         out += [Spec(n, "cross", 1) for n in ("htf_trend_agreement", "htf_alignment_score", "htf_base_agreement", *(f"tf_vol_ratio_base_{tf}" for tf in context))]
     names = [s.name for s in out]
     if len(set(names)) < len(names):
