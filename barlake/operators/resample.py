@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.bars import ResampleError
-from barlake.calendars import Calendar, minute_of
+from barlake.calendars import Calendar, clock
 from barlake.timeframes import floor_time
 
 
@@ -15,7 +15,7 @@ def bounds(open_time: Column, minutes: int, offset: int = 0, tz: str = "America/
     if minutes != 1440:
         start = floor_time(open_time, minutes, offset)
         return start, start + F.expr(f"INTERVAL {minutes} MINUTES")
-    shift = F.expr(f"INTERVAL {minute_of(anchor)} MINUTES")
+    shift = F.expr(f"INTERVAL {clock(anchor)} MINUTES")
     day = F.date_trunc("day", F.from_utc_timestamp(open_time, tz) - shift)
     return F.to_utc_timestamp(day + shift, tz), F.to_utc_timestamp(day + F.expr("INTERVAL 1 DAY") + shift, tz)
 

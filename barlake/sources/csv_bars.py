@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
+import csv
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +37,8 @@ class CsvSource:
 
 
 def normal(name: str) -> str:
-    return name.replace("﻿", "").strip().strip("<>").strip().lower().replace(" ", "_")
+    """A column name in lower case: its words, without quotes, angle brackets or a byte order mark, joined by underscores."""
+    return "_".join(re.findall(r"[^\s<>\"\ufeff]+", name.lower()))
 
 
 def head(spark: SparkSession, path: str, lines: int) -> list[str]:
@@ -50,26 +52,41 @@ def sniff(lines: list[str]) -> str:
     return best
 
 
-def to_utc(local: Column, tz: str | None, order: Column | None = None) -> Column:
+def to_utc(local: Column, tz: str | None) -> Column:
     """UTC of local stamps; times in a spring gap move forward, repeated ones take the earlier offset."""
-    del order
     return F.to_utc_timestamp(local, tz) if tz else local
 
 
+def second_passes(rows: DataFrame, tz: str) -> DataFrame:
+    """rows (_id, _t, ...) with an hour added where a repeated local hour is passed for the second time.
+
+    There stamps lie at or before the latest one so far. That is carried through each input split, and from split to split
+    by the largest stamp of each.
+    """
+    split = F.shiftright("_id", 33)
+    ends = rows.groupBy(split.alias("_split")).agg(F.max("_t").alias("_end"))
+    ends = ends.select("_split", F.max("_end").over(W.orderBy("_split").rowsBetween(W.unboundedPreceding, -1)).alias("_end"))  # one row for each split
+    out = rows.withColumn("_split", split).join(ends, "_split", "left")
+    before = W.partitionBy("_split").orderBy("_id").rowsBetween(W.unboundedPreceding, -1)
+    out = out.withColumn("_prev", F.greatest(F.max("_t").over(before), "_end"))
+    later = F.col("_t") + F.expr("INTERVAL 1 HOUR")
+    again = (F.col("_prev") >= F.col("_t")) & (F.from_utc_timestamp(later, tz) == F.from_utc_timestamp("_t", tz))
+    return out.withColumn("_t", F.when(again, later).otherwise(F.col("_t"))).select(rows.columns)
+
+
 def load(spark: SparkSession, src: CsvSource) -> DataFrame:
     """symbol, open_time, close_time, prices, volume and row_no of a CSV file, in its order, faults and all."""
     lines = head(spark, src.path, src.skip_rows + 20)[src.skip_rows :]
     if not lines:
         raise SchemaError(f"{src.path} is empty")
     sep = src.delimiter or sniff(lines)
-    header = [normal(x) for x in lines[0].split(sep)]
-    raw = spark.read.text(src.path).withColumn("_id", F.monotonically_increasing_id())
-    first = lines[0]
-    parts = F.split("value", f"[{sep}]" if sep != "\t" else "\t", -1)
-    skip = set(head(spark, src.path, src.skip_rows)) if src.skip_rows else set()
-    rows = raw.where((F.col("value") != F.lit(first)) & (F.trim("value") != ""))
-    if skip:
-        rows = rows.where(~F.col("value").isin(*skip))
+    split_row = lambda text, n: F.from_csv(text, F.lit(", ".join(f"c{i} string" for i in range(n))), {"sep": sep, "quote": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    header = next(csv.reader([lines[0]], delimiter=sep))
+    header = [normal(x) for x in header]
+    raw = spark.read.text(src.path).select("value", F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_block_start").alias("_block"))
+    # The preamble and the header are known by their place, the first lines of the first block, not by what they hold.
+    first = (F.col("_block") == 0) & (F.col("_id").bitwiseAND((1 << 33) - 1) <= src.skip_rows)
+    rows = raw.where(~first & (F.trim("value") != "")).withColumn("_row", split_row(F.col("value"), len(header)))
     names, taken = {}, set()
     for i, h in enumerate(header):
         name = src.column_map.get(h, ALIASES.get(h, h))
@@ -78,7 +95,7 @@ def load(spark: SparkSession, src: CsvSource) -> DataFrame:
         if name not in taken:
             taken.add(name)
             names[name] = i
-    value = {n: F.trim(F.get(parts, F.lit(i)), F.lit('" ')) for n, i in names.items()}
+    value = {n: F.col(f"_row.c{i}") for n, i in names.items()}
     if missing := set(PRICES) - set(value):
         raise SchemaError(f"missing columns: {sorted(missing)}")
     date, time = (normal(c) if c else d for c, d in ((src.date_column, "date"), (src.time_column, "time")))
@@ -99,16 +116,10 @@ def load(spark: SparkSession, src: CsvSource) -> DataFrame:
     if bad:
         raise SchemaError(f"unreadable stamps: {bad}")
     if src.source_tz:
-        # A local stamp that runs back by an hour while the file runs on is the second pass of a repeated hour.
-        back = F.lag("_t").over(W.orderBy("_id")) >= F.col("_t")
-        again = back & (F.from_utc_timestamp(F.col("_t") + F.expr("INTERVAL 1 HOUR"), src.source_tz) == F.from_utc_timestamp("_t", src.source_tz))
-        out = out.withColumn("_t", F.when(again, F.col("_t") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("_t")))
+        out = second_passes(out, src.source_tz)
     return out.select(F.lit(src.symbol).alias("symbol"), o.alias("open_time"), e.alias("close_time"), *PRICES, "volume", F.col("_id").alias("row_no"))
 
 
-def file_sha256(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            h.update(block)
-    return h.hexdigest()
+def digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a source file, taken by Spark's reader, so that it may lie in any store; a file of 2 GB at most."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
+from datetime import UTC, datetime
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,6 +22,10 @@ class StorageError(ValueError):
     pass
 
 
+class NoStore(StorageError):
+    """There is nothing under a path."""
+
+
 def months(tf: str):
     month = F.lit("01") if tf == "1d" else F.date_format("close_time", "MM")
     return {"tf": F.lit(tf), "year": F.date_format("close_time", "yyyy"), "month": month}
@@ -31,7 +38,7 @@ def write_bars(bars: DataFrame, root: str, tf: str, overwrite: bool = True) -> N
     if not overwrite:
         try:
             old = _tree(bars.sparkSession, root)
-        except StorageError:
+        except NoStore:
             old = None
         if old is not None:
             touched = new.select(*KEYS).distinct()
@@ -48,8 +55,10 @@ def write_bars(bars: DataFrame, root: str, tf: str, overwrite: bool = True) -> N
 def _tree(spark: SparkSession, root: str) -> DataFrame:
     try:
         return spark.read.option("basePath", root).schema("open_time timestamp, close_time timestamp, open double, high double, low double, close double, volume double, symbol string, tf string, year string, month string").parquet(root)
-    except Exception as e:
-        raise StorageError(f"no bars under {root}") from e
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise NoStore(f"no bars under {root}") from e
+        raise  # a store that cannot be read now is still there
 
 
 def read_bars(spark: SparkSession, root: str, symbol: str, tf: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -78,25 +87,30 @@ def write_features(matrix: DataFrame, made: Manifest, root: str) -> str:
     path = f"{root}/fs_version={made.version}"
     out = matrix.withColumns({"year": F.date_format("close_time", "yyyy"), "month": F.date_format("close_time", "MM")})
     out.repartition("symbol", "year", "month").sortWithinPartitions("close_time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol", "year", "month").parquet(path)
-    matrix.sparkSession.createDataFrame([(made.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_manifests/{made.version}")
+    about = {"manifest": asdict(made), "n_rows": matrix.sparkSession.read.parquet(path).count(), "created_at": datetime.now(UTC).isoformat()}
+    matrix.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_manifests/{made.version}")
     return path
 
 
 def read_manifest(spark: SparkSession, root: str, version: str) -> Manifest:
-    return Manifest.from_json(spark.read.text(f"{root}/_manifests/{version}").first().value)
+    return Manifest(**json.loads(spark.read.text(f"{root}/_manifests/{version}").first().value)["manifest"])
 
 
 def read_features(spark: SparkSession, root: str, version: str, symbol: str, start: str | None = None, end: str | None = None) -> DataFrame:
     made = read_manifest(spark, root, version)
     out = spark.read.option("basePath", f"{root}/fs_version={version}").parquet(f"{root}/fs_version={version}").where(F.col("symbol") == symbol)
     made.assert_compatible([c for c in out.columns if c not in ("symbol", "close_time", "year", "month")])
-    for bound, test in ((start, lambda t: F.col("close_time") >= t), (end, lambda t: F.col("close_time") <= t)):
-        if bound:
-            out = out.where(test(F.lit(bound).cast("timestamp")))
+    month = F.concat_ws("-", F.col("year").cast("string"), F.lpad(F.col("month").cast("string"), 2, "0"))
+    if start:
+        out = out.where((F.col("close_time") >= F.lit(start).cast("timestamp")) & (month >= start[:7]))
+    if end:
+        out = out.where((F.col("close_time") <= F.lit(end).cast("timestamp")) & (month <= end[:7]))
     return out.select("symbol", "close_time", *made.names)
 
 
 def list_feature_sets(spark: SparkSession, root: str) -> DataFrame:
-    """fs_version, symbol and number of features of each manifest."""
+    """fs_version, symbol, number of features and rows, and time of writing of each feature set, the latest first."""
     part = lambda k: F.get_json_object("value", f"$.{k}")
-    return spark.read.option("recursiveFileLookup", True).text(f"{root}/_manifests").select(part("version").alias("fs_version"), part("symbol").alias("symbol"), F.json_array_length(part("columns")).alias("n_features"))
+    sets = spark.read.option("recursiveFileLookup", True).text(f"{root}/_manifests")
+    out = sets.select(part("manifest.version").alias("fs_version"), part("manifest.symbol").alias("symbol"), F.json_array_length(part("manifest.columns")).alias("n_features"), part("n_rows").cast("long").alias("n_rows"), part("created_at").cast("timestamp").alias("created_at"))
+    return out.orderBy(F.desc("created_at"))

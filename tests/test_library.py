@@ -154,10 +154,14 @@ def test_stores(spark, tmp_path):
     assert stores.store_summary(spark, root).first().n_rows == 20
     with pytest.raises(stores.StorageError):
         stores.read_bars(spark, root, "NONE", "5m")
+    (tmp_path / "file").write_text("no folder")
+    with pytest.raises(Exception) as e:  # noqa: PT011
+        stores.write_bars(b, f"file://{tmp_path}/file/bars", "5m", overwrite=False)
+    assert not isinstance(e.value, stores.NoStore)
 
 
 def test_csv_dialects(spark, tmp_path):
-    from barlake.sources.csv_bars import CsvSource, file_sha256, load
+    from barlake.sources.csv_bars import CsvSource, digest, load
 
     cases = {
         "iso.csv": ("datetime,open,high,low,close,volume\n2026-01-05 10:00:00,1,2,0.5,1.5,7\n", {}),
@@ -171,7 +175,27 @@ def test_csv_dialects(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("datetime,open,high\n2026-01-05 10:00:00,1,2\n")
     with pytest.raises(B.SchemaError):
         load(spark, CsvSource(f"file://{tmp_path}/bad.csv", 5))
-    assert len(file_sha256(str(tmp_path / "bad.csv"))) == 64
+    import hashlib
+
+    assert digest(spark, f"file://{tmp_path}/bad.csv") == hashlib.sha256((tmp_path / "bad.csv").read_bytes()).hexdigest()
+    quoted = 'note\n"datetime","open","high","low","close","volume","x"\n"2026-01-05 10:00:00","1","2","0.5","1.5","7","a,b"\nnote\n'.replace("\nnote\n", "\n2026-01-05 10:05:00,1,2,0.5,1.5,7,note\n")
+    (tmp_path / "quoted.csv").write_text(quoted)
+    got = load(spark, CsvSource(f"file://{tmp_path}/quoted.csv", 5, skip_rows=1, delimiter=",")).orderBy("row_no").collect()
+    assert [(str(r.open_time), r.volume) for r in got] == [("2026-01-05 10:00:00", 7.0), ("2026-01-05 10:05:00", 7.0)]
+
+
+def test_repeated_local_hours_across_splits(spark, tmp_path):
+    from barlake.sources.csv_bars import CsvSource, load
+
+    # Clocks go back in London on 2026-10-25 at 01:00 UTC: 01:00 to 01:55 local time comes twice.
+    utc = [dt.datetime(2026, 10, 24, 23, 0) + k * dt.timedelta(minutes=5) for k in range(60)]
+    local = [t + dt.timedelta(hours=1) if t < dt.datetime(2026, 10, 25, 1, 0) else t for t in utc]
+    (tmp_path / "local.csv").write_text("datetime,open,high,low,close,volume\n" + "".join(f"{t:%Y-%m-%d %H:%M:%S},1,2,0.5,1.5,7\n" for t in local))
+    for size in ("128m", "1200"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = load(spark, CsvSource(f"file://{tmp_path}/local.csv", 5, source_tz="Europe/London")).orderBy("row_no").collect()
+        assert [r.open_time for r in got] == utc
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_engine_writes_and_reads_back(spark, tmp_path):
@@ -184,7 +208,11 @@ def test_engine_writes_and_reads_back(spark, tmp_path):
     root = f"file://{tmp_path}/features"
     stores.write_features(matrix, made, root)
     assert stores.read_features(spark, root, made.version, "ALL").count() == matrix.count()
-    assert stores.list_feature_sets(spark, root).first().n_features == len(made.names)
+    listed = stores.list_feature_sets(spark, root).first()
+    assert (listed.n_features, listed.n_rows) == (len(made.names), matrix.count()) and listed.created_at
+    middle = matrix.selectExpr("percentile_approx(unix_seconds(close_time), 0.5)").first()[0]
+    day = dt.datetime.fromtimestamp(middle, dt.UTC).strftime("%Y-%m-%d")
+    assert stores.read_features(spark, root, made.version, "ALL", start=day).count() == matrix.where(F.col("close_time") >= day).count()
     assert json.loads(stores.read_manifest(spark, root, made.version).to_json())["version"] == made.version
 
 
