@@ -1 +1,3 @@
 """Part of barlake."""
+
+__version__ = "0.2.0"

@@ -8,8 +8,12 @@ import json
 import os
 from dataclasses import dataclass, field, fields
 from pathlib import Path
-from typing import Any
+from types import UnionType
+from typing import Any, Union, get_args, get_origin, get_type_hints
 
+from barlake.calendars import SESSIONS, Calendar, Session
+from barlake.operators.quality import Cleaning
+from barlake.sources.csv_bars import CsvSource
 from barlake.timeframes import Timeframe
 
 
@@ -17,6 +21,43 @@ class ConfigError(ValueError):
     pass
 
 
+# The names and defaults of all options below.
+
+
+@dataclass(frozen=True)
+class Validation:
+    min_completeness: float = 0.9
+    max_null_fraction: float = 0.01
+    extreme_return_sigma: float = 12.0
+    max_gap_bars_reported: int = 20
+    flag_zero_volume: bool = True
+    fail_on_error: bool = True
+
+
+@dataclass(frozen=True)
+class Resampling:
+    daily_anchor_tz: str = "America/New_York"
+    daily_anchor_time: str = "17:00"
+    h4_anchor_offset_minutes: int = 0
+    min_bars_for_complete: float = 0.5
+    drop_incomplete_last_bar: bool = True
+
+
+@dataclass(frozen=True)
+class Data:
+    source: CsvSource = field(default_factory=CsvSource)
+    context_timeframes: tuple[str, ...] = ("15m", "1h", "4h", "1d")
+    validation: Validation = field(default_factory=Validation)
+    cleaning: Cleaning = field(default_factory=Cleaning)
+    resample: Resampling = field(default_factory=Resampling)
+
+
+@dataclass(frozen=True)
+class Sessions:
+    windows: tuple[Session, ...] = SESSIONS
+    tradable: tuple[str, ...] = ("LONDON", "NY", "LONDON_NY_OVERLAP")
+
+
 @dataclass(frozen=True)
 class Price:
     enabled: bool = True
@@ -125,27 +166,49 @@ class Config:
     log_level: str = "INFO"
     data_root: str = "data"
     artifact_root: str = "artifacts"
+    data: Data = field(default_factory=Data)
+    calendar: Calendar = field(default_factory=Calendar)
+    sessions: Sessions = field(default_factory=Sessions)
     features: Features = field(default_factory=Features)
 
     def __post_init__(self):
         base = Timeframe(self.base_timeframe).minutes
-        for tf in self.features.mtf.timeframes:
+        for tf in {*self.features.mtf.timeframes, *(self.data.context_timeframes if self.data.source.path else ())}:
             if Timeframe(tf).minutes <= base or Timeframe(tf).minutes % base:
                 raise ConfigError(f"{tf} is no coarser multiple of {self.base_timeframe}")
-
-
-def build(kind: type, values: dict[str, Any]) -> Any:
-    """A dataclass from nested dicts; unknown keys are refused."""
-    known = {f.name: f for f in fields(kind)}
-    if extra := set(values) - set(known):
-        raise ConfigError(f"unknown keys for {kind.__name__}: {sorted(extra)}")
-    out = {}
-    for k, v in values.items():
-        inner = known[k].default_factory
-        if dataclasses.is_dataclass(inner) and isinstance(v, dict):
-            v = build(inner, v)
-        out[k] = tuple(v) if isinstance(v, list) else v
-    return kind(**out)
+        if self.data.source.path and self.data.source.minutes != base:
+            raise ConfigError(f"the source has bars of {self.data.source.minutes} minutes, the base is {self.base_timeframe}")
+        if self.features.semantics not in ("reference", "causal"):
+            raise ConfigError("features.semantics is reference or causal")
+
+    def store(self, name: str) -> str:
+        """Folder of the stored bars, resampled bars, reports or features."""
+        return f"{self.artifact_root if name == 'features' else self.data_root}/{name}"
+
+
+def build(kind: Any, values: Any) -> Any:
+    """A value of a declared type from plain ones: dataclasses from dicts, tuples and sets from lists. Unknown keys, and
+    values of another type, are refused."""
+    if dataclasses.is_dataclass(kind):
+        if not isinstance(values, dict):
+            raise ConfigError(f"{kind.__name__} takes named values")
+        types = get_type_hints(kind)
+        if extra := set(values) - {f.name for f in fields(kind)}:
+            raise ConfigError(f"unknown keys for {kind.__name__}: {sorted(extra)}")
+        return kind(**{k: build(types[k], v) for k, v in values.items()})
+    many, inner = get_origin(kind), get_args(kind)
+    if many in (tuple, frozenset) and isinstance(values, list | tuple):
+        kinds = inner if many is tuple and inner[-1] is not ... else (inner[0],) * len(values)
+        return many(build(k, v) for k, v in zip(kinds, values, strict=True))
+    if many is dict and isinstance(values, dict):
+        return {build(inner[0], k): build(inner[1], v) for k, v in values.items()}
+    if many in (Union, UnionType):
+        return None if values is None else build(next(x for x in inner if x is not type(None)), values)
+    if kind is float and isinstance(values, int) and not isinstance(values, bool):
+        return float(values)
+    if not isinstance(kind, type) or not isinstance(values, kind) or (kind is int and isinstance(values, bool)):
+        raise ConfigError(f"{values!r} is no {getattr(kind, '__name__', kind)}")
+    return values
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -175,14 +238,17 @@ def load(paths: list[str | Path] = (), overrides: list[str] = (), env: dict[str,
     return build(Config, values)
 
 
-def canonical_json(x: Any) -> str:
-    plain = dataclasses.asdict(x) if dataclasses.is_dataclass(x) else x
-    return json.dumps(plain, sort_keys=True, separators=(",", ":"), default=str)
-
-
-def config_hash(x: Any, length: int = 12) -> str:
-    return hashlib.sha256(canonical_json(x).encode()).hexdigest()[:length]
+def plain(x: Any) -> Any:
+    """x in terms of JSON: dataclasses as objects, tuples as lists, sets as sorted lists."""
+    if dataclasses.is_dataclass(x):
+        return {f.name: plain(getattr(x, f.name)) for f in fields(x)}
+    if isinstance(x, dict):
+        return {str(k): plain(v) for k, v in x.items()}
+    if isinstance(x, frozenset):
+        return sorted(map(plain, x))
+    return [plain(v) for v in x] if isinstance(x, tuple | list) else x
 
 
-def version_tag(x: Any) -> str:
-    return f"fs_{config_hash(x, 10)}"
+def fingerprint(x: Any, prefix: str = "", digits: int = 10) -> str:
+    """A short name of a configuration: equal ones, whatever the order of their keys, have equal names."""
+    return prefix + hashlib.sha256(json.dumps(plain(x), sort_keys=True).encode()).hexdigest()[:digits]

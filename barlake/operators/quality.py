@@ -13,7 +13,12 @@ from barlake.calendars import Calendar
 from barlake.functions.rolling import flag
 from barlake.timeframes import on_grid
 
-ERRORS = frozenset({"null_value", "non_positive_price", "ohlc_inconsistent", "negative_volume"})
+# How grave each kind of fault is. Too many nulls are an error.
+SEVERITY = {
+    "duplicate_timestamp": "WARNING", "non_monotonic": "WARNING", "off_grid": "WARNING", "null_value": "WARNING", "non_positive_price": "ERROR", "ohlc_inconsistent": "ERROR",
+    "flat_bar": "INFO", "negative_volume": "ERROR", "zero_volume": "INFO", "extreme_return": "WARNING",
+}
+ERRORS = frozenset({*(k for k, v in SEVERITY.items() if v == "ERROR"), "null_value"})
 
 
 def any_price(test) -> Column:
@@ -28,12 +33,12 @@ def inconsistent() -> Column:
     return F.coalesce((h < lo) | (h < o) | (h < cl) | (lo > o) | (lo > cl), F.lit(False))
 
 
-def issues(bars: DataFrame, minutes: int, row_no: str = "row_no") -> DataFrame:
-    """(issue, n): how many rows of each kind of fault bars has, in one pass and a window in file order."""
+def marked(bars: DataFrame, minutes: int, row_no: str = "row_no") -> DataFrame:
+    """bars with a boolean column for each kind of fault; order is that of the file."""
     w = W.partitionBy("symbol").orderBy(row_no)
     same = W.partitionBy("symbol", "close_time")
     rows = bars.withColumns({"_back": F.col("close_time") < F.lag("close_time").over(w), "_copies": F.row_number().over(same.orderBy(row_no))})
-    counts = {
+    faults = {
         "duplicate_timestamp": F.col("_copies") > 1,
         "non_monotonic": F.col("_back"),
         "off_grid": ~on_grid(F.col("close_time"), minutes),
@@ -44,8 +49,31 @@ def issues(bars: DataFrame, minutes: int, row_no: str = "row_no") -> DataFrame:
         "negative_volume": F.col("volume") < 0,
         "zero_volume": F.col("volume") == 0,
     }
-    one = rows.agg(*(F.coalesce(F.sum(flag(v)), F.lit(0.0)).cast("long").alias(k) for k, v in counts.items()))
-    return one.unpivot([], list(counts), "issue", "n")
+    return rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in faults.items()}).drop("_back", "_copies")
+
+
+KINDS = tuple(k for k in SEVERITY if k != "extreme_return")
+
+
+def issues(bars: DataFrame, minutes: int, row_no: str = "row_no") -> DataFrame:
+    """(issue, n): how many rows of each kind of fault bars has, in one pass and a window in file order."""
+    one = marked(bars, minutes, row_no).agg(*(F.count_if(k).alias(k) for k in KINDS))
+    return one.unpivot([], list(KINDS), "issue", "n")
+
+
+def findings(bars: DataFrame, minutes: int, sigma: float = 12.0, max_null: float = 0.01, zero_volume: bool = True, examples: int = 3) -> list[dict]:
+    """The faults that bars has: issue, severity, count, share of the rows, and the first few close times in file order."""
+    rows = marked(bars, minutes)
+    counts = rows.agg(F.count("*").alias("rows"), *(F.count_if(k).alias(k) for k in KINDS)).first()
+    extreme = extreme_returns(bars, sigma)
+    found = {k: (counts[k], rows.where(k).orderBy("row_no")) for k in KINDS if counts[k] and (k != "zero_volume" or zero_volume)}
+    if n := extreme.count():
+        found["extreme_return"] = n, extreme.orderBy("close_time")
+    out = []
+    for kind, (n, faulty) in found.items():
+        severity = "ERROR" if kind == "null_value" and n > max_null * counts.rows else SEVERITY[kind]
+        out.append({"issue": kind, "severity": severity, "count": n, "share": n / counts.rows, "examples": [str(r.close_time) for r in faulty.select("close_time").limit(examples).collect()]})
+    return out
 
 
 def extreme_returns(bars: DataFrame, sigma: float = 12.0, least: int = 100, row_no: str = "row_no") -> DataFrame:
@@ -147,11 +175,11 @@ def clean(bars: DataFrame, minutes: int, rules: Cleaning = Cleaning(), row_no: s
     return fill_gaps(out, minutes, rules.max_fill) if rules.max_fill else out
 
 
-def gate(found: dict[str, int], rows: int, complete: float, min_complete: float = 0.9, max_null: float = 0.01, fail: bool = True) -> list[str]:
-    """Faults that forbid going on; raised unless fail is off."""
-    bad = [k for k, n in found.items() if n and k in ERRORS and (k != "null_value" or n > max_null * rows)]
+def gate(found: list[dict], complete: float, min_complete: float = 0.9, fail: bool = True) -> list[str]:
+    """What forbids going on: faults that are errors, and too few of the calendar's bars. Raised unless fail is off."""
+    bad = [f"{x['issue']}: {x['count']} rows" for x in found if x["severity"] == "ERROR"]
     if complete < min_complete:
-        bad.append(f"completeness {complete:.3f}")
+        bad.append(f"completeness {complete:.3f} below {min_complete:.3f}")
     if bad and fail:
         raise DataQualityError(", ".join(bad))
     return bad

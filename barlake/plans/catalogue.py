@@ -417,13 +417,15 @@ def volume_measures(spark, d):
 
 
 SW = f"p1 AS (SELECT *, CASE WHEN {lagged('high', 2)} >= {over('max', 'high', 5)} THEN {lagged('high', 2)} END AS ph, CASE WHEN {lagged('low', 2)} <= {over('min', 'low', 5)} THEN {lagged('low', 2)} END AS pl FROM a)"
-SW2 = f"""{SW}, p2 AS (SELECT *, last_value(ph IGNORE NULLS) OVER x AS lh, last_value(pl IGNORE NULLS) OVER x AS ll, last_value(CASE WHEN ph IS NOT NULL THEN rn - 2 END IGNORE NULLS) OVER x AS hrn, last_value(ph IGNORE NULLS) OVER y AS oh, last_value(pl IGNORE NULLS) OVER y AS ol FROM p1
+SW2 = f"""{SW}, p2 AS (SELECT *, last_value(ph IGNORE NULLS) OVER x AS lh, last_value(pl IGNORE NULLS) OVER x AS ll, last_value(CASE WHEN ph IS NOT NULL THEN rn - 2 END IGNORE NULLS) OVER x AS hrn, last_value(CASE WHEN pl IS NOT NULL THEN rn - 2 END IGNORE NULLS) OVER x AS lrn, last_value(ph IGNORE NULLS) OVER y AS oh, last_value(pl IGNORE NULLS) OVER y AS ol FROM p1
   WINDOW x AS (ORDER BY close_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), y AS (ORDER BY close_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 p3 AS (SELECT *, CASE WHEN close > lh THEN 1 WHEN close < ll THEN -1 END AS br, CASE WHEN ph IS NOT NULL AND oh IS NOT NULL THEN CASE WHEN ph > oh THEN 1 ELSE 0 END END AS fhh, CASE WHEN pl IS NOT NULL AND ol IS NOT NULL THEN CASE WHEN pl > ol THEN 1 ELSE 0 END END AS fhl FROM p2),
 p4 AS (SELECT *, coalesce(last_value(br IGNORE NULLS) OVER (ORDER BY close_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pb FROM p3)"""
 STRUCTURE = {
-    "swing_high_flag": "CAST(ph IS NOT NULL AS INTEGER)", "swing_low_flag": "CAST(pl IS NOT NULL AS INTEGER)", "last_swing_high_dist_atr": f"(close - lh) / {A_}", "last_swing_high_age": "rn - hrn",
+    "swing_high_flag": "CAST(ph IS NOT NULL AS INTEGER)", "swing_low_flag": "CAST(pl IS NOT NULL AS INTEGER)", "last_swing_high_dist_atr": f"(close - lh) / {A_}", "last_swing_high_age": "rn - hrn", "last_swing_low_dist_atr": f"(close - ll) / {A_}", "last_swing_low_age": "rn - lrn",
     "hh": "coalesce(last_value(fhh IGNORE NULLS) OVER (ORDER BY close_time ROWS UNBOUNDED PRECEDING), 0)", "hl": "coalesce(last_value(fhl IGNORE NULLS) OVER (ORDER BY close_time ROWS UNBOUNDED PRECEDING), 0)",
+    "lh": "coalesce(last_value(1 - fhh IGNORE NULLS) OVER (ORDER BY close_time ROWS UNBOUNDED PRECEDING), 0)", "ll": "coalesce(last_value(1 - fhl IGNORE NULLS) OVER (ORDER BY close_time ROWS UNBOUNDED PRECEDING), 0)",
+    "bos_age": "rn - last_value(CASE WHEN br IS NOT NULL THEN rn END IGNORE NULLS) OVER (ORDER BY close_time ROWS UNBOUNDED PRECEDING)", "bos_strength": f"tanh(greatest(last_value(CASE WHEN br = 1 THEN close - lh WHEN br = -1 THEN ll - close END IGNORE NULLS) OVER (ORDER BY close_time ROWS UNBOUNDED PRECEDING) / {A_}, 0) / (1 + {E}))",
     "bos_bull": "CAST(coalesce(close > lh, false) AS INTEGER)", "bos_bear": "CAST(coalesce(close < ll, false) AS INTEGER)", "mss_bull": "CAST(coalesce(br = 1 AND pb <= 0, false) AS INTEGER)", "mss_bear": "CAST(coalesce(br = -1 AND pb >= 0, false) AS INTEGER)",
     "range_width_atr": f"({over('max', 'high', 50)} - {over('min', 'low', 50)}) / {A_}", "range_position": f"(close - {over('min', 'low', 50)}) / ({over('max', 'high', 50)} - {over('min', 'low', 50)} + {E})",
 }
@@ -466,9 +468,15 @@ def level_distances(spark, d):
     return told(G.liquidity(ready(spark, d), Calendar().trading_day), *LEVEL_COLS, digits=4)
 
 
-@query()
+LAST = "OVER (ORDER BY close_time ROWS UNBOUNDED PRECEDING)"
+AFTER = f"""kn AS (SELECT *, {LEVEL_COLS['sweep_strength']} AS strength, CASE WHEN sh OR sl THEN rn END AS er, CASE WHEN sh THEN 1.0 WHEN sl THEN -1.0 END AS ed FROM km),
+ko AS (SELECT *, rn - last_value(er IGNORE NULLS) {LAST} AS age, last_value(ed IGNORE NULLS) {LAST} AS dir, last_value(CASE WHEN er IS NOT NULL THEN close END IGNORE NULLS) {LAST} AS sc, last_value(CASE WHEN er IS NOT NULL THEN strength END IGNORE NULLS) {LAST} AS ss FROM kn),
+kp AS (SELECT *, coalesce(age <= 12, false) AS live, tanh(greatest(-dir * (close - sc) / {A_}, 0)) AS follow FROM ko)"""
+
+
+@query(f"{WITH_ATR}, {LVS}, {AFTER} " + final({"sweep_age": "age", "sweep_direction": "CASE WHEN live THEN dir ELSE 0 END", "stop_hunt_score": "CASE WHEN live THEN ss * follow ELSE 0 END", "rejection_after_sweep": "CASE WHEN live THEN follow ELSE 0 END"}, "kp", 4))
 def sweep_aftermath(spark, d):
-    return told(G.liquidity(ready(spark, d), Calendar().trading_day), "sweep_age", "sweep_direction", "stop_hunt_score", "rejection_after_sweep")
+    return told(G.liquidity(ready(spark, d), Calendar().trading_day), "sweep_age", "sweep_direction", "stop_hunt_score", "rejection_after_sweep", digits=4)
 
 
 TIME = {f"{n}_{f}": f"{f}(2 * pi() * {x})" for n, x in (("hour", "hour(close_time) / 24"), ("minute_of_day", "(hour(close_time) * 60 + minute(close_time)) / 1440"), ("dow", "(isodow(close_time) - 1) / 7"), ("month", "month(close_time) / 12")) for f in ("sin", "cos")} | {
@@ -483,9 +491,15 @@ def session_clock(spark, d):
     return told(G.clock(ready(spark, d), 15), *TIME)
 
 
-@query()
+OLD = "(PARTITION BY session ORDER BY close_time ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
+TYPICAL = "CASE " + " ".join(f"WHEN labels = {n} AND count(atr) OVER {OLD.format(1920 // n)} >= {max(10, 1920 // n // 10)} THEN avg(atr) OVER {OLD.format(1920 // n)}" for n in range(1, 6)) + " END"
+STATS = f"""z1 AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS size, row_number() OVER (PARTITION BY session_id ORDER BY close_time) - 1 AS pos, (SELECT count(DISTINCT session) FROM se) AS labels FROM se),
+z2 AS (SELECT *, least(1, greatest(0, pos / ((SELECT quantile_cont(size, 0.5) FROM z1 WHERE size > 1) + {E}))) AS progress, {TYPICAL} AS typical FROM z1)"""
+
+
+@query(f"{WITH_ATR}, {SESSION_SQL.format('a')}, {STATS} " + final({"session_progress": "progress", "session_atr_ratio": f"atr / (typical + {E})", "is_session_last_hour": "CAST(progress > 0.85 AS INTEGER)", "is_session_first_hour": "CAST(pos < 4 AS INTEGER)"} | {f"session_is_{n.lower()}": f"CAST(session = '{n}' AS INTEGER)" for n in ("ASIA", "LONDON", "NY", "LONDON_NY_OVERLAP", "OFF")}, "z2", 4))
 def session_statistics(spark, d):
-    return told(G.clock(ready(spark, d), 15), "session_progress", "session_atr_ratio", "is_session_last_hour")
+    return told(G.clock(ready(spark, d), 15), "session_progress", "session_atr_ratio", "is_session_last_hour", "is_session_first_hour", *(f"session_is_{n}" for n in ("asia", "london", "ny", "london_ny_overlap", "off")), digits=4)
 
 
 def sq(x: str, k: float = 1.0) -> str:
@@ -509,9 +523,40 @@ def candle_patterns(spark, d):
     return told(G.patterns(ready(spark, d)), *PATTERN, digits=4)
 
 
-@query()
+BEFORE = "(PARTITION BY symbol ORDER BY close_time ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+RETEST = f"""{PT}, t2 AS (SELECT *, (ql - low) / {A_} AS penl, (high - qh) / {A_} AS penh, list(rg) OVER {WIN.format(6)} AS seven FROM t1)"""
+BEST = "(len(list_filter(seven, lambda v: v < rg)) + (len(list_filter(seven, lambda v: v = rg)) + 1) / 2) / 7"
+RETESTS = {
+    "double_retest_bull_strength": f"CASE WHEN atr IS NOT NULL AND abs(low - ql) / {A_} < 0.5 THEN {sq(f'max(penl) OVER {BEFORE} - penl', 0.5)} END", "double_retest_bear_strength": f"CASE WHEN atr IS NOT NULL AND abs(high - qh) / {A_} < 0.5 THEN {sq(f'max(penh) OVER {BEFORE} - penh', 0.5)} END",
+    "compression_strength": f"CASE WHEN len(seven) = 7 THEN 1 - {BEST} END", "pinbar_bear_strength": f"CASE WHEN atr IS NOT NULL THEN (high - greatest(open, close)) / (rg + {E}) * (1 - least(abs(bd) / (rg + {E}), 1)) * {sq(f'rg / {A_}')} END",
+    "rejection_bull_strength": f"CASE WHEN atr IS NOT NULL THEN (least(open, close) - low) / (rg + {E}) * (close - low) / (rg + {E}) * {sq(f'rg / {A_}', 1.5)} END",
+    "momentum_bear_strength": f"CASE WHEN atr IS NOT NULL THEN {sq(f'sum(greatest(-bd, 0)) OVER {WIN.format(4)} / (5 * atr + {E})', 0.3)} * (1 - avg(up) OVER {WIN.format(4)}) END",
+}
+
+
+@query(f"{WITH_ATR}, {RETEST} " + final({k: f"coalesce(least(1, greatest(0, {v})), 0)" for k, v in RETESTS.items()}, "t2", 4))
 def double_retest(spark, d):
-    return told(G.patterns(ready(spark, d)), "double_retest_bull_strength", "double_retest_bear_strength", "compression_strength")
+    return told(G.patterns(ready(spark, d)), *RETESTS, digits=4)
+
+
+RANK1000 = "CASE WHEN atr IS NOT NULL AND len(ys) >= 100 THEN (len(list_filter(ys, lambda v: v < atr)) + (len(list_filter(ys, lambda v: v = atr)) + 1) / 2) / len(ys) END"
+REGIME = f"""{VOL1}, {wilder_sql('w2', 'tr', 20)}, {wilder_sql('w5', 'tr', 50)}, {ema_sql('e2', 'close', 20)},
+r1 AS (SELECT v2.*, CASE WHEN v2.rn >= 19 THEN w2.y END AS atr20, CASE WHEN v2.rn >= 49 THEN w5.y END AS atr50, CASE WHEN v2.rn >= 19 THEN e2.y END AS e20, list(atr) OVER {WIN.format(999)} AS xs FROM v2 JOIN w2 USING (rn) JOIN w5 USING (rn) JOIN e2 USING (rn)),
+r2 AS (SELECT *, list_filter(xs, lambda v: v IS NOT NULL) AS ys FROM r1), r3 AS (SELECT *, {RANK1000} AS p FROM r2), r4 AS (SELECT *, CASE WHEN p < 0.2 THEN 0 WHEN p < 0.8 THEN 1 WHEN p < 0.95 THEN 2 WHEN p IS NOT NULL THEN 3 END AS regime FROM r3)"""
+REGIMES = {"atr_50": "atr50", "atr_ratio_fast_slow": f"atr / (atr50 + {E})", "atr_percentile_1000": "p", "squeeze_flag": f"CAST(coalesce(bb < 3 * atr20 / (e20 + {E}), false) AS INTEGER)", "vol_regime": "regime"}
+REGIMES |= {f"vol_regime_is_{n}": f"CAST(coalesce(regime = {k}, false) AS INTEGER)" for k, n in enumerate(("low", "normal", "high", "extreme"))}
+
+
+@query(f"{WITH_ATR}, {REGIME} " + final(REGIMES, "r4", 3))
+def volatility_regimes(spark, d):
+    return told(G.volatility(ready(spark, d)), *REGIMES, digits=3)
+
+
+@query(f"""{BASE}, x AS (SELECT *, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM s), {wilder_sql('wg', 'g', 14, 'x', 1)}, {wilder_sql('wl', 'l', 14, 'x', 1)},
+j AS (SELECT s.*, CASE WHEN s.rn >= 14 THEN 100 - 100 / (1 + wg.y / (wl.y + {E})) END AS rsi FROM s LEFT JOIN wg USING (rn) LEFT JOIN wl USING (rn)),
+k AS (SELECT *, {over('min', 'close', 20)} AS lc, {over('max', 'close', 20)} AS hc, {over('min', 'rsi', 20)} AS lr, {over('max', 'rsi', 20)} AS hr FROM j) """ + final({"rsi_divergence_20": "CASE WHEN lc IS NOT NULL THEN CAST(close <= lc AND NOT coalesce(rsi <= lr, false) AS INTEGER) - CAST(close >= hc AND NOT coalesce(rsi >= hr, false) AS INTEGER) END"}, "k", 4))
+def rsi_divergence(spark, d):
+    return told(G.trend(ready(spark, d)), "rsi_divergence_20", digits=4)
 
 
 RN = f"""rr AS (SELECT *, time_bucket(INTERVAL 1 HOUR, open_time, TIMESTAMP '2000-01-01') AS cell FROM a), rs AS (SELECT *, max(high) OVER z AS ch, min(low) OVER z AS cl, first_value(open) OVER z AS co, row_number() OVER z AS cn FROM rr WINDOW z AS (PARTITION BY cell ORDER BY close_time ROWS UNBOUNDED PRECEDING))"""
@@ -543,10 +588,10 @@ def zone_states(spark, d):
     return told(zones(ready(spark, d)), *(n for n, _ in [*fvg(), *order_blocks()]))
 
 
-def small():
+def small(semantics: str = "reference"):
     from barlake.config import Config, Features, Frames
 
-    return Config(base_timeframe="15m", features=Features(mtf=Frames(timeframes=("1h", "4h"))))
+    return Config(base_timeframe="15m", features=Features(semantics=semantics, mtf=Frames(timeframes=("1h", "4h"))))
 
 
 @query()
@@ -556,6 +601,27 @@ def feature_matrix_wide(spark, d):
     return transform(bars(spark, d), small())[0]
 
 
+@query()
+def feature_matrix_default(spark, d):
+    """The 583 columns of the default configuration: 5-minute bars with 15m, 1h, 4h and 1d."""
+    from barlake.config import Config
+    from barlake.plans.engine import transform
+
+    return transform(bars(spark, d, 5), Config())[0]
+
+
+@query("SELECT 'no feature differs' AS result, CAST(0 AS BIGINT) AS n_features")
+def replay_audit(spark, d):
+    """Features whose value at a past close differs when the bars after it are taken away: none may.
+
+    Causal semantics: the reference's session statistics look at the whole series by definition.
+    """
+    from barlake.plans.engine import replay_audit as audit
+
+    found = audit(bars(spark, d), small("causal"), n_cutoffs=1, raise_on_failure=False)
+    return found.agg(F.when(F.count("*") == 0, "no feature differs").otherwise("features look ahead").alias("result"), F.countDistinct("feature").alias("n_features"))
+
+
 @query()
 def null_report(spark, d):
     from barlake.plans.engine import null_report as report

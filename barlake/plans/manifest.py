@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from barlake.config import Config, Features, version_tag
+from barlake.config import Config, Features, fingerprint
 from barlake.functions.groups import LEVELS
 from barlake.timeframes import Timeframe
 
@@ -146,4 +146,4 @@ class Manifest:
 def build(cfg: Config, context: list[str] | None = None) -> Manifest:
     found = specs(cfg, context)
     reach = max((s.lookback for s in found), default=0)
-    return Manifest(version_tag(cfg.features), cfg.symbol, cfg.base_timeframe, list(cfg.features.mtf.timeframes) if context is None else context, [asdict(s) for s in found], reach, min(reach, cfg.features.max_warmup_bars))
+    return Manifest(fingerprint(cfg.features, "fs_"), cfg.symbol, cfg.base_timeframe, list(cfg.features.mtf.timeframes) if context is None else context, [asdict(s) for s in found], reach, min(reach, cfg.features.max_warmup_bars))

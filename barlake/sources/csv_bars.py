@@ -21,8 +21,8 @@ FORMATS = ("yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "dd.MM.yyyy HH:mm:ss.SSS",
 
 @dataclass(frozen=True)
 class CsvSource:
-    path: str
-    minutes: int
+    path: str = ""
+    minutes: int = 5
     convention: str = "open"
     source_tz: str | None = None
     delimiter: str | None = None

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -77,9 +76,13 @@ def store_summary(spark: SparkSession, root: str) -> DataFrame:
     return _tree(spark, root).groupBy("symbol", "tf").agg(F.count("*").alias("n_rows"), F.min("close_time").alias("first_close"), F.max("close_time").alias("last_close"))
 
 
-def write_json(path: str | Path, value) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, default=str))
+def write_report(spark: SparkSession, path: str, value: dict) -> None:
+    """value as one line of JSON, by Spark's writer, so that path may lie in any store."""
+    spark.createDataFrame([(json.dumps(value, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first().value)
 
 
 def write_features(matrix: DataFrame, made: Manifest, root: str) -> str:

@@ -45,9 +45,15 @@ def test_config_is_strict_and_hashes_alike(tmp_path):
     (tmp_path / "a.yaml").write_text("seed: 7\nfeatures: {price: {return_periods: [1, 2]}}\n")
     c = config.load([tmp_path / "a.yaml"], ["features.fvg.max_tracked=5"], {"BARLAKE_SEED": "9"})
     assert (c.seed, c.features.price.return_periods, c.features.fvg.max_tracked) == (9, (1, 2), 5)
-    assert config.version_tag(c.features) == config.version_tag(c.features) != config.version_tag(config.Features())
+    assert config.fingerprint(c.features) == config.fingerprint(c.features) != config.fingerprint(config.Features())
     with pytest.raises(config.ConfigError):
         config.load(overrides=["features.nope=1"])
+    for bad in ("seed=x", "features.mtf.timeframes=[3m]", "data.source={path: a.csv, minutes: 15}", "data.validation.fail_on_error=1", "features.semantics=other"):
+        with pytest.raises(ValueError):  # noqa: PT011
+            config.load(overrides=[bad])
+    some = config.load(overrides=["calendar.holidays=['2026-01-01']", "sessions.windows=[{name: NY, tz: America/New_York, start: '08:00', end: '17:00'}]", "data.cleaning.max_fill=3", "calendar.week_open=[0, '00:00']"])
+    assert some.calendar.holidays == {"2026-01-01"} and some.sessions.windows[0].name == "NY" and some.data.cleaning.max_fill == 3 and some.calendar.week_open == (0, "00:00")
+    assert config.build(config.Config, config.plain(some)) == some
     with pytest.raises(config.ConfigError):
         config.Config(base_timeframe="1h")
 
@@ -137,8 +143,13 @@ def test_cleaning_and_gate(spark):
     assert Q.clean(twice, 5).count() == 3
     assert {r.issue: r.n for r in Q.issues(twice, 5).collect()}["duplicate_timestamp"] == 1
     assert Q.fill_gaps(frame(spark, [(1, 2, 0.5, 1.5)]).unionByName(frame(spark, [(1, 2, 0.5, 1.5)], start=T0 + dt.timedelta(minutes=20))), 5, 3).count() == 5
-    with pytest.raises(B.DataQualityError):
-        Q.gate({"negative_volume": 1}, 10, 1.0)
+    with pytest.raises(B.DataQualityError, match="ohlc_inconsistent"):
+        Q.gate(Q.findings(twice, 5), 1.0)
+    assert Q.gate([], 0.5, fail=False) and not Q.gate([], 0.95)
+    nulls = frame(spark, [(1, 2, 0.5, 1.5)] * 200).withColumn("row_no", F.monotonically_increasing_id()).withColumn("close", F.when(F.minute("close_time") != 5, F.col("close")))
+    found = {x["issue"]: x for x in Q.findings(nulls, 5)}
+    assert found["null_value"]["severity"] == "ERROR" and len(found["null_value"]["examples"]) == 3 and found["null_value"]["share"] == found["null_value"]["count"] / 200
+    assert {x["issue"]: x for x in Q.findings(nulls, 5, max_null=0.5)}["null_value"]["severity"] == "WARNING"
     with pytest.raises(B.SchemaError):
         B.check(twice, 5)
 
@@ -238,3 +249,72 @@ def test_stream_equals_batch_on_closed_bars(spark, tmp_path):
     got = {tuple(r) for r in spark.table("live").select(*cols).collect()}
     want = {tuple(r) for r in batch.select(*cols).collect()}
     assert got <= want and len(want - got) <= 2
+
+
+def bars_csv(path, n=2000, drop=range(0), **bad):
+    """Random-walk bars on the calendar's 5-minute grid from 2026-01-05 on; bad maps a column to (row, value)."""
+    rng, price, rows, t = random.Random(7), 4000.0, [], dt.datetime(2026, 1, 5)
+    while len(rows) < n:
+        local = t - dt.timedelta(hours=5)  # New York in winter
+        minute = local.weekday() * 1440 + local.hour * 60 + local.minute
+        if (minute >= 6 * 1440 + 1080 or minute < 4 * 1440 + 1020) and not (local.hour == 17 and local.weekday() not in (6, 4)):
+            o, price = price, price + rng.gauss(0, 2)
+            rows.append({"datetime": t, "open": o, "high": max(o, price) + rng.random(), "low": min(o, price) - rng.random(), "close": price, "volume": rng.randrange(50, 2000)})
+        t += dt.timedelta(minutes=5)
+    for column, (k, value) in bad.items():
+        rows[k][column] = value
+    rows = [r for k, r in enumerate(rows) if k not in drop]
+    path.write_text(",".join(rows[0]) + "\n" + "".join(",".join(map(str, r.values())) + "\n" for r in rows))
+    return f"file://{path}"
+
+
+def test_ingest_from_file_to_stores(spark, tmp_path):
+    from barlake.plans.ingest import ingest, stored
+    from barlake.sources import stores
+
+    path = bars_csv(tmp_path / "bars.csv")
+    cfg = config.load(overrides=[f"data.source.path={path}", f"data_root=file://{tmp_path}/data"], env={})
+    looked = ingest(spark, cfg, persist=False, hash_source=False)
+    assert looked.written == [] and not (tmp_path / "data").exists()
+    done = ingest(spark, cfg)
+    assert list(done.bars) == ["5m", "15m", "1h", "4h", "1d"] and done.report["rows_out"] == done.bars["5m"].count() == 2000
+    assert done.report["completeness"] == 1.0 and len(done.report["source_sha256"]) == 64 and not done.report["problems"]
+    end = done.bars["5m"].agg(F.max("close_time")).first()[0]
+    assert all(d.agg(F.max("close_time")).first()[0] <= end for d in done.bars.values())
+    base, frames = stored(spark, cfg)
+    assert column(base, "close_time", "close") == column(done.bars["5m"], "close_time", "close") and set(frames) == {"15m", "1h", "4h", "1d"}
+    assert {r.tf for r in stores.store_summary(spark, cfg.store("resampled")).collect()} == set(frames)
+    assert stores.read_report(spark, done.written[-1]) == json.loads(json.dumps(done.report))
+
+
+def test_ingest_refuses_bad_data(spark, tmp_path):
+    from barlake.plans.ingest import ingest
+
+    for name, options, said in (("bad", {"close": (100, -5.0)}, "non_positive_price"), ("gaps", {"drop": range(500, 1200)}, "completeness")):
+        path = bars_csv(tmp_path / f"{name}.csv", **options)
+        sets = [f"data.source.path={path}", "data.validation.min_completeness=0.95", "data.context_timeframes=[1h]"]
+        with pytest.raises(B.DataQualityError, match=said):
+            ingest(spark, config.load(overrides=sets, env={}), persist=False, hash_source=False)
+        warned = ingest(spark, config.load(overrides=[*sets, "data.validation.fail_on_error=false"], env={}), persist=False, hash_source=False)
+        assert said in warned.report["problems"][0]
+    assert warned.report["missing_bars"] == 700 and sum(g["bars"] for g in warned.report["gaps"]) == 700
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from barlake.__main__ import main
+
+    path = bars_csv(tmp_path / "bars.csv", 900)
+    (tmp_path / "c.yaml").write_text(f"data_root: file://{tmp_path}/data\nartifact_root: file://{tmp_path}/out\ndata: {{source: {{path: '{path}'}}, context_timeframes: [1h]}}\nfeatures: {{max_warmup_bars: 50, mtf: {{timeframes: [1h]}}}}\n")
+    run = lambda *words: main([*words, "--config", str(tmp_path / "c.yaml")], spark)
+    assert main(["version"], spark) == 0 and main(["config-show", "--set", "seed=x"], spark) == 1
+    assert run("config-show") == 0 and "fingerprint" in capsys.readouterr().out
+    assert run("data", "summary") == 1
+    assert run("data", "ingest") == 0 and run("data", "summary") == 0
+    assert "ALL\t5m\t900" in capsys.readouterr().out
+    assert run("features", "build", "--cutoffs", "1") == 0 and run("features", "list") == 0
+    assert "fs_" in capsys.readouterr().out
+    from barlake.functions import groups as G
+
+    honest = G.patterns
+    monkeypatch.setattr(G, "patterns", lambda d: honest(d).withColumn("compression_strength", F.lead("close", 3).over(R.series())))
+    assert run("features", "audit", "--cutoffs", "1") == 2
