@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm.common import map_rows, materialise, shared_dir
+from barlake.llm.common import SLICE, halves, materialise, shared_dir
 
 #: Skippable frames: of the dictionary, as the Zstandard WARC format has it, and the empty one between rows.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -77,12 +77,15 @@ def frames(records: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """One archive file for each partition of pages, whose columns are page_id, url, html and refers_to."""
+    """One archive file for each partition of pages, whose columns are page_id, url, html and refers_to.
+
+    The session's maxRecordsPerFile is set aside: a file that began later would have no dictionary.
+    """
     schema = pa.schema([("frame", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[bytes]:
-            for batch in batches:
+            for batch in (part for whole in batches if whole.num_rows for part in halves(whole, SLICE)):
                 for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     yield record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers_to)
 
@@ -97,7 +100,7 @@ def write(pages: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema)
 
     rows = pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "frame binary")
-    rows.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("ascii")).option("compression", "none").text(path)
+    rows.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("ascii")).option("compression", "none").option("maxRecordsPerFile", 0).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -134,23 +137,37 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     from hashlib import sha1
 
-    fields = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "html")
-
-    def rows(batch):
-        cols = {k: [] for k in fields}
-        for data in batch.column(0):
-            for head, block in parse(data.as_py()):
-                payload = block[len(HTTP) :] if head["WARC-Type"] == "response" else None
-                digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                if payload is not None and sha1(payload).hexdigest() != digest:
-                    raise ValueError(f"page {head['Page-ID']}: the payload does not have its digest")
-                refers = head.get("Refers-To-Page")
-                for k, v in zip(fields, (int(head["Page-ID"]) if head["Page-ID"] else None, int(head["Payload-Length"]), digest, head["WARC-Type"], int(refers) if refers else None, None if payload is None else payload.decode("utf-8", "surrogatepass")), strict=True):
-                    cols[k].append(v)
-        return cols
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return map_rows(files, rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
+    schema = to_arrow_schema(StructType.fromDDL(fields))
+
+    def row(head: dict[str, str], block: bytes) -> tuple:
+        payload = block[len(HTTP) :] if head["WARC-Type"] == "response" else None
+        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+        if payload is not None and sha1(payload).hexdigest() != digest:
+            raise ValueError(f"page {head['Page-ID']}: the payload does not have its digest")
+        refers = head.get("Refers-To-Page")
+        return int(head["Page-ID"]) if head["Page-ID"] else None, int(head["Payload-Length"]), digest, head["WARC-Type"], int(refers) if refers else None, None if payload is None else payload.decode("utf-8", "surrogatepass")
+
+    def send(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for data in batch.column(0):
+                for head, block in parse(data.as_py()):
+                    held.append(row(head, block))
+                    size += len(block)
+                    if size > SLICE:
+                        yield send(held)
+                        held, size = [], 0
+        if held:
+            yield send(held)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, fields)
 
 
 def archive(pages: DataFrame, path: str | None = None, min_payload: int = MIN_PAYLOAD, archive_bytes: int = ARCHIVE_BYTES) -> str:
