@@ -9,7 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barlake.llm.common import Covered, id_text, map_rows, span_list
+from barlake.llm.common import SLICE, Covered, halves, id_text, map_rows, span_list
 
 KINDS = {"assign": 0, "access": 1, "hex": 2, "token": 3}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -157,15 +157,13 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
     return "".join(out) + text[at:]
 
 
-
-
 def redacted(df: DataFrame, text_col: str = "text", max_ratio: float = 2.4, vocab: str | None = None) -> DataFrame:
     """df with the secrets of one column replaced by a mark: all columns and rows stay, null texts too."""
     vocab = vocab or vocabulary()
 
     def run(batches):
         enc = encoding(vocab)
-        for batch in batches:
+        for batch in (part for whole in batches if whole.num_rows for part in halves(whole, SLICE)):
             k = batch.schema.get_field_index(text_col)
             new, seen = [], {}
             for text in batch.column(k).to_pylist():
