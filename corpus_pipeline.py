@@ -18,12 +18,17 @@ def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep, without the lines that are common in their source; n_chars as the text now is."""
+    """Rows that the quality rules keep, without the lines that are common in their source; n_chars as the text now is.
+
+    Null and empty texts have no words and go; a null source is a source of its own; null and repeated ids are judged row
+    by row; an empty table gives no rows."""
     return quality.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row: that with the smallest doc_id, null ids last, of equal ids any one."""
+    """Of each group of near-duplicates one row: that with the smallest doc_id, null ids last, of equal ids any one.
+
+    Equal rows are one group, and so are all rows whose text has no words; an empty table gives no rows."""
     rows = common.keyed(docs, "near-rows")
     found = simhash.near_duplicates(rows, id_col=common.ROW).select(F.col("doc_id").alias(common.ROW), "component_id")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(common.ROW).alias("row"))
@@ -32,20 +37,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of the benchmark."""
+    """Rows without a passage of the benchmark: null and empty texts stay, each row is judged by itself, and an empty
+    benchmark takes none."""
     rows = common.keyed(docs, "clean-rows")
     found = decontaminate.find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=common.ROW)
     return rows.join(found.select(F.col("doc_id").alias(common.ROW)).distinct(), common.ROW, "left_anti").drop(common.ROW)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark in text, and n_chars as the text now is."""
+    """All documents, with their secrets replaced by a mark in text, and n_chars as the text now is; null texts stay null."""
     out = secrets.redacted(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids as little-endian unsigned 32-bit integers, and the digest of the decoded text."""
+    """doc_id, n_tokens, ids as little-endian unsigned 32-bit integers, and the digest of the decoded text, for each row.
+
+    Null and empty texts have no tokens; ids may be null or repeat."""
     done = bpe.encode_decode(docs)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
