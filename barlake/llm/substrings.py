@@ -34,7 +34,7 @@ from barlake.llm.common import SLICE, Scratch, halves
 
 THRESHOLD, GRAM = 50, 20
 #: Text bytes that a task samples or cuts at a time.
-STEP = 3 << 20
+STEP = 2 << 20
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: A place in a document and a length, in one number.
 RANGE = 1 << 32
@@ -170,7 +170,7 @@ def judged(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
     ranks = spans.groupBy("rank").agg(F.min("_first").alias("_low"), F.max("_last").alias("_high"), (F.count("*") > 1).alias("_several")).where("_low < _high")
     both = spans.join(ranks.select("rank", "_several"), "rank").where("_several OR _first < _last").select("rank", "span", "_first", "_several")
     told = rows.join(both.hint("shuffle_hash"), ["rank", "span"]).withColumn("covered", F.col("id") > F.col("_first")).where("covered OR _several")
-    told = scratch.write(told.drop("_first", "_several"), name)
+    told = scratch.write(told.drop("_first", "_several", "span"), name)
     scratch.drop(f"{name}-spans")
     return told
 
@@ -301,12 +301,11 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
     scratch.drop("sampled-ranks", "shared-runs")
     place = lambda bits, mask: F.shiftright("place", bits).bitwiseAND(mask)
     found = told.where("covered").select("id", "tag", (F.shiftright("place", 16) * F.lit(RANGE) + place(8, 255) - 1 + threshold).alias("range"))
-    covered = [scratch.write(found, "covered-runs")]
+    covered = [found]
     packed = rows.mapInArrow(_packed, "id long, tag long, text binary")
     left = told.where("NOT covered").groupBy("id", "tag").agg(F.collect_set(F.struct("place", "rank")).alias("x"))
     left = packed.join(left, ["id", "tag"]).select("id", "tag", "text", "x.place", "x.rank")
     open_rows = scratch.write(left.mapInArrow(_stretches(threshold), "id long, tag long, first int, back int, low int, high int, rank long, bytes binary, p int"), "stretches")
-    scratch.drop("told-runs")
     size, before = 1 << reach.bit_length(), "stretches"
     while size > 1 and not open_rows.isEmpty():
         told = judged(scratch, halved(open_rows, size, threshold, reach), f"told-{size}")
