@@ -26,6 +26,8 @@ Q, WINDOW, EDITS = 10, 64, 4
 WINDOWS = 4096
 #: Pairs of an item's and a text's places that are held at once, about.
 PAIRS = 1 << 20
+#: Pairs from which windows that occur as they are are looked for first.
+EXACT_FIRST = 1 << 16
 #: Text of the items that one pass over the documents takes, at most: so much is broadcast.
 ITEM_BYTES = 8 << 20
 _HASH, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -199,47 +201,59 @@ def matches(text: str, items: Items, q: int = Q, window: int = WINDOW, edits: in
         return []
     first, last = (np.searchsorted(items.h, h[at], side) for side in ("left", "right"))
     n = last - first
-    entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    known: dict[int, Stretches] = {}
-    whole: dict[int, np.ndarray] = {}
-    for k in np.flatnonzero(np.bincount(items.item[entry], minlength=len(items.ids)) >= items.need(q, window, edits)):
-        m = needed(len(items.points[k]), q, window, edits)[0]
-        if m not in whole:
-            whole[m] = grams(points, m)
-        known[int(k)] = found = Stretches()
-        exact = np.flatnonzero(np.isin(whole[m], items.windows(int(k), m)))
-        if len(exact):
-            cuts = np.flatnonzero(np.diff(exact) > m) + 1
-            found.add([(int(x[0]), int(x[-1]) + m, 0) for x in np.split(exact, cuts)])
-        occurrences(int(k), items, points, h, found, q, window, edits)
-    return [(k, s, e, d) for k, x in known.items() for s, e, d in x.all]
+    item = items.item[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+    count = np.bincount(item, minlength=len(items.ids))
+    wanted = count >= items.need(q, window, edits)
+    if not wanted.any():
+        return []
+    pos = np.repeat(at, n)
+    some = wanted[item]
+    item, pos = item[some], pos[some]
+    order = np.argsort(item, kind="stable")
+    item, pos = item[order], pos[order]
+    cuts = np.flatnonzero(np.append(True, np.diff(item) != 0))
+    out = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(item)), strict=True):
+        found = occurrences(int(item[a]), items, points, pos[a:b], h[pos[a:b]], q, window, edits)
+        out += [(int(item[a]), s, e, d) for s, e, d in found.all]
+    return out
 
 
-def occurrences(k: int, items: Items, points: np.ndarray, h: np.ndarray, known: Stretches, q: int, window: int, edits: int) -> None:
-    """Adds to known all occurrences of one item's windows with edits.
+def occurrences(k: int, items: Items, points: np.ndarray, at: np.ndarray, h: np.ndarray, q: int, window: int, edits: int) -> Stretches:
+    """All occurrences of one item's windows with edits; at are the places of q-grams of the item in the text, h their hashes.
 
-    Places of the text from which an occurrence can only lie inside a known stretch are left out. The rest is taken in
-    parts with so many pairs of places; parts overlap by the longest occurrence.
+    Where pairs of places are many, windows that occur as they are come first, and places of the text from which an
+    occurrence can only lie inside a known stretch are left out. The rest is taken in parts with so many pairs of places;
+    parts overlap by the longest occurrence.
     """
     m, limit, need = needed(len(items.points[k]), q, window, edits)
+    known, reach = Stretches(), m + 2 * limit + q
+    # An occurrence holds so many places of grams within its length.
+    near = at[need - 1 :] - at[: len(at) - need + 1] <= reach
+    if not near.any():
+        return known
     own, place = items.places(k)
     first, last = np.searchsorted(own, h, "left"), np.searchsorted(own, h, "right")
-    reach = m + 2 * limit + q
-    at = np.flatnonzero(last > first)
-    at = at[~known.inside(at - reach, at + reach)]
-    n = (last - first)[at]
+    n = last - first
+    if n.sum() > EXACT_FIRST:
+        exact = np.flatnonzero(np.isin(grams(points, m), items.windows(k, m)))
+        if len(exact):
+            known.add([(int(x[0]), int(x[-1]) + m, 0) for x in np.split(exact, np.flatnonzero(np.diff(exact) > m) + 1)])
+        left = ~known.inside(at - reach, at + reach)
+        at, n, first = at[left], n[left], first[left]
     i = 0
     while i < len(at) and len(at) - i >= need:
         j = max(i + 1, int(np.searchsorted(np.cumsum(n[i:]), PAIRS, "right")) + i)
         end = int(np.searchsorted(at, at[j - 1] + reach, "right"))
         part = slice(i, end)
         pos = np.repeat(at[part], n[part])
-        entry = np.arange(len(pos)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + np.repeat(first[at[part]], n[part])
+        entry = np.arange(len(pos)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + np.repeat(first[part], n[part])
         region(items.points[k], points, place[entry], pos, known, q, window, edits)
         i = j
         if i < len(at):
             left = ~known.inside(at[i:] - reach, at[i:] + reach)
-            at, n, i = at[i:][left], n[i:][left], 0
+            at, n, first, i = at[i:][left], n[i:][left], first[i:][left], 0
+    return known
 
 
 def region(item: np.ndarray, points: np.ndarray, place: np.ndarray, pos: np.ndarray, known: Stretches, q: int, window: int, edits: int) -> None:
