@@ -48,7 +48,9 @@ _UNKNOWN = _members(UNKNOWN)
 _LOOSE = re.compile(f"([{_members(LOOSE_MARKS)}])")
 _LETTER, _NUMBER = rf"[\p{{L}}--[{_UNKNOWN}]]", rf"[\p{{N}}--[{_UNKNOWN}]]"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|[[^\s\p{{L}}\p{{N}}]||[{_UNKNOWN}]]+", regex.V1)
-_CAPITAL = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
+_PLAIN_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts and chunks without any of these need none of the tables.
+_STRANGE = re.compile("[" + _members(UNKNOWN) + _members(LOOSE_MARKS) + "".join(map(chr, CAPITALS)) + "]")
 _CHUNKS = regex.compile(r"[^\s]+")
 #: Characters at which str.split divides and the tokenizer's white space does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -72,8 +74,6 @@ def byte_letters() -> list[str]:
 
 def compose(text: str) -> str:
     """NFC as the tokenizer has it: what stands between loose marks is composed by itself."""
-    if not _LOOSE.search(text):
-        return unicodedata.normalize("NFC", text)
     return "".join(unicodedata.normalize("NFC", part) for part in _LOOSE.split(text))
 
 
@@ -199,15 +199,16 @@ class WordBpe:
     def chunks(self, text: str) -> list[str]:
         """The text's runs between white space, normalised."""
         if not text.isascii():
-            text = compose(text).replace("Σ", "σ")
-            return _CHUNKS.findall((text.translate(CAPITALS) if _CAPITAL.search(text) else text).lower())
+            if _STRANGE.search(text):
+                return _CHUNKS.findall(compose(text).replace("Σ", "σ").translate(CAPITALS).lower())
+            return _CHUNKS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         return _CHUNKS.findall(text.lower()) if _SEPARATORS.search(text) else text.lower().split()
 
     def learn(self, new: set[str]) -> None:
         """Encode chunks that the cache lacks."""
         letters = self.letters
         plain = {c for c in new if c.isascii() and c.isalpha()}
-        pieces = {c: ["".join([letters[b] for b in p.encode("utf-8", "surrogatepass")]) for p in _PIECES.findall(c)] for c in new - plain}
+        pieces = {c: ["".join([letters[b] for b in p.encode("utf-8", "surrogatepass")]) for p in (_PLAIN_PIECES if c.isascii() or not _STRANGE.search(c) else _PIECES).findall(c)] for c in new - plain}
         coded = self.encode_words(plain.union(*pieces.values()))
         for c in plain:
             self.cache[c] = array("I", coded[c]).tobytes()
