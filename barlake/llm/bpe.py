@@ -49,8 +49,9 @@ _LOOSE = re.compile(f"([{_members(LOOSE_MARKS)}])")
 _LETTER, _NUMBER = rf"[\p{{L}}--[{_UNKNOWN}]]", rf"[\p{{N}}--[{_UNKNOWN}]]"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|[[^\s\p{{L}}\p{{N}}]||[{_UNKNOWN}]]+", regex.V1)
 _PLAIN_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts and chunks without any of these need none of the tables.
+#: Texts and chunks without any of these need none of the tables; the second, of few ranges, is the quicker first look.
 _STRANGE = re.compile("[" + _members(UNKNOWN) + _members(LOOSE_MARKS) + "".join(map(chr, CAPITALS)) + "]")
+_PERHAPS = re.compile("[\u0558-\u1fff\u2080-\U0010ffff]")
 _CHUNKS = regex.compile(r"[^\s]+")
 #: Characters at which str.split divides and the tokenizer's white space does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -72,6 +73,10 @@ def byte_letters() -> list[str]:
     return out
 
 
+def strange(text: str) -> bool:
+    return bool(_PERHAPS.search(text) and _STRANGE.search(text))
+
+
 def compose(text: str) -> str:
     """NFC as the tokenizer has it: what stands between loose marks is composed by itself."""
     return "".join(unicodedata.normalize("NFC", part) for part in _LOOSE.split(text))
@@ -89,7 +94,7 @@ def blocks(text: str) -> list[str]:
 class WordBpe:
     """Word-end BPE of one tokenizer file: lower case, NFC, white space dropped, byte letters."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 900_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -199,7 +204,7 @@ class WordBpe:
     def chunks(self, text: str) -> list[str]:
         """The text's runs between white space, normalised."""
         if not text.isascii():
-            if _STRANGE.search(text):
+            if strange(text):
                 return _CHUNKS.findall(compose(text).replace("Σ", "σ").translate(CAPITALS).lower())
             return _CHUNKS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         return _CHUNKS.findall(text.lower()) if _SEPARATORS.search(text) else text.lower().split()
@@ -208,7 +213,7 @@ class WordBpe:
         """Encode chunks that the cache lacks."""
         letters = self.letters
         plain = {c for c in new if c.isascii() and c.isalpha()}
-        pieces = {c: ["".join([letters[b] for b in p.encode("utf-8", "surrogatepass")]) for p in (_PLAIN_PIECES if c.isascii() or not _STRANGE.search(c) else _PIECES).findall(c)] for c in new - plain}
+        pieces = {c: ["".join([letters[b] for b in p.encode("utf-8", "surrogatepass")]) for p in (_PLAIN_PIECES if c.isascii() or not strange(c) else _PIECES).findall(c)] for c in new - plain}
         coded = self.encode_words(plain.union(*pieces.values()))
         for c in plain:
             self.cache[c] = array("I", coded[c]).tobytes()
