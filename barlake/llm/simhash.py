@@ -6,10 +6,15 @@ is 3: a fingerprint goes to every anchor within 3 + 1 bits of its block, so any
 64 bits are compared. A crowded anchor is refined by further anchors: the bits outside its block are split into three
 parts again, of which one differs in one bit at most, and the words of the perfect Hamming code of length 15, whose
 covering radius is 1, are the anchors of a part. So no cell grows with the input beyond what is near its anchors.
+
+near_copies() is for cleaning, where copies with several words changed count: the fingerprint of 4-word shingles moves by
+more than 4 bits for most of them, one of single words by fewer. Each text has ROUNDS of the latter, searched by the same
+anchors, and a sketch of its 5-word shingles, by which the pairs that an anchor brings together are judged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import combinations, count
@@ -26,6 +31,12 @@ SHINGLE = 4
 #: Fingerprints of a cell beyond which it is refined, at each depth. Large groups of near copies crowd every cell they
 #: are in, and cost little there, so deeper cells may hold more.
 CROWDED = (3_000, 30_000)
+#: Of near_copies(): fingerprints a text, and the least cosine of the sets of 5-word shingles that two linked texts have.
+ROUNDS, SIMILAR = 5, 0.8
+#: The sketch by which that cosine is told: 256 bits, in longs, two of which differ in as great a share of the bits as the
+#: angle is of half a turn.
+SKETCH = tuple(f"s{k}" for k in range(4))
+APART = math.floor(math.acos(SIMILAR) / math.pi * 64 * len(SKETCH))
 
 
 class Code:
@@ -98,26 +109,30 @@ def anchors(fps: np.ndarray, depth: int = 0, taken: tuple[int, ...] = ()) -> tup
     return np.concatenate(at), np.concatenate(keys)
 
 
-def replicas(fps: DataFrame) -> DataFrame:
-    """(cell, fp) of the first depth."""
+def schema_of(carry: tuple[str, ...]) -> str:
+    return ", ".join(f"{name} long" for name in ("cell", "fp", *carry))
+
+
+def replicas(fps: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(cell, fp) of the first depth, and the columns to carry along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 20_000):
-                fp = np.array(batch.column(0).slice(i, 20_000).to_numpy()).view(np.uint64)
-                at, key = anchors(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at].view(np.int64))], names=["cell", "fp"])
+                cols = [np.array(c.slice(i, 20_000).to_numpy()) for c in batch.columns]
+                at, key = anchors(cols[0].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[at]) for c in cols)], names=["cell", "fp", *carry])
 
-    return fps.select("fp").mapInArrow(run, "cell long, fp long")
+    return fps.select("fp", *carry).mapInArrow(run, schema_of(carry))
 
 
-def refined(cells: DataFrame, depth: int) -> DataFrame:
+def refined(cells: DataFrame, depth: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """(cell, fp) one depth further: the number of a cell goes on from that of the cell it lies in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 10_000):
-                cell, fp = (np.array(batch.column(k).slice(i, 10_000).to_numpy()) for k in (0, 1))
+                cell, *cols = (np.array(c.slice(i, 10_000).to_numpy()) for c in batch.columns)
                 # The parts taken so far, from the first on, stand above each depth's anchor.
                 rest, taken = cell.copy(), np.zeros(len(cell), np.int64)
                 for d in range(depth - 1, -1, -1):
@@ -126,28 +141,64 @@ def refined(cells: DataFrame, depth: int) -> DataFrame:
                 for t in np.unique(taken):
                     own = taken == t
                     way = tuple(int(t) // 3**d % 3 for d in range(depth))
-                    at, key = anchors(fp[own].view(np.uint64), depth, way)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[own][at] << (CODES[depth].length + 2) | key), pa.array(fp[own][at])], names=["cell", "fp"])
+                    at, key = anchors(cols[0][own].view(np.uint64), depth, way)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[own][at] << (CODES[depth].length + 2) | key), *(pa.array(c[own][at]) for c in cols)], names=["cell", "fp", *carry])
 
-    return cells.select("cell", "fp").mapInArrow(run, "cell long, fp long")
+    return cells.select("cell", "fp", *carry).mapInArrow(run, schema_of(carry))
 
 
-def fingerprint(text: str) -> int:
-    """Bits that over half of the shingles' hashes have set."""
-    from xxhash import xxh64_intdigest
-
-    # On bytes, lower() changes A-Z alone and split() divides at the six blanks alone.
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    shingles = [b" ".join(x) for x in zip(*(words[i:] for i in range(SHINGLE)), strict=False)] or [b" ".join(words)]
-    hashes = np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
+def majority(hashes: np.ndarray) -> int:
+    """Bits that over half of the hashes have set."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of each shingle of size words, or of the whole sequence where there are fewer."""
+    from xxhash import xxh64_intdigest
+
+    runs = [b" ".join(x) for x in zip(*(words[i:] for i in range(size)), strict=False)] or [b" ".join(words)]
+    return np.fromiter((xxh64_intdigest(s, 42) for s in runs), np.uint64, len(runs))
+
+
+def words_of(text: str) -> list[bytes]:
+    # On bytes, lower() changes A-Z alone and split() divides at the six blanks alone.
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def fingerprint(text: str) -> int:
+    """Bits that over half of the shingles' hashes have set."""
+    words = words_of(text)
+    return majority(shingles(words, SHINGLE)) if words else 0
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of hashes, made from one by the last steps of SplitMix64."""
+    x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def marks(text: str) -> list[int]:
+    """The fingerprints of the set of words, then the sketch of the set of 5-word shingles; all zero without words."""
+    words = words_of(text)
+    if not words:
+        return [0] * (ROUNDS + len(SKETCH))
+    single, runs = np.unique(shingles(words, 1)), np.unique(shingles(words, 5))
+    return [majority(mixed(single, k)) for k in range(ROUNDS)] + [majority(mixed(runs, k)) for k in range(len(SKETCH))]
+
+
+def sketch_names(sketches: np.ndarray) -> np.ndarray:
+    """One number for each sketch (row)."""
+    name = np.zeros(len(sketches), np.uint64)
+    for k in range(sketches.shape[1]):
+        name = mixed(name ^ sketches[:, k], k)
+    return name
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each row."""
 
@@ -158,11 +209,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_rows(id_text(df, id_col, text_col), rows, "doc_id long, fp long")
 
 
-def groups(key: str, value: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """Runs of equal keys in batches sorted by key, with their values; only one run is held at a time."""
+def groups(key: str, values: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs of equal keys in batches sorted by key, with their rows of values; only one run is held at a time."""
     last, held = None, []
     for batch in batches:
-        k, v = batch.column(key).to_numpy(), batch.column(value).to_numpy()
+        k, v = batch.column(key).to_numpy(), np.stack([batch.column(c).to_numpy() for c in values], axis=1)
         if not len(k):
             continue
         cuts = np.flatnonzero(np.diff(k)) + 1
@@ -207,31 +258,61 @@ def stars(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def compare(cells: DataFrame, threshold: int) -> DataFrame:
-    """Edges (a, b) between the fingerprints that share a cell, as stars."""
+def sketched_stars(rows: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, first member), by the names of sketches, of the components that links within one anchor make.
+
+    rows are fingerprints and sketches. A link is a pair whose fingerprints are within threshold and whose sketches are at
+    most APART bits apart; the search is that of stars().
+    """
+    left = rows[np.lexsort(rows.T)]
+    out_a, out_b = [], []
+    while len(left) > 1:
+        root, queue = left[:1, 1:], [left[:1]]
+        left = left[1:]
+        while queue and len(left):
+            for x in queue.pop():
+                if not len(left):
+                    break
+                at = np.flatnonzero(bits_apart(left[:, 0], x[0]) <= threshold)
+                at = at[bits_apart(left[at, 1:], x[1:]).sum(1, dtype=np.int64) <= APART] if len(at) else at
+                if len(at):
+                    got = left[at]
+                    left = np.delete(left, at, axis=0)
+                    out_a.append(got[:, 1:])
+                    out_b.append(np.repeat(root, len(got), axis=0))
+                    queue.append(got)
+    if not out_a:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    a, b = sketch_names(np.concatenate(out_a)), sketch_names(np.concatenate(out_b))
+    return a[a != b], b[a != b]
+
+
+def compare(cells: DataFrame, threshold: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Edges (a, b) between the fingerprints that share a cell, as stars; with a sketch carried, between the sketches' names."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, v in groups("cell", "fp", batches):
-            a, b = stars(v.view(np.uint64), threshold)
+        for _, v in groups("cell", ["fp", *carry], batches):
+            v = v.view(np.uint64)
+            a, b = sketched_stars(v, threshold) if carry else stars(v[:, 0], threshold)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
 
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
-def links(scratch: Scratch, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(scratch: Scratch, distinct: DataFrame, threshold: int = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """Edges that connect all fingerprints (column fp) within threshold bits: per cell, stars instead of pairs."""
     if threshold > THRESHOLD:
         raise ValueError(f"three parts find pairs at most {THRESHOLD} bits apart")
-    cells, found = replicas(distinct), []
+    cells, found = replicas(distinct, carry), []
     for depth, limit in enumerate(CROWDED, 1):
         crowded = scratch.write(cells.groupBy("cell").count().where(F.col("count") > limit).select("cell"), f"crowded-{depth}")
         if crowded.isEmpty():
             break
-        found.append(compare(cells.join(crowded, "cell", "left_anti"), threshold))
-        cells = refined(cells.join(crowded, "cell", "left_semi"), depth)
-    return reduce(DataFrame.unionByName, [*found, compare(cells, threshold)]).distinct()
+        found.append(compare(cells.join(crowded, "cell", "left_anti"), threshold, carry))
+        cells = refined(cells.join(crowded, "cell", "left_semi"), depth, carry)
+    return reduce(DataFrame.unionByName, [*found, compare(cells, threshold, carry)]).distinct()
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -269,3 +350,26 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "do
     named = nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     low = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return docs.join(named.join(low, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: doc_id and component_id (the smallest doc_id reachable over links, itself included).
+
+    Texts are linked if some fingerprint of their words differs in THRESHOLD bits at most and their sketches tell of
+    SIMILAR 5-word shingles. Texts with equal sketches, and so exact copies, are one node, as are all null, empty and blank
+    texts. A text of fewer words than a shingle is one shingle. An empty table gives no rows; other columns are not
+    looked at. The fingerprints are searched one after another, so that the rows of one search alone are on disk.
+    """
+    scratch, names = Scratch(df.sparkSession), [f"f{k}" for k in range(ROUNDS)] + list(SKETCH)
+
+    def rows(batch):
+        found = np.array([marks(t) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(names))
+        return {"doc_id": batch.column(0), "node": sketch_names(found[:, ROUNDS:]).view(np.int64)} | {n: found[:, k].view(np.int64) for k, n in enumerate(names)}
+
+    schema = ", ".join(f"{n} long" for n in ("doc_id", "node", *names))
+    docs = scratch.write(map_rows(id_text(df, id_col, text_col), rows, schema), "marks")
+    found = [scratch.write(links(scratch, docs.select(F.col(f"f{k}").alias("fp"), *SKETCH).distinct(), carry=SKETCH), f"links-{k}") for k in range(ROUNDS)]
+    labels = components(scratch, reduce(DataFrame.unionByName, found).distinct())
+    named = docs.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    low = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return docs.select("doc_id", "node").join(named.join(low, "label").select("node", "component_id"), "node").select("doc_id", "component_id")

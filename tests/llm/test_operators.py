@@ -38,7 +38,7 @@ def test_equals_its_sql(spark, name):
     against_oracle(spark, entries.QUERIES[name], entries.ORACLES[name])
 
 
-@pytest.mark.parametrize("f", [substrings.remove_repeats, sharding.assign, secrets.scan, secrets.redacted, quality.assess, pii.detect, simhash.near_duplicates, bpe.encode_decode, lambda d: toxicity.score(d, {"idiot": 3.0})])
+@pytest.mark.parametrize("f", [substrings.remove_repeats, sharding.assign, secrets.scan, secrets.redacted, quality.assess, pii.detect, simhash.near_duplicates, simhash.near_copies, bpe.encode_decode, lambda d: toxicity.score(d, {"idiot": 3.0})])
 def test_odd_and_empty_tables(odd, empty, f):
     assert f(odd).count() == len(ODD)
     assert f(empty).count() == 0
@@ -215,22 +215,38 @@ def test_anchors_cover_all_near_pairs():
     assert set(range(3000)) == {p for p, _ in set(zip(i.tolist(), x.tolist(), strict=True)) & set(zip(j.tolist(), y.tolist(), strict=True))}
 
 
-def parts(fps):
-    ids, up = list(fps), {i: i for i in fps}
+def joined(ids, linked):
+    """The smallest id of each one's component; linked(k) are the places of those to which the k-th is linked."""
+    up = {i: i for i in ids}
 
     def top(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    arr = np.array([fps[i] for i in ids], np.uint64)
     for k, i in enumerate(ids):
-        for j in np.flatnonzero(np.bitwise_count(arr[k + 1 :] ^ arr[k]) <= 4):
-            a, b = top(i), top(ids[k + 1 + j])
+        for j in linked(k):
+            a, b = top(i), top(ids[j])
             up[max(a, b)] = min(a, b)
     return {i: top(i) for i in ids}
 
 
+def parts(fps):
+    arr = np.array(list(fps.values()), np.uint64)
+    return joined(list(fps), lambda k: np.flatnonzero(np.bitwise_count(arr ^ arr[k]) <= 4))
+
+
+def copies(texts):
+    """near_copies() by comparing all marks with all: cosine 0.8 is an angle of 0.2048 of half a turn, 52 of 256 bits."""
+    m = np.array([simhash.marks(t) for t in texts.values()], np.uint64)
+
+    def linked(k):
+        bits = np.bitwise_count(m ^ m[k])
+        return np.flatnonzero((bits[:, 5:].sum(1, dtype=int) <= 52) & ((bits[:, :5] <= 4).any(1) | (bits[:, 5:] == 0).all(1)))
+
+    return joined(list(texts), linked)
+
+
 def test_simhash_equals_brute_force(spark, small, monkeypatch):
     import xxhash
 
@@ -246,6 +262,28 @@ def test_simhash_equals_brute_force(spark, small, monkeypatch):
         assert {r.doc_id: (r.fingerprint, r.component_id) for r in entries.op8_simhash(spark, SMALL).collect()} == want
 
 
+@pytest.mark.parametrize("crowded", [simhash.CROWDED, (2, 2)])
+def test_near_copies_equal_brute_force(spark, small, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    docs = spark.createDataFrame(small, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == copies(dict(small))
+
+
+def test_near_copies_find_edited_texts():
+    """Of 200 texts with 2 in 100 words changed all but a few are linked, of 200 with 20 in 100 none."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(3000)])
+
+    def edited(t, share):
+        return np.where(rng.random(len(t)) < share, rng.choice(words, len(t)), t)
+
+    first = [rng.choice(words, rng.integers(100, 500)) for _ in range(200)]
+    for share, least, most in ((0.02, 180, 200), (0.2, 0, 0)):
+        found = copies(dict(enumerate(" ".join(t) for t in [*first, *(edited(t, share) for t in first)])))
+        assert least <= sum(found[200 + k] == k for k in range(200)) <= most
+        assert all(c % 200 == i % 200 for i, c in found.items())
+
+
 def test_bpe_equals_the_library(spark, small):
     from tokenizers import Tokenizer
 
@@ -340,8 +378,7 @@ def test_lexicon_of_odd_labels(spark):
 def test_pipeline_equals_its_stages_by_hand(spark):
     docs = {r.doc_id: r for r in common.documents(spark, SMALL).collect()}
     kept = {r.doc_id for r in quality.assess(common.documents(spark, SMALL)).collect() if r.kept}
-    fps = {i: simhash.fingerprint(docs[i].text or "") for i in sorted(kept)}
-    kept = {i for i, c in parts(fps).items() if i == c}
+    kept = {i for i, c in copies({i: docs[i].text or "" for i in sorted(kept)}).items() if i == c}
     bench = [decontaminate.fold(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     dirty = {i for i in kept if any(x[p : p + min(64, len(x))] in decontaminate.fold(docs[i].text or "") for x in bench for p in range(max(1, len(x) - 63)))}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SMALL).collect()}
