@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Equal rows are one group, and so are all rows whose text has no words; an empty table gives no rows."""
     rows = common.keyed(docs, "near-rows")
-    found = simhash.near_duplicates(rows, id_col=common.ROW).select(F.col("doc_id").alias(common.ROW), "component_id")
+    found = simhash.near_copies(rows, id_col=common.ROW).select(F.col("doc_id").alias(common.ROW), "component_id")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(common.ROW).alias("row"))
     first = found.join(rows.select(common.ROW, "doc_id"), common.ROW).groupBy("component_id").agg(F.min(rank).alias("first"))
     return only(rows, first.select(F.col("first.row").alias(common.ROW)))
