@@ -245,9 +245,9 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordBpe:
+def tokenizer(path: str, cache_size: int = 300_000) -> WordBpe:
     """One per worker process, so its caches serve all tasks of the worker."""
-    return WordBpe(path)
+    return WordBpe(path, cache_size)
 
 
 def vocabulary() -> str:
@@ -256,17 +256,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None) -> DataFrame:
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, cache_size: int = 300_000) -> DataFrame:
     """One row per row of df: doc_id, ids (little-endian unsigned 32-bit integers), decoded (tokens joined by spaces).
 
     The strings of special tokens in a text become those tokens, as the tokenizer library has it. Null and empty
     texts, and texts of white space, have no ids and decode to the empty string. Texts of any length are encoded
-    whole; repeated rows give repeated results, an empty table none; other columns are not looked at.
+    whole; repeated rows give repeated results, an empty table none; other columns are not looked at. A worker holds the
+    codes of some cache_size words: fewer take more time, and change no result.
     """
     vocab = vocab or vocabulary()
 
     def rows(batch):
-        done = tokenizer(vocab).encode_batch(batch.column(1).to_pylist())
+        done = tokenizer(vocab, cache_size).encode_batch(batch.column(1).to_pylist())
         return {"doc_id": batch.column(0), "ids": [x[0] for x in done], "decoded": [x[1] for x in done]}
 
     return map_rows(id_text(df, id_col, text_col), rows, "doc_id long, ids binary, decoded string")

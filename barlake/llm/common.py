@@ -107,6 +107,8 @@ def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str)
             for part in halves(batch, SLICE) if batch.num_rows else ():
                 cols = rows(part)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target], schema=target)
+        # Workers live on: what Arrow keeps for itself would stand beside what the next stage needs.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

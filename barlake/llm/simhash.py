@@ -118,10 +118,11 @@ def replicas(fps: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 20_000):
-                cols = [np.array(c.slice(i, 20_000).to_numpy()) for c in batch.columns]
+            for i in range(0, batch.num_rows, 4_000):
+                cols = [np.array(c.slice(i, 4_000).to_numpy()) for c in batch.columns]
                 at, key = anchors(cols[0].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[at]) for c in cols)], names=["cell", "fp", *carry])
+        pa.default_memory_pool().release_unused()
 
     return fps.select("fp", *carry).mapInArrow(run, schema_of(carry))
 
@@ -131,8 +132,8 @@ def refined(cells: DataFrame, depth: int, carry: tuple[str, ...] = ()) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 10_000):
-                cell, *cols = (np.array(c.slice(i, 10_000).to_numpy()) for c in batch.columns)
+            for i in range(0, batch.num_rows, 2_000):
+                cell, *cols = (np.array(c.slice(i, 2_000).to_numpy()) for c in batch.columns)
                 # The parts taken so far, from the first on, stand above each depth's anchor.
                 rest, taken = cell.copy(), np.zeros(len(cell), np.int64)
                 for d in range(depth - 1, -1, -1):
@@ -143,6 +144,7 @@ def refined(cells: DataFrame, depth: int, carry: tuple[str, ...] = ()) -> DataFr
                     way = tuple(int(t) // 3**d % 3 for d in range(depth))
                     at, key = anchors(cols[0][own].view(np.uint64), depth, way)
                     yield pa.RecordBatch.from_arrays([pa.array(cell[own][at] << (CODES[depth].length + 2) | key), *(pa.array(c[own][at]) for c in cols)], names=["cell", "fp", *carry])
+        pa.default_memory_pool().release_unused()
 
     return cells.select("cell", "fp", *carry).mapInArrow(run, schema_of(carry))
 
@@ -297,6 +299,7 @@ def compare(cells: DataFrame, threshold: int, carry: tuple[str, ...] = ()) -> Da
             a, b = sketched_stars(v, threshold) if carry else stars(v[:, 0], threshold)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
