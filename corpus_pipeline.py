@@ -55,7 +55,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids as little-endian unsigned 32-bit integers, and the digest of the decoded text, for each row.
 
     Null and empty texts have no tokens; ids may be null or repeat."""
-    done = bpe.encode_decode(docs)
+    done = bpe.encode_decode(docs, cache_size=100_000)  # beside what the stages before left in a worker
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
