@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, common, decontaminate, licences, pii, quality, runs, secrets, sharding, simhash, substrings, toxicity, warc
+from barlake.llm import bpe, collocations, common, decontaminate, licences, pii, quality, runs, secrets, sharding, simhash, substrings, toxicity, warc
 
 
 def count_kind(spans: str, kind: str) -> Column:
@@ -70,6 +70,10 @@ def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(common.documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(common.documents(spark, sf_dir))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.find(common.documents(spark, sf_dir), plant=True)
     return found.withColumn("collapsed_sha256", F.sha2(F.encode("collapsed", "UTF-8"), 256)).drop("collapsed")
@@ -87,8 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
     "op11_licences": op11_licences,
+    "op12_collocations": op12_collocations,
     "op13_runs": op13_runs,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE_SQL, "op5_quality": quality.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op11_licences": licences.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE_SQL, "op5_quality": quality.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op11_licences": licences.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}
