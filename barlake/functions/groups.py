@@ -13,17 +13,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from barlake.functions.rolling import EPS, clip, flag, high, lag, linreg, low, mean, numbered, rank_pct, rolling, rows, series, squash, std, total, zscore
-from barlake.operators.iir import ema, smooth, wilder
+from barlake.operators import scan
+from barlake.operators.chunks import in_chunks
+from barlake.operators.iir import ema, memory, smooth, wilder
 
 col = F.col
 
 
-def shared(bars: DataFrame) -> DataFrame:
-    """bars with rn, true range and the primary ATR: computed once, used by all groups."""
-    df = numbered(bars).withColumn("_c1", lag("close"))
-    tr = F.greatest(col("high") - col("low"), F.abs(col("high") - col("_c1")), F.abs(col("low") - col("_c1")))
-    df = df.withColumns({"_tr": tr, "_range": col("high") - col("low"), "_body": col("close") - col("open"), "_d": col("close") - col("_c1")})
-    return smooth(df, wilder("atr", "_tr", 14))
+def shared(bars: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+    """bars with rn, true range and the primary ATR: computed once, used by all groups. With chunk_rows no window is over a
+    whole series: numbers come from a scan, the rest from chunks."""
+    first = wilder("atr", "_tr", 14)
+
+    def step(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_c1", lag("close"))
+        tr = F.greatest(col("high") - col("low"), F.abs(col("high") - col("_c1")), F.abs(col("low") - col("_c1")))
+        return smooth(df.withColumns({"_tr": tr, "_range": col("high") - col("low"), "_body": col("close") - col("open"), "_d": col("close") - col("_c1")}), first)
+
+    return in_chunks(scan.numbered(bars), step, memory(first) + 1, chunk_rows) if chunk_rows else step(numbered(bars))
+
+
+def reach(group: str, **p) -> int | None:
+    """Rows that the windows of a group look back over, one after another, with the parameters of a manifest; None where
+    some look back over a whole session or series."""
+    if group == "price":
+        return max(*p["returns"], *p["zscores"], 20)
+    if group == "volatility":
+        smooths = [wilder("", "", n) for n in (*p["atrs"], 20)]
+        return memory(*smooths) + 1 + max(*p["percentiles"], p["bb_rank"] + 20, 20 + 50)
+    if group == "trend":
+        # The index of direction is smoothed twice, and slopes look back from there.
+        twice = 2 * memory(wilder("", "", 14)) + 6
+        return max(memory(*(ema("", "", n) for n in p["emas"])) + 6, memory(ema("", "", 26)) + memory(ema("", "", 9)), twice + 20, max(p["regressions"]), p["hurst"] + 8, 40)
+    return {"patterns": 2 * 21}.get(group)
 
 
 def price(df: DataFrame, returns=(1, 2, 3, 5, 10, 20, 50), zscores=(20, 50, 100)) -> DataFrame:

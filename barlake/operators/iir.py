@@ -33,6 +33,11 @@ def wilder(name: str, source: str, n: int) -> Smooth:
     return Smooth(name, source, 1 / n, n)
 
 
+def memory(*specs: Smooth) -> int:
+    """Rows after which a recursion no longer shows what came before: its weight is below 1e-17."""
+    return max(s.least + math.ceil(40 / -math.log1p(-s.alpha)) for s in specs)
+
+
 def smooth(df: DataFrame, *specs: Smooth) -> DataFrame:
     """df with a column for each spec. df has symbol, close_time and rn; sources have nulls at their head only.
 

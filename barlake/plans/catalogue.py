@@ -17,6 +17,7 @@ from barlake.functions import groups as G
 from barlake.functions import rolling as R
 from barlake.operators import quality as Q
 from barlake.operators.asof import asof, completed_levels
+from barlake.operators.chunks import in_chunks
 from barlake.operators.resample import resample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -416,6 +417,35 @@ def volume_measures(spark, d):
     return told(G.volume(ready(spark, d)), *VOLUME, digits=4)
 
 
+# --- one long series in many tasks ------------------------------------------------------------------------------------
+
+CHUNK = 600
+
+
+def chunked(spark, d, group, step, **p):
+    """A group of one symbol's bars in chunks: no window of it, nor of the numbers and ATR before it, spans the series."""
+    ready = G.shared(bars(spark, d), CHUNK)
+    return in_chunks(ready, step, G.reach(group, **p), CHUNK)
+
+
+@query(f"{WITH_ATR} " + final(PRICE, "a"))
+def price_geometry_in_chunks(spark, d):
+    p = {"returns": (1, 10), "zscores": (20,)}
+    return told(chunked(spark, d, "price", lambda b: G.price(b, **p), **p), *PRICE)
+
+
+@query(f"{WITH_ATR}, {VOL1} " + final(VOLATILITY, "v2", 4))
+def volatility_in_chunks(spark, d):
+    p = {"atrs": (14, 20), "percentiles": (100,), "bb_rank": 100}
+    return told(chunked(spark, d, "volatility", lambda b: G.volatility(b, **p), **p), *VOLATILITY, digits=4)
+
+
+@query(f"{WITH_ATR}, {OSC} " + final(OSCILLATORS, "o2", 4))
+def oscillators_in_chunks(spark, d):
+    p = {"emas": (20, 50), "regressions": (20,), "hurst": 100}
+    return told(chunked(spark, d, "trend", lambda b: G.trend(b, **p), **p), *OSCILLATORS, digits=4)
+
+
 SW = f"p1 AS (SELECT *, CASE WHEN {lagged('high', 2)} >= {over('max', 'high', 5)} THEN {lagged('high', 2)} END AS ph, CASE WHEN {lagged('low', 2)} <= {over('min', 'low', 5)} THEN {lagged('low', 2)} END AS pl FROM a)"
 SW2 = f"""{SW}, p2 AS (SELECT *, last_value(ph IGNORE NULLS) OVER x AS lh, last_value(pl IGNORE NULLS) OVER x AS ll, last_value(CASE WHEN ph IS NOT NULL THEN rn - 2 END IGNORE NULLS) OVER x AS hrn, last_value(CASE WHEN pl IS NOT NULL THEN rn - 2 END IGNORE NULLS) OVER x AS lrn, last_value(ph IGNORE NULLS) OVER y AS oh, last_value(pl IGNORE NULLS) OVER y AS ol FROM p1
   WINDOW x AS (ORDER BY close_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), y AS (ORDER BY close_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

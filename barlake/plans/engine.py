@@ -15,6 +15,7 @@ from barlake.calendars import Calendar, classify
 from barlake.config import Config
 from barlake.functions import groups as G
 from barlake.operators.asof import LeakageError, asof_many, verify
+from barlake.operators.chunks import in_chunks
 from barlake.operators.resample import resample
 from barlake.operators.zones import zones
 from barlake.plans import manifest as M
@@ -57,12 +58,14 @@ def grouped(ready: DataFrame, steps: dict, names: dict[str, list[str]]) -> DataF
     return ready
 
 
-def base_groups(bars: DataFrame, cfg: Config, calendar: Calendar = Calendar(), frames: tuple[str, ...] = ()) -> tuple[DataFrame, list[Callable[[], DataFrame]]]:
-    """bars with atr and rn, and what makes each enabled base group and the bars in progress of the coarse frames."""
+def base_groups(bars: DataFrame, cfg: Config, calendar: Calendar = Calendar(), frames: tuple[str, ...] = (), chunk_rows: int | None = None) -> tuple[DataFrame, list[Callable[[], DataFrame]]]:
+    """bars with atr and rn, and what makes each enabled base group and the bars in progress of the coarse frames.
+
+    With chunk_rows the groups of bounded reach are worked out in chunks of so many rows of a series."""
     f, tf = cfg.features, Timeframe(cfg.base_timeframe)
     p = M.parameters(f, False, tf.bars_per_day)
     causal = f.semantics == "causal"
-    ready = classify(G.shared(bars.select(*BARS)), causal=causal)
+    ready = classify(G.shared(bars.select(*BARS), chunk_rows), causal=causal)
     ready = cut(ready, ready.columns)
     zone = {"min_gap": f.fvg.min_size_atr, "gap_age": f.fvg.max_age_bars, "gaps": f.fvg.max_tracked, "displacement": f.order_blocks.displacement_atr, "block_age": f.order_blocks.max_age_bars, "blocks": f.order_blocks.max_tracked}
     steps = {
@@ -77,11 +80,20 @@ def base_groups(bars: DataFrame, cfg: Config, calendar: Calendar = Calendar(), f
     }
     names = {g: [n for n, _ in M.BASE[g](**p)] for g in M.BASE}
     # Groups that need the bars alone are split so that no plan grows too wide to compile; each part reads ready again.
-    parts = [[g for g in part if getattr(f, g).enabled] for part in (("price", "volatility", "volume"), ("trend", "structure", "patterns"), ("time",), ("liquidity",))]
+    parts = (("price", "volatility", "volume"), ("trend", "structure", "patterns"), ("time",), ("liquidity",))
+    if chunk_rows:
+        parts = (("price", "volatility"), ("volume",), ("trend", "patterns"), ("structure",), ("time",), ("liquidity",))
+    parts = [[g for g in part if getattr(f, g).enabled] for part in parts]
+
+    def made(part: list[str]) -> DataFrame:
+        look = [G.reach(g, **p) for g in part]
+        step = lambda d: grouped(d, {g: steps[g] for g in part}, names)
+        return in_chunks(ready, step, max(look), chunk_rows) if chunk_rows and None not in look else step(ready)
+
     def maker(make: Callable[[], DataFrame], new: list[str]) -> Callable[[], DataFrame]:
         return lambda: make().select("symbol", "close_time", *new)
 
-    makers = [maker(lambda part=part: grouped(ready, {g: steps[g] for g in part}, names), [n for g in part for n in names[g]]) for part in parts if part]
+    makers = [maker(lambda part=part: made(part), [n for g in part for n in names[g]]) for part in parts if part]
     if f.fvg.enabled or f.order_blocks.enabled:
         makers.append(maker(lambda: zones(ready, **zone), [n for g in ("fvg", "order_blocks") if getattr(f, g).enabled for n in names[g]]))
     if f.mtf.enabled and f.mtf.include_running_position and frames:
@@ -107,14 +119,15 @@ def coarse_groups(bars: DataFrame, cfg: Config, tf: str) -> DataFrame:
     return out.select("symbol", "close_time", *(n for g in names for n in names[g]))
 
 
-def transform(bars: DataFrame, cfg: Config, context: dict[str, DataFrame] | None = None, drop_warmup: bool = True, calendar: Calendar = Calendar()) -> tuple[DataFrame, M.Manifest]:
-    """(matrix, manifest). context has closed coarse bars by timeframe; without it they are resampled from bars."""
+def transform(bars: DataFrame, cfg: Config, context: dict[str, DataFrame] | None = None, drop_warmup: bool = True, calendar: Calendar = Calendar(), chunk_rows: int | None = None) -> tuple[DataFrame, M.Manifest]:
+    """(matrix, manifest). context has closed coarse bars by timeframe; without it they are resampled from bars. chunk_rows
+    makes one long series the work of many tasks, at the price of the rows that chunks share."""
     f, base = cfg.features, Timeframe(cfg.base_timeframe)
     bars = cut(bars, BARS)
     if context is None:
         context = {tf: resample(bars, base.minutes, Timeframe(tf).minutes) for tf in f.mtf.timeframes} if f.mtf.enabled else {}
     context = {tf: context[tf] for tf in f.mtf.timeframes if tf in context}
-    out, makers = base_groups(bars, cfg, calendar, tuple(context))
+    out, makers = base_groups(bars, cfg, calendar, tuple(context), chunk_rows)
     written = cut_all([*makers, *(lambda tf=tf, frame=frame: coarse_groups(frame, cfg, tf) for tf, frame in context.items())])
     for d in written[: len(makers)]:
         out = out.join(d, ["symbol", "close_time"])
