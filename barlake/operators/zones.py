@@ -1,18 +1,23 @@
 """Price-gap and order-block zones: the two path-dependent states, one kernel for batch and stream.
 
-Short sides are long sides of mirrored prices, so each kind of zone has one rule.
+Short sides are long sides of mirrored prices, so each kind of zone has one rule. A long series is worked on in chunks at
+once: each starts from the state that the bars before it lead to from nothing, and those whose guess was not what the chunk
+before them ended with are done again from that, until none is left.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.rolling import EPS, clip, squash
+from barlake.operators import scan
+from barlake.sources.scratch import Steps
 
 GAP = ("exists", "size", "dist", "age", "fill", "count")
 BLOCK = ("exists", "dist", "size", "age", "displacement", "mitigated", "mitigation")
@@ -92,6 +97,14 @@ class Tracker:
         self.i += 1
         return list(row.values())
 
+    def state(self) -> str:
+        """All that later bars depend on, as text; equal states are equal texts."""
+        return json.dumps([self.i, self.past, {n: asdict(s) for n, s in self.sides.items()}])
+
+    def resume(self, state: str) -> None:
+        self.i, past, sides = json.loads(state)
+        self.past, self.sides = [tuple(x) for x in past], {n: Side(**s) for n, s in sides.items()}
+
 
 def kernel(frames: Iterator[pd.DataFrame], **cfg) -> Iterator[pd.DataFrame]:
     """Bars sorted by symbol and time; the state of one series at a time, whatever its length."""
@@ -105,10 +118,74 @@ def kernel(frames: Iterator[pd.DataFrame], **cfg) -> Iterator[pd.DataFrame]:
         yield pd.concat([frame[["symbol", "close_time"]].reset_index(drop=True), pd.DataFrame(out, columns=COLUMNS, dtype="float64")], axis=1)
 
 
-def zones(df: DataFrame, **cfg) -> DataFrame:
-    """df (with atr) with the price-gap and order-block features."""
-    rows = df.select("symbol", "close_time", "open", "high", "low", "close", "atr").repartition("symbol").sortWithinPartitions("symbol", "close_time")
-    state = rows.mapInPandas(lambda it: kernel(it, **cfg), "symbol string, close_time timestamp, " + ", ".join(f"{x} double" for x in COLUMNS))
+BARS = ("open", "high", "low", "close", "atr")
+
+
+def chunk_kernel(rows: pd.DataFrame, start: str | None, **cfg) -> pd.DataFrame:
+    """Zone columns of a chunk's own bars, and on the last of them the states with which the chunk started and ended.
+
+    rows have rn and own; without a start the bars before the first own one lead to it from nothing.
+    """
+    rows = rows.sort_values("rn")
+    tracker, out, own = Tracker(**cfg), [], rows["own"].to_numpy()
+    tracker.i = int(rows["rn"].iloc[0])
+    bars = list(zip(*(rows[x] for x in BARS), strict=True))
+    if start is not None:
+        tracker.resume(start)
+        bars, rows, own = [b for b, x in zip(bars, own, strict=True) if x], rows[own], own[own]
+    for (*bar, atr), mine in zip(bars, own, strict=True):
+        if mine and not out:
+            start = tracker.state()
+        row = tracker.step(tuple(bar), atr)
+        if mine:
+            out.append(row)
+    done = pd.concat([rows.loc[own, ["symbol", "chunk", "close_time"]].reset_index(drop=True), pd.DataFrame(out, columns=COLUMNS, dtype="float64")], axis=1)
+    done["started"], done["ended"] = None, None
+    if out:
+        done.loc[len(done) - 1, ["started", "ended"]] = start, tracker.state()
+    return done
+
+
+def states_in_chunks(df: DataFrame, chunk_rows: int, lead: int, steps: Steps, **cfg) -> DataFrame:
+    """The zone columns of df, which has rn, by chunks of so many rows; the first states come from lead rows before each.
+
+    A round does again only the chunks whose start was not the end of the one before them. The first wrong chunk of a
+    series is right after it, so rounds end; a state forgets zones by their age, so one or two are the rule.
+    """
+    schema = "symbol string, chunk long, close_time timestamp, " + ", ".join(f"{x} double" for x in COLUMNS) + ", started string, ended string"
+    own = F.floor(F.col("rn") / chunk_rows)
+    spread = df.select("symbol", "close_time", "rn", *BARS, F.explode(F.sequence(own, F.floor((F.col("rn") + lead) / chunk_rows))).alias("chunk"))
+    spread = spread.withColumn("own", F.col("chunk") == F.floor(F.col("rn") / chunk_rows))
+    mine = lambda rows: rows if rows["own"].any() else rows.iloc[:0]
+
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        return chunk_kernel(rows, None, **cfg) if len(mine(rows)) else pd.DataFrame(columns=["symbol", "chunk", "close_time", *COLUMNS, "started", "ended"])
+
+    def again(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        return chunk_kernel(rows, starts["start"].iloc[0], **cfg)
+
+    done = steps.cut(spread.groupBy("symbol", "chunk").applyInPandas(first, schema))
+    while True:
+        ends = done.where("ended IS NOT NULL").select("symbol", "chunk", "started", "ended")
+        before = F.lag("ended").over(scan.W.partitionBy("symbol").orderBy("chunk"))
+        wrong = steps.cut(ends.withColumn("start", before).where("start <> started").select("symbol", "chunk", "start"))
+        if wrong.isEmpty():
+            return done.drop("started", "ended", "chunk")
+        rows = spread.where("own").join(wrong.select("symbol", "chunk"), ["symbol", "chunk"], "left_semi")
+        redone = rows.groupBy("symbol", "chunk").cogroup(wrong.groupBy("symbol", "chunk")).applyInPandas(again, schema)
+        done = steps.cut(done.join(wrong.select("symbol", "chunk"), ["symbol", "chunk"], "left_anti").unionByName(redone))
+
+
+def zones(df: DataFrame, chunk_rows: int | None = None, **cfg) -> DataFrame:
+    """df (with atr) with the price-gap and order-block features. A series is one task's, or with chunk_rows that of many;
+    df then has rn, and is read more than once."""
+    if chunk_rows:
+        ages = cfg.get("gap_age", 288), cfg.get("block_age", 288)
+        steps = Steps(df.sparkSession)
+        state = states_in_chunks(df, chunk_rows, min(chunk_rows, 2 * max(ages)), steps, **cfg)
+    else:
+        rows = df.select("symbol", "close_time", *BARS).repartition("symbol").sortWithinPartitions("symbol", "close_time")
+        state = rows.mapInPandas(lambda it: kernel(it, **cfg), "symbol string, close_time timestamp, " + ", ".join(f"{x} double" for x in COLUMNS))
     return features(df.join(state, ["symbol", "close_time"]), cfg.get("gap_age", 288), cfg.get("block_age", 288))
 
 

@@ -610,12 +610,56 @@ def first_slice(spark, d):
 # --- zones, engine, stores: beyond SQL, tested against step-by-step code ----------------------------------------------
 
 
-@query()
+def zone_sql() -> str:
+    """Zones by recursion over bars; a side is that of prices times 1 or -1. Lists hold the zones alive, the nearest first."""
+    out, cols = [], {}
+    for side, x in (("bull", 1), ("bear", -1)):
+        high, low = ("high", "low") if x > 0 else ("low", "high")
+        lag2 = ", ".join(f"lag({v}, {k}) OVER (ORDER BY rn) AS {v}{k}" for v in "ohlc" for k in (1, 2))
+        near = lambda zones, n: f"list_transform(list_sort(list_transform({zones}, lambda v, j: {{'d': abs(c - v.top), 'j': j, 'v': v}}))[1:{n}], lambda v: v.v)"
+        alive = lambda zones: f"list_filter(list_transform({zones}, lambda v: {{'bottom': v.bottom, 'top': v.top, 'born': v.born, 'deep': least(v.deep, l), 'move': v.move, 'gap': v.gap}}), lambda v: n.rn - v.born <= 288 AND v.deep > v.bottom)"
+        out.append(f"""{side}_m AS (SELECT rn, atr, {x} * open AS o, {x} * {high} AS h, {x} * {low} AS l, {x} * close AS c FROM a),
+{side}_z AS (SELECT *, {lag2} FROM {side}_m),
+{side}_n AS (SELECT *, CASE WHEN atr > 0 AND l - h2 >= 0.15 * atr AND l > h2 THEN [{{'bottom': h2, 'top': l, 'born': rn, 'deep': l, 'move': 0.0::DOUBLE, 'gap': 1.0::DOUBLE}}] ELSE [] END AS new_gap,
+  CASE WHEN atr > 0 AND h2 IS NOT NULL AND (c - c1) / atr >= 1 AND (c1 < o1 OR c2 < o2) THEN [{{'bottom': CASE WHEN c1 < o1 THEN l1 ELSE l2 END, 'top': CASE WHEN c1 < o1 THEN h1 ELSE h2 END, 'born': rn, 'deep': 'inf'::DOUBLE, 'move': (c - c1) / atr, 'gap': CASE WHEN l > h2 THEN 1.0 ELSE 0.0 END::DOUBLE}}] ELSE [] END AS new_block FROM {side}_z),
+{side}_r AS (SELECT rn, new_gap[1:0] AS gaps, new_block[1:0] AS blocks FROM {side}_n WHERE rn = 0 UNION ALL
+  SELECT n.rn, CASE WHEN atr > 0 THEN {near(alive('list_concat(gaps, new_gap)'), 3)} ELSE gaps END, CASE WHEN atr > 0 THEN {near(alive('list_concat(blocks, new_block)'), 2)} ELSE blocks END FROM {side}_r r JOIN {side}_n n ON n.rn = r.rn + 1),
+{side}_s AS (SELECT rn, c, atr, len(gaps) AS n_gaps, gaps[1] AS g, blocks[1] AS b, least(1, greatest(0, (gaps[1].top - gaps[1].deep) / (gaps[1].top - gaps[1].bottom + {E}))) AS fill,
+  least(1, greatest(0, (blocks[1].top - blocks[1].deep) / (blocks[1].top - blocks[1].bottom + {E}))) AS used FROM {side}_r JOIN {side}_n USING (rn))""")
+        s, known = f"{side}_s", "a.atr > 0"
+        own = lambda v, has: f"CASE WHEN {known} AND {has} IS NOT NULL THEN {v} ELSE 0 END"
+        size, move = f"({s}.g.top - {s}.g.bottom) / a.atr", f"{s}.b.move"
+        gap = {"exists": "1", "size_atr": size, "dist_atr": f"({s}.c - {s}.g.top) / a.atr", "age": f"a.rn - {s}.g.born", "fill_pct": f"{s}.fill", "strength": f"tanh(greatest({size}, 0) / (1 + {E})) * (1 - least(1, greatest(0, (a.rn - {s}.g.born) / 288))) * (1 - {s}.fill)"}
+        block = {"exists": "1", "dist_atr": f"({s}.c - {s}.b.top) / a.atr", "size_atr": f"({s}.b.top - {s}.b.bottom) / a.atr", "age": f"a.rn - {s}.b.born", "mitigation_pct": f"{s}.used", "mitigated": f"CASE WHEN {s}.used > 0 THEN 1 ELSE 0 END", "strength": f"tanh(greatest({move}, 0) / (2 + {E})) * (1 - least(1, greatest(0, (a.rn - {s}.b.born) / 288))) * (1 - {s}.used)"}
+        cols |= {f"fvg_{side}_{k}": own(v, f"{s}.g") for k, v in gap.items()} | {f"ob_{side}_{k}": own(v, f"{s}.b") for k, v in block.items()}
+        cols[f"fvg_count_{side}"] = f"CASE WHEN {known} THEN {s}.n_gaps ELSE 0 END"
+    n, m = cols["fvg_count_bull"], cols["fvg_count_bear"]
+    cols["fvg_imbalance"] = f"({n} - {m}) / ({n} + {m} + {E})"
+    cols["ob_confluence_fvg"] = f"CASE WHEN {known} THEN greatest(coalesce(bull_s.b.gap, 0), coalesce(bear_s.b.gap, 0)) ELSE 0 END"
+    return f"{WITH_ATR}, {', '.join(out)} " + final(cols, "a JOIN bull_s USING (rn) JOIN bear_s USING (rn)")
+
+
+ZONE_SQL = zone_sql()
+
+
+def zone_names() -> list[str]:
+    from barlake.plans.manifest import fvg, order_blocks
+
+    return [n for n, _ in [*fvg(), *order_blocks()]]
+
+
+@query(ZONE_SQL)
 def zone_states(spark, d):
     from barlake.operators.zones import zones
-    from barlake.plans.manifest import fvg, order_blocks
 
-    return told(zones(ready(spark, d)), *(n for n, _ in [*fvg(), *order_blocks()]))
+    return told(zones(ready(spark, d)), *zone_names())
+
+
+@query(ZONE_SQL)
+def zone_states_in_chunks(spark, d):
+    from barlake.operators.zones import zones
+
+    return told(zones(G.shared(bars(spark, d), CHUNK), CHUNK), *zone_names())
 
 
 def small(semantics: str = "reference"):

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.calendars import Calendar, classify
@@ -19,30 +16,12 @@ from barlake.operators.chunks import in_chunks
 from barlake.operators.resample import resample
 from barlake.operators.zones import zones
 from barlake.plans import manifest as M
+from barlake.sources.scratch import cut
 from barlake.timeframes import Timeframe
 
 BARS = ["symbol", "open_time", "close_time", "open", "high", "low", "close", "volume"]
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir; only where that is unset and all runs on
-    this machine, as in tests, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="barlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, keep: list) -> DataFrame:
-    """df's columns written to the shared folder and read again: wide plans stay small and survive lost executors."""
-    path, df = folder(df.sparkSession, "stage"), df.select(*keep)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cut_all(makers: list[Callable[[], DataFrame]]) -> list[DataFrame]:
     """cut() of several frames that are planned and written beside each other: planning, and few tasks, leave cores idle."""
     with ThreadPoolExecutor(max(1, len(makers))) as pool:
@@ -95,7 +74,7 @@ def base_groups(bars: DataFrame, cfg: Config, calendar: Calendar = Calendar(), f
 
     makers = [maker(lambda part=part: made(part), [n for g in part for n in names[g]]) for part in parts if part]
     if f.fvg.enabled or f.order_blocks.enabled:
-        makers.append(maker(lambda: zones(ready, **zone), [n for g in ("fvg", "order_blocks") if getattr(f, g).enabled for n in names[g]]))
+        makers.append(maker(lambda: zones(ready, chunk_rows, **zone), [n for g in ("fvg", "order_blocks") if getattr(f, g).enabled for n in names[g]]))
     if f.mtf.enabled and f.mtf.include_running_position and frames:
         finer = [tf for tf in frames if tf != "1d"]
         makers.append(maker(lambda: G.running(ready, tf.minutes, [Timeframe(x).minutes for x in finer]), [f"running_{n}_{x}" for x in finer for n in M.RUNNING]))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from barlake.bars import PRICES
 from barlake.plans.manifest import Manifest
+from barlake.sources.scratch import cut
 
 KEYS = ["symbol", "tf", "year", "month"]
 
@@ -43,8 +44,6 @@ def write_bars(bars: DataFrame, root: str, tf: str, overwrite: bool = True) -> N
             touched = new.select(*KEYS).distinct()
             both = old.select(*cols, *KEYS[1:]).join(touched, KEYS, "left_semi").withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
             w = W.partitionBy("symbol", "tf", "close_time").orderBy(F.desc("_new"))
-            from barlake.plans.engine import cut
-
             merged = both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_new")
             new = cut(merged, [*cols, *KEYS[1:]])
     out = new.repartition(*KEYS).sortWithinPartitions("close_time")
