@@ -6,9 +6,10 @@ Columns that begin with an underscore are steps on the way.
 from __future__ import annotations
 
 import math
+from collections.abc import Collection
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -16,6 +17,7 @@ from barlake.functions.rolling import EPS, clip, flag, high, lag, linreg, low, m
 from barlake.operators import scan
 from barlake.operators.chunks import in_chunks
 from barlake.operators.iir import ema, memory, smooth, wilder
+from barlake.sources.scratch import Steps
 
 col = F.col
 
@@ -204,49 +206,81 @@ def clock(df: DataFrame, minutes: int, vol_days: int = 20, gap_flag: int = 12, c
     })
 
 
-def structure(df: DataFrame, k: int = 2, memory: int = 6, span: int = 50) -> DataFrame:
-    """Swings, trend of swings, breaks of structure and shifts: the state as last events over windows."""
-    so_far, before, w = series().rowsBetween(W.unboundedPreceding, 0), series().rowsBetween(W.unboundedPreceding, -1), 2 * k + 1
-    df = df.withColumns({"_H": F.when(lag("high", k) >= high("high", w), lag("high", k)), "_L": F.when(lag("low", k) <= low("low", w), lag("low", k))})
-    df = df.withColumns({"_pH": F.last("_H", True).over(before), "_pL": F.last("_L", True).over(before), "_lh": F.last("_H", True).over(so_far), "_ll": F.last("_L", True).over(so_far)})
+def last_values(df: DataFrame, values: dict[str, Column], strict: Collection[str] = (), chunk_rows: int | None = None, steps: Steps | None = None) -> DataFrame:
+    """df with the last value that is not null of each of values so far; of the names in strict, before each bar. With
+    chunk_rows by a scan whose rows are written, as what follows reads them more than once."""
+    if chunk_rows:
+        return steps.cut(scan.carried(df.withColumn(scan.BUCKET, F.floor(col("rn") / chunk_rows)), values, ["close_time"], strict=strict).drop(scan.BUCKET))
+    until = lambda n: series().rowsBetween(W.unboundedPreceding, -1 if n in strict else 0)
+    return df.withColumns({n: F.last(v, True).over(until(n)) for n, v in values.items()})
+
+
+def structure(df: DataFrame, k: int = 2, memory: int = 6, span: int = 50, chunk_rows: int | None = None) -> DataFrame:
+    """Swings, trend of swings, breaks of structure and shifts: the state as last events. With chunk_rows no window is over
+    a whole series: events are carried over chunks by scans, however far back they lie."""
+    w, given, steps = 2 * k + 1, df.columns, Steps(df.sparkSession)
+    held = lambda df, values, strict=(): last_values(df, values, strict, chunk_rows, steps)
+
+    def bounded(df: DataFrame) -> DataFrame:
+        swings = {"_H": F.when(lag("high", k) >= high("high", w), lag("high", k)), "_L": F.when(lag("low", k) <= low("low", w), lag("low", k))}
+        return df.withColumns(swings | {"_xh": high("high", span), "_xl": low("low", span)})
+
+    df = in_chunks(df, bounded, max(w, span), chunk_rows) if chunk_rows else bounded(df)
+    at = {f"{n}rn": F.when(col(x).isNotNull(), col("rn") - k) for n, x in (("_h", "_H"), ("_l", "_L"))}
+    df = held(df, {"_pH": col("_H"), "_pL": col("_L"), "_lh": col("_H"), "_ll": col("_L")} | at, ("_pH", "_pL"))
     both_h, both_l = col("_H").isNotNull() & col("_pH").isNotNull(), col("_L").isNotNull() & col("_pL").isNotNull()
     df = df.withColumns({
         "swing_high_flag": flag(col("_H").isNotNull()), "swing_low_flag": flag(col("_L").isNotNull()),
         "_hh": F.when(both_h, flag(col("_H") > col("_pH"))), "_lhf": F.when(both_h, flag(col("_H") <= col("_pH"))), "_hl": F.when(both_l, flag(col("_L") > col("_pL"))), "_llf": F.when(both_l, flag(col("_L") <= col("_pL"))),
         "_eh": F.when(both_h, F.when(col("_H") > col("_pH"), 1).otherwise(-1)), "_el": F.when(both_l, F.when(col("_L") > col("_pL"), 1).otherwise(-1)),
-        "_hrn": F.last(F.when(col("_H").isNotNull(), col("rn") - k), True).over(so_far), "_lrn": F.last(F.when(col("_L").isNotNull(), col("rn") - k), True).over(so_far),
     })
-    # Events are numbered, high before low in a bar; the last ones are those of the bars in a range of numbers, less the
-    # high of the first bar in it where both its events count and one is too many.
-    df = df.withColumn("_n", F.sum(both_h.cast("int") + both_l.cast("int")).over(so_far))
-    last = W.partitionBy("symbol").orderBy("_n")
-    value = F.coalesce("_eh", F.lit(0)) + F.coalesce("_el", F.lit(0))
-    spare = F.sum(F.when(both_h & both_l, F.col("_eh"))).over(last.rangeBetween(-(memory - 1), -(memory - 1)))
-    df = df.withColumns({"_sum": F.sum(value).over(last.rangeBetween(-(memory - 1), 0)) - F.coalesce(spare, F.lit(0)), "_cnt": F.least("_n", F.lit(memory))})
-    held = {n: F.coalesce(F.last(s, True).over(so_far), F.lit(0.0)) for n, s in (("hh", "_hh"), ("hl", "_hl"), ("lh", "_lhf"), ("ll", "_llf"))}
-    df = df.withColumns(held)
+    df = last_events(df, memory, chunk_rows, steps)
+    df = held(df, {"hh": col("_hh"), "hl": col("_hl"), "lh": col("_lhf"), "ll": col("_llf")}).fillna(0.0, ["hh", "hl", "lh", "ll"])
     up, dn = flag(col("close") > col("_lh")), flag(col("close") < col("_ll"))
     df = df.withColumns({
         "structure_direction": F.when((col("hh") == 1) & (col("hl") == 1), 1.0).when((col("lh") == 1) & (col("ll") == 1), -1.0).when(col("_cnt") >= 2, F.signum(col("_sum").cast("double"))).otherwise(0.0),
         "structure_strength": F.when(col("_cnt") > 0, F.abs("_sum") / col("_cnt")), "bos_bull": up, "bos_bear": dn, "_b": F.when(up == 1, 1).when(dn == 1, -1),
         "_bd": F.when(up == 1, col("close") - col("_lh")).when(dn == 1, col("_ll") - col("close")),
     })
-    df = df.withColumn("_pb", F.coalesce(F.last("_b", True).over(before), F.lit(0)))
+    df = held(df, {"_pb": col("_b"), "_bdl": col("_bd"), "_brn": F.when(col("_b").isNotNull(), col("rn"))}, ("_pb",)).fillna(0, ["_pb"])
     df = df.withColumns({"mss_bull": flag((col("_b") == 1) & (col("_pb") <= 0)), "mss_bear": flag((col("_b") == -1) & (col("_pb") >= 0))})
     shift = (col("mss_bull") == 1) | (col("mss_bear") == 1)
-    a = col("atr")
-    df = df.withColumns({
-        "_bdl": F.last("_bd", True).over(so_far), "bos_age": (col("rn") - F.last(F.when(col("_b").isNotNull(), col("rn")), True).over(so_far)).cast("double"),
-        "_msd": F.last(F.when(shift, col("_bd")), True).over(so_far), "mss_age": (col("rn") - F.last(F.when(shift, col("rn")), True).over(so_far)).cast("double"),
-        "_xh": high("high", span), "_xl": low("low", span), "last_swing_high_age": (col("rn") - col("_hrn")).cast("double"), "last_swing_low_age": (col("rn") - col("_lrn")).cast("double"),
-        "last_swing_high_dist_atr": (col("close") - col("_lh")) / (a + EPS), "last_swing_low_dist_atr": (col("close") - col("_ll")) / (a + EPS),
-    })
+    df = held(df, {"_msd": F.when(shift, col("_bd")), "_mrn": F.when(shift, col("rn"))})
+    a, age = col("atr"), lambda x: (col("rn") - col(x)).cast("double")
     width, pos = col("_xh") - col("_xl"), (col("close") - col("_xl")) / (col("_xh") - col("_xl") + EPS)
     score = (1 - squash(width / (10 * a + EPS))) * (1 - 2 * F.abs(pos - 0.5))
     return df.withColumns({
+        "bos_age": age("_brn"), "mss_age": age("_mrn"), "last_swing_high_age": age("_hrn"), "last_swing_low_age": age("_lrn"),
+        "last_swing_high_dist_atr": (col("close") - col("_lh")) / (a + EPS), "last_swing_low_dist_atr": (col("close") - col("_ll")) / (a + EPS),
         "bos_strength": squash(col("_bdl") / (a + EPS)), "mss_strength": squash(col("_msd") / (a + EPS)), "range_high_dist_atr": (col("_xh") - col("close")) / (a + EPS), "range_low_dist_atr": (col("close") - col("_xl")) / (a + EPS),
         "range_width_atr": width / (a + EPS), "range_position": pos, "consolidation_score": clip(F.when(width.isNotNull() & a.isNotNull(), score), 0, 1),
-    })
+    }).select(*given, *STRUCTURE)
+
+
+STRUCTURE = (
+    "swing_high_flag", "swing_low_flag", "last_swing_high_dist_atr", "last_swing_low_dist_atr", "last_swing_high_age", "last_swing_low_age", "hh", "hl", "lh", "ll", "structure_direction", "structure_strength",
+    *(f"{x}_{n}" for x in ("bos", "mss") for n in ("bull", "bear", "strength", "age")), "range_high_dist_atr", "range_low_dist_atr", "range_width_atr", "range_position", "consolidation_score",
+)
+
+
+def last_events(df: DataFrame, memory: int, chunk_rows: int | None, steps: Steps) -> DataFrame:
+    """df with the sum and number of the last memory events, _eh before _el in a bar."""
+    both_h, both_l = col("_eh").isNotNull(), col("_el").isNotNull()
+    value, number = F.coalesce("_eh", F.lit(0)) + F.coalesce("_el", F.lit(0)), both_h.cast("int") + both_l.cast("int")
+    if not chunk_rows:
+        # The last events are those of the bars in a range of numbers, less the high of the first bar in it where both its
+        # events count and one is too many.
+        df = df.withColumn("_n", F.sum(number).over(series().rowsBetween(W.unboundedPreceding, 0)))
+        last = W.partitionBy("symbol").orderBy("_n")
+        spare = F.sum(F.when(both_h & both_l, F.col("_eh"))).over(last.rangeBetween(-(memory - 1), -(memory - 1)))
+        return df.withColumns({"_sum": F.sum(value).over(last.rangeBetween(-(memory - 1), 0)) - F.coalesce(spare, F.lit(0)), "_cnt": F.least("_n", F.lit(memory))})
+    # The sum of the last events is that of all so far less that of all up to the event so many before.
+    df = scan.totals(df.withColumn(scan.BUCKET, F.floor(col("rn") / chunk_rows)), {"_n": number.cast("long"), "_all": value.cast("long")}, ["close_time"])
+    df = steps.cut(df.drop(scan.BUCKET))
+    one = lambda number, total: F.struct(number.alias("_old"), total.alias("_then"))
+    each = F.when(both_h & both_l, F.array(one(col("_n") - 1, col("_all") - col("_el")), one(col("_n"), col("_all")))).when(both_h | both_l, F.array(one(col("_n"), col("_all"))))
+    df = df.withColumn("_old", col("_n") - memory).join(df.select("symbol", F.inline(each)), ["symbol", "_old"], "left")
+    return df.withColumns({"_sum": col("_all") - F.coalesce("_then", F.lit(0)), "_cnt": F.least("_n", F.lit(memory))})
 
 
 LEVELS = tuple(f"{x}_{s}" for x in ("prev_day", "prev_week", "asia", "london", "ny", "session") for s in ("high", "low"))

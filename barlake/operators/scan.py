@@ -7,7 +7,7 @@ from what the buckets before it left. Nothing is cut off: values are carried ove
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +27,15 @@ def before(keys: Sequence[str]):
     return W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
 
 
-def carried(df: DataFrame, values: dict[str, Column], order: Sequence[str], keys: Sequence[str] = ("symbol",), strict: bool = False) -> DataFrame:
-    """df, which has BUCKET, with the last value that is not null of each of values at every row or before it; strict:
-    before it. order sorts the rows of a series, and buckets follow it."""
+def carried(df: DataFrame, values: dict[str, Column], order: Sequence[str], keys: Sequence[str] = ("symbol",), strict: Collection[str] = ()) -> DataFrame:
+    """df, which has BUCKET, with the last value that is not null of each of values at every row or before it; of the names
+    in strict, before it. order sorts the rows of a series, and buckets follow it."""
     keys, place = list(keys), F.struct(*order)
     ends = df.groupBy(*keys, BUCKET).agg(*(F.max_by(v, F.when(v.isNotNull(), place)).alias(n) for n, v in values.items()))
     ends = ends.select(*keys, BUCKET, *(F.last(n, True).over(before(keys)).alias(f"_from_{n}") for n in values))
-    inside = W.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if strict else 0)
-    rows = df.withColumns({n: F.last(v, True).over(inside) for n, v in values.items()}).join(ends, [*keys, BUCKET], "left")
+    inside = W.partitionBy(*keys, BUCKET).orderBy(*order)
+    until = lambda n: inside.rowsBetween(W.unboundedPreceding, -1 if n in strict else 0)
+    rows = df.withColumns({n: F.last(v, True).over(until(n)) for n, v in values.items()}).join(ends, [*keys, BUCKET], "left")
     return rows.withColumns({n: F.coalesce(n, f"_from_{n}") for n in values}).drop(*(f"_from_{n}" for n in values))
 
 

@@ -466,6 +466,11 @@ def structure_events(spark, d):
     return told(G.structure(ready(spark, d)), *STRUCTURE, digits=4)
 
 
+@query(f"{WITH_ATR}, {SW2} " + final(STRUCTURE, "p4", 4))
+def structure_events_in_chunks(spark, d):
+    return told(G.structure(G.shared(bars(spark, d), CHUNK), chunk_rows=CHUNK), *STRUCTURE, digits=4)
+
+
 STRENGTH = f"""{SW2}, e0 AS (SELECT rn, 0 AS side, CASE WHEN fhh = 1 THEN 1 ELSE -1 END AS v FROM p4 WHERE fhh IS NOT NULL UNION ALL SELECT rn, 1, CASE WHEN fhl = 1 THEN 1 ELSE -1 END FROM p4 WHERE fhl IS NOT NULL),
 e1 AS (SELECT rn, side, sum(v) OVER (ORDER BY rn, side ROWS 5 PRECEDING) AS t, count(v) OVER (ORDER BY rn, side ROWS 5 PRECEDING) AS k FROM e0), e2 AS (SELECT rn, arg_max(abs(t) / k, side) AS st FROM e1 GROUP BY rn)"""
 

@@ -52,7 +52,7 @@ def base_groups(bars: DataFrame, cfg: Config, calendar: Calendar = Calendar(), f
         "volatility": lambda d: G.volatility(d, p["atrs"], p["percentiles"], bb_rank=p["bb_rank"], bars_per_day=tf.bars_per_day),
         "volume": lambda d: G.volume(d, days=f.volume.time_of_day_days),
         "trend": lambda d: G.trend(d, p["emas"], p["regressions"], p["hurst"]),
-        "structure": lambda d: G.structure(d, p["k"], p["memory"], p["span"]),
+        "structure": lambda d: G.structure(d, p["k"], p["memory"], p["span"], chunk_rows),
         "patterns": G.patterns,
         "time": lambda d: G.clock(d, tf.minutes, f.time.session_vol_days, f.gap_flag_bars, causal),
         "liquidity": lambda d: G.liquidity(d, calendar.trading_day, f.liquidity.sweep_lookback, f.liquidity.sweep_tolerance_atr, f.liquidity.level_cluster_atr),
