@@ -2,8 +2,10 @@
 
 The texts are read four times. The first two passes fill count-min sketches of word pairs, and of longer phrases that begin
 with a pair that may be frequent; a cell's sum is an upper bound of each of its phrases' counts, so no frequent phrase is
-lost. The third tells the phrases of the cells that reach the bound. The fourth runs Aho-Corasick automata of these phrases
-and their words, each between spaces, over every text and counts all matches, overlapping ones too. Tasks send sums only.
+lost. The third tells the phrases of the cells that reach the bound: of each cell those of one block of text, its witness.
+The fourth runs Aho-Corasick automata of these phrases and their words, each between spaces, over every text and counts all
+matches, overlapping ones too. A cell whose phrases' counts fall short of its sum has others, which are then told and counted
+without a witness. Tasks send sums only.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Cells of the sketch as a power of two; bytes of sketch that one task sums; cells and patterns that are broadcast at once.
 CELLS, PART_BYTES, CELLS_AT_ONCE, PATTERNS_AT_ONCE = 40, 32 << 20, 4_000_000, 400_000
 #: Entries that a task gathers before it sums and sends them, phrases it remembers, and bytes of text looked at together.
-GATHER, TOLD, BLOCK = 6_000_000, 300_000, 1 << 20
+GATHER, TOLD, BLOCK = 4_000_000, 300_000, 1 << 20
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(10 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -90,8 +92,8 @@ class Grams:
         start = self.starts[at]
         return mixed((self.sums[self.ends[at + k - 1]] - self.sums[start]) * self.back[start] + self.seed) >> np.uint64(64 - CELLS)
 
-    def phrases(self, at: np.ndarray, k: int) -> set[bytes]:
-        return {self.block[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at + k - 1].tolist(), strict=True)}
+    def phrases(self, at: np.ndarray, k: int, cells: np.ndarray) -> set[tuple[bytes, int, int]]:
+        return {(self.block[a:b], k, c) for a, b, c in zip(self.starts[at].tolist(), self.ends[at + k - 1].tolist(), cells.tolist(), strict=True)}
 
 
 def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -106,70 +108,79 @@ def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     pa.default_memory_pool().release_unused()
 
 
-def summed(cells: list[np.ndarray], counts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells in order and the sums of their counts, most at most."""
-    c, n = np.concatenate(cells), np.concatenate(counts)
+#: Cell, count and witness, the least of 16 bits of the hashes of the blocks that have a phrase of the cell.
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def summed(parts: list[Entries]) -> Entries:
+    """Distinct cells in order, the sums of their counts, and their witnesses."""
+    c, n, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(c):
+        return c, n, w
     order = np.argsort(c, kind="stable")
-    c, n = c[order], n[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-    return c[first], np.minimum(np.add.reduceat(n, first), most).astype(np.uint8) if len(c) else n.astype(np.uint8)
+    c = c[order]
+    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    return c[first], np.add.reduceat(n[order].astype(np.int64), first), np.minimum.reduceat(w[order], first)
+
 
+def witness(block: bytes) -> int:
+    return xxhash.xxh64_intdigest(block) & 0xFFFF
 
-def sketch(docs: DataFrame, pick: Callable[[Grams], Iterator[np.ndarray]], least: int, part_bits: int, count_words: bool) -> DataFrame:
-    """(part, lang, cells, counts, n): of each task's phrases, the sums of the cells in each part of the sketch, which go up
-    to least, as a sum that has it needs no more; with count_words also the number of words of each language, part -1."""
+
+def sketch(docs: DataFrame, pick: Callable[[Grams], Iterator[np.ndarray]], part_bits: int, count_words: bool) -> DataFrame:
+    """(part, lang, cells, counts, witnesses, n): of each task's phrases, the sums of the cells in each part of the sketch;
+    with count_words also the number of words of each language, part -1."""
     shift = np.uint64(CELLS - part_bits)
-    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("cells", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("cells", pa.binary()), ("counts", pa.binary()), ("witnesses", pa.binary()), ("n", pa.int64())])
 
-    def told(cells: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        c, n = summed(cells, counts, least)
+    def told(entries: Entries) -> Iterator[pa.RecordBatch]:
+        c, n, w = entries
         part = (c >> shift).astype(np.int64)
-        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(c) else []
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(c) else [0]
         low = (c & ((np.uint64(1) << shift) - np.uint64(1))).astype("<u4")
-        rows = [{"part": int(part[a]), "lang": None, "cells": low[a:b].tobytes(), "counts": n[a:b].tobytes(), "n": None} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = [{"part": int(part[a]), "lang": None, "cells": low[a:b].tobytes(), "counts": n[a:b].astype("<u4").tobytes(), "witnesses": w[a:b].astype("<u2").tobytes(), "n": None} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, counts, size, words = [], [], 0, {}
+        parts, size, words = [], 0, {}
         for lang, text in by_lang(batches):
             for block in blocks(text):
-                grams = Grams(block, lang)
+                grams, mark = Grams(block, lang), witness(block)
                 words[lang] = words.get(lang, 0) + grams.n_words
                 for found in pick(grams):
                     c, n = np.unique(found, return_counts=True)
-                    cells.append(c)
-                    counts.append(np.minimum(n, least).astype(np.uint8))
+                    parts.append((c, n.astype(np.int64), np.full(len(c), mark, np.uint16)))
                     size += len(c)
                 if size > GATHER:
-                    c, n = summed(cells, counts, least)
-                    cells, counts, size = [c], [n], len(c)
+                    parts = [summed(parts)]
+                    size = len(parts[0][0])
                     if size > GATHER // 2:
-                        yield from told(cells, counts)
-                        cells, counts, size = [], [], 0
+                        yield from told(parts[0])
+                        parts, size = [], 0
         if size:
-            yield from told(cells, counts)
+            yield from told(summed(parts))
         if count_words:
-            yield pa.RecordBatch.from_pylist([{"part": -1, "lang": k, "cells": None, "counts": None, "n": v} for k, v in words.items()], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"part": -1, "lang": k, "n": v} for k, v in words.items()], schema=schema)
 
-    return docs.mapInArrow(run, "part int, lang string, cells binary, counts binary, n long")
+    return docs.mapInArrow(run, "part int, lang string, cells binary, counts binary, witnesses binary, n long")
 
 
 def heavy(sums: DataFrame, least: int, part_bits: int) -> DataFrame:
-    """(part, cells, n): the cells that reach least. A part is some PART_BYTES of sums, which one task adds up."""
+    """(part, cells, sums, witnesses, n): the cells that reach least. A part is some PART_BYTES of sums, for one task."""
     shift = CELLS - part_bits
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        cells = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("cells")]
-        counts = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("counts")]
-        c, n = summed(cells, counts, least)
-        c = c[n >= least].astype(np.uint64) + (np.uint64(key[0].as_py()) << np.uint64(shift))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([c.astype("<u8").tobytes()], pa.binary()), "n": pa.array([len(c)], pa.int64())})
+        columns = [[np.frombuffer(x.as_buffer(), kind) for x in table.column(name)] for name, kind in (("cells", "<u4"), ("counts", "<u4"), ("witnesses", "<u2"))]
+        c, n, w = summed(list(zip(*columns, strict=True)))
+        c, n, w = c[n >= least].astype(np.uint64) + (np.uint64(key[0].as_py()) << np.uint64(shift)), n[n >= least], w[n >= least]
+        binary = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "cells": binary(c, "<u8"), "sums": binary(n, "<i8"), "witnesses": binary(w, "<u2"), "n": pa.array([len(c)], pa.int64())})
 
-    return sums.where("part >= 0").select("part", "cells", "counts").groupBy("part").applyInArrow(one, "part int, cells binary, n long")
+    return sums.where("part >= 0").select("part", "cells", "counts", "witnesses").groupBy("part").applyInArrow(one, "part int, cells binary, sums binary, witnesses binary, n long")
 
 
-def rounds(found: DataFrame, at_once: int) -> Iterator[np.ndarray]:
-    """The sorted cells of found, as many parts at a time as at_once allows; each part is bounded, and so each array."""
+def rounds(found: DataFrame, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted cells of found and their witnesses, as many parts at a time as at_once allows, so that each is bounded."""
     group, size = [], 0
     for part, n in sorted((r.part, r.n) for r in found.where("n > 0").groupBy("part").agg(F.sum("n").alias("n")).collect()):
         if group and size + n > at_once:
@@ -181,18 +192,22 @@ def rounds(found: DataFrame, at_once: int) -> Iterator[np.ndarray]:
         yield cells_of(found, group)
 
 
-def cells_of(found: DataFrame, parts: list[int]) -> np.ndarray:
-    rows = found.where(F.col("part").between(parts[0], parts[-1])).select("cells").collect()
-    return np.sort(np.concatenate([np.frombuffer(r.cells, "<u8") for r in rows]))
+def cells_of(found: DataFrame, parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    rows = found.where(F.col("part").between(parts[0], parts[-1])).select("cells", "witnesses").collect()
+    cells, marks = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((0, "<u8"), (1, "<u2")))
+    order = np.argsort(cells)
+    return cells[order], marks[order]
 
 
-def among(cells: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(known, cells)
-    at[at == len(known)] = 0
-    return known[at] == cells
+def among(cells: np.ndarray, known: tuple[np.ndarray, np.ndarray], mark: int | None = None) -> np.ndarray:
+    """Which of cells are known and, with a mark, have it for their witness."""
+    at = np.searchsorted(known[0], cells)
+    at[at == len(known[0])] = 0
+    good = known[0][at] == cells
+    return good if mark is None else good & (known[1][at] == mark)
 
 
-def longer_phrases(docs: DataFrame, pairs: DataFrame, least: int, longest: int, part_bits: int) -> DataFrame | None:
+def longer_phrases(docs: DataFrame, pairs: DataFrame, longest: int, part_bits: int) -> DataFrame | None:
     """Sums of the phrases of three words and more that begin with a pair of a heavy cell."""
     out = None
     for known in rounds(pairs, CELLS_AT_ONCE):
@@ -206,36 +221,60 @@ def longer_phrases(docs: DataFrame, pairs: DataFrame, least: int, longest: int,
                 at = at[grams.breaks[at + k] == grams.breaks[at]]
                 yield grams.cells(at, k)
 
-        part = sketch(docs, pick, least, part_bits, False)
+        part = sketch(docs, pick, part_bits, False)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def told_phrases(docs: DataFrame, found: DataFrame, longest: int) -> DataFrame | None:
-    """(lang, phrase) of the phrases whose cells are in found; a task tells a phrase once, unless it has very many."""
+def told_phrases(docs: DataFrame, found: DataFrame, longest: int, by_witness: bool = True) -> DataFrame:
+    """(lang, phrase, k, cell) of the phrases whose cells are in found and, unless told otherwise, whose block is the witness
+    of their cell; a task tells a phrase once, unless it has very many."""
     out = None
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("cell", pa.int64())])
     for known in rounds(found, CELLS_AT_ONCE):
         shared = docs.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            told: dict[str, set[bytes]] = {}
+            told: dict[str, set] = {}
             for lang, text in by_lang(batches):
                 seen, new = told.setdefault(lang, set()), set()
                 for block in blocks(text):
-                    grams = Grams(block, lang)
+                    grams, mark = Grams(block, lang), witness(block) if by_witness else None
                     for k in range(2, longest + 1):
                         at = grams.places(k)
-                        new |= grams.phrases(at[among(grams.cells(at, k), shared.value)], k)
+                        cells = grams.cells(at, k)
+                        good = among(cells, shared.value, mark)
+                        new |= grams.phrases(at[good], k, cells[good])
                 new -= seen
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new), pa.string()), pa.array([p.decode() for p in new], pa.string())], schema=schema)
+                rows = list(new)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array([p.decode() for p, _, _ in rows], pa.string()), pa.array([k for _, k, _ in rows], pa.int32()), pa.array([c for _, _, c in rows], pa.int64())], schema=schema)
                 seen |= new
                 if sum(map(len, told.values())) > TOLD:
                     told = {}
 
-        part = docs.mapInArrow(run, "lang string, phrase string")
+        part = docs.mapInArrow(run, "lang string, phrase string, k int, cell long")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.distinct()
+
+
+def short_cells(found: DataFrame, pairs: bool, counts: DataFrame) -> DataFrame:
+    """found's rows cut down to the cells whose sum the counts (k, cell, f) of the phrases told so far do not reach."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, cells, sums in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                c, n = np.frombuffer(cells.as_buffer(), "<i8"), np.frombuffer(sums.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), part), pa.int32()), pa.array(c), pa.array(n)], names=["part", "cell", "whole"])
+
+    each = found.select("part", "cells", "sums").mapInArrow(rows, "part int, cell long, whole long")
+    known = counts.where("k = 2" if pairs else "k > 2").groupBy("cell").agg(F.sum("f").alias("f"))
+    short = each.join(known, "cell", "left").where("f IS NULL OR f < whole")
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        cells = np.sort(table.column("cell").to_numpy()).astype("<i8")
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary()), "witnesses": pa.array([bytes(2 * len(cells))], pa.binary()), "n": pa.array([len(cells)], pa.int64())})
+
+    return short.select("part", "cell").distinct().groupBy("part").applyInArrow(packed, "part int, cells binary, witnesses binary, n long")
 
 
 #: The automata of one round, which a worker keeps for its next tasks.
@@ -260,7 +299,7 @@ def automata(key: str, patterns: Broadcast) -> dict[str, tuple]:
 
 
 def counted(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pid, f): matches of each of patterns (lang, phrase, pid) in docs, summed over the tasks."""
+    """patterns (lang, phrase, pid and more) with f, the matches of each in docs, summed over the tasks."""
     n_rounds, out = -(-patterns.count() // PATTERNS_AT_ONCE), None
     for r in range(n_rounds):
         mine = patterns.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(n_rounds)) == r).toArrow()
@@ -285,7 +324,7 @@ def counted(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
         part = docs.mapInArrow(run, "pid long, f long")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("pid").agg(F.sum("f").alias("f"))
+    return patterns.join(out.groupBy("pid").agg(F.sum("f").alias("f")), "pid") if n_rounds else patterns.withColumn("f", F.lit(0).cast("long"))
 
 
 def ranked(f: DataFrame, n: DataFrame, least: int, top: int, cover: int) -> DataFrame:
@@ -328,20 +367,23 @@ def mine(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: i
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bits = max(8, min(24, int(size // PART_BYTES).bit_length()))
     work = Scratch(df.sparkSession)
-    pairs = work.write(sketch(docs, lambda g: iter([g.cells(g.places(2), 2)]), least, part_bits, True), "pairs")
-    n = work.write(pairs.where("part < 0").groupBy("lang").agg(F.sum("n").alias("n")), "words")
-    found = work.write(heavy(pairs, least, part_bits), "heavy-pairs")
+    numbered = lambda phrases, name: work.write(phrases.withColumn("pid", F.monotonically_increasing_id()), name)
+    sums = work.write(sketch(docs, lambda g: iter([g.cells(g.places(2), 2)]), part_bits, True), "pairs")
+    n = work.write(sums.where("part < 0").groupBy("lang").agg(F.sum("n").alias("n")), "words")
+    pairs = work.write(heavy(sums, least, part_bits), "heavy-pairs")
     work.drop("pairs")
-    more = longer_phrases(docs, found, least, longest, part_bits)
-    if more is not None:
-        found_too = work.write(heavy(more, least, part_bits), "heavy-phrases")
-        distinct = work.write(told_phrases(docs, found.unionByName(found_too), longest).distinct(), "phrases")
-        single = distinct.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-        patterns = work.write(distinct.unionByName(single).withColumn("pid", F.monotonically_increasing_id()), "patterns")
-        f = patterns.join(counted(docs, patterns), "pid").select("lang", "phrase", "f")
-    else:
-        f = df.sparkSession.createDataFrame([], "lang string, phrase string, f long")
-    return ranked(work.write(f, "counts"), n, least, top, cover)
+    if (more := longer_phrases(docs, pairs, longest, part_bits)) is None:
+        return ranked(df.sparkSession.createDataFrame([], "lang string, phrase string, f long"), n, least, top, cover)
+    longer = work.write(heavy(more, least, part_bits), "heavy-phrases")
+    found = work.write(told_phrases(docs, pairs.unionByName(longer), longest), "phrases")
+    single = lambda phrases: phrases.where("k = 2").select("lang", F.explode(F.split("phrase", " ")).alias("phrase"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("cell")).distinct()
+    f = work.write(counted(docs, numbered(found.unionByName(single(found)), "patterns")), "counts")
+    short = work.write(short_cells(pairs, True, f).unionByName(short_cells(longer, False, f)), "short")
+    if not short.isEmpty():
+        rest = work.write(told_phrases(docs, short, longest, False), "rest")
+        new = rest.unionByName(single(rest)).join(f.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
+        f = work.write(f.unionByName(counted(docs, numbered(new, "new-patterns"))), "all-counts")
+    return ranked(f.select("lang", "phrase", "f"), n, least, top, cover)
 
 
 ORACLE_SQL = f"""WITH piece AS (

@@ -88,3 +88,14 @@ def test_scores_of_counts_beyond_64_bits(spark):
     n = spark.createDataFrame([("en", 9 * 10**18)], "lang string, n long")
     (row,) = collocations.ranked(f, n, 30, 2000, 80).collect()
     assert row.score == 2000000 * 9 * 10**18 // (18 * 10**18 + 6)
+
+
+def test_phrases_without_a_witness_are_told_all_the_same(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    honest, r = collocations.heavy, random.Random(6)
+    blind = lambda *a: honest(*a).withColumn("witnesses", F.when(F.col("part") % 2 == 0, F.expr("unhex(repeat('FFFF', int(n)))")).otherwise(F.col("witnesses")))
+    monkeypatch.setattr(collocations, "heavy", blind)
+    docs = [("en", " ".join(r.choices("abcdefg", k=200))) for _ in range(30)]
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    assert mined(df) == by_hand(docs)
