@@ -667,6 +667,47 @@ def zone_states_in_chunks(spark, d):
     return told(zones(G.shared(bars(spark, d), CHUNK), CHUNK), *zone_names())
 
 
+# --- streams: features of new bars from state that history has primed --------------------------------------------------
+
+LIVE_FROM = "2024-01-11 00:00:00"
+
+
+def live(spark, d):
+    """Features of the bars after LIVE_FROM, which come in three files and micro-batches; those before prime the state."""
+    from barlake.sources.scratch import folder
+    from barlake.streaming.features import STATE_STORE, live_features
+
+    b, root = bars(spark, d), folder(spark, "live")
+    new = F.col("close_time") > F.lit(LIVE_FROM).cast("timestamp")
+    for part in range(3):
+        of_part = F.dayofmonth("close_time").between(11 + 7 * part, 17 + 7 * part) if part < 2 else F.dayofmonth("close_time") >= 25
+        b.where(new & (F.month("close_time") == 1) & of_part).coalesce(1).write.mode("append").parquet(f"{root}/bars")
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    try:
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
+        stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/bars")
+        job = live_features(stream, b.where(~new)).writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/features")
+        job.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.parquet(f"{root}/features")
+
+
+LIVE_STRUCTURE = {k: v for k, v in STRUCTURE.items() if k != "range_width_atr"}
+
+
+@query(f"SELECT * FROM ({WITH_ATR}, {SW2} {final(LIVE_STRUCTURE, 'p4', 4)}) WHERE close_at > '{LIVE_FROM}'")
+def live_structure(spark, d):
+    return told(live(spark, d), *LIVE_STRUCTURE, digits=4)
+
+
+@query(f"SELECT * FROM ({ZONE_SQL}) WHERE close_at > '{LIVE_FROM}'")
+def live_zones(spark, d):
+    return told(live(spark, d), *zone_names())
+
+
 def small(semantics: str = "reference"):
     from barlake.config import Config, Features, Frames
 
