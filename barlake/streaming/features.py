@@ -158,8 +158,7 @@ class Series:
             self.shift = list(self.breach)
         out |= {"bos_bull": float(up), "bos_bear": float(down), "mss_bull": float(turned["bull"]), "mss_bear": float(turned["bear"])}
         for name, (size, bar) in (("bos", self.breach), ("mss", self.shift)):
-            share = over(size, a)
-            out |= {f"{name}_strength": None if share is None else math.tanh(max(share, 0.0) / (1 + EPS)), f"{name}_age": None if bar is None else float(self.rn - bar)}
+            out |= {f"{name}_strength": math.tanh(max(over(size, a) or 0.0, 0.0) / (1 + EPS)), f"{name}_age": None if bar is None else float(self.rn - bar)}
         full = len(self.bars) == SPAN
         high, low = (max(b[1] for b in self.bars), min(b[2] for b in self.bars)) if full else (None, None)
         return out | {"range_high_dist_atr": over(less(high, c), a), "range_low_dist_atr": over(less(c, low), a), "range_position": over(less(c, low), less(high, low))}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from barlake.bars import PRICES
 from barlake.config import Config
@@ -22,6 +23,49 @@ def stream_bars(ticks: DataFrame, minutes: int, delay: str = "10 minutes", ts: s
     return out.select("symbol", F.col("w.start").alias("open_time"), F.col("w.end").alias("close_time"), *PRICES, "volume")
 
 
+TAKEN, TOLD = "ticks_taken", "ticks_told"
+
+
+def observed_bars(ticks: DataFrame, minutes: int, *args, **options) -> DataFrame:
+    """stream_bars() with two counts in the progress of the query: of the ticks that came, and of those in the bars told."""
+    out = stream_bars(ticks.observe(TAKEN, F.count("*").alias("n")), minutes, *args, **options)
+    return out.observe(TOLD, F.sum("volume").cast("long").alias("n"))
+
+
+class TickCounts(StreamingQueryListener):
+    """Adds up the counts of observed_bars() for each query, by its id, which a restart keeps."""
+
+    def __init__(self) -> None:
+        self.sums: dict[str, dict[str, int]] = {}
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        mine = self.sums.setdefault(str(p.id), {TAKEN: 0, TOLD: 0})
+        for name in mine:
+            if name in p.observedMetrics:
+                mine[name] += p.observedMetrics[name].n or 0
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+
+def late_ticks(spark: SparkSession, checkpoint: str, sums: dict[str, int]) -> int:
+    """How many ticks came after the watermark had passed their bar: those taken that are in no bar told and wait in none.
+
+    The waiting ones are read from the state that the query's checkpoint holds, between its runs. Ticks without a price
+    are in no bar's volume, so a stream of them has to leave them out before.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    waiting = state.agg(F.sum("value.count").alias("n")).first().n or 0
+    return sums[TAKEN] - sums[TOLD] - waiting
+
+
 def replay(cfg: Config, buffer: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], context: Callable[[], dict[str, DataFrame]] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: recomputes the batch path over buffer() and the batch's bars and hands on the new rows.
 
