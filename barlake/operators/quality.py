@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from barlake.bars import PRICES, DataQualityError
 from barlake.calendars import Calendar
 from barlake.functions.rolling import flag
+from barlake.operators import scan
+from barlake.sources.scratch import Steps
 from barlake.timeframes import on_grid
 
 # How grave each kind of fault is. Too many nulls are an error.
@@ -76,14 +78,34 @@ def findings(bars: DataFrame, minutes: int, sigma: float = 12.0, max_null: float
     return out
 
 
-def extreme_returns(bars: DataFrame, sigma: float = 12.0, least: int = 100, row_no: str = "row_no") -> DataFrame:
-    """Bars whose log return lies more than sigma robust deviations from the median of its symbol."""
-    w = W.partitionBy("symbol").orderBy(row_no)
-    r = bars.withColumn("ret", F.when(F.col("close") > 0, F.log("close"))).withColumn("ret", F.col("ret") - F.lag("ret").over(w)).where("ret IS NOT NULL")
-    med = r.groupBy("symbol").agg(F.expr("percentile(ret, 0.5)").alias("med"), F.count("*").alias("n")).where(F.col("n") >= least)
-    dev = r.join(med, "symbol")
-    mad = dev.groupBy("symbol").agg((1.4826 * F.expr("percentile(abs(ret - med), 0.5)")).alias("mad")).where("mad > 0")
-    return dev.join(mad, "symbol").where(F.abs(F.col("ret") - F.col("med")) / F.col("mad") > sigma).select("symbol", "close_time", "ret")
+def medians(df: DataFrame, value: str, key: str = "symbol", slack: float = 5e-4) -> DataFrame:
+    """(key, median, n): the exact median of each key's values that are not null, the mean of the middle two of an even number.
+
+    A sketch tells bounds that surely hold the middle values, as its ranks are off by 1e-4 of n at most. One more pass
+    counts what lies below them; only the few distinct values between them are put in order. No task holds a key's values.
+    """
+    x = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("x"))
+    bounds = x.groupBy(key).agg(F.percentile_approx("x", [0.5 - slack, 0.5 + slack], 10_000).alias("b"), F.count("*").alias("n"))
+    near = x.join(bounds, key).select(key, "n", F.when(F.col("x") < F.col("b")[0], None).otherwise(F.col("x")).alias("x"), (F.col("x") > F.col("b")[1]).alias("above"))
+    steps = near.where(~F.col("above")).groupBy(key, "n", "x").agg(F.count("*").alias("m"))  # null: all those below, in one row
+    upto = W.partitionBy(key).orderBy(F.col("x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    ranked = steps.withColumn("upto", F.sum("m").over(upto))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("x")))
+    return ranked.groupBy(key, "n").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+
+
+def extreme_returns(bars: DataFrame, sigma: float = 12.0, least: int = 100, row_no: str = "row_no", bucket_rows: int = 100_000) -> DataFrame:
+    """Bars whose log return lies more than sigma robust deviations from the median of its symbol.
+
+    The bar before each comes from a scan over buckets of row numbers, the medians from sketches, so that one long series is
+    the work of many tasks."""
+    steps = Steps(bars.sparkSession)
+    logs = bars.select("symbol", "close_time", row_no, F.when(F.col("close") > 0, F.log("close")).alias("log"), F.floor(F.col(row_no) / bucket_rows).alias(scan.BUCKET))
+    before = scan.carried(logs, {"before": F.struct("log")}, [row_no], strict=["before"])
+    r = steps.cut(before.select("symbol", "close_time", (F.col("log") - F.col("before.log")).alias("ret")).where("ret IS NOT NULL"))
+    dev = r.join(medians(r, "ret").where(F.col("n") >= least), "symbol").withColumn("off", F.abs(F.col("ret") - F.col("median")))
+    mad = medians(dev, "off").select("symbol", (1.4826 * F.col("median")).alias("mad")).where("mad > 0")
+    return dev.join(mad, "symbol").where(F.col("off") / F.col("mad") > sigma).select("symbol", "close_time", "ret")
 
 
 def missing_bars(bars: DataFrame, minutes: int, calendar: Calendar | None = None) -> DataFrame:

@@ -112,6 +112,23 @@ def bars_by_type_1h(spark, d):
     return told(bars(spark, d, 60, True), "open", "high", "low", "close", "volume")
 
 
+@query(f"WITH {EV}, {bars_sql(5)} " + final({x: x for x in ("open", "high", "low", "close", "volume")}, "b WHERE close_time > TIMESTAMP '2024-01-05 00:00:00'"))
+def bars_from_files(spark, d):
+    """Bars that went to files of two dialects, read back by the bars source in ranges of bytes, with a filter on times."""
+    from barlake.sources.datasource import register
+    from barlake.sources.scratch import folder
+
+    register(spark)
+    b, root = bars(spark, d, 5), folder(spark, "dialects")
+    even, prices = F.hour("open_time") % 2 == 0, ("open", "high", "low", "close", "volume")
+    stamp = lambda form, name: F.date_format("open_time", form).alias(name)
+    b.where(even).select(stamp("yyyy-MM-dd HH:mm:ss", "datetime"), *prices).write.option("header", True).option("sep", ";").csv(f"{root}/named")
+    b.where(~even).select(stamp("yyyy.MM.dd", "d"), stamp("HH:mm:ss", "t"), *(F.regexp_replace(F.col(x).cast("string"), r"\.", ",").alias(x) for x in prices)).write.option("sep", "\t").csv(f"{root}/plain")
+    read = lambda name, **options: spark.read.format("bars").options(path=f"{root}/{name}", minutes=5, splitbytes=20_000, **options).load()
+    both = read("named").unionByName(read("plain", decimal=","))
+    return told(both.where(F.col("close_time") > F.lit("2024-01-05 00:00:00").cast("timestamp")), *prices)
+
+
 def resample_sql(minutes: int, offset: int = 0) -> str:
     t = f"time_bucket(INTERVAL {minutes} MINUTE, open_time, TIMESTAMP '2000-01-01' + INTERVAL {offset} MINUTE)"
     return f"""WITH {EV}, {bars_sql(5)}, r AS (SELECT symbol, {t} + INTERVAL {minutes} MINUTE AS close_time, arg_min(open, open_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time) AS close,

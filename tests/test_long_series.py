@@ -188,3 +188,33 @@ def test_whole_matrix_in_chunks(bars):
     cfg = config.Config(base_timeframe="5m", features=config.Features(max_warmup_bars=50, mtf=config.Frames(timeframes=("1h",))))
     plain, made = transform(bars.where("symbol = 'A'"), cfg)
     same(values(plain, *made.names), values(transform(bars.where("symbol = 'A'"), cfg, chunk_rows=300)[0], *made.names), 1e-6)
+
+
+def test_medians_equal_numpy(spark):
+    import numpy as np
+
+    from barlake.operators.quality import medians
+
+    r, rows = random.Random(8), []
+    for key, n, make in (("a", 20_001, lambda: r.gauss(0, 1)), ("b", 20_000, lambda: r.choice([0.0, 0.0, 1.5, -2.0])), ("c", 1, lambda: 3.0), ("d", 2, r.random), ("e", 501, lambda: r.random() ** 9), ("f", 9, lambda: None)):
+        rows += [(key, make()) for _ in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, x double").repartition(7)
+    got = {x.symbol: (x.median, x.n) for x in medians(df, "x").collect()}
+    for key in "abcde":
+        values = [x for k, x in rows if k == key]
+        assert got[key] == (pytest.approx(np.median(values), abs=1e-15), len(values))
+    assert "f" not in got and medians(df.limit(0), "x").count() == 0
+
+
+def test_extreme_returns_of_a_long_series(spark):
+    import numpy as np
+
+    from barlake.operators.quality import extreme_returns
+
+    rows = [("A", t, o, h, lo, c, k) for k, (t, o, h, lo, c) in enumerate(walk(5000, 12, 0.01))]
+    close = np.array([x[5] for x in rows])
+    ret = np.diff(np.log(close))
+    off = np.abs(ret - np.median(ret))
+    want = {rows[k + 1][1] for k in np.flatnonzero(off / (1.4826 * np.median(off)) > 6)}
+    df = spark.createDataFrame(rows, "symbol string, close_time timestamp, open double, high double, low double, close double, row_no long")
+    assert {r.close_time for r in extreme_returns(df, 6.0, bucket_rows=333).collect()} == want and len(want) > 10
