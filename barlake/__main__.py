@@ -51,11 +51,12 @@ def features_build(spark: SparkSession, cfg: config.Config, args: argparse.Names
 
 
 def features_audit(spark: SparkSession, cfg: config.Config, args: argparse.Namespace) -> int:
-    """Calls in the sources that look ahead, then the replay over stored bars."""
-    calls = audit.scan_source(Path(barlake.__file__).parent / "functions")
-    show(calls)
-    engine.replay_audit(ingest.stored(spark, cfg)[0], cfg, args.cutoffs)
-    return 2 if calls else 0
+    """Calls in the sources that look ahead, plans that do, then the replay over stored bars."""
+    bars = ingest.stored(spark, cfg)[0]
+    found = [*audit.scan_source(Path(barlake.__file__).parent / "functions"), *audit.proof(bars, cfg)]
+    show(found)
+    engine.replay_audit(bars, cfg, args.cutoffs)
+    return 2 if found else 0
 
 
 def features_list(spark: SparkSession, cfg: config.Config, args: argparse.Namespace) -> int:

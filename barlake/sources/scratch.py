@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,10 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Called with each frame before it is written: an audit looks at the plans of a job's steps.
+WATCHERS: list[Callable[[DataFrame], None]] = []
+
+
 class Steps:
     """What a job has written on its way; drop() takes it away once the job's result is written."""
 
@@ -29,6 +34,8 @@ class Steps:
 
     def cut(self, df: DataFrame) -> DataFrame:
         """df written and read again: plans stay small and survive lost executors."""
+        for watch in WATCHERS:
+            watch(df)
         path = folder(self.spark, "stage")
         df.write.parquet(path)
         self.paths.append(path)

@@ -233,7 +233,7 @@ def test_nothing_looks_ahead(spark):
     allowed = frozenset({"quality.py"})  # filling gaps between stored bars is repair, not a feature
     assert audit.scan_source(Path(engine.__file__).parent.parent / "functions", allowed) == []
     bad = frame(spark, [(1, 2, 0.5, 1.5)] * 3).withColumn("x", F.lead("close").over(R.series()))
-    assert audit.forward_frames(bad)
+    assert audit.looks_ahead(bad) == [("x", "frame past the current row")]
 
 
 def test_stream_equals_batch_on_closed_bars(spark, tmp_path):
