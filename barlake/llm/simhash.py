@@ -14,6 +14,7 @@ anchors, and a sketch of its 5-word shingles, by which the pairs that an anchor
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -299,7 +300,10 @@ def compare(cells: DataFrame, threshold: int, carry: tuple[str, ...] = ()) -> Da
             a, b = sketched_stars(v, threshold) if carry else stars(v[:, 0], threshold)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
-        pa.default_memory_pool().release_unused()
+        if carry:
+            give_back()
+        else:
+            pa.default_memory_pool().release_unused()
 
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
@@ -338,6 +342,21 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same nodes as edges (member a, root b), but few where a member has many roots: of each member
+    the edge to its least root, and edges between that root and its others, which are alike for many members."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    between = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return least.withColumnRenamed("m", "b").unionByName(between).distinct()
+
+
+def give_back() -> None:
+    """Free memory that a worker's allocators keep goes back to the system: workers live on beside what comes next."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, fp, component_id (the smallest doc_id reachable over links, itself included).
 
@@ -367,12 +386,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def rows(batch):
         found = np.array([marks(t) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(names))
+        give_back()
         return {"doc_id": batch.column(0), "node": sketch_names(found[:, ROUNDS:]).view(np.int64)} | {n: found[:, k].view(np.int64) for k, n in enumerate(names)}
 
     schema = ", ".join(f"{n} long" for n in ("doc_id", "node", *names))
     docs = scratch.write(map_rows(id_text(df, id_col, text_col), rows, schema), "marks")
     found = [scratch.write(links(scratch, docs.select(F.col(f"f{k}").alias("fp"), *SKETCH).distinct(), carry=SKETCH), f"links-{k}") for k in range(ROUNDS)]
-    labels = components(scratch, reduce(DataFrame.unionByName, found).distinct())
+    every = scratch.write(reduce(DataFrame.unionByName, found).distinct(), "links")
+    labels = components(scratch, contracted(every))
     named = docs.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return docs.select("doc_id", "node").join(named.join(low, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
