@@ -257,8 +257,9 @@ def told_phrases(docs: DataFrame, found: DataFrame, longest: int, by_witness: bo
     return out.distinct()
 
 
-def short_cells(found: DataFrame, pairs: bool, counts: DataFrame) -> DataFrame:
-    """found's rows cut down to the cells whose sum the counts (k, cell, f) of the phrases told so far do not reach."""
+def short_cells(found: DataFrame, pairs: bool, counts: DataFrame, least: int) -> DataFrame:
+    """found's rows cut down to the cells whose sum the counts (k, cell, f) of the phrases told so far miss by least or more:
+    only there can a frequent phrase be missing."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +269,7 @@ def short_cells(found: DataFrame, pairs: bool, counts: DataFrame) -> DataFrame:
 
     each = found.select("part", "cells", "sums").mapInArrow(rows, "part int, cell long, whole long")
     known = counts.where("k = 2" if pairs else "k > 2").groupBy("cell").agg(F.sum("f").alias("f"))
-    short = each.join(known, "cell", "left").where("f IS NULL OR f < whole")
+    short = each.join(known, "cell", "left").where(F.col("whole") - F.coalesce("f", F.lit(0)) >= least)
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
         cells = np.sort(table.column("cell").to_numpy()).astype("<i8")
@@ -378,7 +379,7 @@ def mine(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: i
     found = work.write(told_phrases(docs, pairs.unionByName(longer), longest), "phrases")
     single = lambda phrases: phrases.where("k = 2").select("lang", F.explode(F.split("phrase", " ")).alias("phrase"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("cell")).distinct()
     f = work.write(counted(docs, numbered(found.unionByName(single(found)), "patterns")), "counts")
-    short = work.write(short_cells(pairs, True, f).unionByName(short_cells(longer, False, f)), "short")
+    short = work.write(short_cells(pairs, True, f, least).unionByName(short_cells(longer, False, f, least)), "short")
     if not short.isEmpty():
         rest = work.write(told_phrases(docs, short, longest, False), "rest")
         new = rest.unionByName(single(rest)).join(f.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
