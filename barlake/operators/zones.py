@@ -19,6 +19,7 @@ from barlake.functions.rolling import EPS, clip, squash
 from barlake.operators import scan
 from barlake.sources.scratch import Steps
 
+# The features of each kind of zone.
 GAP = ("exists", "size", "dist", "age", "fill", "count")
 BLOCK = ("exists", "dist", "size", "age", "displacement", "mitigated", "mitigation")
 COLUMNS = [f"_fvg_{s}_{f}" for s in ("bull", "bear") for f in GAP] + [f"_ob_{s}_{f}" for s in ("bull", "bear") for f in BLOCK] + ["_ob_confluence"]

@@ -12,6 +12,8 @@ from barlake.bars import PRICES
 from barlake.config import Config
 from barlake.operators.zones import COLUMNS, Tracker
 from barlake.plans.engine import transform
+from barlake.plans.manifest import build
+from barlake.streaming.features import prime
 
 
 def stream_bars(ticks: DataFrame, minutes: int, delay: str = "10 minutes", ts: str = "ts", price: Column | str = "value", tick_id: str = "event_id", symbol: Column | None = None) -> DataFrame:
@@ -66,16 +68,23 @@ def late_ticks(spark: SparkSession, checkpoint: str, sums: dict[str, int]) -> in
     return sums[TAKEN] - sums[TOLD] - waiting
 
 
-def replay(cfg: Config, buffer: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], context: Callable[[], dict[str, DataFrame]] | None = None) -> Callable[[DataFrame, int], None]:
+def buffer_rows(cfg: Config, spare: float = 1.25) -> int:
+    """Bars that a replay keeps of each symbol: what the manifest's columns look back over, and some more."""
+    return int(max(build(cfg).max_lookback, cfg.features.max_warmup_bars) * spare) + 10
+
+
+def replay(cfg: Config, buffer: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], context: Callable[[], dict[str, DataFrame]] | None = None, keep: int | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: recomputes the batch path over buffer() and the batch's bars and hands on the new rows.
 
-    buffer() are the stored bars before the batch; sink must overwrite by key, as a batch may come twice.
+    buffer() are the stored bars before the batch, of which the last keep of each symbol count, by default buffer_rows();
+    sink must overwrite by key, as a batch may come twice.
     """
+    keep = keep or buffer_rows(cfg)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        old = buffer()
+        old = prime(buffer(), keep)
         fresh = batch.join(old.select("symbol", "close_time"), ["symbol", "close_time"], "left_anti")
         matrix, _ = transform(old.unionByName(fresh.select(*old.columns)), cfg, context() if context else None, drop_warmup=False)
         sink(matrix.join(fresh.select("symbol", "close_time"), ["symbol", "close_time"], "left_semi"), batch_id)

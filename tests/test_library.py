@@ -18,6 +18,7 @@ from barlake.operators.resample import resample
 from barlake.operators.zones import COLUMNS, Tracker, zones
 from barlake.plans import audit, catalogue, engine, manifest
 
+# Bars and expected results made by hand, and instants of calendar and sessions, in the tests below.
 T0 = dt.datetime(2026, 1, 6, 10, 0)
 
 

@@ -109,3 +109,25 @@ def test_prime_takes_the_last_bars(spark):
     b = catalogue.bars(spark, SMALL)
     got = S.prime(b, 7)
     assert {r.close_time for r in got.collect()} == {r.close_time for r in b.orderBy(F.desc("close_time")).limit(7).collect()}
+
+
+def test_replay_over_a_trimmed_buffer(spark):
+    from barlake.config import Config, Features, Frames
+    from barlake.plans.engine import transform
+
+    cfg = Config(base_timeframe="15m", features=Features(max_warmup_bars=20, semantics="causal", mtf=Frames(timeframes=("1h",))))
+    assert live.buffer_rows(cfg) > 1000
+    bars = catalogue.bars(spark, SMALL).where(F.dayofmonth("close_time") <= 5)
+    times = sorted(r.close_time for r in bars.select("close_time").collect())
+    old = bars.where(F.col("close_time") < F.lit(times[-3]))
+    batch, seen = bars.where(F.col("close_time") >= F.lit(times[-4])), {}
+    sink = lambda rows, k: seen.setdefault(k, {r.close_time: r for r in rows.collect()})
+    live.replay(cfg, lambda: old, sink)(batch, 0)
+    want, made = transform(bars, cfg, drop_warmup=False)
+    want = {r.close_time: r for r in want.where(F.col("close_time") >= F.lit(times[-3])).collect()}
+    assert seen[0].keys() == want.keys() == set(times[-3:])
+    for t, w in want.items():
+        for n in made.names:
+            assert (seen[0][t][n] is None) == (w[n] is None) and (w[n] is None or math.isclose(seen[0][t][n], w[n], rel_tol=1e-6, abs_tol=1e-6)), (t, n)
+    live.replay(cfg, lambda: old, sink, keep=30)(batch.limit(0), 1)
+    assert 1 not in seen
