@@ -28,7 +28,7 @@ from barlake.llm.common import SLICE, Scratch, halves
 #: Least count of a phrase, number of words at most, phrases told per language, and the share that makes a longer one cover it.
 LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Cells of the sketch as a power of two; bytes of sketch that one task sums; cells and patterns that are broadcast at once.
-CELLS, PART_BYTES, CELLS_AT_ONCE, PATTERNS_AT_ONCE = 40, 32 << 20, 4_000_000, 400_000
+CELLS, PART_BYTES, CELLS_AT_ONCE, PATTERNS_AT_ONCE = 44, 32 << 20, 4_000_000, 400_000
 #: Entries that a task gathers before it sums and sends them, phrases it remembers, and bytes of text looked at together.
 GATHER, TOLD, BLOCK = 4_000_000, 300_000, 1 << 20
 
@@ -366,7 +366,8 @@ def mine(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: i
     """
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    part_bits = max(8, min(24, int(size // PART_BYTES).bit_length()))
+    # A cell's place in its part has 32 bits.
+    part_bits = max(CELLS - 32, min(24, int(size // PART_BYTES).bit_length()))
     work = Scratch(df.sparkSession)
     numbered = lambda phrases, name: work.write(phrases.withColumn("pid", F.monotonically_increasing_id()), name)
     sums = work.write(sketch(docs, lambda g: iter([g.cells(g.places(2), 2)]), part_bits, True), "pairs")
