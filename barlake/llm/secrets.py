@@ -29,6 +29,10 @@ NUMBERED = re.compile(r"([A-Za-z]+(?:[_/-][A-Za-z]+)*)[_/-]?[0-9]{1,4}")
 #: Random by nature, inside a longer run.
 INSIDE = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?:sha(?:1|224|256|384|512)|md5)[-:=_][A-Za-z0-9+/=]+")
 PART = re.compile("[A-Za-z0-9]+")
+#: Accession, account and part numbers: few letters, then digits only; and measures: 1280x720, 44100Hz.
+SERIAL = re.compile("[A-Za-z]{1,6}[0-9]+|[0-9]+[A-Za-z]{1,3}[0-9]*")
+#: A secret between separators has a part of so many characters at least.
+LONGEST = 6
 #: Letters of one case, a capital first or not, look like a word: German ones reach 2.3 characters a token, so that only
 #: fewer than this count as random, and only from so many letters on.
 WORD, WORD_RATIO, WORD_LETTERS = re.compile("[A-Z]?[a-z]+|[A-Z]+"), 2.0, 8
@@ -72,13 +76,14 @@ def _hex_runs(text: str):
 def dense(s: str, enc, max_ratio: float, least: int = 16) -> list[tuple[int, int]]:
     """Stretches of at least so many characters of a run whose parts, between / _ - + =, encode badly taken together.
 
-    Numbers, vocabulary words, short words, UUIDs and labelled digests speak against a stretch by their length.
+    Numbers, serial numbers, vocabulary words, short words, UUIDs and labelled digests speak against a stretch by their
+    length. A stretch of three quarters of the run or more is the whole run.
     """
     known = Covered(m.span() for m in INSIDE.finditer(s))
     parts = []
     for m in PART.finditer(s):
         p, word = m[0], WORD.fullmatch(m[0])
-        n = 0 if p.isdecimal() or word and len(p) < WORD_LETTERS or known.meets(*m.span()) else len(enc.encode_ordinary(p))
+        n = 0 if p.isdecimal() or SERIAL.fullmatch(p) or word and len(p) < WORD_LETTERS or known.meets(*m.span()) else len(enc.encode_ordinary(p))
         parts.append((m.start(), m.end(), (min(WORD_RATIO, max_ratio) if word else max_ratio) * n * (n > 1) - len(p)))
     out, i = [], 0
     while i < len(parts):
@@ -89,24 +94,26 @@ def dense(s: str, enc, max_ratio: float, least: int = 16) -> list[tuple[int, int
             if total >= best:
                 best, last = total, k
             k += 1
-        if best >= 0 and parts[last][1] - parts[i][0] >= least:
-            end = parts[last][1]
+        if best >= 0 and max(b - a for a, b, _ in parts[i : last + 1]) >= LONGEST:
+            start, end = parts[i][0], parts[last][1]
             while end < len(s) and s[end] == "=":
                 end += 1
-            out.append((parts[i][0], end))
+            if 4 * (end - start) >= 3 * len(s):
+                start, end = 0, len(s)
+            if end - start >= least:
+                out.append((start, end))
         i = last + 1
     return out
 
 
 def weigh(s: str, enc, max_ratio: float) -> list[tuple[int, int]]:
-    """The secret parts of a run of key characters: all of it, or stretches of a longer path."""
+    """The secret parts of a run of key characters: all of it, or stretches of a longer path. Dates, slugs and counters
+    between separators have many tokens too, so that runs are always weighed by their parts."""
     if KNOWN.fullmatch(s):
         return []
     named = NUMBERED.fullmatch(s)
     if named and not dense(named[1], enc, max_ratio, 12):
         return []
-    if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and len(s) <= max_ratio * len(enc.encode_ordinary(s)):
-        return [(0, len(s))]
     return dense(s, enc, max_ratio)
 
 
