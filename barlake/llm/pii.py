@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -60,11 +62,43 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-# Look-alike letters and signs, spelled digits, and words for the at-sign and the dot.
+# Letters and signs that look alike.
 HOMOGLYPHS = str.maketrans(
     "АВЕКМНОРСТХаеорсухіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧοｏ＠．․。＋－‐‑–—−   　",
     "ABEKMHOPCTXaeopcyxijsABEZHIKMNOPTYXoo@...+------    ",
 )
+#: Code points that may have a compatibility form with a sign of identifiers. Latin-1 stays as it is, as do raised and
+#: lowered digits, which mostly number footnotes, and the large blocks of ideographs and syllables, which have none.
+FOLDABLE = (range(0x100, 0x2070), range(0x20A0, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000))
+
+
+def folded() -> dict[int, str]:
+    """Characters with one sign of identifiers as their compatibility form, and the decimal digits of all scripts."""
+    out = {}
+    for c in chain(*FOLDABLE):
+        x = chr(c)
+        value = unicodedata.decimal(x, None)
+        form = str(value) if value is not None else unicodedata.normalize("NFKC", x)
+        if len(form) == 1 and form != x and (form in LOCAL or form in "@()"):
+            out[c] = form
+    return out
+
+
+def spans_of(points: list[int]) -> str:
+    """The inside of a regular expression's class for sorted code points."""
+    out, k = [], 0
+    while k < len(points):
+        last = k
+        while last + 1 < len(points) and points[last + 1] == points[last] + 1:
+            last += 1
+        out.append(re.escape(chr(points[k])) + (f"-{re.escape(chr(points[last]))}" if last > k else ""))
+        k = last + 1
+    return "".join(out)
+
+
+#: What a character stands for: its compatibility form, or the letter or sign that it looks like.
+PLAIN = folded() | {c: chr(x) for c, x in HOMOGLYPHS.items()}
+# Spelled digits, and words for the at-sign and the dot.
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
@@ -76,7 +110,9 @@ DOT_WORDS = "dot|punto|point|punkt"
 
 _NUMBER = frozenset("0123456789+().-")
 INVISIBLE = "​‌‍⁠﻿­"
-_ODD = re.compile("[" + "".join(map(re.escape, map(chr, HOMOGLYPHS))) + INVISIBLE + "０-９Ａ-Ｚａ-ｚ٠-٩]")
+_ODD = re.compile("[" + spans_of(sorted(PLAIN)) + INVISIBLE + "]")
+#: Numbers of characters in markup, and names of the two signs.
+_ENTITY = re.compile(r"&(?:#(?:[0-9]{2,3}|x[0-9a-f]{2})|commat|period);", re.I)
 _DOTTED = re.compile(rf"\b(?:{DOT_WORDS})\b|[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]|[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]", re.I)
 _SPELLED = re.compile(r"\b(?:%s)(?:[\s,.-]+(?:%s|[0-9]+)){2,}\b" % (("|".join(sorted(DIGIT_WORDS, key=len, reverse=True)),) * 2), re.I)
 _PLUS = re.compile(r"\bplus\b[\s-]+(?=[0-9])", re.I)
@@ -105,6 +141,31 @@ _PROSE = frozenset(
     " au aux avec ce ces cette chez comme dans de du elle elles en est et eux il ils je la le les leur lui mais moi ne nous on ou par pas passe pour que qui reste sa se ses son sont sur toi tout tu un une va vous y final"
     " al como con cual del desde donde el ella en era es esta este hay la las lo los mas mi muy no nos para pero por porque que se ser si sin sobre su sus te un una y ya".split()
 )
+#: Words joined to the address by one sign, the same before and after each; and letters set apart by spaces.
+_LINKED = re.compile(rf"(?<![A-Za-z0-9._%+~*-])([A-Za-z0-9.%+]+(?:[_-][A-Za-z0-9.%+]+)*?)([-_*~])(?:{AT_WORDS})\2((?:[A-Za-z0-9]+\2(?:{DOT_WORDS})\2)+(?:{LAST_LABELS}))(?![A-Za-z0-9_~*-])", re.I)
+_LINK = re.compile(rf"([-_*~])(?:{AT_WORDS})\1[A-Za-z0-9]+\1(?:{DOT_WORDS})\1", re.I)
+_APART = re.compile(r"(?<!\s[A-Za-z0-9._+-]\x20)(?<!\S)((?:[A-Za-z0-9._+-]\x20){2,}@)((?:\x20[A-Za-z0-9.-])+)(?!\S)")
+_AT_APART = re.compile(r"(?<=\x20[A-Za-z0-9._+-]\x20)@(?=\x20[A-Za-z0-9-]\x20)")
+
+
+def _entity(m: re.Match) -> str:
+    """The character, where it is one of ASCII that shows."""
+    name = m[0][1:-1].lower()
+    code = {"commat": 64, "period": 46}.get(name) or (int(name[2:], 16) if name[1] == "x" else int(name[1:]))
+    return chr(code) if 32 < code < 127 else m[0]
+
+
+def _linked(m: re.Match) -> str:
+    return m[1] + "@" + re.sub(rf"{re.escape(m[2])}(?:{DOT_WORDS}){re.escape(m[2])}", ".", m[3], flags=re.I)
+
+
+def _apart(m: re.Match) -> str | tuple[str, int]:
+    """The letters pushed together, to the end of the longest known last label, and that end; what prose follows stays."""
+    local, domain = m[1].replace(" ", ""), m[2].replace(" ", "")
+    for end in range(len(domain), max(3, len(domain) - 3), -1):
+        if domain[:end].rpartition(".")[2].lower() in _LAST:
+            return local + domain[:end], m.end() - 2 * (len(domain) - end)
+    return m[0]
 
 
 def _prose(word: str) -> bool:
@@ -156,16 +217,18 @@ class Aligned:
         self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
 
     def rewrite(self, pattern: re.Pattern, to) -> None:
-        """One transducer: each match becomes to(match); the parts between stay."""
+        """One transducer: each match becomes to(match); the parts between stay. Where to(match) is a pair, its second
+        value is where the part that it rewrites ends."""
         out, start, end, at = [], [], [], 0
         for m in pattern.finditer(self.text):
             if m.end() == m.start():
                 continue
-            new = to(m)
+            made = to(m)
+            new, last = made if isinstance(made, tuple) else (made, m.end())
             out += [self.text[at : m.start()], new]
             start += self.start[at : m.start()] + [self.start[m.start()]] * len(new)
-            end += self.end[at : m.start()] + [self.end[m.end() - 1]] * len(new)
-            at = m.end()
+            end += self.end[at : m.start()] + [self.end[last - 1]] * len(new)
+            at = last
         if at:
             self.text = "".join(out) + self.text[at:]
             self.start, self.end = start + self.start[at:], end + self.end[at:]
@@ -175,11 +238,7 @@ def _plain(m: re.Match) -> str:
     c = m[0]
     if c in INVISIBLE:
         return ""
-    if c.isdecimal():
-        return str(int(c))
-    if "Ａ" <= c <= "Ｚ" or "ａ" <= c <= "ｚ":
-        return chr(ord(c) - 0xFEE0)
-    return c.translate(HOMOGLYPHS)
+    return PLAIN[ord(c)]
 
 
 def _digits(m: re.Match) -> str:
@@ -226,7 +285,7 @@ def disguised(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
     The transducers run around each sign of a disguise, not over prose without any; what is around a sign ends where
     no identifier is cut.
     """
-    signs = [m.span() for p in (_ODD, _DOTTED, _SPELLED) for m in p.finditer(text)]
+    signs = [m.span() for p in (_ODD, _DOTTED, _SPELLED, _ENTITY, _LINK, _AT_APART) for m in p.finditer(text)]
     if signs or _INNER_DOT.search(text):
         signs += [m.span() for m in _AT_DOMAIN.finditer(text)]
     if not signs:
@@ -234,11 +293,14 @@ def disguised(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
     out, known = [], {k: Covered((s, e) for s, e, kind in base if kind == k) for k in KINDS}
     for a, b in _windows(text, signs):
         part = Aligned(text[a:b])
+        part.rewrite(_ENTITY, _entity)
         part.rewrite(_ODD, _plain)
         part.rewrite(_SPELLED, _digits)
         part.rewrite(_PLUS, lambda m: "+")
         part.rewrite(_AT_BRACKET, lambda m: "@")
         part.rewrite(_DOT_BRACKET, lambda m: ".")
+        part.rewrite(_LINKED, _linked)
+        part.rewrite(_APART, _apart)
         part.rewrite(_BARE_ADDRESS, _joined)
         part.rewrite(_WEIGHED, _weighed)
         part.rewrite(_BARE_IP, _joined)
