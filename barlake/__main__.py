@@ -80,7 +80,7 @@ def parser() -> argparse.ArgumentParser:
     features = top.add_parser("features").add_subparsers(required=True)
     for name, run in (("build", features_build), ("audit", features_audit)):
         p = features.add_parser(name, parents=[common])
-        p.add_argument("--cutoffs", type=int, default=3, help="times that the audit replays to")
+        p.add_argument("--cutoffs", type=int, default=6, help="times that the audit replays to")
         p.set_defaults(run=run)
         if name == "build":
             p.add_argument("--skip-audit", action="store_true")

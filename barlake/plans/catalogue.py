@@ -755,10 +755,27 @@ def replay_audit(spark, d):
     """
     from barlake.plans.engine import replay_audit as audit
 
-    found = audit(bars(spark, d), small("causal"), n_cutoffs=1, raise_on_failure=False)
+    found = audit(bars(spark, d), small("causal"), n_cutoffs=6, raise_on_failure=False)
     return found.agg(F.when(F.count("*") == 0, "no feature differs").otherwise("features look ahead").alias("result"), F.countDistinct("feature").alias("n_features"))
 
 
+@query(f"""WITH {EV}, {bars_sql(symbol="event_type")}, v AS (SELECT symbol, close_time, close, lead(close) OVER w AS next_close, lag(close) OVER w AS before_close FROM b WINDOW w AS (PARTITION BY symbol ORDER BY close_time)),
+span AS (SELECT CAST(epoch(min(close_time)) AS BIGINT) AS a, CAST(epoch(max(close_time)) AS BIGINT) AS z FROM b),
+cuts AS (SELECT a + (z - a) * (6 + 3 * k) // 24 AS cutoff FROM span, range(1, 7) AS r(k)),
+ends AS (SELECT symbol, cutoff, max(close_time) AS close_time FROM b JOIN cuts ON epoch(close_time) <= cutoff GROUP BY ALL),
+one AS (SELECT cutoff, symbol, close_time, 'next_close' AS feature, next_close AS was FROM ends JOIN v USING (symbol, close_time) WHERE next_close IS NOT NULL)
+SELECT cutoff, symbol, strftime(close_time, '%Y-%m-%d %H:%M:%S') AS close_at, feature, round(was, {DIGITS}) AS with_later_bars, CAST(NULL AS DOUBLE) AS without FROM one""")
+def replay_planted_leak(spark, d):
+    """The comparison behind the replay audit, on a feature that looks ahead and on one that does not: what it finds, and
+    where, is exactly the first."""
+    from barlake.plans.engine import cutoffs_of, replay_differences
+
+    b = bars(spark, d, by_type=True)
+    make = lambda x: x.select("symbol", "close_time", F.lead("close").over(R.series()).alias("next_close"), R.lag("close").alias("before_close"))
+    found = replay_differences(b, make, cutoffs_of(b, 6))
+    return found.select("cutoff", "symbol", F.date_format("close_time", "yyyy-MM-dd HH:mm:ss").alias("close_at"), "feature", F.round("full", DIGITS).alias("with_later_bars"), F.round("replayed", DIGITS).alias("without"))
+
+
 @query()
 def null_report(spark, d):
     from barlake.plans.engine import null_report as report

@@ -19,6 +19,9 @@ from barlake.plans import manifest as M
 from barlake.sources.scratch import cut
 from barlake.timeframes import Timeframe
 
+#: Columns of time that look at a whole series by the definition of reference semantics.
+LOOKS_AHEAD = ("session_progress", "is_session_last_hour", "session_atr_ratio")
+
 BARS = ["symbol", "open_time", "close_time", "open", "high", "low", "close", "volume"]
 
 
@@ -140,24 +143,49 @@ def dead_columns(matrix: DataFrame) -> DataFrame:
     return low.join(high, "feature").where("low IS NULL OR low = high").select("feature", F.when(F.col("low").isNull(), "null").otherwise("constant").alias("kind"))
 
 
-def replay_audit(bars: DataFrame, cfg: Config, n_cutoffs: int = 3, seed: int = 17, rtol: float = 1e-8, atol: float = 1e-8, raise_on_failure: bool = True) -> DataFrame:
-    """Differences between the matrix and its recomputation from bars up to random cutoffs over the whole history."""
-    import random
-
-    whole = transform(bars, cfg, drop_warmup=False)[0]
-    whole = cut(whole, whole.columns)
-    last = bars.agg(F.min("close_time").cast("long").alias("a"), F.max("close_time").cast("long").alias("b")).first()
-    pick, out = random.Random(seed), None
-    for _ in range(n_cutoffs):
-        at = F.timestamp_seconds(F.lit(pick.randint(last.a + (last.b - last.a) // 4, last.b)))
-        part = transform(bars.where(F.col("close_time") <= at), cfg, drop_warmup=False)[0]
-        end = part.groupBy("symbol").agg(F.max("close_time").alias("close_time"))
-        names = [c for c in whole.columns if c not in ("symbol", "close_time")]
-        a, b = (d.join(end, ["symbol", "close_time"], "left_semi").unpivot(["symbol", "close_time"], names, "feature", v) for d, v in ((whole, "full"), (part, "replayed")))
-        diff = a.join(b, ["symbol", "close_time", "feature"]).where((F.col("full").isNull() != F.col("replayed").isNull()) | (F.abs(F.col("full") - F.col("replayed")) > atol + rtol * F.abs("full")))
-        diff = cut(diff, diff.columns)
-        out = diff if out is None else out.unionByName(diff)
+def cutoffs_of(bars: DataFrame, n: int) -> list[int]:
+    """n moments, in seconds, at even steps over the last three quarters of the time that bars take up."""
+    t = F.col("close_time").cast("long")
+    span = bars.agg(F.min(t).alias("a"), F.max(t).alias("b")).first()
+    return [] if span.a is None else [span.a + (span.b - span.a) * (n + 3 * k) // (4 * n) for k in range(1, n + 1)]
+
+
+def replay_differences(bars: DataFrame, make: Callable[[DataFrame], DataFrame], cutoffs: list[int], rtol: float = 1e-8, atol: float = 1e-8) -> DataFrame:
+    """(cutoff, symbol, close_time, feature, full, replayed): values at a symbol's last close up to a cutoff that are others
+    once the bars after the cutoff are taken away. Both null are equal.
+
+    make tells symbol, close_time and features of bars, each symbol by itself. The bars up to each cutoff are a symbol of
+    their own, so that all cutoffs are one plan, worked out beside each other.
+    """
+    t = F.col("close_time").cast("long")
+    copies = bars.withColumn("cutoff", F.explode(F.array(*(F.lit(x).cast("long") for x in cutoffs)))).where(t <= F.col("cutoff"))
+    copies = copies.withColumn("copy", F.concat_ws("\n", "symbol", F.col("cutoff").cast("string")))
+    ends = copies.groupBy("symbol", "cutoff", "copy").agg(F.max("close_time").alias("close_time"))
+    ends = cut(ends, ends.columns)
+    whole, part = make(bars), make(copies.withColumn("symbol", F.col("copy")).drop("cutoff", "copy"))
+    names = [c for c in whole.columns if c not in ("symbol", "close_time")]
+
+    def long(d: DataFrame, value: str) -> DataFrame:
+        return d.unpivot(["cutoff", "symbol", "close_time"], names, "feature", value)
+
+    full = long(whole.join(ends.drop("copy"), ["symbol", "close_time"]), "full")
+    again = part.withColumnRenamed("symbol", "copy").join(ends, ["copy", "close_time"])
+    both = full.join(long(again, "replayed"), ["cutoff", "symbol", "close_time", "feature"])
+    a, b = F.col("full"), F.col("replayed")
+    return both.where((a.isNull() != b.isNull()) | (F.abs(a - b) > atol + rtol * F.abs(a)))
+
+
+def replay_audit(bars: DataFrame, cfg: Config, n_cutoffs: int = 6, rtol: float = 1e-8, atol: float = 1e-8, raise_on_failure: bool = True) -> DataFrame:
+    """replay_differences of the matrix. Columns that look at the whole series by definition of the configured semantics are
+    left out: LOOKS_AHEAD."""
+    known = LOOKS_AHEAD if cfg.features.semantics == "reference" else ()
+
+    def make(d: DataFrame) -> DataFrame:
+        out = transform(d, cfg, drop_warmup=False)[0].drop(*known)
+        return cut(out, out.columns)
+
+    out = replay_differences(bars, make, cutoffs_of(bars, n_cutoffs), rtol, atol)
+    out = cut(out, out.columns)
     if raise_on_failure and (bad := out.select("feature").distinct().limit(10).collect()):
         raise LeakageError(", ".join(r.feature for r in bad))
     return out
-
