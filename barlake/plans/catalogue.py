@@ -761,7 +761,7 @@ def replay_audit(spark, d):
 
 @query(f"""WITH {EV}, {bars_sql(symbol="event_type")}, v AS (SELECT symbol, close_time, close, lead(close) OVER w AS next_close, lag(close) OVER w AS before_close FROM b WINDOW w AS (PARTITION BY symbol ORDER BY close_time)),
 span AS (SELECT CAST(epoch(min(close_time)) AS BIGINT) AS a, CAST(epoch(max(close_time)) AS BIGINT) AS z FROM b),
-cuts AS (SELECT a + (z - a) * (6 + 3 * k) // 24 AS cutoff FROM span, range(1, 7) AS r(k)),
+cuts AS (SELECT a + (z - a) * (9 + 6 * k) // 48 AS cutoff FROM span, range(1, 7) AS r(k)),
 ends AS (SELECT symbol, cutoff, max(close_time) AS close_time FROM b JOIN cuts ON epoch(close_time) <= cutoff GROUP BY ALL),
 one AS (SELECT cutoff, symbol, close_time, 'next_close' AS feature, next_close AS was FROM ends JOIN v USING (symbol, close_time) WHERE next_close IS NOT NULL)
 SELECT cutoff, symbol, strftime(close_time, '%Y-%m-%d %H:%M:%S') AS close_at, feature, round(was, {DIGITS}) AS with_later_bars, CAST(NULL AS DOUBLE) AS without FROM one""")

@@ -24,7 +24,7 @@ def test_cutoffs(spark):
     bars = catalogue.bars(spark, SMALL, 60)
     span = bars.agg(F.min("close_time").cast("long").alias("a"), F.max("close_time").cast("long").alias("b")).first()
     found = engine.cutoffs_of(bars, 6)
-    assert len(set(found)) == 6 and found == sorted(found) and found[-1] <= span.b and found[0] > span.a + (span.b - span.a) // 4
+    assert len(set(found)) == 6 and found == sorted(found) and found[-1] < span.b and found[0] > span.a + (span.b - span.a) // 4
     assert engine.cutoffs_of(bars.limit(0), 6) == []
 
 
