@@ -18,7 +18,7 @@ from functools import lru_cache
 import regex
 from pyspark.sql import DataFrame
 
-from barlake.llm.common import id_text, map_rows
+from barlake.llm.common import SLICE, id_text, map_rows
 
 END = "</w>"
 # Code points, in hexadecimal, that the regex module takes for letters or numbers and the tokenizer, whose
@@ -102,16 +102,14 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for r, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            self.rank[x, y] = r
+            self.rank[x << 20 | y] = r
             self.parts.setdefault(z, (x, y, r))
         self.letters = byte_letters()
-        self.left: dict[int, list[tuple[int, int]]] = {}
-        self.right: dict[int, list[tuple[int, int]]] = {}
         self.apart: dict[int, bool] = {}
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(END) and self._whole(i)}
         self.final = {t[: -len(END)]: i for t, i in self.vocab.items() if t.endswith(END) and self._whole(i)}
@@ -121,26 +119,21 @@ class WordBpe:
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens that stand at one edge of token while its merges run, each with the rank of the merge that takes it."""
-        memo = self.right if side else self.left
-        if token not in memo:
-            out, until, t = [], _NEVER, token
-            while True:
-                out.append((t, until))
-                if t not in self.parts:
-                    break
-                until, t = self.parts[t][2], self.parts[t][side]
-            memo[token] = out
-        return memo[token]
+        out, until, parts = [(token, _NEVER)], _NEVER, self.parts
+        while (made := parts.get(token)) is not None:
+            token, until = made[side], made[2]
+            out.append((token, until))
+        return out
 
     def _clash(self, a: int, b: int, limit: int) -> bool:
         """Whether some merge of a rank under limit joins an edge of a with an edge of b before either is taken.
 
         Merges of one rank run from the left, so at equal ranks the seam loses to a's own merge and wins over b's.
         """
-        rank = self.rank
+        rank, first = self.rank, self._edge(b, 0)
         for x, x_until in self._edge(a, 1):
-            for y, y_until in self._edge(b, 0):
-                r = rank.get((x, y))
+            for y, y_until in first:
+                r = rank.get(x << 20 | y)
                 if r is not None and r < limit and r < x_until and r <= y_until:
                     return True
         return False
@@ -256,13 +249,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, cache_size: int = 300_000) -> DataFrame:
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, cache_size: int = 300_000, slice_bytes: int = SLICE) -> DataFrame:
     """One row per row of df: doc_id, ids (little-endian unsigned 32-bit integers), decoded (tokens joined by spaces).
 
     The strings of special tokens in a text become those tokens, as the tokenizer library has it. Null and empty
     texts, and texts of white space, have no ids and decode to the empty string. Texts of any length are encoded
     whole; repeated rows give repeated results, an empty table none; other columns are not looked at. A worker holds the
-    codes of some cache_size words: fewer take more time, and change no result.
+    codes of some cache_size words and the words of slice_bytes of text: fewer take more time, and change no result.
     """
     vocab = vocab or vocabulary()
 
@@ -270,4 +263,4 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done = tokenizer(vocab, cache_size).encode_batch(batch.column(1).to_pylist())
         return {"doc_id": batch.column(0), "ids": [x[0] for x in done], "decoded": [x[1] for x in done]}
 
-    return map_rows(id_text(df, id_col, text_col), rows, "doc_id long, ids binary, decoded string")
+    return map_rows(id_text(df, id_col, text_col), rows, "doc_id long, ids binary, decoded string", slice_bytes)

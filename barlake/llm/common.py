@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -91,8 +92,15 @@ def halves(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
     yield from halves(batch.slice(middle), limit)
 
 
-def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow with a function that turns a batch of some SLICE bytes into a dict of columns.
+def give_back() -> None:
+    """Free memory that a worker's allocators keep goes back to the system: workers live on beside what comes next."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, limit: int = SLICE) -> DataFrame:
+    """mapInArrow with a function that turns a batch of some limit bytes into a dict of columns.
 
     The schema is a DDL string. Spark's batches hold up to 10,000 rows, whatever their length; slices keep the Python
     objects of one call small.
@@ -104,11 +112,12 @@ def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in halves(batch, SLICE) if batch.num_rows else ():
+            for part in halves(batch, limit) if batch.num_rows else ():
                 cols = rows(part)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target], schema=target)
-        # Workers live on: what Arrow keeps for itself would stand beside what the next stage needs.
-        pa.default_memory_pool().release_unused()
+                del cols
+        # Spark keeps more workers than run at once and hands tasks to each in turn, so what one keeps counts several times.
+        give_back()
 
     return df.mapInArrow(run, schema)
 

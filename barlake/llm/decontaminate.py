@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import SLICE, halves, id_text
+from barlake.llm.common import SLICE, give_back, halves, id_text
 
 #: Production parameters: q-gram length, window of an item, edits allowed in a window.
 Q, WINDOW, EDITS = 10, 64, 4
@@ -328,5 +328,6 @@ def _search(sent, q: int, window: int, edits: int):
                 c = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], names=["doc_id", "item_id", "start", "end", "edits"])
+        give_back()
 
     return run

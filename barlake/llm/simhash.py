@@ -14,7 +14,6 @@ anchors, and a sketch of its 5-word shingles, by which the pairs that an anchor
 
 from __future__ import annotations
 
-import ctypes
 import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import Scratch, id_text, map_rows
+from barlake.llm.common import Scratch, give_back, id_text, map_rows
 
 THRESHOLD = 4
 SHINGLE = 4
@@ -350,13 +349,6 @@ def contracted(edges: DataFrame) -> DataFrame:
     return least.withColumnRenamed("m", "b").unionByName(between).distinct()
 
 
-def give_back() -> None:
-    """Free memory that a worker's allocators keep goes back to the system: workers live on beside what comes next."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, fp, component_id (the smallest doc_id reachable over links, itself included).
 

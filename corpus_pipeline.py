@@ -71,7 +71,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no tokens; ids may be null or repeat."""
     small_batches(spark)
-    done = bpe.encode_decode(docs, cache_size=100_000)  # beside what the stages before left in a worker
+    done = bpe.encode_decode(docs, cache_size=100_000, slice_bytes=1 << 20)  # beside what the stages before left in a worker
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

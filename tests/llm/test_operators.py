@@ -705,3 +705,20 @@ def test_pages_stay_as_numbered(spark):
     same = spark.createDataFrame([(1, "x" * 100, k) for k in range(50)], "doc_id long, text string, k int").repartition(3)
     placed = sharding.place(same, 250, whole=True).select("row.k", "page")
     assert sorted(placed.collect()) == sorted(placed.collect())
+
+
+def test_tokenizer_is_small(spark, small):
+    """What a worker keeps counts for each worker of an executor: 26 MB of Python objects at most before any text."""
+    import gc
+    import tracemalloc
+
+    gc.collect()
+    tracemalloc.start()
+    coder = bpe.WordBpe(bpe.vocabulary())
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 26e6
+    docs = spark.createDataFrame(small, "doc_id long, text string")
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode_decode(docs, slice_bytes=1 << 12).collect()}
+    assert got == {i: coder.encode_batch([t])[0][0] for i, t in small}
