@@ -35,14 +35,21 @@ def inconsistent() -> Column:
     return F.coalesce((h < lo) | (h < o) | (h < cl) | (lo > o) | (lo > cl), F.lit(False))
 
 
-def marked(bars: DataFrame, minutes: int, row_no: str = "row_no") -> DataFrame:
-    """bars with a boolean column for each kind of fault; order is that of the file."""
-    w = W.partitionBy("symbol").orderBy(row_no)
-    same = W.partitionBy("symbol", "close_time")
-    rows = bars.withColumns({"_back": F.col("close_time") < F.lag("close_time").over(w), "_copies": F.row_number().over(same.orderBy(row_no))})
+#: Row numbers of a bucket: the bar before each comes from a scan over buckets, so that one long series is the work of many tasks.
+BUCKET_ROWS = 100_000
+
+
+def with_bar_before(bars: DataFrame, value: Column, row_no: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """bars with before, a struct of the value that the bar before has in file order; null for a symbol's first bar.
+
+    Bars without a symbol are a series of their own, and those without a row number come first."""
+    rows = bars.withColumns({"_series": F.struct("symbol"), scan.BUCKET: F.coalesce(F.floor(F.col(row_no) / bucket_rows), F.lit(-(1 << 63)))})
+    return scan.carried(rows, {"before": F.struct(value.alias("value"))}, [row_no], ["_series"], strict=["before"]).drop("_series", scan.BUCKET)
+
+
+def faults_of_row(minutes: int) -> dict[str, Column]:
+    """The kinds of fault that a row shows by itself, never null."""
     faults = {
-        "duplicate_timestamp": F.col("_copies") > 1,
-        "non_monotonic": F.col("_back"),
         "off_grid": ~on_grid(F.col("close_time"), minutes),
         "null_value": any_price(lambda p: p.isNull()),
         "non_positive_price": any_price(lambda p: p <= 0),
@@ -51,16 +58,34 @@ def marked(bars: DataFrame, minutes: int, row_no: str = "row_no") -> DataFrame:
         "negative_volume": F.col("volume") < 0,
         "zero_volume": F.col("volume") == 0,
     }
-    return rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in faults.items()}).drop("_back", "_copies")
+    return {k: F.coalesce(v, F.lit(False)) for k, v in faults.items()}
+
+
+def goes_back() -> Column:
+    """Whether a bar of with_bar_before() closes before the one before it."""
+    return F.coalesce(F.col("close_time") < F.col("before.value"), F.lit(False))
+
+
+def marked(bars: DataFrame, minutes: int, row_no: str = "row_no", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """bars with a boolean column for each kind of fault; order is that of the file."""
+    rows = with_bar_before(bars, F.col("close_time"), row_no, bucket_rows).withColumn("non_monotonic", goes_back()).drop("before")
+    copies = F.row_number().over(W.partitionBy("symbol", "close_time").orderBy(row_no))
+    return rows.withColumns({"duplicate_timestamp": copies > 1, **faults_of_row(minutes)})
 
 
 KINDS = tuple(k for k in SEVERITY if k != "extreme_return")
 
 
-def issues(bars: DataFrame, minutes: int, row_no: str = "row_no") -> DataFrame:
-    """(issue, n): how many rows of each kind of fault bars has, in one pass and a window in file order."""
-    one = marked(bars, minutes, row_no).agg(*(F.count_if(k).alias(k) for k in KINDS))
-    return one.unpivot([], list(KINDS), "issue", "n")
+def issues(bars: DataFrame, minutes: int, row_no: str = "row_no", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(issue, n): how many rows of each kind of fault bars has.
+
+    Most are counted where the rows are read. Only close times are shuffled: counted by symbol and time for the copies, and
+    dealt by buckets of row numbers for those that go back, so no task holds a series or a time that many rows have."""
+    order = bars.select("symbol", "close_time", row_no)
+    alone = bars.agg(*(F.count_if(v).alias(k) for k, v in faults_of_row(minutes).items()))
+    copies = order.groupBy("symbol", "close_time").agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_timestamp"))
+    back = with_bar_before(order, F.col("close_time"), row_no, bucket_rows).agg(F.count_if(goes_back()).alias("non_monotonic"))
+    return alone.crossJoin(copies).crossJoin(back).unpivot([], list(KINDS), "issue", "n")
 
 
 def findings(bars: DataFrame, minutes: int, sigma: float = 12.0, max_null: float = 0.01, zero_volume: bool = True, examples: int = 3) -> list[dict]:
@@ -94,7 +119,7 @@ def medians(df: DataFrame, value: str, key: str = "symbol", slack: float = 5e-4)
     return ranked.groupBy(key, "n").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
 
 
-def extreme_returns(bars: DataFrame, sigma: float = 12.0, least: int = 100, row_no: str = "row_no", bucket_rows: int = 100_000) -> DataFrame:
+def extreme_returns(bars: DataFrame, sigma: float = 12.0, least: int = 100, row_no: str = "row_no", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Bars whose log return lies more than sigma robust deviations from the median of its symbol.
 
     The bar before each comes from a scan over buckets of row numbers, the medians from sketches, so that one long series is

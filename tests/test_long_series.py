@@ -3,11 +3,13 @@
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from barlake.functions import groups as G
+from barlake.operators import quality as Q
 from barlake.operators import scan
 from barlake.operators.chunks import in_chunks
 from barlake.operators.zones import COLUMNS, states_in_chunks, zones
@@ -218,3 +220,24 @@ def test_extreme_returns_of_a_long_series(spark):
     want = {rows[k + 1][1] for k in np.flatnonzero(off / (1.4826 * np.median(off)) > 6)}
     df = spark.createDataFrame(rows, "symbol string, close_time timestamp, open double, high double, low double, close double, row_no long")
     assert {r.close_time for r in extreme_returns(df, 6.0, bucket_rows=333).collect()} == want and len(want) > 10
+
+
+def test_issues_of_one_series_are_the_work_of_many_tasks(spark):
+    """Counts over bucket seams equal those by hand, without a window over a whole series, and of rows without a symbol too."""
+    rng = random.Random(5)
+    rows = [(s, START + dt.timedelta(minutes=rng.choice((5, 5, 5, 6)) * rng.randrange(1, 120)), k * rng.choice((1, 3)) * 10 + j) for j, s in enumerate(("A", "B", None)) for k in range(1, 300)]
+    rows += [("A", None, 10**6 + 1), ("A", START, 10**6 + 2), ("A", None, 10**6 + 3)]
+    rows = list({(s, n): (s, t, n) for s, t, n in rows}.values())
+    b = spark.createDataFrame([(s, t, 1.0, 2.0, 0.5, 1.5, 1.0, n) for s, t, n in rows], "symbol string, close_time timestamp, open double, high double, low double, close double, volume double, row_no long")
+    back, copies = 0, len(rows) - len({(s, t) for s, t, _ in rows})
+    for s in ("A", "B", None):
+        times = [t for x, t, _ in sorted(rows, key=lambda r: r[2]) if x == s]
+        back += sum(x is not None and y is not None and y < x for x, y in zip(times, times[1:]))
+    for bucket_rows in (7, 100_000):
+        got = {r.issue: r.n for r in Q.issues(b, 5, bucket_rows=bucket_rows).collect()}
+        assert (got["non_monotonic"], got["duplicate_timestamp"]) == (back, copies) and back > 100
+        m = Q.marked(b, 5, bucket_rows=bucket_rows)
+        assert (m.where("non_monotonic").count(), m.where("duplicate_timestamp").count(), m.count()) == (back, copies, len(rows))
+    assert {r.issue: r.n for r in Q.issues(b.limit(0), 5).collect()} == dict.fromkeys(Q.KINDS, 0)
+    for df in (Q.issues(b, 5), Q.marked(b, 5)):
+        assert "windowspecdefinition(symbol#" not in re.sub(r"windowspecdefinition\(symbol#\d+, close_time", "", df._jdf.queryExecution().optimizedPlan().toString())
