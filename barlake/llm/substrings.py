@@ -154,10 +154,12 @@ def sampler(threshold: int, gram: int) -> Callable:
 
 def shared(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """rows whose rank another document has too; of hot ranks all, dealt over many tasks, as some document will have it."""
-    dealt = rows.join(F.broadcast(hot), "rank", "left").withColumn("salt", F.when(F.col("hot"), F.xxhash64("id", "place")).otherwise(0))
-    same = W.partitionBy("rank", "salt")
-    dealt = dealt.withColumns({"_low": F.min("id").over(same), "_high": F.max("id").over(same)})
-    return dealt.where("hot OR _low < _high").select(rows.columns)
+    # One number deals and sorts the rows, which Spark then sorts by radix. Where that of a hot row happens to be another's
+    # rank, that rank is kept too, and judged() tells it.
+    dealt = rows.join(F.broadcast(hot), "rank", "left").withColumns({"key": F.when(F.col("hot"), F.xxhash64("id", "place")).otherwise(F.col("rank")), "held": F.when(F.col("hot"), F.col("rank"))})
+    same = W.partitionBy("key")
+    dealt = dealt.drop("rank", "hot").withColumns({"_low": F.min("id").over(same), "_high": F.max("id").over(same)})
+    return dealt.where("held IS NOT NULL OR _low < _high").withColumn("rank", F.coalesce("held", "key")).select(rows.columns)
 
 
 def judged(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:

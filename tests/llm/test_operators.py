@@ -722,3 +722,13 @@ def test_tokenizer_is_small(spark, small):
     docs = spark.createDataFrame(small, "doc_id long, text string")
     got = {r.doc_id: bytes(r.ids) for r in bpe.encode_decode(docs, slice_bytes=1 << 12).collect()}
     assert got == {i: coder.encode_batch([t])[0][0] for i, t in small}
+
+
+def test_shared_runs_are_dealt_and_sorted_by_one_number(spark):
+    """Spark sorts one long by radix; hot ranks stay, whoever has them, and so do ranks that two documents have."""
+    rows = spark.createDataFrame([(r, 7 * r, d, d, p) for r, d, p in [(1, 1, 0), (1, 1, 5), (2, 1, 1), (2, 2, 1), (3, 9, 2), (-4, 3, 3), (-4, 5, 3), (-4, 5, 4)]], substrings.SAMPLE)
+    hot = spark.createDataFrame([(3, True)], "rank long, hot boolean")
+    out = substrings.shared(rows, hot)
+    assert out.columns == rows.columns and sorted(map(tuple, out.collect())) == sorted(tuple(r) for r in rows.collect() if r["rank"] != 1)
+    of = re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", out._jdf.queryExecution().optimizedPlan().toString())
+    assert of and all("," not in x for x in of)
