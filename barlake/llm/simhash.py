@@ -7,6 +7,9 @@ is 3: a fingerprint goes to every anchor within 3 + 1 bits of its block, so any
 parts again, of which one differs in one bit at most, and the words of the perfect Hamming code of length 15, whose
 covering radius is 1, are the anchors of a part. So no cell grows with the input beyond what is near its anchors.
 
+A task compares a cell's fingerprints by runs of bits that they have in common, so that its time grows little faster than
+the cell; only cells that are large for one task are refined, since their rows are many times those before.
+
 near_copies() is for cleaning, where copies with several words changed count: the fingerprint of 4-word shingles moves by
 more than 4 bits for most of them, one of single words by fewer. Each text has ROUNDS of the latter, searched by the same
 anchors, and a sketch of its 5-word shingles, by which the pairs that an anchor brings together are judged.
@@ -28,9 +31,12 @@ from barlake.llm.common import Scratch, give_back, id_text, map_rows
 
 THRESHOLD = 4
 SHINGLE = 4
-#: Fingerprints of a cell beyond which it is refined, at each depth. Large groups of near copies crowd every cell they
-#: are in, and cost little there, so deeper cells may hold more.
-CROWDED = (3_000, 30_000)
+#: Fingerprints of a cell beyond which it is refined, at each depth, which makes some 22 rows of each. Large groups of near
+#: copies crowd every cell they are in, and cost little there, so deeper cells may hold more.
+CROWDED = (250_000, 500_000)
+#: Within a cell: fingerprints beyond which only those with a run of bits in common are compared, size of the groups of such
+#: that are compared all at once, and pairs that are compared together.
+SPLIT, SHIFTED, MATRIX = 500, 100, 1 << 17
 #: Of near_copies(): fingerprints a text, and the least cosine of the sets of 5-word shingles that two linked texts have.
 ROUNDS, SIMILAR = 5, 0.8
 #: The sketch by which that cosine is told: 256 bits, in longs, two of which differ in as great a share of the bits as the
@@ -233,60 +239,104 @@ def bits_apart(a: np.ndarray, b: np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def stars(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, smallest member) of the components that links within one anchor make.
+def near(fps: np.ndarray, sketches: np.ndarray | None, x: np.ndarray, y: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x, in y) of the pairs that link."""
+    i, j = np.nonzero(bits_apart(fps[x][:, None], fps[y]) <= threshold)
+    if sketches is None or not len(i):
+        return i, j
+    good = alike(sketches, x[i], y[j])
+    return i[good], j[good]
 
-    A breadth-first search in which each reached fingerprint is compared with those not yet reached: members of a dense
-    group are reached from its first member at once and then cost one comparison with what is left.
-    """
-    left = np.unique(fps)
-    out_a, out_b = [], []
-    while len(left) > 1:
-        root, queue = left[0], [left[:1]]
-        left = left[1:]
-        while queue and len(left):
-            near = queue.pop()
-            for x in near:
-                if not len(left):
-                    break
-                hit = bits_apart(left, x) <= threshold
-                if hit.any():
-                    got = left[hit]
-                    left = left[~hit]
-                    out_a.append(got)
-                    out_b.append(np.full(len(got), root))
-                    queue.append(got)
-    none = np.empty(0, np.uint64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
-
-
-def sketched_stars(rows: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, first member), by the names of sketches, of the components that links within one anchor make.
-
-    rows are fingerprints and sketches. A link is a pair whose fingerprints are within threshold and whose sketches are at
-    most APART bits apart; the search is that of stars().
+
+def alike(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches (columns) are at most APART bits apart."""
+    return sum(bits_apart(s[i], s[j]).astype(np.int64) for s in sketches) <= APART
+
+
+def reached(fps: np.ndarray, sketches: np.ndarray | None, left: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, first member) of the components that links among left make.
+
+    A breadth-first search of one component at a time, in which what is reached is compared with what is not: members of a
+    dense group are reached from its first member at once and then cost one comparison with what is left. First members
+    are tried many at once, as most link with nothing.
     """
-    left = rows[np.lexsort(rows.T)]
-    out_a, out_b = [], []
+    still, out = np.zeros(len(fps), bool), []
+    still[left] = True
     while len(left) > 1:
-        root, queue = left[:1, 1:], [left[:1]]
-        left = left[1:]
-        while queue and len(left):
-            for x in queue.pop():
-                if not len(left):
-                    break
-                at = np.flatnonzero(bits_apart(left[:, 0], x[0]) <= threshold)
-                at = at[bits_apart(left[at, 1:], x[1:]).sum(1, dtype=np.int64) <= APART] if len(at) else at
-                if len(at):
-                    got = left[at]
-                    left = np.delete(left, at, axis=0)
-                    out_a.append(got[:, 1:])
-                    out_b.append(np.repeat(root, len(got), axis=0))
-                    queue.append(got)
-    if not out_a:
+        size = max(1, MATRIX // len(left))
+        i, j = near(fps, sketches, left[:size], left, threshold)
+        i, j = i[j > i], j[j > i]
+        for k in np.unique(i).tolist():
+            root = left[k]
+            if not still[root]:
+                continue
+            still[root] = False
+            queue, others = [left[j[i == k]]], left
+            queue[0] = queue[0][still[queue[0]]]
+            still[queue[0]] = False
+            while queue:
+                got = queue.pop()
+                if not len(got):
+                    continue
+                out.append((got, np.full(len(got), root)))
+                at = 0
+                while at < len(got) and len(others := others[still[others]]):
+                    block = got[at : at + max(1, MATRIX // len(others))]
+                    at += len(block)
+                    new = others[np.unique(near(fps, sketches, block, others, threshold)[1])]
+                    still[new] = False
+                    queue.append(new)
+        left = left[size:]
+        left = left[still[left]]
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none)
+
+
+def split(fps: np.ndarray, sketches: np.ndarray | None, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what links connect, of a large cell: of threshold + 1 runs of bits one is equal in any pair
+    within threshold, so only fingerprints with such a run in common are compared."""
+    cuts, out = [64 * k // (threshold + 1) for k in range(threshold + 2)], []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        value = (fps >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)).astype(np.uint16 if high - low <= 16 else np.uint64)
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        n = np.diff(np.append(first, len(value)))
+        for a, size in zip(first[n > SHIFTED].tolist(), n[n > SHIFTED].tolist(), strict=True):
+            out.append(reached(fps, sketches, order[a : a + size], threshold))
+        # The many small groups at once: each row with the row d further on, as long as that is of its group.
+        end = np.repeat(np.where(n > SHIFTED, 0, first + n), n)
+        ordered, at = fps[order], np.arange(len(order))
+        for d in range(1, SHIFTED):
+            at = at[at + d < end[at]]
+            if not len(at):
+                break
+            hit = at[bits_apart(ordered[at], ordered[at + d]) <= threshold]
+            i, j = order[hit], order[hit + d]
+            good = slice(None) if sketches is None else alike(sketches, i, j)
+            out.append((j[good], i[good]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def stars(fps: np.ndarray, sketches: np.ndarray | None, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, least member) of the components that links within one anchor make; with sketches (rows are their
+    longs) a link is a pair whose sketches are at most APART bits apart too, and nodes are the sketches' names."""
+    whole = len(fps) > SPLIT
+    i, j = split(fps, sketches, threshold) if whole else reached(fps, sketches, np.arange(len(fps)), threshold)
+    if not len(i):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    a, b = sketch_names(np.concatenate(out_a)), sketch_names(np.concatenate(out_b))
-    return a[a != b], b[a != b]
+    at, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = ends[: len(i)], ends[len(i) :]
+    names = fps[at] if sketches is None else sketch_names(sketches[:, at].T)
+    # Each takes the least name among its neighbours' and its own until none changes.
+    root = names.copy()
+    while True:
+        low = np.minimum(root[a], root[b])
+        if (low == root[a]).all() and (low == root[b]).all():
+            break
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+    return names[names != root], root[names != root]
 
 
 def compare(cells: DataFrame, threshold: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -295,8 +345,8 @@ def compare(cells: DataFrame, threshold: int, carry: tuple[str, ...] = ()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, v in groups("cell", ["fp", *carry], batches):
-            v = v.view(np.uint64)
-            a, b = sketched_stars(v, threshold) if carry else stars(v[:, 0], threshold)
+            columns = np.ascontiguousarray(v.T).view(np.uint64)
+            a, b = stars(columns[0], columns[1:] if carry else None, threshold)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
         if carry:
@@ -311,13 +361,16 @@ def links(scratch: Scratch, distinct: DataFrame, threshold: int = THRESHOLD, car
     """Edges that connect all fingerprints (column fp) within threshold bits: per cell, stars instead of pairs."""
     if threshold > THRESHOLD:
         raise ValueError(f"three parts find pairs at most {THRESHOLD} bits apart")
-    cells, found = replicas(distinct, carry), []
+    cells, keys, found = replicas(distinct, carry), replicas(distinct), []
     for depth, limit in enumerate(CROWDED, 1):
-        crowded = scratch.write(cells.groupBy("cell").count().where(F.col("count") > limit).select("cell"), f"crowded-{depth}")
+        # A cell holds a row once, so few rows crowd none.
+        if depth == 1 and distinct.count() <= limit:
+            break
+        crowded = scratch.write(keys.groupBy("cell").count().where(F.col("count") > limit).select("cell"), f"crowded-{depth}")
         if crowded.isEmpty():
             break
         found.append(compare(cells.join(crowded, "cell", "left_anti"), threshold, carry))
-        cells = refined(cells.join(crowded, "cell", "left_semi"), depth, carry)
+        cells, keys = (refined(x.join(crowded, "cell", "left_semi"), depth, more) for x, more in ((cells, carry), (keys, ())))
     return reduce(DataFrame.unionByName, [*found, compare(cells, threshold, carry)]).distinct()
 
 

@@ -269,6 +269,51 @@ def test_near_copies_equal_brute_force(spark, small, monkeypatch, crowded):
     assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == copies(dict(small))
 
 
+def one_cell(n, seed):
+    """Fingerprints around one anchor and their sketches: scattered ones, chains of links, and a dense group of many."""
+    rng = np.random.default_rng(seed)
+
+    def flipped(x, most, bits=64):
+        for _ in range(most):
+            x = x ^ (np.uint64(1) << rng.integers(0, bits, len(x)).astype(np.uint64)) * rng.integers(0, 2, len(x)).astype(np.uint64)
+        return x
+
+    fps = rng.integers(0, 1 << 63, n, dtype=np.uint64) >> np.uint64(22) << np.uint64(22)
+    fps[: n // 8] = flipped(np.full(n // 8, fps[0]), 4)  # dense
+    for k in range(n // 8, n // 4):
+        fps[k] = flipped(fps[k - 1 : k], 6)[0] if k % 20 else fps[k]  # chains
+    fps = flipped(fps, 2, 22)
+    sketches = rng.integers(0, 1 << 63, (4, n), dtype=np.uint64)
+    for k in range(4):
+        sketches[k, : n // 4] = flipped(np.full(n // 4, sketches[k, 0]), 12)
+    return fps, sketches
+
+
+@pytest.mark.parametrize("n, shifted, matrix", [(40, 100, 1 << 17), (499, 100, 300), (1500, 100, 1 << 17), (1500, 5, 2000)])
+@pytest.mark.parametrize("sketched", [False, True])
+def test_stars_of_a_cell_connect_what_links_connect(monkeypatch, n, shifted, matrix, sketched):
+    monkeypatch.setattr(simhash, "SHIFTED", shifted)
+    monkeypatch.setattr(simhash, "MATRIX", matrix)
+    fps, sketches = one_cell(n, 5)
+    names = (simhash.sketch_names(sketches.T) if sketched else fps).tolist()
+    alike = lambda k: np.bitwise_count(sketches ^ sketches[:, k : k + 1]).sum(0, dtype=int) <= 52
+    near = lambda k: np.bitwise_count(fps ^ fps[k]) <= 4
+    want = joined(names, lambda k: np.flatnonzero(near(k) & alike(k) if sketched else near(k)))
+    a, b = simhash.stars(fps, sketches if sketched else None, 4)
+    assert {x: y for x, y in zip(a.tolist(), b.tolist(), strict=True)} == {x: y for x, y in want.items() if x != y} and len(a) >= n // 10
+
+
+def test_cells_of_some_thousands_are_compared_without_more_rows(spark, monkeypatch):
+    """Refining makes some 22 rows of each, which near two million texts held up the pipeline."""
+    monkeypatch.setattr(simhash, "refined", lambda *a: pytest.fail("refined"))
+    signed = np.unique(one_cell(4000, 6)[0].view(np.int64))
+    df = spark.createDataFrame([(x,) for x in signed.tolist()], "fp long").repartition(2)
+    scratch, fps = common.Scratch(spark), signed.view(np.uint64)
+    got = {r.node: r.label for r in simhash.components(scratch, simhash.links(scratch, df)).collect()}
+    want = joined(signed.tolist(), lambda k: np.flatnonzero(np.bitwise_count(fps ^ fps[k]) <= 4))
+    assert all(got.get(x, x) == y for x, y in want.items()) and len(got) > 400
+
+
 def test_near_copies_find_edited_texts():
     """Of 200 texts with 2 in 100 words changed all but a few are linked, of 200 with 20 in 100 none."""
     rng = np.random.default_rng(4)
