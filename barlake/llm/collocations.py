@@ -3,9 +3,10 @@
 The texts are read four times. The first two passes fill count-min sketches of word pairs, and of longer phrases that begin
 with a pair that may be frequent; a cell's sum is an upper bound of each of its phrases' counts, so no frequent phrase is
 lost. The third tells the phrases of the cells that reach the bound: of each cell those of one block of text, its witness.
-The fourth runs Aho-Corasick automata of these phrases and their words, each between spaces, over every text and counts all
-matches, overlapping ones too. A cell whose phrases' counts fall short of its sum has others, which are then told and counted
-without a witness. Tasks send sums only.
+The fourth counts these phrases and their words where their cells lie, byte by byte: a cell whose phrases' counts fall short
+of its sum has others, which are then told and counted without a witness. So the first phrases of each language are known.
+The last runs Aho-Corasick automata of these and of their parts, each between spaces, over every text and counts all matches,
+overlapping ones too; their number does not grow with the texts. Tasks send sums only.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -27,8 +29,11 @@ from barlake.llm.common import SLICE, Scratch, halves
 
 #: Least count of a phrase, number of words at most, phrases told per language, and the share that makes a longer one cover it.
 LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
-#: Cells of the sketch as a power of two; bytes of sketch that one task sums; cells and patterns that are broadcast at once.
-CELLS, PART_BYTES, CELLS_AT_ONCE, PATTERNS_AT_ONCE = 44, 32 << 20, 4_000_000, 400_000
+#: Cells of the sketch as a power of two; bytes of sketch that one task sums; cells, phrases with cells, and patterns of
+#: automata that are broadcast at once.
+CELLS, PART_BYTES, CELLS_AT_ONCE, PHRASES_AT_ONCE, PATTERNS_AT_ONCE = 44, 32 << 20, 4_000_000, 2_000_000, 400_000
+#: Bits of a phrase's number that one task sums, and bytes from which phrases are compared one by one.
+SUMMED_BITS, LONG = 16, 256
 #: Entries that a task gathers before it sums and sends them, phrases it remembers, and bytes of text looked at together.
 GATHER, TOLD, BLOCK = 4_000_000, 300_000, 1 << 20
 
@@ -199,23 +204,40 @@ def cells_of(found: DataFrame, parts: list[int]) -> tuple[np.ndarray, np.ndarray
     return cells[order], marks[order]
 
 
-def among(cells: np.ndarray, known: tuple[np.ndarray, np.ndarray], mark: int | None = None) -> np.ndarray:
-    """Which of cells are known and, with a mark, have it for their witness."""
-    at = np.searchsorted(known[0], cells)
-    at[at == len(known[0])] = 0
-    good = known[0][at] == cells
-    return good if mark is None else good & (known[1][at] == mark)
+class Known:
+    """Cells in order, with a table that tells of most others at one look that they are not among them."""
+
+    def __init__(self, cells: np.ndarray):
+        self.cells, self.table = cells, None
+
+    def __getstate__(self) -> np.ndarray:
+        return self.cells
+
+    def __setstate__(self, cells: np.ndarray) -> None:
+        self.__init__(cells)
+
+    def among(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those of cells that are known, and where these stand."""
+        if self.table is None:
+            self.low = np.uint64((1 << max(10, (4 * len(self.cells)).bit_length())) - 1)
+            self.table = np.zeros(int(self.low) + 1, bool)
+            self.table[self.cells & self.low] = True
+        i = np.flatnonzero(self.table[cells & self.low])
+        at = np.searchsorted(self.cells, cells[i])
+        at[at == len(self.cells)] = 0
+        good = self.cells[at] == cells[i]
+        return i[good], at[good]
 
 
 def longer_phrases(docs: DataFrame, pairs: DataFrame, longest: int, part_bits: int) -> DataFrame | None:
     """Sums of the phrases of three words and more that begin with a pair of a heavy cell."""
     out = None
     for known in rounds(pairs, CELLS_AT_ONCE):
-        shared = docs.sparkSession.sparkContext.broadcast(known)
+        shared = docs.sparkSession.sparkContext.broadcast(Known(known[0]))
 
         def pick(grams: Grams, shared=shared) -> Iterator[np.ndarray]:
             at = grams.places(2)
-            at = at[among(grams.cells(at, 2), shared.value)]
+            at = at[shared.value.among(grams.cells(at, 2))[0]]
             for k in range(3, longest + 1):
                 at = at[at + k < len(grams.breaks)]
                 at = at[grams.breaks[at + k] == grams.breaks[at]]
@@ -232,10 +254,11 @@ def told_phrases(docs: DataFrame, found: DataFrame, longest: int, by_witness: bo
     out = None
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("cell", pa.int64())])
     for known in rounds(found, CELLS_AT_ONCE):
-        shared = docs.sparkSession.sparkContext.broadcast(known)
+        shared = docs.sparkSession.sparkContext.broadcast((Known(known[0]), known[1]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             told: dict[str, set] = {}
+            some, marks = shared.value
             for lang, text in by_lang(batches):
                 seen, new = told.setdefault(lang, set()), set()
                 for block in blocks(text):
@@ -243,7 +266,8 @@ def told_phrases(docs: DataFrame, found: DataFrame, longest: int, by_witness: bo
                     for k in range(2, longest + 1):
                         at = grams.places(k)
                         cells = grams.cells(at, k)
-                        good = among(cells, shared.value, mark)
+                        good, where = some.among(cells)
+                        good = good if mark is None else good[marks[where] == mark]
                         new |= grams.phrases(at[good], k, cells[good])
                 new -= seen
                 rows = list(new)
@@ -278,6 +302,128 @@ def short_cells(found: DataFrame, pairs: bool, counts: DataFrame, least: int) ->
     return short.select("part", "cell").distinct().groupBy("part").applyInArrow(packed, "part int, cells binary, witnesses binary, n long")
 
 
+def with_cells(phrases: DataFrame) -> DataFrame:
+    """phrases (lang, phrase, k, cell) with the cells of single words, which have none so far."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("cell", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pydict()
+            cells, each = rows["cell"], {}
+            for i, (lang, cell) in enumerate(zip(rows["lang"], cells, strict=True)):
+                if cell is None:
+                    each.setdefault(lang, []).append(i)
+            for lang, places in each.items():
+                grams = Grams(b" " + b" \n ".join(rows["phrase"][i].encode() for i in places) + b" ", lang)
+                for i, cell in zip(places, grams.cells(grams.places(1), 1).tolist(), strict=True):
+                    cells[i] = cell
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+
+    return phrases.select("lang", "phrase", "k", "cell").mapInArrow(run, "lang string, phrase string, k int, cell long")
+
+
+class Patterns:
+    """Phrases, whose numbers are their places, to be found by their cells. Of several of one cell each is in a layer of its own."""
+
+    def __init__(self, table: pa.Table):
+        phrases = pa.concat_arrays([x.cast(pa.large_binary()) for x in table.column("phrase").chunks])
+        cells, langs = table.column("cell").to_numpy().astype(np.uint64), table.column("lang").combine_chunks().dictionary_encode()
+        self.langs = {x: k for k, x in enumerate(langs.dictionary.to_pylist())}
+        self.lang = langs.indices.to_numpy().astype(np.int32)
+        # Phrase p is text[start[p] : start[p + 1]]. Eight more bytes, as the last ones are read by eights.
+        self.start = np.frombuffer(phrases.buffers()[1], np.int64)[phrases.offset :][: len(phrases) + 1].copy()
+        self.text = phrases.buffers()[2].slice(int(self.start[0]), int(self.start[-1] - self.start[0])).to_pybytes() + bytes(8)
+        self.start -= self.start[0]
+        order = np.argsort(cells, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], cells[order][1:] != cells[order][:-1]]))
+        layer = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        self.layers = [(Known(cells[order[layer == k]]), order[layer == k].astype(np.int32)) for k in range(int(layer.max(initial=-1)) + 1)]
+
+    def found(self, grams: Grams, lang: str, longest: int) -> Iterator[np.ndarray]:
+        """The numbers of the phrases in a block, overlapping ones too."""
+        block, text = (np.ndarray(len(x) - 7, "<u8", x, strides=(1,)) for x in (grams.block + bytes(8), self.text))
+        for k in range(1, longest + 1):
+            at = grams.places(k)
+            cells = grams.cells(at, k)
+            for known, numbers in self.layers:
+                i, p = known.among(cells)
+                p, start = numbers[p], grams.starts[at[i]]
+                size = self.start[p + 1] - self.start[p]
+                good = (grams.ends[at[i] + k - 1] - start == size) & (self.lang[p] == self.langs[lang])
+                p, start, size = p[good], start[good], size[good]
+                yield p[equal(block, start, text, self.start[p], size, grams.block, self.text)]
+
+
+def equal(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray, bytes_a: bytes, bytes_b: bytes) -> np.ndarray:
+    """Whether the bytes from at_a on and those from at_b on are equal, size of them; a and b are their eights from each byte on."""
+    same = np.ones(len(size), bool)
+    for i in np.flatnonzero(size > LONG).tolist():
+        same[i] = bytes_a[at_a[i] : at_a[i] + size[i]] == bytes_b[at_b[i] : at_b[i] + size[i]]
+    i, done = np.flatnonzero(size <= LONG), 0
+    while len(i):
+        rest = np.minimum(size[i] - done, 8).astype(np.uint64)
+        apart = (a[at_a[i] + done] ^ b[at_b[i] + done]) << (np.uint64(64) - np.uint64(8) * rest)
+        same[i[apart != 0]] = False
+        done += 8
+        i = i[(apart == 0) & (size[i] > done)]
+    return same
+
+
+def summing(pids: Broadcast) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Sums of one part of a round's phrases: pid and f."""
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        f = np.zeros(1 << SUMMED_BITS, np.int64)
+        for places, counts in zip(rows.column("places"), rows.column("counts"), strict=True):
+            f[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), "<i8")
+        at = np.flatnonzero(f)
+        return pa.table({"pid": pa.array(pids.value[(key[1].as_py() << SUMMED_BITS) + at], pa.int64()), "f": pa.array(f[at], pa.int64())})
+
+    return one
+
+
+def matched(docs: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
+    """phrases (lang, phrase, k, cell, pid) with f, the places in docs where each stands; those without any are left out.
+
+    PHRASES_AT_ONCE of them are looked for at once. Tasks send their sums in parts of numbers that lie together.
+    """
+    n_rounds, out = -(-phrases.count() // PHRASES_AT_ONCE), None
+    for r in range(n_rounds):
+        table = phrases.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(n_rounds)) == r).select("lang", "phrase", "cell", "pid").toArrow()
+        if not len(table):
+            continue
+        context = docs.sparkSession.sparkContext
+        shared, pids = context.broadcast(Patterns(table)), context.broadcast(table.column("pid").to_numpy())
+        del table
+
+        def run(batches: Iterator[pa.RecordBatch], r=r, shared=shared) -> Iterator[pa.RecordBatch]:
+            patterns, held, size, sums = shared.value, [], 0, np.zeros(len(shared.value.lang), np.int64)
+
+            def add() -> None:
+                if held:
+                    np.add(sums, np.bincount(np.concatenate(held), minlength=len(sums)), out=sums)
+                held.clear()
+
+            for lang, text in by_lang(batches):
+                for block in blocks(text) if lang in patterns.langs else ():
+                    for p in patterns.found(Grams(block, lang), lang, longest):
+                        held.append(p)
+                        size += len(p)
+                    if size > GATHER:
+                        add()
+                        size = 0
+            add()
+            for low in range(0, len(sums), 1 << SUMMED_BITS):
+                own = sums[low : low + (1 << SUMMED_BITS)]
+                at = np.flatnonzero(own)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([low >> SUMMED_BITS], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<i8").tobytes()], pa.binary())], names=["round", "part", "places", "counts"])
+
+        part = docs.mapInArrow(run, "round int, part int, places binary, counts binary").groupBy("round", "part").applyInArrow(summing(pids), "pid long, f long")
+        out = part if out is None else out.unionByName(part)
+    return phrases.withColumn("f", F.lit(0).cast("long")).limit(0) if out is None else phrases.join(out, "pid")
+
+
 #: The automata of one round, which a worker keeps for its next tasks.
 _KEPT: dict[str, dict[str, tuple]] = {}
 
@@ -328,8 +474,9 @@ def counted(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return patterns.join(out.groupBy("pid").agg(F.sum("f").alias("f")), "pid") if n_rounds else patterns.withColumn("f", F.lit(0).cast("long"))
 
 
-def ranked(f: DataFrame, n: DataFrame, least: int, top: int, cover: int) -> DataFrame:
-    """The first top phrases of each language. f: lang, phrase, f of all phrases that may be frequent and of their words.
+def ranked(f: DataFrame, n: DataFrame, least: int, top: int, cover: int, only: DataFrame | None = None) -> DataFrame:
+    """The first top phrases of each language. f: lang, phrase, f of all phrases that may be frequent and of their words; or of
+    those in only (lang, phrase), which no longer phrase covers, and of their parts.
 
     Products are decimals of 38 digits, so none overflows.
     """
@@ -347,11 +494,19 @@ def ranked(f: DataFrame, n: DataFrame, least: int, top: int, cover: int) -> Data
     inner = inner.select("lang", "longer", "words", "m", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("m") + 1)).alias("at"))
     inner = inner.groupBy("lang", joined(F.col("at"), F.col("m")).alias("phrase")).agg(F.max("longer").alias("longer"))
     free = scored.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * big(F.col("longer")) < cover * big(F.col("a"))))
+    free = free if only is None else free.join(only, ["lang", "phrase"], "left_semi")
     order = W.partitionBy("lang").orderBy(F.desc("s.score"), F.desc("a"), "phrase")
     out = free.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return out.join(n, "lang").select("lang", "rank", "phrase", "a", "s.l", "s.r", "n", "s.score")
 
 
+def with_parts(phrases: DataFrame) -> DataFrame:
+    """phrases (lang, phrase) and the parts before and after each of their cuts."""
+    cuts = phrases.withColumn("words", F.split("phrase", " ")).withColumn("cut", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
+    joined = lambda a, n: F.array_join(F.slice("words", a, n), " ").alias("phrase")
+    return phrases.unionByName(cuts.select("lang", joined(F.lit(1), F.col("cut")))).unionByName(cuts.select("lang", joined(F.col("cut") + 1, F.size("words") - F.col("cut")))).distinct()
+
+
 def mine(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, cover: int = COVER) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the first top phrases of each language, by score, count and phrase.
 
@@ -362,7 +517,8 @@ def mine(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: i
     Every row counts, repeated ones too; null texts are empty, a null language is und; without frequent phrases, as in an
     empty table, there are no rows; other columns are not looked at. What tasks send is a sum for each cell or pattern, so a
     hot phrase is one entry of each; sums of sketches are shared out by cells in parts whose number follows the size of the
-    texts. What is broadcast is bounded: beyond CELLS_AT_ONCE cells or PATTERNS_AT_ONCE patterns the texts are read again.
+    texts. What is broadcast is bounded: beyond CELLS_AT_ONCE cells, PHRASES_AT_ONCE phrases or PATTERNS_AT_ONCE patterns the texts are read again. All
+    frequent phrases are matched by their cells; automata count those that come first, so their number follows that of languages.
     """
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -379,13 +535,14 @@ def mine(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: i
     longer = work.write(heavy(more, least, part_bits), "heavy-phrases")
     found = work.write(told_phrases(docs, pairs.unionByName(longer), longest), "phrases")
     single = lambda phrases: phrases.where("k = 2").select("lang", F.explode(F.split("phrase", " ")).alias("phrase"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("cell")).distinct()
-    f = work.write(counted(docs, numbered(found.unionByName(single(found)), "patterns")), "counts")
+    f = work.write(matched(docs, numbered(with_cells(found.unionByName(single(found))), "patterns"), longest), "counts")
     short = work.write(short_cells(pairs, True, f, least).unionByName(short_cells(longer, False, f, least)), "short")
     if not short.isEmpty():
         rest = work.write(told_phrases(docs, short, longest, False), "rest")
         new = rest.unionByName(single(rest)).join(f.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
-        f = work.write(f.unionByName(counted(docs, numbered(new, "new-patterns"))), "all-counts")
-    return ranked(f.select("lang", "phrase", "f"), n, least, top, cover)
+        f = work.write(f.unionByName(matched(docs, numbered(with_cells(new), "new-patterns"), longest)), "all-counts")
+    first = work.write(ranked(f.select("lang", "phrase", "f"), n, least, top, cover).select("lang", "phrase"), "first")
+    return ranked(counted(docs, numbered(with_parts(first), "first-patterns")).select("lang", "phrase", "f"), n, least, top, cover, first)
 
 
 ORACLE_SQL = f"""WITH piece AS (

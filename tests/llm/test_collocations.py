@@ -99,3 +99,49 @@ def test_phrases_without_a_witness_are_told_all_the_same(spark, monkeypatch):
     docs = [("en", " ".join(r.choices("abcdefg", k=200))) for _ in range(30)]
     df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
     assert mined(df) == by_hand(docs)
+
+
+def test_parts_of_what_is_told_are_not_told_themselves(spark):
+    """q1 q2 is covered by w q1 q2, which does not come first, and is a part of q1 q2 z, which does."""
+    docs = [("en", x) for x, n in (("w q1 q2", 65), ("w q1 q2 z", 25), ("q1 q2 z", 10), ("w. " * 20, 100)) for _ in range(n)]
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    (row,) = got = mined(df, top=1)
+    assert got == by_hand(docs, top=1) and row[2] == "q1 q2 z"
+
+
+def test_rounds_of_phrases_change_nothing(spark, monkeypatch):
+    r = random.Random(9)
+    docs = [(r.choice(["en", "de"]), " ".join(r.choices(["a", "b", "cc", "é"], k=100))) for _ in range(40)]
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    monkeypatch.setattr(collocations, "PHRASES_AT_ONCE", 50)
+    monkeypatch.setattr(collocations, "SUMMED_BITS", 3)
+    assert mined(df) == by_hand(docs)
+
+
+def test_automata_do_not_grow_with_the_frequent_phrases(spark, monkeypatch):
+    honest, r, sizes = collocations.counted, random.Random(7), []
+
+    def counted(docs, patterns):
+        sizes.append(patterns.count())
+        return honest(docs, patterns)
+
+    monkeypatch.setattr(collocations, "counted", counted)
+    docs = [("en", " ".join(r.choices([f"w{k}" for k in range(30)], k=2000))) for _ in range(30)]
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    assert mined(df, top=5) == by_hand(docs, top=5) and len(sizes) == 1 and sizes[0] <= 5 * 7
+
+
+@pytest.mark.parametrize("cells", [1, 4, 1 << 44])
+def test_phrases_of_one_cell_are_told_apart_by_their_bytes(monkeypatch, cells):
+    honest, r = collocations.Grams.cells, random.Random(8)
+    monkeypatch.setattr(collocations.Grams, "cells", lambda self, at, k: honest(self, at, k) % collocations.np.uint64(cells))
+    words = ["a", "aa", "abcdefgh", "abcdefghi", "é", "x" * 300, "x" * 299 + "y", "abcdefghabcdefgh"]
+    block = collocations.spaced(" ".join(r.choices(words, k=3)).encode() + b"." for _ in range(400))
+    pieces = [p.split() for p in block.decode().split("\n")]
+    f = Counter(" ".join(w[i : i + k]) for w in pieces for k in range(1, 5) for i in range(len(w) - k + 1))
+    asked = [*f, "b", "aa b"]
+    cell = lambda p: int(collocations.Grams(f" {p} ".encode(), "en").cells(collocations.np.array([0]), len(p.split()))[0])
+    table = collocations.pa.table({"lang": ["en", "de"] * len(asked), "phrase": [p for p in asked for _ in "12"], "cell": [cell(p) for p in asked for _ in "12"]})
+    patterns = collocations.Patterns(table)
+    found = Counter(x for p in patterns.found(collocations.Grams(block, "en"), "en", 4) for x in p.tolist())
+    assert found == {2 * k: f[p] for k, p in enumerate(asked) if f[p]}
